@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def disassemble(df: DataFrame, vec: str, names: Sequence[str], drop: bool = True
 
 
 # P13
-_WIDE = re.compile(r"^(?P<target>.+)_(?P<kind>label|prob)_fold(?P<fold>\d+)$")
+_WIDE = re.compile(r"^(.+)_(label|prob)_fold(\d+)$")
 
 
 def to_long(df: DataFrame, ids: Sequence[str], value: str = "value") -> DataFrame:
@@ -151,16 +152,23 @@ def with_ordinal(df: DataFrame, order_by, by=(), name: str = "ordinal", start: i
     inside their partition, and shifted by the rows of the same group that
     landed in earlier partitions.  The shift table has at most
     ``partitions + groups`` rows.  Ties in ``order_by`` get distinct,
-    arbitrary ordinals; add a unique column for a total order.
+    arbitrary ordinals; add a unique column for a total order.  The range
+    partitioned rows are persisted (memory and disk) so that both uses see
+    the same partitioning.
     """
     by = _cols(by)
     order = _cols(order_by)
     n = num_partitions or default_partitions(df)
+    # The range bounds are sampled per exchange, so the two uses below (the
+    # shift table and the rows) must read one materialisation.  A lost cached
+    # block is rebuilt from the same shuffle (same bounds) and, with a total
+    # order, the same row order.
     ranged = (df.repartitionByRange(n, *by, *order)
                 .sortWithinPartitions(*by, *order)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_loc", F.monotonically_increasing_id()
-                            - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+                            - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+                .persist(StorageLevel.MEMORY_AND_DISK))
     by_names = [c if isinstance(c, str) else None for c in by]
     if any(b is None for b in by_names):
         raise TypeError("with_ordinal: 'by' must be column names")

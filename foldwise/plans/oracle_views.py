@@ -54,3 +54,17 @@ LABELLED_FOLDS = ("lf AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.qualit
 
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
+
+TNAMES0 = "tnames AS (" + " UNION ALL ".join(
+    f"SELECT {j} AS j, '{t}' AS target" for j, t in enumerate(TARGETS)) + ")"
+
+# one row per (id, target j, level c) with the logit v and the true level of (id, j)
+LOGIT_CELLS = (TNAMES0 + ",\nlg AS (SELECT vec_id AS id, label, CAST(embedding[r.i + 1] AS DOUBLE) AS v, "
+               "CAST(r.i AS INTEGER) AS i FROM embeddings CROSS JOIN range(54) r(i)),\n"
+               "cells AS (SELECT lg.id, CAST(lg.i % 6 AS INTEGER) AS j, t.target, "
+               "CAST(floor(lg.i / 6) AS INTEGER) AS c, lg.v, "
+               "CAST((lg.label + lg.i % 6) % 9 AS INTEGER) AS level "
+               "FROM lg JOIN tnames t ON t.j = lg.i % 6),\n"
+               "mxs AS (SELECT *, max(v) OVER (PARTITION BY id, j) AS mx FROM cells),\n"
+               "sm AS (SELECT *, sum(exp(v - mx)) OVER (PARTITION BY id, j) AS se FROM mxs),\n"
+               "probs AS (SELECT id, j, target, c, v, level, exp(v - mx) / se AS p, mx + ln(se) AS lse FROM sm)")

@@ -20,6 +20,8 @@ ORACLE: dict[str, str] = {}
 
 _MODULES = [
     "foldwise.plans.q_folds",
+    "foldwise.plans.q_scores",
+    "foldwise.plans.q_ensemble",
 ]
 
 

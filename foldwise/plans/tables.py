@@ -97,3 +97,16 @@ def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     return w.select("doc_id", F.col("pos").cast("int").alias("pos"), "word",
                     (F.length("word") % 8).cast("int").alias("label"))
+
+
+def logit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, j, target, z array<double>(9), level, y): logits of each target with a
+    true level ``(label + j) % 9`` and its score ``1 + 0.5 * level``."""
+    from foldwise.operators.classes import unpack_levels
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "label",
+        F.slice(F.col("embedding").cast("array<double>"), 1, 54).alias("z"))
+    cells = unpack_levels(e, "z", keep=["id", "label"])
+    lvl = ((F.col("label") + F.col("j")) % 9).cast("int")
+    return cells.select("id", "j", "target", "z", lvl.alias("level"),
+                        (F.lit(1.0) + F.lit(0.5) * lvl).alias("y"))
