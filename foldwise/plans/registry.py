@@ -22,6 +22,7 @@ _MODULES = [
     "foldwise.plans.q_folds",
     "foldwise.plans.q_scores",
     "foldwise.plans.q_ensemble",
+    "foldwise.plans.q_monitor",
 ]
 
 
