@@ -68,3 +68,7 @@ LOGIT_CELLS = (TNAMES0 + ",\nlg AS (SELECT vec_id AS id, label, CAST(embedding[r
                "mxs AS (SELECT *, max(v) OVER (PARTITION BY id, j) AS mx FROM cells),\n"
                "sm AS (SELECT *, sum(exp(v - mx)) OVER (PARTITION BY id, j) AS se FROM mxs),\n"
                "probs AS (SELECT id, j, target, c, v, level, exp(v - mx) / se AS p, mx + ln(se) AS lse FROM sm)")
+
+# hidden states by dimension: one row per (doc, layer, pos, dim)
+HIDDEN_DIMS = HIDDEN + (",\nhd AS (SELECT doc, layer, pos, mask, CAST(r.i AS INTEGER) AS dim, vec[r.i + 1] AS v, "
+                        "vec[1] AS score FROM hidden CROSS JOIN range(64) r(i))")

@@ -23,6 +23,7 @@ _MODULES = [
     "foldwise.plans.q_scores",
     "foldwise.plans.q_ensemble",
     "foldwise.plans.q_monitor",
+    "foldwise.plans.q_pooling",
 ]
 
 
