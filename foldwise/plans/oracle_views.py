@@ -43,7 +43,7 @@ LOGITS = "logits AS (SELECT vec_id AS id, CAST(embedding[1:54] AS DOUBLE[]) AS z
 
 WORD_LABELS = ("word_labels AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, word, "
                "CAST(length(word) % 8 AS INTEGER) AS label FROM ("
-               "SELECT doc_id, unnest(w) AS word, unnest(generate_subscripts(w, 1)) - 1 AS pos "
+               "SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos "
                "FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))")
 
 LABELLED_FOLDS = ("lf AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic, "

@@ -24,6 +24,7 @@ _MODULES = [
     "foldwise.plans.q_ensemble",
     "foldwise.plans.q_monitor",
     "foldwise.plans.q_pooling",
+    "foldwise.plans.q_tokens",
 ]
 
 
