@@ -11,6 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +77,148 @@ def oof(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
                               .otherwise(F.raise_error(F.lit("oof: id predicted more than once"))))
                   .drop("_c"))
     return out
+
+
+# O3
+class RidgeFolds:
+    """Per-fold ridge models fitted by subtraction; a small driver-side table
+    (k x (d + 1) x t numbers)."""
+
+    def __init__(self, mu, nu, models, targets):
+        self.mu = mu            # feature centre (d,)
+        self.nu = nu            # target centre (t,)
+        self.models = models    # fold -> (intercept (t,), beta (d, t)) in centred units
+        self.targets = list(targets)
+
+    def predict_np(self, X: np.ndarray, fold: int) -> np.ndarray:
+        b0, beta = self.models[fold]
+        return self.nu + b0 + (X - self.mu) @ beta
+
+
+def _moments(df: DataFrame, features: str, targets: Sequence[str], fold: str, mu, nu) -> dict:
+    """Per-fold centred sums [n, Sx, Sy, Gxx, Gxy] in one pass: each task folds its
+    rows into one flat partial per fold (numpy), Spark sums the partials."""
+    d, t = len(mu), len(nu)
+    width = 1 + d + t + d * d + d * t
+    cols = [fold, features, *targets]
+
+    def partials(batches):
+        acc = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            X = np.stack(pdf[features].to_numpy()).astype(float) - mu
+            Y = pdf[list(targets)].to_numpy(dtype=float) - nu
+            for f in np.unique(pdf[fold].to_numpy()):
+                sel = pdf[fold].to_numpy() == f
+                x, y = X[sel], Y[sel]
+                v = np.concatenate([[len(x)], x.sum(0), y.sum(0), (x.T @ x).ravel(), (x.T @ y).ravel()])
+                acc[int(f)] = acc.get(int(f), 0) + v
+        if acc:
+            yield pd.DataFrame({"fold": list(acc.keys()), "stats": [a.tolist() for a in acc.values()]})
+
+    part = df.select(*cols).mapInPandas(partials, "fold int, stats array<double>")
+    summ = Summarizer.metrics("sum")
+    tot = part.groupBy("fold").agg(summ.summary(array_to_vector("stats")).alias("s"))
+    rows = tot.select("fold", vector_to_array("s.sum").alias("v")).collect()
+    out = {}
+    for r in rows:
+        v = np.asarray(r["v"], dtype=float)
+        assert len(v) == width
+        n = v[0]
+        sx, sy = v[1:1 + d], v[1 + d:1 + d + t]
+        gxx = v[1 + d + t:1 + d + t + d * d].reshape(d, d)
+        gxy = v[1 + d + t + d * d:].reshape(d, t)
+        out[r["fold"]] = (n, sx, sy, gxx, gxy)
+    return out
+
+
+def fit_ridge_folds(df: DataFrame, features: str, targets: Sequence[str], lam: float = 0.0,
+                    fold: str = "fold") -> RidgeFolds:
+    """Ridge (``lam`` > 0) or least squares per held-out fold from one data pass:
+    training moments = total - fold moments, centred against cancellation."""
+    targets = list(targets)
+    vec = df.select(array_to_vector(F.col(features)).alias("v"), *targets)
+    summ = Summarizer.metrics("mean")
+    first = vec.agg(summ.summary(F.col("v")).alias("s"), *[F.avg(t).alias(t) for t in targets]).first()
+    mu = np.asarray(first["s"]["mean"].toArray(), dtype=float)
+    nu = np.asarray([first[t] for t in targets], dtype=float)
+    per = _moments(df, features, targets, fold, mu, nu)
+    total = [sum(p[i] for p in per.values()) for i in range(5)]
+    models = {}
+    d = len(mu)
+    for f, p in per.items():
+        n, sx, sy, gxx, gxy = [a - b for a, b in zip(total, p)]
+        if n <= 0:
+            raise ValueError(f"fit_ridge_folds: no training rows for fold {f}")
+        m, ybar = sx / n, sy / n
+        C = gxx - n * np.outer(m, m)
+        c = gxy - n * np.outer(m, ybar)
+        A = C + lam * np.eye(d)
+        try:
+            beta = np.linalg.solve(A, c)
+        except np.linalg.LinAlgError:
+            beta = np.linalg.lstsq(A, c, rcond=None)[0]
+        models[f] = (ybar - m @ beta, beta)
+    return RidgeFolds(mu, nu, models, targets)
+
+
+def predict_ridge(df: DataFrame, model: RidgeFolds, id_col: str, features: str, fold: str | None = "fold",
+                  keep_y: bool = True) -> DataFrame:
+    """Long predictions (id, fold, target, [y,] pred).  With ``fold`` each row
+    uses its own fold's model (out of fold); with ``fold=None`` every row is
+    scored by every fold model (``fold`` in the output names the model)."""
+    targets = model.targets
+    ycols = [t for t in targets if keep_y and t in df.columns]
+    cols = [id_col, features, *([fold] if fold else []), *ycols]
+    id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {id_type}, fold int, target string, " + ("y double, " if ycols else "") + "pred double"
+    folds = sorted(model.models)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            X = np.stack(pdf[features].to_numpy()).astype(float)
+            pieces = []
+            for f in (np.unique(pdf[fold].to_numpy()) if fold else folds):
+                sel = (pdf[fold].to_numpy() == f) if fold else np.ones(len(pdf), bool)
+                P = model.predict_np(X[sel], int(f))
+                for j, t in enumerate(targets):
+                    part = {id_col: pdf[id_col].to_numpy()[sel], "fold": int(f), "target": t,
+                            "pred": P[:, j]}
+                    if ycols:
+                        part["y"] = pdf[t].to_numpy(dtype=float)[sel]
+                    pieces.append(pd.DataFrame(part))
+            out = pd.concat(pieces, ignore_index=True)
+            yield out[[id_col, "fold", "target", *(["y"] if ycols else []), "pred"]]
+
+    return df.select(*cols).mapInPandas(run, schema)
+
+
+def oof_ridge(df: DataFrame, id_col: str, features: str, targets: Sequence[str], lam: float = 0.0,
+              fold: str = "fold") -> DataFrame:
+    """O3: out-of-fold ridge predictions, long (id, fold, target, y, pred)."""
+    model = fit_ridge_folds(df, features, targets, lam, fold)
+    return predict_ridge(df, model, id_col, features, fold)
+
+
+# O4
+def oof_ml(df: DataFrame, id_col: str, features: str, targets: Sequence[str], make_estimator,
+           k: int, fold: str = "fold") -> DataFrame:
+    """Fit a ``pyspark.ml`` regressor per (fold, target) on the other folds and
+    predict the held-out fold; long (id, fold, target, y, pred).  The assembled
+    vectors are persisted once and reused by all k x t fits."""
+    from pyspark import StorageLevel
+    base = df.select(id_col, fold, array_to_vector(F.col(features)).alias("_features"),
+                     *[F.col(t).cast("double").alias(t) for t in targets]).persist(StorageLevel.MEMORY_AND_DISK)
+    pieces = []
+    for f in range(k):
+        train, valid = base.filter(F.col(fold) != f), base.filter(F.col(fold) == f)
+        for t in targets:
+            est = make_estimator().setFeaturesCol("_features").setLabelCol(t).setPredictionCol("_pred")
+            m = est.fit(train)
+            pieces.append(m.transform(valid).select(id_col, F.col(fold).cast("int").alias("fold"),
+                                                    F.lit(t).alias("target"), F.col(t).alias("y"),
+                                                    F.col("_pred").cast("double").alias("pred")))
+    return union_all(pieces)

@@ -25,6 +25,7 @@ _MODULES = [
     "foldwise.plans.q_monitor",
     "foldwise.plans.q_pooling",
     "foldwise.plans.q_tokens",
+    "foldwise.plans.q_stack",
 ]
 
 
