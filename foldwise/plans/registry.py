@@ -26,6 +26,7 @@ _MODULES = [
     "foldwise.plans.q_pooling",
     "foldwise.plans.q_tokens",
     "foldwise.plans.q_stack",
+    "foldwise.plans.q_io",
 ]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.constants import TARGETS
-from foldwise.operators.columns import with_ordinal
+from foldwise.operators.columns import with_ordinal as _number_rows
 
 # Work units are control keys (run x fold and the like), not data rows.
 MAX_WORK_UNITS = 1_000_000
@@ -92,7 +92,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if with_ordinal:
         if not order_by:
             raise ValueError("write_table: with_ordinal needs order_by")
-        out = with_ordinal(df, list(order_by), name="_c0")
+        out = _number_rows(df, list(order_by), name="_c0")
         out = out.select("_c0", *df.columns).withColumnRenamed("_c0", "")
     w = out.write.mode(mode)
     if partition_by:
