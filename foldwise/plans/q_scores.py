@@ -140,3 +140,35 @@ GROUP BY b.run""")
 def l7_batch_mean_loss(spark, sf_dir):
     log = T.loss_log(spark, sf_dir).withColumn("batch", F.floor(F.col("step") / 64))
     return L.batch_mean_loss(log, by=["run"]).select("run", _r("batch_mean"), _r("row_mean"), "batches")
+
+
+def token_logits(spark, sf_dir):
+    """Token rows of the last layer: 8 class logits (first 8 dims), a target
+    class or -100 on masked positions, and the mask."""
+    h = T.hidden(spark, sf_dir).filter(F.col("layer") == 3)
+    tgt = F.when(F.col("mask") == 1, ((F.col("doc") + F.col("pos")) % 8).cast("int")).otherwise(F.lit(-100))
+    return h.select("doc", "pos", "mask", F.slice("vec", 1, 8).alias("z"), tgt.alias("target"))
+
+
+_TOK = V.with_views(V.HIDDEN_DIMS) + """,
+tk AS (SELECT doc, pos, mask, dim, v, CASE WHEN mask = 1 THEN CAST((doc + pos) % 8 AS INTEGER) ELSE -100 END AS target
+       FROM hd WHERE layer = 3 AND dim < 8),
+mx AS (SELECT *, max(v) OVER (PARTITION BY doc, pos) AS m FROM tk),
+ce AS (SELECT doc, pos, max(mask) AS mask, max(target) AS target,
+              CASE WHEN max(target) = -100 THEN CAST(0 AS DOUBLE)
+                   ELSE max(m) + ln(sum(exp(v - m))) - max(CASE WHEN dim = target THEN v END) END AS loss
+       FROM mx GROUP BY doc, pos)
+"""
+
+
+@register("l6_token_ce", _TOK + "SELECT doc, pos, round(loss, 6) AS loss FROM ce")
+def l6_token_ce(spark, sf_dir):
+    t = token_logits(spark, sf_dir)
+    return t.select("doc", "pos", _r(L.token_ce_expr("z", "target"), "loss"))
+
+
+@register("l5_masked_mean", _TOK + """
+SELECT doc, round(sum(loss * mask) / sum(mask), 6) AS masked_mean FROM ce GROUP BY doc""")
+def l5_masked_mean(spark, sf_dir):
+    t = token_logits(spark, sf_dir).withColumn("loss", L.token_ce_expr("z", "target"))
+    return L.masked_mean(t, "loss", "mask", by=["doc"]).select("doc", _r("masked_mean"))

@@ -198,3 +198,29 @@ def t13_label_codes(spark, sf_dir):
     enc = K.encode_labels(lists, "roles", codes)
     z = F.arrays_zip(F.col("turns").alias("turn"), F.col("roles").alias("code"))
     return enc.select("conv_id", F.explode(z).alias("z")).select("conv_id", "z.turn", F.col("z.code").cast("int").alias("code"))
+
+
+def soft_span_rows(spark, sf_dir):
+    """span_rows with soft labels: per word [ (len % 5 - 1) / 4, 0.5, 0.25 ];
+    words whose first probability is not above 0 are not flagged."""
+    d = span_rows(spark, sf_dir).drop("labels")
+    docs = _docs(spark, sf_dir).select(
+        "doc_id", F.transform(F.split("text", " "), lambda w: F.array(
+            ((F.length(w) % 5 - 1) / 4.0).cast("double"), F.lit(0.5), F.lit(0.25))).alias("labels"))
+    return d.join(docs, "doc_id")
+
+
+@register("t11_t12_soft_target", _SPAN + """,
+soft AS (SELECT al.doc_id, al.pos, al.word_start, CAST((length(wl.word) % 5 - 1) / 4 AS DOUBLE) AS p0
+         FROM al LEFT JOIN cur ON cur.doc_id = al.doc_id AND cur.pos = al.pos
+         LEFT JOIN word_labels wl ON wl.doc_id = al.doc_id AND wl.pos = cur.c AND al.word_start),
+fl AS (SELECT doc_id, pos, coalesce(word_start AND p0 > 0, false) AS flag, p0 FROM soft)
+SELECT doc_id, pos, CAST(c.c AS INTEGER) AS c,
+       CASE WHEN NOT flag THEN CAST(-100 AS DOUBLE) WHEN c.c = 0 THEN p0 WHEN c.c = 1 THEN 0.5 ELSE 0.25 END AS value
+FROM fl CROSS JOIN range(3) c(c)""")
+def t11_t12_soft_target(spark, sf_dir):
+    a = S.align_labels(soft_span_rows(spark, sf_dir), ["doc_id"], soft=True)
+    t = S.scatter_target(a, ["doc_id"], soft=True, width=3)
+    x = t.select("doc_id", F.posexplode("target").alias("pos", "row"))
+    x = x.select("doc_id", F.col("pos").cast("int").alias("pos"), F.posexplode("row").alias("c", "value"))
+    return x.select("doc_id", "pos", F.col("c").cast("int").alias("c"), "value")
