@@ -130,3 +130,27 @@ def k6_batch_counts(spark, sf_dir):
     a = B.batch_counts(log, 64, True, ["run"]).withColumnRenamed("batches", "batches_drop")
     b = B.batch_counts(log, 64, False, ["run"]).select("run", F.col("batches").alias("batches_keep"))
     return a.join(b, "run")
+
+
+@register("r4_early_stop_stream", _recursive_stop(PATIENCE) + "SELECT run, stop_at FROM stops")
+def r4_early_stop_stream(spark, sf_dir):
+    """The loss log replayed as a file stream (one file per step block, blocks
+    written newest first so steps arrive out of order) through the stateful
+    streaming stopper; the last state of every run gives its stop step."""
+    from pyspark.sql import Window
+
+    from foldwise.sources.files import scratch_dir
+    from foldwise.streaming.monitor import early_stop_stream, run_to_table
+    base = scratch_dir(spark)
+    log = T.loss_log(spark, sf_dir)
+    blocks = 4
+    for b in reversed(range(blocks)):
+        (log.filter(F.floor(F.col("step") / 500) % blocks == b).write.mode("overwrite")
+            .parquet(f"{base}/in/block={b}"))
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2)
+                   .option("recursiveFileLookup", "true").parquet(f"{base}/in"))
+    run_to_table(early_stop_stream(stream, PATIENCE), f"{base}/out", f"{base}/chk")
+    states = spark.read.parquet(f"{base}/out")
+    last = states.withColumn("_rk", F.row_number().over(
+        Window.partitionBy("run").orderBy(F.col("batch_id").desc())))
+    return last.filter("_rk = 1").select("run", F.col("stop_at").cast("int").alias("stop_at"))
