@@ -72,10 +72,10 @@ def oof(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
     out = union_all(pieces)
     if id_col is not None:
         w = Window.partitionBy(id_col)
-        out = (out.withColumn("_c", F.count(F.lit(1)).over(w))
-                  .withColumn("_c", F.when(F.col("_c") == 1, F.col("_c"))
-                              .otherwise(F.raise_error(F.lit("oof: id predicted more than once"))))
-                  .drop("_c"))
+        # a filter keeps the check in the plan (an unused column would be pruned)
+        once = F.when(F.count(F.lit(1)).over(w) == 1, F.lit(True)).otherwise(
+            F.raise_error(F.lit("oof: id predicted more than once")).cast("boolean"))
+        out = out.filter(once)
     return out
 
 

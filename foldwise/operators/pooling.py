@@ -107,7 +107,7 @@ def pool_layers(df: DataFrame, start: int = 8, weights: Sequence[float] | None =
         w = F.lit(1.0)
     else:
         wmap = F.create_map(*[x for i, wt in enumerate(weights) for x in (F.lit(start + i), F.lit(float(wt)))])
-        w = F.coalesce(F.element_at(wmap, F.col(layer)), F.raise_error(F.lit("pool_layers: no weight")))
+        w = F.coalesce(F.try_element_at(wmap, F.col(layer)), F.raise_error(F.lit("pool_layers: no weight")))
     return _weighted(d, list(by), vec, w, "mean", out)
 
 
