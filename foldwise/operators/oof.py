@@ -73,9 +73,10 @@ def oof(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
     if id_col is not None:
         w = Window.partitionBy(id_col)
         # a filter keeps the check in the plan (an unused column would be pruned)
-        once = F.when(F.count(F.lit(1)).over(w) == 1, F.lit(True)).otherwise(
+        out = out.withColumn("_c", F.count(F.lit(1)).over(w))
+        once = F.when(F.col("_c") == 1, F.lit(True)).otherwise(
             F.raise_error(F.lit("oof: id predicted more than once")).cast("boolean"))
-        out = out.filter(once)
+        out = out.filter(once).drop("_c")
     return out
 
 
