@@ -69,7 +69,7 @@ def improvements(log: DataFrame, by: Sequence[str] = ("run",), step: str = "step
     ``counter`` (steps since the last improvement)."""
     by = list(by)
     lc = _clean(loss)
-    d = prefix(log, by, step, lc, "min", "_prev", False, bucket_rows)
+    d = prefix(log, by, step, lc, "min", "_prev", False, bucket_rows, keep_keys=True)
     d = d.withColumn("improved", lc.isNotNull() & (F.col("_prev").isNull() | (lc <= F.col("_prev"))))
     d = prefix(d, by, step, F.when(F.col("improved"), F.col(step)), "max", "_last", True, bucket_rows)
     return (d.withColumn("counter", (F.col(step) - F.coalesce(F.col("_last"), F.lit(-1))).cast("int"))

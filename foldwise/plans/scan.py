@@ -27,23 +27,41 @@ def _combine(kind: str, a: Column, b: Column) -> Column:
     return f(a, b)
 
 
+def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Non-null stand-ins for the group columns (value as string + null flag),
+    so windows, aggregations and the carry join share one hash partitioning
+    (a null-safe join would re-key and reshuffle the rows)."""
+    keys = []
+    for i, c in enumerate(by):
+        if f"_gk{i}" not in df.columns:      # reuse the keys of a previous scan
+            df = (df.withColumn(f"_gk{i}", F.coalesce(F.col(c).cast("string"), F.lit("")))
+                    .withColumn(f"_gn{i}", F.col(c).isNull()))
+        keys += [f"_gk{i}", f"_gn{i}"]
+    return df, keys
+
+
 def prefix(df: DataFrame, by, ordinal: str, value: Column, kind: str, out: str,
-           inclusive: bool = False, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+           inclusive: bool = False, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+           keep_keys: bool = False) -> DataFrame:
     """Add ``out`` = ``kind``(value) over earlier rows of the group (and the row
     itself when ``inclusive``).  ``kind`` is min, max or sum; nulls are skipped
-    and an empty prefix gives null (0 for sum)."""
+    and an empty prefix gives null (0 for sum).  ``keep_keys`` leaves the
+    bucket and group key columns in place so a following scan over the same
+    groups reuses the partitioning (no second shuffle)."""
     by = [by] if isinstance(by, str) else list(by)
     agg = _AGG[kind][0]
-    d = df.withColumn("_bk", F.floor(F.col(ordinal) / bucket_rows)).withColumn("_v", value)
-    per = d.groupBy(*by, "_bk").agg(agg("_v").alias("_bv"))
-    wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    d = df if "_bk" in df.columns else df.withColumn("_bk", F.floor(F.col(ordinal) / bucket_rows))
+    d = d.withColumn("_v", value)
+    d, keys = _keyed(d, by)
+    per = d.groupBy(*keys, "_bk").agg(agg("_v").alias("_bv"))
+    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.withColumn("_carry", agg("_bv").over(wb)).drop("_bv")
-    wi = Window.partitionBy(*by, "_bk").orderBy(ordinal).rowsBetween(
+    wi = Window.partitionBy(*keys, "_bk").orderBy(ordinal).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     within = d.withColumn("_in", agg("_v").over(wi))
-    joined = join_small(within, carry, [*by, "_bk"], null_safe=True)
-    return joined.withColumn(out, _combine(kind, F.col("_carry"), F.col("_in"))).drop(
-        "_bk", "_v", "_carry", "_in")
+    joined = join_small(within, carry, [*keys, "_bk"])
+    res = joined.withColumn(out, _combine(kind, F.col("_carry"), F.col("_in"))).drop("_v", "_carry", "_in")
+    return res if keep_keys else res.drop("_bk", *keys)
 
 
 def trailing(df: DataFrame, by, ordinal: str, value: Column, width: int, kind: str, out: str,
@@ -59,8 +77,9 @@ def trailing(df: DataFrame, by, ordinal: str, value: Column, width: int, kind: s
     fn = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[kind]
     d = df.withColumn("_bk", F.floor(F.col(ordinal) / bucket_rows)).withColumn("_v", value) \
           .withColumn("_halo", F.lit(False))
+    d, keys = _keyed(d, by)
     halo = (d.filter(F.col(ordinal) % bucket_rows >= bucket_rows - (width - 1))
               .withColumn("_bk", F.col("_bk") + 1).withColumn("_halo", F.lit(True)))
-    w = Window.partitionBy(*by, "_bk").orderBy(ordinal).rowsBetween(-(width - 1), 0)
+    w = Window.partitionBy(*keys, "_bk").orderBy(ordinal).rowsBetween(-(width - 1), 0)
     both = d.unionByName(halo).withColumn(out, fn("_v").over(w))
-    return both.filter(~F.col("_halo")).drop("_bk", "_v", "_halo")
+    return both.filter(~F.col("_halo")).drop("_bk", "_v", "_halo", *keys)
