@@ -1,11 +1,20 @@
 """Pooling token vectors into document vectors (V1-V9).
 
 Input rows: (group keys, e.g. doc and layer; pos; mask 0/1; vec array<double>).
-Vectors stay arrays.  Group reductions use ``pyspark.ml.stat.Summarizer``, a
-JVM aggregate with map-side partial aggregation, with the mask (or a softmax
-weight) as instance weight: zero-weight rows are skipped, so the weighted mean
-is the masked mean and max/min see only real positions.  No group is ever
-collected into one task and no row is exploded per dimension.
+Vectors stay arrays; no row is exploded per dimension and no group is
+collected into one task.  Two plans:
+
+* ``dims`` (vectors up to :data:`WIDE_DIM` elements): one hash aggregation
+  with one ``sum``/``max``/``min`` per element (``vec[i] * mask``), whole-stage
+  code generated, with map-side partial aggregation.  Measured on the
+  hidden-state fixture scaled to 1M rows x 64 dims: 1.9-3.8 s, against 4.5 s
+  for Summarizer and 9-11 s for explode-by-dimension.
+* ``summarizer`` (wider vectors): ``pyspark.ml.stat.Summarizer``, a JVM
+  aggregate over vectors, with the mask (or a softmax weight) as instance
+  weight; zero-weight rows are skipped before it.
+
+The vector width is the ``dim`` argument or is read from one row; every
+aggregation also checks that all rows have that width.
 """
 
 from __future__ import annotations
@@ -19,9 +28,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.constants import MASKED_MAX_FILL
+from foldwise.constants import MASKED_MAX_FILL, MEAN_POOL_EPS
 from foldwise.plans.sizing import join_small
 
+# Widest vector pooled with one aggregate per element.
+WIDE_DIM = 256
+
+
+def _width(df: DataFrame, vec: str, dim: int | None) -> int:
+    if dim is not None:
+        return int(dim)
+    row = df.select(F.size(vec).alias("n")).filter(F.col("n") >= 0).first()
+    return int(row["n"]) if row else 0
+
+
+def _use_dims(method: str, d: int) -> bool:
+    if method not in ("auto", "dims", "summarizer"):
+        raise ValueError(f"unknown method {method!r}")
+    return method == "dims" or (method == "auto" and d <= WIDE_DIM)
+
+
+def _dims_agg(df: DataFrame, by, vec: str, d: int, cell, extra=()) -> DataFrame:
+    """One aggregation: ``cell(i)`` for every element i, extra aggregates, and
+    the min/max width for the consistency check."""
+    aggs = [cell(i).alias(f"_e{i}") for i in range(d)]
+    aggs += list(extra) + [F.min(F.size(vec)).alias("_lo"), F.max(F.size(vec)).alias("_hi")]
+    return df.groupBy(*by).agg(*aggs)
+
+
+def _checked(arr: Column, d: int) -> Column:
+    ok = (F.col("_lo") == d) & (F.col("_hi") == d)
+    return F.when(ok, arr).otherwise(F.raise_error(F.lit(f"pooling: vectors are not all of width {d}")))
+
 
 def _weighted(df: DataFrame, by: Sequence[str], vec: str, weight: Column, metric: str,
               out: str) -> DataFrame:
@@ -41,9 +79,15 @@ def _zeros_like(vec: Column) -> Column:
 
 # V1
 def mean_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
-              out: str = "pooled") -> DataFrame:
+              out: str = "pooled", dim: int | None = None, method: str = "auto") -> DataFrame:
     """sum(v * mask) / max(sum(mask), 1e-9); a group with no real token pools to zeros."""
     by = list(by)
+    d = _width(df, vec, dim)
+    if _use_dims(method, d):
+        m = F.col(mask).cast("double")
+        g = _dims_agg(df, by, vec, d, lambda i: F.sum(F.col(vec)[i] * m), [F.sum(m).alias("_m")])
+        den = F.greatest(F.col("_m"), F.lit(MEAN_POOL_EPS))
+        return g.select(*by, _checked(F.array(*[F.col(f"_e{i}") / den for i in range(d)]), d).alias(out))
     m = _weighted(df, by, vec, F.col(mask), "mean", out)
     # zero vector for groups with nothing real: width taken from any row of the group
     width = df.groupBy(*by).agg(F.first(F.col(vec), ignorenulls=True).alias("_any"))
@@ -53,27 +97,39 @@ def mean_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mas
 
 # V2 / V3
 def max_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
-             out: str = "pooled", fill: float | None = MASKED_MAX_FILL) -> DataFrame:
+             out: str = "pooled", fill: float | None = MASKED_MAX_FILL, dim: int | None = None,
+             method: str = "auto") -> DataFrame:
     """Element-wise max over real positions.  A group with no real token gets
     ``fill`` in every element (the reference's -1e4) or null with ``fill=None``."""
-    return _extreme(df, by, vec, mask, out, "max", fill)
+    return _extreme(df, by, vec, mask, out, "max", fill, dim, method)
 
 
 def min_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
-             out: str = "pooled", fill: float | None = None) -> DataFrame:
+             out: str = "pooled", fill: float | None = None, dim: int | None = None,
+             method: str = "auto") -> DataFrame:
     """Element-wise min over real positions (the true masked min; the
-    reference fills hidden positions with +1e-4, see SURVEY D9)."""
-    return _extreme(df, by, vec, mask, out, "min", fill)
+    reference fills hidden positions with +1e-4, see SURVEY D9).  A group
+    with no real token gets ``fill`` (null by default)."""
+    return _extreme(df, by, vec, mask, out, "min", fill, dim, method)
 
 
-def _extreme(df, by, vec, mask, out, metric, fill):
+def _extreme(df, by, vec, mask, out, metric, fill, dim=None, method="auto"):
     by = list(by)
+    d = _width(df, vec, dim)
+    if _use_dims(method, d):
+        fn = F.max if metric == "max" else F.min
+        real = F.col(mask) == 1
+        g = _dims_agg(df, by, vec, d, lambda i: fn(F.when(real, F.col(vec)[i])),
+                      [F.max(real.cast("int")).alias("_any")])
+        arr = F.array(*[F.col(f"_e{i}") for i in range(d)])
+        none = F.lit(None) if fill is None else F.array_repeat(F.lit(float(fill)), d)
+        return g.select(*by, _checked(F.when(F.col("_any") == 1, arr).otherwise(none), d).alias(out))
     m = _weighted(df, by, vec, F.col(mask), metric, out)
-    if fill is None:
-        return m
     width = df.groupBy(*by).agg(F.first(F.col(vec), ignorenulls=True).alias("_any"))
     j = join_small(width, m, by, how="left", null_safe=True)
-    return j.select(*by, F.coalesce(F.col(out), F.transform("_any", lambda x: F.lit(float(fill)))).alias(out))
+    filled = F.col(out) if fill is None else F.coalesce(F.col(out), F.transform(
+        "_any", lambda x: F.lit(float(fill))))
+    return j.select(*by, filled.alias(out))
 
 
 def pool(df: DataFrame, how: str = "mean", **kw) -> DataFrame:
@@ -83,24 +139,28 @@ def pool(df: DataFrame, how: str = "mean", **kw) -> DataFrame:
 
 # V4
 def attention_pool(df: DataFrame, score: str, by: Sequence[str] = ("doc",), vec: str = "vec",
-                   mask: str = "mask", out: str = "pooled") -> DataFrame:
+                   mask: str = "mask", out: str = "pooled", dim: int | None = None,
+                   method: str = "auto") -> DataFrame:
     """Softmax(score) over the real positions of each group, then sum(w * v).
-    The softmax weight is used as Summarizer instance weight (the weighted
-    mean divides by the weight sum, which is the softmax normaliser)."""
+    A group with no real position gives null (the reference's softmax gives NaN)."""
     by = list(by)
     real = F.col(mask) == 1
     mx = df.filter(real).groupBy(*by).agg(F.max(score).alias("_mx"))
     d = join_small(df, mx, by, how="left", null_safe=True)
     w = F.when(real, F.exp(F.col(score) - F.col("_mx"))).otherwise(F.lit(0.0))
+    width = _width(df, vec, dim)
+    if _use_dims(method, width):
+        g = _dims_agg(d, by, vec, width, lambda i: F.sum(F.col(vec)[i] * w), [F.sum(w).alias("_ws")])
+        arr = F.array(*[F.col(f"_e{i}") / F.col("_ws") for i in range(width)])
+        return g.select(*by, _checked(F.when(F.col("_ws") > 0, arr), width).alias(out))
     pooled = _weighted(d, by, vec, w, "mean", out)
-    # groups with no real position: null (the reference's softmax gives NaN)
     return join_small(df.select(*by).distinct(), pooled, by, how="left", null_safe=True)
 
 
 # V5
 def pool_layers(df: DataFrame, start: int = 8, weights: Sequence[float] | None = None,
                 by: Sequence[str] = ("doc", "pos"), layer: str = "layer", vec: str = "vec",
-                out: str = "pooled") -> DataFrame:
+                out: str = "pooled", dim: int | None = None, method: str = "auto") -> DataFrame:
     """Weighted average of layers ``start..`` (weights default to 1) per token."""
     d = df.filter(F.col(layer) >= start)
     if weights is None:
@@ -108,6 +168,11 @@ def pool_layers(df: DataFrame, start: int = 8, weights: Sequence[float] | None =
     else:
         wmap = F.create_map(*[x for i, wt in enumerate(weights) for x in (F.lit(start + i), F.lit(float(wt)))])
         w = F.coalesce(F.try_element_at(wmap, F.col(layer)), F.raise_error(F.lit("pool_layers: no weight")))
+    width = _width(d, vec, dim)
+    if _use_dims(method, width):
+        g = _dims_agg(d, list(by), vec, width, lambda i: F.sum(F.col(vec)[i] * w), [F.sum(w).alias("_ws")])
+        arr = F.array(*[F.col(f"_e{i}") / F.col("_ws") for i in range(width)])
+        return g.select(*by, _checked(arr, width).alias(out))
     return _weighted(d, list(by), vec, w, "mean", out)
 
 
@@ -145,27 +210,37 @@ def softmax_over(df: DataFrame, partition: Sequence[str], value: str = "value",
 
 # V8
 def word_mean(df: DataFrame, by: Sequence[str] = ("doc",), word: str = "word_id", vec: str = "vec",
-              out: str = "vec") -> DataFrame:
+              out: str = "vec", dim: int | None = None, method: str = "auto") -> DataFrame:
     """Each token of a word gets the mean vector of the word's tokens; tokens with
     word id -1 keep their vector."""
     by = list(by)
     words = df.filter(F.col(word) >= 0)
-    means = _weighted(words, [*by, word], vec, F.lit(1.0), "mean", "_wm")
+    width = _width(df, vec, dim)
+    if _use_dims(method, width):
+        g = _dims_agg(words, [*by, word], vec, width, lambda i: F.avg(F.col(vec)[i]))
+        means = g.select(*by, word, _checked(F.array(*[F.col(f"_e{i}") for i in range(width)]), width).alias("_wm"))
+    else:
+        means = _weighted(words, [*by, word], vec, F.lit(1.0), "mean", "_wm")
     j = join_small(df, means, [*by, word], how="left", null_safe=True)
     return j.withColumn(out, F.when(F.col(word) >= 0, F.col("_wm")).otherwise(F.col(vec))).drop("_wm")
 
 
 # V9
 def project(df: DataFrame, W, b=None, vec: str = "vec", out: str = "proj",
-            method: str = "expr") -> DataFrame:
+            method: str = "auto") -> DataFrame:
     """``x @ W + b`` for a supplied weight matrix W (d x o) and bias (o).
 
-    ``expr``: one dot product per output as JVM array expressions (good for
-    small heads).  ``pandas``: Arrow batches multiplied with numpy, W shipped
-    once per task (better for wide heads)."""
+    ``expr``: one dot product per output with JVM array functions
+    (``zip_with`` + ``aggregate``); for small heads.  ``pandas``: Arrow
+    batches multiplied with numpy, W shipped once per task; for wide heads.
+    ``auto`` picks ``expr`` up to d * o = 4096.  Measured at 1M rows x 64 dims
+    x 6 outputs: 2.3 s (expr), 1.8 s (pandas); a flat sum of d * o scalar
+    terms does not compile to generated code and took 16 s."""
     W = np.asarray(W, dtype=float)
     d, o = W.shape
     b = np.zeros(o) if b is None else np.asarray(b, dtype=float)
+    if method == "auto":
+        method = "expr" if d * o <= 4096 else "pandas"
     if method == "expr":
         v = F.col(vec)
         cols = []
@@ -173,7 +248,10 @@ def project(df: DataFrame, W, b=None, vec: str = "vec", out: str = "proj",
             wk = F.array(*[F.lit(float(x)) for x in W[:, k]])
             dot = F.aggregate(F.zip_with(v, wk, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
             cols.append(dot + F.lit(float(b[k])))
-        return df.withColumn(out, F.array(*cols))
+        width_ok = F.size(v) == d
+        arr = F.when(width_ok, F.array(*cols)).otherwise(
+            F.raise_error(F.lit(f"project: vectors are not of width {d}")))
+        return df.withColumn(out, arr)
     if method != "pandas":
         raise ValueError(method)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -186,4 +264,3 @@ def project(df: DataFrame, W, b=None, vec: str = "vec", out: str = "proj",
             yield pdf
 
     return df.mapInPandas(run, schema)
-

@@ -62,7 +62,7 @@ def test_pool_all_masked_and_holes(spark):
     mn = {r["doc"]: r["pooled"] for r in V.min_pool(df).collect()}
     assert mean[1] == [0.0, 0.0] and mean[2] == [2.0, 2.0]
     assert mx[1] == [-1e4, -1e4] and mx[2] == [3.0, 5.0]
-    assert 1 not in mn and mn[2] == [1.0, -1.0]
+    assert mn[1] is None and mn[2] == [1.0, -1.0]
 
 
 def test_attention_pool_weights(spark):
