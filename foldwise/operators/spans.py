@@ -1,15 +1,20 @@
 """Token -> word alignment and span labels.
 
-Array form (per row, no shuffle) for word ids and word-start flags; the
-label cursor needs a running count over positions, which is done in long
-form with a window per document.  Documents are bounded by ``max_length``
-tokens after padding/truncation, so each window holds at most that many rows.
+Everything is an array expression evaluated inside the row of its document:
+no explode, no window and no regrouping, so there is no shuffle and a long
+text costs time linear in its token count.  The label cursor (the n-th word
+start takes the n-th label) is built from the start positions: each start
+opens a segment ``[label_k, null, ...]`` that runs up to the next start.
+:func:`positions` turns the arrays into long rows at the edge.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.constants import IGNORE_INDEX, SOFT_LABEL_THRESHOLD, SPECIAL_WORD_ID
 
@@ -28,12 +33,22 @@ def word_ids(df: DataFrame, col: str = "word_ids") -> DataFrame:
     return df.withColumn(col, word_ids_expr(col))
 
 
+# Lambdas below only read their own variables: an outer array expression
+# named inside a lambda would be evaluated again for every element.  Inputs
+# are zipped once instead, which keeps each row linear in its length.
+
+
+def _previous(arr: Column) -> Column:
+    """``arr`` shifted right by one (null first)."""
+    return F.concat(F.array(F.lit(None).cast("int")), F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0))))
+
+
 # T10
 def word_starts_expr(ids) -> Column:
     """True where a real word starts: id > -1 and (first position or id changes)."""
     w = _c(ids)
-    return F.transform(w, lambda x, i: (x > -1) & F.when(i == 0, F.lit(True)).otherwise(
-        F.try_element_at(w, i) != x))
+    z = F.arrays_zip(w.alias("x"), _previous(w).alias("p"))
+    return F.transform(z, lambda e, i: (e["x"] > -1) & F.when(i == 0, F.lit(True)).otherwise(e["p"] != e["x"]))
 
 
 def word_starts(df: DataFrame, ids: str = "word_ids", out: str = "word_start") -> DataFrame:
@@ -41,47 +56,70 @@ def word_starts(df: DataFrame, ids: str = "word_ids", out: str = "word_start") -
 
 
 # T11
-def align_labels(df: DataFrame, keys, ids: str = "word_ids", labels: str = "labels",
+def start_positions(starts) -> Column:
+    """0-based positions of the true entries of a boolean array, in order."""
+    return F.filter(F.transform(_c(starts), lambda s, i: F.when(s, i).otherwise(F.lit(-1))),
+                    lambda x: x >= 0)
+
+
+def labels_at_starts(starts, labels, elem: T.DataType) -> Column:
+    """Array as long as ``starts``: the k-th word start holds ``labels[k]``
+    (null when there are fewer labels), every other position null.
+
+    ``elem`` is the label type (a null of it fills the gaps)."""
+    starts, labels = _c(starts), _c(labels)
+    none = F.lit(None).cast(elem)
+    n = F.size(starts)
+    sp = start_positions(starts)
+    m = F.size(sp)
+    # each start with the position of the following start (or the array end)
+    # and its label; arrays_zip pads missing labels with null
+    z = F.arrays_zip(sp.alias("p"), F.slice(F.concat(sp, F.array(n)), 2, m).alias("q"),
+                     F.slice(labels, 1, m).alias("l"))
+    segs = F.transform(z, lambda e: F.concat(F.array(e["l"]), F.array_repeat(none, e["q"] - e["p"] - 1)))
+    first = F.coalesce(F.try_element_at(sp, F.lit(1)), n)
+    return F.concat(F.array_repeat(none, first), F.flatten(segs))
+
+
+def align_labels(df: DataFrame, ids: str = "word_ids", labels: str = "labels",
                  soft: bool = False, ignore_class: int = 7,
                  threshold: float = SOFT_LABEL_THRESHOLD) -> DataFrame:
-    """Long rows (keys..., pos, word_id, word_start, label, flag).
+    """Adds arrays ``word_start``, ``label`` and ``flag`` (one entry per token)
+    and turns ``ids`` nulls into -1; drops ``labels``.
 
     The n-th word start takes the n-th label (the cursor counts every word
     start, also those whose label is ignored).  ``flag``: word start and label
     not the ignore class (hard) or first probability above ``threshold`` (soft).
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    w = F.col(ids)
-    starts = word_starts_expr(w)
-    longer = df.select(*keys, labels, F.posexplode(F.arrays_zip(w.alias("w"), starts.alias("s"))).alias("pos", "_z"))
-    longer = longer.select(*keys, labels, F.col("pos").cast("int").alias("pos"),
-                           F.col("_z.w").alias("word_id"), F.col("_z.s").alias("word_start"))
-    win = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    cursor = F.sum(F.col("word_start").cast("int")).over(win) - 1
-    d = longer.withColumn("_cur", cursor)
-    lab = F.when(F.col("word_start"), F.try_element_at(F.col(labels), (F.col("_cur") + 1).cast("int")))
-    d = d.withColumn("label", lab)
+    elem = df.schema[labels].dataType.elementType
+    w = word_ids_expr(ids)
+    d = df.withColumn(ids, w).withColumn("word_start", word_starts_expr(ids))
+    d = d.withColumn("label", labels_at_starts("word_start", labels, elem))
     if soft:
-        flag = F.col("word_start") & (F.col("label")[0] > threshold)
+        keep = lambda s, lab: s & (lab[0] > threshold)
     else:
-        flag = F.col("word_start") & (F.col("label") != ignore_class)
-    return d.withColumn("flag", F.coalesce(flag, F.lit(False))).drop("_cur", labels)
+        keep = lambda s, lab: s & (lab != ignore_class)
+    d = d.withColumn("flag", F.zip_with("word_start", "label",
+                                        lambda s, lab: F.coalesce(keep(s, lab), F.lit(False))))
+    return d.drop(labels)
 
 
 # T12
-def scatter_target(aligned: DataFrame, keys, soft: bool = False, width: int | None = None,
+def scatter_target(aligned: DataFrame, soft: bool = False, width: int | None = None,
                    out: str = "target") -> DataFrame:
-    """Per row: label at flagged positions, -100 elsewhere (soft: a width-C row of
-    -100), collected back into an array in position order."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
+    """Per token: its label where flagged, -100 elsewhere (soft: a width-C
+    row of -100)."""
     if soft:
         fill = F.array_repeat(F.lit(float(IGNORE_INDEX)), width)
-        t = F.when(F.col("flag"), F.col("label")).otherwise(fill)
     else:
-        t = F.when(F.col("flag"), F.col("label")).otherwise(F.lit(IGNORE_INDEX))
-    g = aligned.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", t.alias("t")))).alias("_l"))
-    return g.select(*keys, F.transform("_l", lambda x: x["t"]).alias(out))
+        fill = F.lit(IGNORE_INDEX)
+    return aligned.withColumn(out, F.zip_with("flag", "label",
+                                              lambda f, lab: F.when(f, lab).otherwise(fill)))
 
 
-def target_long(aligned: DataFrame, soft: bool = False) -> Column:
-    return F.when(F.col("flag"), F.col("label")).otherwise(F.lit(IGNORE_INDEX))
+def positions(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pos: str = "pos") -> DataFrame:
+    """Equal-length array columns -> one row per position (keys..., pos, cols...)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    z = F.arrays_zip(*[F.col(c).alias(c) for c in cols])
+    x = df.select(*keys, F.posexplode(z).alias(pos, "_z"))
+    return x.select(*keys, F.col(pos).cast("int").alias(pos), *[F.col(f"_z.{c}").alias(c) for c in cols])

@@ -83,8 +83,8 @@ def pad_expr(tokens, max_length: int, pad, specials: tuple | None = None) -> tup
     padv = pad if isinstance(pad, Column) else F.lit(pad)
     real = F.least(F.size(t), F.lit(max_length))
     padded = F.slice(F.concat(t, F.array_repeat(padv, max_length)), 1, max_length)
-    mask = F.transform(F.sequence(F.lit(0), F.lit(max_length - 1)),
-                       lambda i: F.when(i < real, F.lit(1)).otherwise(F.lit(0)))
+    # no lambda: an outer expression inside one is re-evaluated per element
+    mask = F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(max_length) - real))
     return padded, mask
 
 
@@ -158,18 +158,37 @@ def fit_labels(df: DataFrame, col: str) -> DataFrame:
     return with_ordinal(vals, ["label"], name="code").select("label", F.col("code").cast("int"))
 
 
-def encode_labels(df: DataFrame, col: str, codes: DataFrame, out: str | None = None) -> DataFrame:
-    """Replace every label of a list column by its code; an unseen label raises.
+def encode_labels(df: DataFrame, col: str, codes: DataFrame, out: str | None = None,
+                  inline_max: int = INLINE_CODES_MAX) -> DataFrame:
+    """Replace a label (scalar column) or every label of a list column by its
+    code; an unseen label raises.
 
-    A code table of at most :data:`INLINE_CODES_MAX` rows (checked by counting
-    it) is inlined as a map literal, so the column is encoded in place."""
+    A code table of at most ``inline_max`` rows (checked by counting it) is
+    inlined as a map literal, so the column is encoded in place with no join.
+    A larger table is joined: a scalar column directly; a list column by its
+    (row, position) pairs, regrouped per row (a group is one row's list)."""
+    out = out or col
+    is_list = isinstance(df.schema[col].dataType, T.ArrayType)
     n = codes.count()
-    if n > INLINE_CODES_MAX:
-        raise ValueError(f"encode_labels: {n} codes; use encode() with a join for large vocabularies")
-    pairs = codes.orderBy("code").collect()
-    m = F.create_map(*[x for r in pairs for x in (F.lit(r["label"]), F.lit(r["code"]))])
-
-    def look(x):
-        return F.coalesce(F.try_element_at(m, x), F.raise_error(F.concat(F.lit("unseen label "), x.cast("string"))))
-
-    return df.withColumn(out or col, F.transform(col, look))
+    if n <= inline_max:
+        pairs = codes.orderBy("code").collect()
+        m = F.create_map(*[x for r in pairs for x in (F.lit(r["label"]), F.lit(r["code"]))])
+
+        def look(x):
+            return F.coalesce(F.try_element_at(m, x),
+                              F.raise_error(F.concat(F.lit("unseen label "), x.cast("string"))).cast("int"))
+
+        return df.withColumn(out, F.transform(col, look) if is_list else look(F.col(col)))
+    seen = lambda c: F.when(c.isNull(), F.raise_error(F.lit("unseen label")).cast("int")).otherwise(c)
+    cd = codes.select(F.col("label").alias("_lab"), F.col("code").alias("_code"))
+    if not is_list:
+        j = df.join(cd, df[col].eqNullSafe(cd["_lab"]), "left")
+        return j.withColumn(out, seen(F.col("_code"))).drop("_lab", "_code")
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    longer = rows.select("_row", F.posexplode(col).alias("_p", "_lab"))
+    coded = longer.join(cd, "_lab", "left")
+    back = coded.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", seen(F.col("_code")).alias("c"))))
+                                     .alias("_l"))
+    back = back.select("_row", F.transform("_l", lambda x: x["c"]).alias("_enc"))
+    j = rows.join(back, "_row", "left")
+    return j.withColumn(out, F.coalesce(F.col("_enc"), F.array().cast("array<int>"))).drop("_row", "_enc")

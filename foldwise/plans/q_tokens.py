@@ -10,7 +10,6 @@ from foldwise.plans import oracle_views as V
 from foldwise.plans import tables as T
 from foldwise.plans.registry import register
 
-MAX_LEN = 64
 
 
 def _docs(spark, sf_dir):
@@ -36,14 +35,17 @@ def t1_tokenize_modes(spark, sf_dir):
                                 for m in ["ws", "words", "char", "pieces"]])
 
 
+# The reference's essay sequence length (truncation to it is the T2 feature).
+SEQ_LEN = 512
+
 _PAD_BASE = "d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)\n"
 
 
 @register("t2_pad", "WITH " + _PAD_BASE + """
 SELECT doc_id, CAST(r.i AS INTEGER) AS pos, CASE WHEN r.i < len(w) THEN w[r.i + 1] ELSE '<pad>' END AS token,
-       CASE WHEN r.i < len(w) THEN 1 ELSE 0 END AS mask FROM d CROSS JOIN range(16) r(i)""")
+       CASE WHEN r.i < len(w) THEN 1 ELSE 0 END AS mask FROM d CROSS JOIN range(512) r(i)""")
 def t2_pad(spark, sf_dir):
-    d = K.pad(K.tokenize(_docs(spark, sf_dir), "text"), "tokens", 16)
+    d = K.pad(K.tokenize(_docs(spark, sf_dir), "text"), "tokens", SEQ_LEN)
     return d.select("doc_id", F.posexplode(F.arrays_zip(F.col("tokens").alias("t"),
                                                         F.col("attention_mask").alias("m"))).alias("pos", "z")) \
             .select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("z.t").alias("token"),
@@ -51,12 +53,12 @@ def t2_pad(spark, sf_dir):
 
 
 @register("t3_specials", "WITH " + _PAD_BASE + """,
-e AS (SELECT doc_id, w, least(len(w), 14) AS b FROM d)
+e AS (SELECT doc_id, w, least(len(w), 510) AS b FROM d)
 SELECT doc_id, CAST(r.i AS INTEGER) AS pos,
        CASE WHEN r.i = 0 THEN '<s>' WHEN r.i <= b THEN w[r.i] WHEN r.i = b + 1 THEN '</s>' ELSE '<pad>' END AS token,
-       CASE WHEN r.i <= b + 1 THEN 1 ELSE 0 END AS mask FROM e CROSS JOIN range(16) r(i)""")
+       CASE WHEN r.i <= b + 1 THEN 1 ELSE 0 END AS mask FROM e CROSS JOIN range(512) r(i)""")
 def t3_specials(spark, sf_dir):
-    d = K.pad(K.tokenize(_docs(spark, sf_dir), "text"), "tokens", 16, specials=("<s>", "</s>"))
+    d = K.pad(K.tokenize(_docs(spark, sf_dir), "text"), "tokens", SEQ_LEN, specials=("<s>", "</s>"))
     return d.select("doc_id", F.posexplode(F.arrays_zip(F.col("tokens").alias("t"),
                                                         F.col("attention_mask").alias("m"))).alias("pos", "z")) \
             .select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("z.t").alias("token"),
@@ -89,23 +91,26 @@ def t5_encode(spark, sf_dir):
 
 
 def _masked(spark, sf_dir):
-    """ws tokens padded to 64 with a mask that has holes (words of class 7
-    are not real), batches of 8 documents."""
-    d = K.tokenize(_docs(spark, sf_dir), "text")
-    t = F.col("tokens")
-    mask = F.transform(F.sequence(F.lit(0), F.lit(MAX_LEN - 1)), lambda i: F.when(
-        (i < F.size(t)) & (F.length(F.try_element_at(t, i + 1)) % 8 != 7), F.lit(1)).otherwise(F.lit(0)))
-    padded, _ = K.pad_expr("tokens", MAX_LEN, "<pad>")
+    """Whole ws token arrays in batches of 8 documents, padded to the longest
+    document of their batch (dynamic padding), with a mask that has holes
+    (words of class 7 are not real).  A batch is a bounded group of 8 rows."""
+    from pyspark.sql import Window
+    d = K.tokenize(_docs(spark, sf_dir), "text").withColumn("batch", F.floor(F.col("doc_id") / 8))
+    d = d.withColumn("_len", F.max(F.size("tokens")).over(Window.partitionBy("batch")))
+    real = F.transform("tokens", lambda x: F.when(F.length(x) % 8 != 7, F.lit(1)).otherwise(F.lit(0)))
+    mask = F.concat(real, F.array_repeat(F.lit(0), F.col("_len") - F.size("tokens")))
+    padded, _ = K.pad_expr("tokens", F.col("_len"), "<pad>")
     d = d.withColumn("attention_mask", mask).withColumn("tokens", padded)
-    return d.select("doc_id", "tokens", "attention_mask", F.floor(F.col("doc_id") / 8).alias("batch"))
+    return d.select("doc_id", "tokens", "attention_mask", "batch", F.col("_len").alias("padded_len"))
 
 
-_TRIM = """WITH w AS (SELECT doc_id, CAST(floor(doc_id / 8) AS BIGINT) AS batch, pos, word FROM ({wl}) WHERE pos < 64),
-m AS (SELECT d.doc_id, CAST(floor(d.doc_id / 8) AS BIGINT) AS batch,
+_TRIM = """WITH w AS (SELECT doc_id, CAST(floor(doc_id / 8) AS BIGINT) AS batch, pos, word FROM ({wl})),
+m AS (SELECT d.doc_id, CAST(floor(d.doc_id / 8) AS BIGINT) AS batch, count(w.pos) AS nw,
              coalesce(sum(CASE WHEN length(w.word) % 8 <> 7 THEN 1 ELSE 0 END), 0) AS s,
              coalesce(max(CASE WHEN length(w.word) % 8 <> 7 THEN w.pos END), -1) + 1 AS last
       FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id GROUP BY d.doc_id),
-b AS (SELECT doc_id, batch, max(s) OVER (PARTITION BY batch) AS ls, max(last) OVER (PARTITION BY batch) AS ll FROM m)
+b AS (SELECT doc_id, batch, max(nw) OVER (PARTITION BY batch) AS blen,
+             max(s) OVER (PARTITION BY batch) AS ls, max(last) OVER (PARTITION BY batch) AS ll FROM m)
 """.format(wl=V.WORD_LABELS[len("word_labels AS ("):-1])
 
 
@@ -122,27 +127,26 @@ def t7_trim_last(spark, sf_dir):
 
 
 @register("t8_pad_scores", _TRIM + """,
-mk AS (SELECT d.doc_id, r.i AS pos, CASE WHEN w.word IS NOT NULL AND length(w.word) % 8 <> 7 THEN 1 ELSE 0 END AS mv
-       FROM documents d CROSS JOIN range(64) r(i) LEFT JOIN w ON w.doc_id = d.doc_id AND w.pos = r.i)
-SELECT mk.doc_id, CAST(mk.pos AS INTEGER) AS pos, CAST(CASE WHEN mk.pos < b.ll THEN mk.mv ELSE 0 END AS DOUBLE) AS value
-FROM mk JOIN b ON mk.doc_id = b.doc_id""")
+g AS (SELECT doc_id, ll, CAST(unnest(range(blen)) AS INTEGER) AS pos FROM b),
+mk AS (SELECT g.doc_id, g.pos, g.ll, CASE WHEN w.word IS NOT NULL AND length(w.word) % 8 <> 7 THEN 1 ELSE 0 END AS mv
+       FROM g LEFT JOIN w ON w.doc_id = g.doc_id AND w.pos = g.pos)
+SELECT doc_id, pos, CAST(CASE WHEN pos < ll THEN mv ELSE 0 END AS DOUBLE) AS value FROM mk""")
 def t8_pad_scores(spark, sf_dir):
+    """Scores (here the mask) of the trimmed batch padded back to the padded length."""
     t = K.trim_to_batch(_masked(spark, sf_dir), "batch", ["tokens"], how="last")
     s = t.withColumn("scores", F.col("attention_mask").cast("array<double>"))
-    p = K.pad_scores(s, "scores", MAX_LEN)
+    p = K.pad_scores(s, "scores", F.col("padded_len"))
     return p.select("doc_id", F.posexplode("scores").alias("pos", "value")).withColumn("pos", F.col("pos").cast("int"))
 
 
 def span_rows(spark, sf_dir):
-    """doc_id, word_ids (64: start special, word pieces, end special, pads as -1),
-    labels (class of every word, 7 = ignore)."""
+    """doc_id, word_ids (start special, every word piece of the whole text,
+    end special; specials as -1), labels (class of every word, 7 = ignore)."""
     d = _docs(spark, sf_dir)
     wids = K.piece_word_ids("text")
-    body = F.slice(wids, 1, MAX_LEN - 2)
-    with_specials = F.concat(F.array(F.lit(None).cast("int")), body, F.array(F.lit(None).cast("int")))
-    padded, _ = K.pad_expr(with_specials, MAX_LEN, F.lit(None).cast("int"))
+    none = F.array(F.lit(None).cast("int"))
     labels = F.transform(F.split("text", " "), lambda w: (F.length(w) % 8).cast("int"))
-    out = d.select("doc_id", padded.alias("word_ids"), labels.alias("labels"))
+    out = d.select("doc_id", F.concat(none, wids, none).alias("word_ids"), labels.alias("labels"))
     return S.word_ids(out)
 
 
@@ -151,9 +155,10 @@ ws AS (SELECT doc_id, pos AS w, label, greatest(1, ceil(length(word) / 4)) AS np
 offs AS (SELECT *, coalesce(sum(np) OVER (PARTITION BY doc_id ORDER BY w
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ws),
 toks AS (SELECT doc_id, w, CAST(before + unnest(range(CAST(np AS BIGINT))) + 1 AS INTEGER) AS pos FROM offs),
-grid AS (SELECT d.doc_id, CAST(r.i AS INTEGER) AS pos, CAST(coalesce(t.w, -1) AS INTEGER) AS word_id
-         FROM documents d CROSS JOIN range(64) r(i)
-         LEFT JOIN toks t ON t.doc_id = d.doc_id AND t.pos = r.i AND r.i BETWEEN 1 AND 62),
+ntok AS (SELECT doc_id, CAST(sum(np) AS INTEGER) AS n FROM ws GROUP BY doc_id),
+grid AS (SELECT doc_id, pos, CAST(w AS INTEGER) AS word_id FROM toks
+         UNION ALL SELECT doc_id, 0, -1 FROM ntok
+         UNION ALL SELECT doc_id, n + 1, -1 FROM ntok),
 st AS (SELECT *, word_id > -1 AND (pos = 0 OR lag(word_id) OVER (PARTITION BY doc_id ORDER BY pos) <> word_id)
                  AS word_start FROM grid),
 cur AS (SELECT *, sum(CASE WHEN word_start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS c FROM st),
@@ -166,48 +171,54 @@ al AS (SELECT cur.doc_id, cur.pos, cur.word_id, cur.word_start, ws.label,
 @register("t9_t10_word_starts", _SPAN + "SELECT doc_id, pos, word_id, word_start FROM st")
 def t9_t10_word_starts(spark, sf_dir):
     d = S.word_starts(span_rows(spark, sf_dir))
-    z = F.arrays_zip(F.col("word_ids").alias("w"), F.col("word_start").alias("s"))
-    return d.select("doc_id", F.posexplode(z).alias("pos", "z")).select(
-        "doc_id", F.col("pos").cast("int").alias("pos"), F.col("z.w").alias("word_id"),
-        F.col("z.s").alias("word_start"))
+    return S.positions(d, ["doc_id"], ["word_ids", "word_start"]).withColumnRenamed("word_ids", "word_id")
 
 
 @register("t11_align_labels", _SPAN + "SELECT doc_id, pos, word_id, word_start, label, flag FROM al")
 def t11_align_labels(spark, sf_dir):
-    a = S.align_labels(span_rows(spark, sf_dir), ["doc_id"])
-    return a.select("doc_id", "pos", "word_id", "word_start", "label", "flag")
+    a = S.align_labels(span_rows(spark, sf_dir))
+    return S.positions(a, ["doc_id"], ["word_ids", "word_start", "label", "flag"]) \
+            .withColumnRenamed("word_ids", "word_id")
 
 
 @register("t12_scatter_target", _SPAN
           + "SELECT doc_id, pos, CAST(CASE WHEN flag THEN label ELSE -100 END AS INTEGER) AS target FROM al")
 def t12_scatter_target(spark, sf_dir):
-    a = S.align_labels(span_rows(spark, sf_dir), ["doc_id"])
-    t = S.scatter_target(a, ["doc_id"])
-    return t.select("doc_id", F.posexplode("target").alias("pos", "target")).select(
-        "doc_id", F.col("pos").cast("int").alias("pos"), F.col("target").cast("int").alias("target"))
+    t = S.scatter_target(S.align_labels(span_rows(spark, sf_dir)))
+    return S.positions(t, ["doc_id"], ["target"]).withColumn("target", F.col("target").cast("int"))
 
 
 @register("t13_label_codes", """
 SELECT conv_id, turn, CAST(dense_rank() OVER (ORDER BY role) - 1 AS INTEGER) AS code FROM conversations""")
 def t13_label_codes(spark, sf_dir):
-    c = T.table(spark, sf_dir, "conversations")
-    lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("_t"))
-    lists = lists.select("conv_id", F.transform("_t", lambda x: x["turn"]).alias("turns"),
-                         F.transform("_t", lambda x: x["role"]).alias("roles"))
-    codes = K.fit_labels(lists, "roles")
-    enc = K.encode_labels(lists, "roles", codes)
-    z = F.arrays_zip(F.col("turns").alias("turn"), F.col("roles").alias("code"))
-    return enc.select("conv_id", F.explode(z).alias("z")).select("conv_id", "z.turn", F.col("z.code").cast("int").alias("code"))
+    """Scalar labels: the role of every turn, coded in sorted order."""
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    codes = K.fit_labels(c, "role")
+    return K.encode_labels(c, "role", codes, out="code").select("conv_id", "turn", F.col("code").cast("int"))
+
+
+@register("t13_list_codes", V.with_views(V.WORD_LABELS) + """
+SELECT doc_id, pos, CAST(dense_rank() OVER (ORDER BY 'L' || label) - 1 AS INTEGER) AS code FROM word_labels""")
+def t13_list_codes(spark, sf_dir):
+    """List labels: one class name per word of the whole text, coded element-wise."""
+    d = _docs(spark, sf_dir).select(
+        "doc_id", F.transform(F.split("text", " "), lambda w: F.concat(F.lit("L"), (F.length(w) % 8).cast("string")))
+        .alias("labels"))
+    codes = K.fit_labels(d, "labels")
+    enc = K.encode_labels(d, "labels", codes)
+    return S.positions(enc, ["doc_id"], ["labels"]).select("doc_id", "pos", F.col("labels").cast("int").alias("code"))
 
 
 def soft_span_rows(spark, sf_dir):
     """span_rows with soft labels: per word [ (len % 5 - 1) / 4, 0.5, 0.25 ];
     words whose first probability is not above 0 are not flagged."""
-    d = span_rows(spark, sf_dir).drop("labels")
-    docs = _docs(spark, sf_dir).select(
-        "doc_id", F.transform(F.split("text", " "), lambda w: F.array(
-            ((F.length(w) % 5 - 1) / 4.0).cast("double"), F.lit(0.5), F.lit(0.25))).alias("labels"))
-    return d.join(docs, "doc_id")
+    d = _docs(spark, sf_dir)
+    soft = F.transform(F.split("text", " "), lambda w: F.array(
+        ((F.length(w) % 5 - 1) / 4.0).cast("double"), F.lit(0.5), F.lit(0.25)))
+    none = F.array(F.lit(None).cast("int"))
+    out = d.select("doc_id", F.concat(none, K.piece_word_ids("text"), none).alias("word_ids"),
+                   soft.alias("labels"))
+    return S.word_ids(out)
 
 
 @register("t11_t12_soft_target", _SPAN + """,
@@ -219,8 +230,8 @@ SELECT doc_id, pos, CAST(c.c AS INTEGER) AS c,
        CASE WHEN NOT flag THEN CAST(-100 AS DOUBLE) WHEN c.c = 0 THEN p0 WHEN c.c = 1 THEN 0.5 ELSE 0.25 END AS value
 FROM fl CROSS JOIN range(3) c(c)""")
 def t11_t12_soft_target(spark, sf_dir):
-    a = S.align_labels(soft_span_rows(spark, sf_dir), ["doc_id"], soft=True)
-    t = S.scatter_target(a, ["doc_id"], soft=True, width=3)
-    x = t.select("doc_id", F.posexplode("target").alias("pos", "row"))
-    x = x.select("doc_id", F.col("pos").cast("int").alias("pos"), F.posexplode("row").alias("c", "value"))
+    a = S.align_labels(soft_span_rows(spark, sf_dir), soft=True)
+    t = S.scatter_target(a, soft=True, width=3)
+    x = S.positions(t, ["doc_id"], ["target"])
+    x = x.select("doc_id", "pos", F.posexplode("target").alias("c", "value"))
     return x.select("doc_id", "pos", F.col("c").cast("int").alias("c"), "value")

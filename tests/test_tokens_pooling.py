@@ -40,13 +40,13 @@ def test_spans_only_ignored_labels(spark):
     d = S.word_starts(S.word_ids(df))
     assert d.first()["word_ids"] == [-1, 0, 0, 1, -1, -1]
     assert d.first()["word_start"] == [False, True, False, True, False, False]
-    t = S.scatter_target(S.align_labels(S.word_ids(df), ["doc"]), ["doc"]).first()["target"]
+    t = S.scatter_target(S.align_labels(S.word_ids(df))).first()["target"]
     assert t == [-100] * 6
 
 
 def test_spans_cursor_counts_ignored_starts(spark):
     df = spark.createDataFrame([(1, [-1, 0, 1, 1, 2, -1], [3, 7, 5])], "doc int, word_ids array<int>, labels array<int>")
-    t = S.scatter_target(S.align_labels(df, ["doc"]), ["doc"]).first()["target"]
+    t = S.scatter_target(S.align_labels(df)).first()["target"]
     assert t == [-100, 3, -100, -100, 5, -100]
 
 
@@ -96,3 +96,17 @@ def test_layers_weighted(spark):
     df = spark.createDataFrame([(1, 0, 0, [1.0]), (1, 0, 1, [3.0]), (1, 0, 2, [6.0])],
                                "doc int, pos int, layer int, vec array<double>")
     assert V.pool_layers(df, start=1, weights=[1.0, 2.0]).first()["pooled"] == [5.0]
+
+
+def test_encode_labels_join_path_matches_inline(spark):
+    lists = spark.createDataFrame([(1, ["b", "a", "c"]), (2, []), (3, ["c", "c"])], "id int, l array<string>")
+    codes = K.fit_labels(lists, "l")
+    inline = {r["id"]: r["l"] for r in K.encode_labels(lists, "l", codes).collect()}
+    joined = {r["id"]: r["l"] for r in K.encode_labels(lists, "l", codes, inline_max=0).collect()}
+    assert inline == joined == {1: [1, 0, 2], 2: [], 3: [2, 2]}
+    scalars = spark.createDataFrame([(1, "b"), (2, "a")], "id int, s string")
+    sc = K.fit_labels(scalars, "s")
+    assert {r["id"]: r["s"] for r in K.encode_labels(scalars, "s", sc, inline_max=0).collect()} == {1: 1, 2: 0}
+    bad = spark.createDataFrame([(1, ["a", "zz"])], "id int, l array<string>")
+    with pytest.raises(Exception):
+        K.encode_labels(bad, "l", codes, inline_max=0).collect()
