@@ -81,40 +81,121 @@ def early_stop(log: DataFrame, patience: int, delta: float = 0.0, by: Sequence[s
                bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """(by..., stop_at): first step whose counter reaches ``patience`` (null if never).
 
-    ``delta == 0`` runs as parallel prefix scans.  ``delta > 0`` makes the best
-    depend on the whole history (the best moves only on a jump of ``delta``),
-    which has no parallel form; it runs one sequential pass per group.
+    ``delta == 0`` runs as parallel prefix scans.  ``delta > 0`` moves the best
+    only on a jump of ``delta``, so the best depends on the path; it runs as
+    the improvement chain of :func:`_early_stop_chain`, also split over buckets.
     """
     by = list(by)
+    if patience < 1:
+        raise ValueError("early_stop: patience must be at least 1")
     if delta == 0:
         imp = improvements(log, by, step, loss, bucket_rows)
         hit = imp.filter(F.col("counter") >= patience).groupBy(*by).agg(F.min(step).alias("stop_at"))
         groups = log.select(*by).distinct()
         return join_small(groups, hit, by, how="left", null_safe=True)
-    return _early_stop_sequential(log, patience, delta, by, step, loss)
-
-
-def _early_stop_sequential(log, patience, delta, by, step, loss):
-    schema = ", ".join(f"`{c}` {log.schema[c].dataType.simpleString()}" for c in by) + ", stop_at int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step, kind="mergesort")
-        best, counter, stop = None, 0, None
-        for s, x in zip(pdf[step].to_numpy(), pdf[loss].to_numpy(dtype=float)):
-            if np.isnan(x):
-                counter += 1
-            elif best is None or x <= best - delta:
-                best, counter = x, 0
-            else:
-                counter += 1
-            if counter >= patience:
-                stop = int(s)
-                break
-        row = {c: pdf[c].iloc[0] for c in by}
-        row["stop_at"] = stop
-        return pd.DataFrame([row])
-
-    return log.select(*by, step, loss).groupBy(*by).applyInPandas(run, schema)
+    return _early_stop_chain(log, patience, delta, by, step, loss, bucket_rows)
+
+
+# Outcome kinds of a chain followed through a bucket.
+_EXIT, _STOP, _NONE = 0, 1, 2
+# Buckets composed per group at each level of the chain reduction.
+CHAIN_FANOUT = 64
+
+
+def _early_stop_chain(log: DataFrame, patience: int, delta: float, by: list[str], step: str,
+                      loss: str, bucket_rows: int) -> DataFrame:
+    """Early stopping with ``delta`` as an improvement chain.
+
+    After an improvement at step i (best = loss_i) the next one is
+    J(i) = the first step in (i, i + patience] with loss <= loss_i - delta; if
+    there is none the run stops at i + patience.  The chain starts at the first
+    non-null loss (or the run stops at patience - 1 if that comes too late).
+
+    Steps are cut into buckets of B >= patience steps.  A task per (group,
+    bucket) sees its rows plus the first ``patience`` rows of the next bucket,
+    finds J for every row (numpy, ``patience`` vector passes) and follows the
+    chain inside the bucket by pointer jumping.  Since a jump is at most
+    ``patience`` steps, a chain enters a bucket at one of its first
+    ``patience`` steps: the bucket is summarised by that many (entry ->
+    outcome) rows, where the outcome is "exit into the next bucket at step s"
+    or "stop at step s".  Summaries compose associatively; they are merged
+    ``CHAIN_FANOUT`` buckets per task, level by level, until each group has
+    one.  No task holds more than B + patience rows or
+    ``CHAIN_FANOUT * patience`` summary rows.
+    """
+    p = int(patience)
+    B = max(int(bucket_rows), p)
+    keys = [F.col(c) for c in by]
+    d = log.select(*keys, F.col(step).cast("long").alias("_s"), _clean(loss).cast("double").alias("_x"))
+    d = d.withColumn("_bk", F.floor(F.col("_s") / B).cast("long"))
+    halo = (d.filter((F.col("_s") % B < p) & (F.col("_bk") > 0))
+              .withColumn("_bk", F.col("_bk") - 1))
+    key_fields = [f"`{c}` {log.schema[c].dataType.simpleString()}" for c in by]
+    map_schema = ", ".join(key_fields + ["_bk long", "_e long", "_k int", "_v long"])
+
+    def bucket_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        bk = int(pdf["_bk"].iloc[0])
+        start = bk * B
+        steps = pdf["_s"].to_numpy(dtype=np.int64) - start
+        n_all = int(steps.max()) + 1
+        x = np.full(n_all + p, np.nan)
+        x[steps] = pdf["_x"].to_numpy(dtype=float)
+        n = min(B, n_all)                   # the bucket's own steps
+        idx = np.arange(n)
+        J = np.full(n, -1, dtype=np.int64)
+        thr = x[:n] - delta
+        for off in range(1, p + 1):
+            hit = (J < 0) & (x[off:off + n] <= thr)
+            J[hit] = idx[hit] + off
+        kind = np.where(np.isnan(x[:n]), _NONE, np.where(J < 0, _STOP, _EXIT))
+        val = np.where(J < 0, idx + p, J) + start
+        inside = (J >= 0) & (J < n)
+        nxt = np.where(inside, J, idx)
+        for _ in range(int(np.ceil(np.log2(max(n, 2)))) + 1):
+            nxt = nxt[nxt]
+        e = np.arange(min(p, n))
+        out = pd.DataFrame({"_bk": bk, "_e": e + start, "_k": kind[nxt[e]].astype(np.int32),
+                            "_v": val[nxt[e]]})
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out
+
+    maps = d.unionByName(halo).groupBy(*keys, "_bk").applyInPandas(bucket_map, map_schema)
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_bk", "_e"])
+        comp: dict[int, tuple[int, int]] = {}
+        first = None
+        for bk, g in reversed(list(pdf.groupby("_bk", sort=True))):
+            cur = {}
+            for e, k, v in zip(g["_e"].to_numpy(), g["_k"].to_numpy(), g["_v"].to_numpy()):
+                if k == _EXIT and int(v) in comp:
+                    k, v = comp[int(v)]
+                cur[int(e)] = (int(k), int(v))
+            comp, first = cur, bk
+        out = pd.DataFrame({"_bk": int(first) // CHAIN_FANOUT, "_e": list(comp),
+                            "_k": [k for k, _ in comp.values()], "_v": [v for _, v in comp.values()]})
+        out["_k"] = out["_k"].astype(np.int32)
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out
+
+    max_step = log.agg(F.max(step)).first()[0]
+    n_buckets = 0 if max_step is None else int(max_step) // B + 1
+    while n_buckets > 1:
+        maps = (maps.withColumn("_g", F.floor(F.col("_bk") / CHAIN_FANOUT))
+                    .groupBy(*keys, "_g").applyInPandas(compose, map_schema))
+        n_buckets = (n_buckets + CHAIN_FANOUT - 1) // CHAIN_FANOUT
+
+    facts = log.groupBy(*keys).agg(
+        F.min(F.when(_clean(loss).isNotNull(), F.col(step))).cast("long").alias("_c0"),
+        F.max(step).cast("long").alias("_last"))
+    top = maps.select(*keys, F.col("_e").alias("_c0"), "_k", "_v")
+    j = join_small(facts, top, [*by, "_c0"], how="left", null_safe=True)
+    late = F.col("_c0").isNull() | (F.col("_c0") >= p)
+    stop = F.when(late, F.when(F.col("_last") >= p - 1, F.lit(p - 1))) \
+            .otherwise(F.when((F.col("_k") == _STOP) & (F.col("_v") <= F.col("_last")), F.col("_v")))
+    return j.select(*keys, stop.cast("int").alias("stop_at"))
 
 
 # R5

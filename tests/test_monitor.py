@@ -98,3 +98,26 @@ def test_stream_matches_batch(spark, tmp_path):
     got = {r["run"]: r["stop_at"] for r in last.filter("rk = 1").collect()}
     want = {r["run"]: r["stop_at"] for r in R.early_stop(log, 25, delta=0.5).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("bucket_rows,fanout", [(3, 2), (5, 3), (1 << 20, 64)])
+def test_delta_chain_matches_sequential_on_random_logs(spark, monkeypatch, bucket_rows, fanout):
+    import random
+    monkeypatch.setattr(R, "CHAIN_FANOUT", fanout)
+    rnd = random.Random(7)
+    runs = {}
+    for r in range(12):
+        n = rnd.randint(1, 60)
+        xs, level = [], 1.0
+        for _ in range(n):
+            level += rnd.uniform(-0.12, 0.08)
+            xs.append(float("nan") if rnd.random() < 0.1 else round(level, 2))
+        runs[f"r{r}"] = xs
+    rows = [(k, i, x) for k, xs in runs.items() for i, x in enumerate(xs)]
+    log = spark.createDataFrame(rows, "run string, step int, loss double")
+    for patience in (1, 3, 6):
+        for delta in (0.02, 0.1):
+            got = {r["run"]: r["stop_at"] for r in
+                   R.early_stop(log, patience, delta=delta, bucket_rows=bucket_rows).collect()}
+            want = {k: python_stop(xs, patience, delta) for k, xs in runs.items()}
+            assert got == want, (patience, delta)
