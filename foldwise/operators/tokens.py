@@ -114,10 +114,14 @@ def fit_vocab(df: DataFrame, tokens: str, min_count: int = 1) -> DataFrame:
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, keys: Sequence[str], unknown: int = -1,
            out: str = "ids") -> DataFrame:
     """Token ids per row, long form (keys..., pos, id); unknown tokens get ``unknown``.
-    The token join is skew-prone on frequent tokens: adaptive execution
-    broadcasts a small vocabulary or splits hot keys (skew join)."""
+
+    The vocabulary is counted: up to ``MAX_BROADCAST_ROWS`` entries it is
+    broadcast, so the token rows are not shuffled and a very frequent token
+    costs nothing extra.  A larger vocabulary is a shuffle join whose hot
+    keys adaptive execution splits (skew join)."""
     longer = df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
-    j = join_small(longer, vocab.select("token", "id"), ["token"], how="left")
+    v = vocab.select("token", "id")
+    j = join_small(longer, v, ["token"], how="left", bound=v.count())
     return j.select(*keys, F.col("pos").cast("int").alias("pos"),
                     F.coalesce(F.col("id"), F.lit(unknown)).alias(out))
 
