@@ -16,9 +16,6 @@ from pyspark.sql import types as T
 from foldwise.constants import TARGETS
 from foldwise.operators.columns import with_ordinal as _number_rows
 
-# Work units are control keys (run x fold and the like), not data rows.
-MAX_WORK_UNITS = 1_000_000
-
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
@@ -131,13 +128,13 @@ def run_missing(spark: SparkSession, keys: DataFrame, out_path: str,
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         missing = keys
-    # The output is read (finished keys) and then overwritten: fix the missing
-    # keys first.  Keys are work units (e.g. run x fold), a small control table.
-    rows = missing.limit(MAX_WORK_UNITS + 1).collect()
-    if len(rows) > MAX_WORK_UNITS:
-        raise ValueError(f"run_missing: more than {MAX_WORK_UNITS} work units")
-    missing = spark.createDataFrame(rows, keys.schema)
-    if not rows:
+    # The output is read (finished keys) and then overwritten: the missing
+    # keys are written to shared scratch storage first, which cuts their
+    # lineage to the output (nothing passes through the driver).
+    tmp = scratch_dir(spark)
+    missing.write.parquet(tmp)
+    missing = spark.read.parquet(tmp)
+    if missing.isEmpty():
         return missing
     result = fn(missing)
     (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
