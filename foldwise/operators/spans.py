@@ -62,15 +62,16 @@ def start_positions(starts) -> Column:
                     lambda x: x >= 0)
 
 
-def labels_at_starts(starts, labels, elem: T.DataType) -> Column:
+def labels_at_starts(starts, labels, elem: T.DataType, sp=None) -> Column:
     """Array as long as ``starts``: the k-th word start holds ``labels[k]``
     (null when there are fewer labels), every other position null.
 
-    ``elem`` is the label type (a null of it fills the gaps)."""
+    ``elem`` is the label type (a null of it fills the gaps); ``sp`` the
+    start positions if they are already a column (they are used five times)."""
     starts, labels = _c(starts), _c(labels)
     none = F.lit(None).cast(elem)
     n = F.size(starts)
-    sp = start_positions(starts)
+    sp = start_positions(starts) if sp is None else _c(sp)
     m = F.size(sp)
     # each start with the position of the following start (or the array end)
     # and its label; arrays_zip pads missing labels with null
@@ -94,7 +95,9 @@ def align_labels(df: DataFrame, ids: str = "word_ids", labels: str = "labels",
     elem = df.schema[labels].dataType.elementType
     w = word_ids_expr(ids)
     d = df.withColumn(ids, w).withColumn("word_start", word_starts_expr(ids))
-    d = d.withColumn("label", labels_at_starts("word_start", labels, elem))
+    # a column of its own: referenced several times, so it is not inlined
+    d = d.withColumn("_sp", start_positions("word_start"))
+    d = d.withColumn("label", labels_at_starts("word_start", labels, elem, sp="_sp")).drop("_sp")
     if soft:
         keep = lambda s, lab: s & (lab[0] > threshold)
     else:
