@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldwise.operators import columns as P
 from foldwise.operators import folds as K
 from foldwise.operators import metrics as M
 from foldwise.operators import oof as O
@@ -29,6 +30,15 @@ def k2_deal_folds(spark, sf_dir):
     return labelled_folds(spark, sf_dir).select("doc_id", "quality", "toxic", "fold")
 
 
+@register("p7_split_fold", V.with_views(V.LABELLED_FOLDS)
+          + "SELECT doc_id, fold, CASE WHEN fold = 2 THEN 'valid' ELSE 'train' END AS role FROM lf")
+def p7_split_fold(spark, sf_dir):
+    """Both sides of the split for held-out fold 2, tagged with their role."""
+    from foldwise.operators import joins as J
+    train, valid = P.split_fold(labelled_folds(spark, sf_dir).select("doc_id", "fold"), 2)
+    return J.union_all([train.withColumn("role", F.lit("train")), valid.withColumn("role", F.lit("valid"))])
+
+
 @register("k2_fold_sizes", V.with_views(V.LABELLED_FOLDS)
           + "SELECT fold, count(*) AS n FROM lf GROUP BY fold")
 def k2_fold_sizes(spark, sf_dir):

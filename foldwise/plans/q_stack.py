@@ -86,6 +86,22 @@ def j2_join_chain(spark, sf_dir):
     return _rounded(J.join_all(tables, ["text_id"], drop_right=TARGETS))
 
 
+def _pair_sql(n_src: int) -> str:
+    """The first two-way chain without the right side's targets (J3), rounded."""
+    cols = TARGETS + [f"p_{t}_label_{s}" for s in range(n_src) for t in TARGETS]
+    body = _FS + "SELECT e.text_id, " + ", ".join(f"e.{t}" for t in TARGETS) + ", " + ", ".join(
+        f"s{s}.{t} AS p_{t}_label_{s}" for s in range(n_src) for t in TARGETS) + " FROM essays e " + " ".join(
+        f"JOIN first_stage s{s} ON s{s}.text_id = e.text_id AND s{s}.src = {s}" for s in range(n_src))
+    return "SELECT text_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in cols) + " FROM (" + body + ")"
+
+
+@register("j3_drop_right", _pair_sql(2))
+def j3_drop_right(spark, sf_dir):
+    """Two output files joined after dropping the right file's target columns."""
+    a, b = [P.rename(source_table(spark, sf_dir, s), {c: f"{c}_label_{s}" for c in INPUTS}) for s in range(2)]
+    return _rounded(J.join_all([a, b], ["text_id"], drop_right=TARGETS))
+
+
 @register("p2_features_of", "SELECT * EXCLUDE (" + ", ".join(TARGETS) + ") FROM (" + _WIDE_ROUND_SQL + ")")
 def p2_features_of(spark, sf_dir):
     tab = G.stack_table(first_stage_long(spark, sf_dir), "text_id", INPUTS, N_SRC, truth=truth(spark, sf_dir))
