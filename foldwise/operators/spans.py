@@ -40,7 +40,7 @@ def word_ids(df: DataFrame, col: str = "word_ids") -> DataFrame:
 
 def _previous(arr: Column) -> Column:
     """``arr`` shifted right by one (null first)."""
-    return F.concat(F.array(F.lit(None).cast("int")), F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0))))
+    return F.slice(F.concat(F.array(F.lit(None).cast("int")), arr), 1, F.size(arr))
 
 
 # T10

@@ -110,3 +110,33 @@ def test_encode_labels_join_path_matches_inline(spark):
     bad = spark.createDataFrame([(1, ["a", "zz"])], "id int, l array<string>")
     with pytest.raises(Exception):
         K.encode_labels(bad, "l", codes, inline_max=0).collect()
+
+
+def _python_targets(word_ids, labels, ignore=7):
+    """Direct form: the n-th word start takes labels[n]; flagged unless ignored."""
+    out, cursor, prev = [], -1, None
+    for i, w in enumerate(word_ids):
+        w = -1 if w is None else w
+        start = w > -1 and (i == 0 or prev != w)
+        prev = w
+        if start:
+            cursor += 1
+            lab = labels[cursor] if cursor < len(labels) else None
+            out.append(lab if lab is not None and lab != ignore else -100)
+        else:
+            out.append(-100)
+    return out
+
+
+def test_span_targets_match_direct_form_on_random_ids(spark):
+    import random
+    rnd = random.Random(11)
+    rows = []
+    for doc in range(60):
+        n = rnd.randint(0, 25)
+        ids = [rnd.choice([None, -1, rnd.randint(0, 6)]) if rnd.random() < 0.3 else rnd.randint(0, 6) for _ in range(n)]
+        labels = [rnd.randint(0, 7) for _ in range(rnd.randint(0, 12))]
+        rows.append((doc, ids, labels))
+    df = spark.createDataFrame(rows, "doc int, word_ids array<int>, labels array<int>")
+    got = {r["doc"]: r["target"] for r in S.scatter_target(S.align_labels(df)).collect()}
+    assert got == {d: _python_targets(i, lab) for d, i, lab in rows}
