@@ -139,7 +139,8 @@ def trim_to_batch(df: DataFrame, batch: str, cols: Sequence[str], mask: str = "a
     if how == "sum":
         per = F.aggregate(m, F.lit(0), lambda a, x: a + x)
     elif how == "last":
-        per = F.array_max(F.transform(m, lambda x, i: F.when(x == 1, i).otherwise(F.lit(-1)))) + 1
+        per = F.coalesce(F.array_max(F.transform(m, lambda x, i: F.when(x == 1, i).otherwise(F.lit(-1)))),
+                         F.lit(-1)) + 1
     else:
         raise ValueError(how)
     L = F.max(per).over(Window.partitionBy(batch))

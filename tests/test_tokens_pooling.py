@@ -140,3 +140,45 @@ def test_span_targets_match_direct_form_on_random_ids(spark):
     df = spark.createDataFrame(rows, "doc int, word_ids array<int>, labels array<int>")
     got = {r["doc"]: r["target"] for r in S.scatter_target(S.align_labels(df)).collect()}
     assert got == {d: _python_targets(i, lab) for d, i, lab in rows}
+
+
+def _python_pad(tokens, n, pad, specials=None):
+    t = list(tokens)
+    if specials:
+        t = [specials[0]] + t[:n - 2] + [specials[1]]
+    real = min(len(t), n)
+    return (t + [pad] * n)[:n], [1] * real + [0] * (n - real)
+
+
+def test_pad_and_trim_match_direct_form_on_random_rows(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(80):
+        toks = [f"w{rnd.randint(0, 9)}" for _ in range(rnd.randint(0, 12))]
+        mask = [rnd.choice([0, 1]) for _ in range(rnd.choice([0, 3, 6, 6, 9]))]
+        rows.append((i, i // 4, toks, mask))
+    df = spark.createDataFrame(rows, "id int, batch int, tokens array<string>, m array<int>")
+    for specials in (None, ("<s>", "</s>")):
+        got = {r["id"]: (r["tokens"], r["attention_mask"])
+               for r in K.pad(df, "tokens", 8, "<pad>", specials=specials).collect()}
+        assert got == {i: _python_pad(t, 8, "<pad>", specials) for i, _, t, _ in rows}
+    for how in ("sum", "last"):
+        got = {r["id"]: r["m"] for r in K.trim_to_batch(df, "batch", [], mask="m", how=how).collect()}
+        want = {}
+        for b in {r[1] for r in rows}:
+            members = [r for r in rows if r[1] == b]
+            if how == "sum":
+                L = max(sum(m) for *_, m in members)
+            else:
+                L = max(max([j + 1 for j, x in enumerate(m) if x == 1], default=0) for *_, m in members)
+            want.update({i: m[:L] for i, _, _, m in members})
+        assert got == want, how
+
+
+def test_trim_batch_of_empty_masks(spark):
+    df = spark.createDataFrame([(1, 0, [], []), (2, 0, [], []), (3, 1, ["a"], [0, 0])],
+                               "id int, batch int, tokens array<string>, m array<int>")
+    for how in ("sum", "last"):
+        got = {r["id"]: (r["m"], r["tokens"]) for r in K.trim_to_batch(df, "batch", ["tokens"], mask="m", how=how).collect()}
+        assert got == {1: ([], []), 2: ([], []), 3: ([], [])}, how
