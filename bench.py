@@ -6,7 +6,8 @@ straightforward forms the survey names as our own baselines (k filters and
 k fits, a chain of joins, k scoring scans, explode by dimension); they are
 reported beside the intended forms and are not part of ``value``.  The
 ``x<N>_*`` entries repeat two such comparisons on inputs replicated N times
-from the tables (also outside ``value``).
+from the tables, and ``w600_*`` stacks 10 sources x 60 inputs (the
+reference's stacking width) both ways (all outside ``value``).
 """
 
 from __future__ import annotations
@@ -153,7 +154,30 @@ def scaled_pairs(spark, sf):
                               .select("doc_id", F.lit(t).alias("target"), F.coalesce("g", "m").alias("pred")))
         return J.union_all(pieces)
 
-    return {"x500_v1_mean_pool": pool_dims, "x500_naive_pool_explode": pool_explode,
+    # the reference's stacking width: 10 first-stage files x 60 inputs = 600 features
+    from foldwise.constants import TARGETS
+    from foldwise.operators import columns as P
+    from foldwise.operators import stacking as G
+    n_src, n_in = 10, 60
+    ins = [f"f{j}" for j in range(n_in)]
+    es = T.essays(spark, sf)
+    outs = (es.select("text_id", "doc_id", *TARGETS, F.explode(F.sequence(F.lit(0), F.lit(n_src - 1))).alias("src"))
+              .select("text_id", "src", *[(F.col(TARGETS[j % 6]) + F.lit(0.01)
+                                           * ((F.col("doc_id") + F.col("src") + j) % 7)).alias(f"f{j}")
+                                          for j in range(n_in)])
+              .persist())
+    outs.count()
+
+    def stack_union():
+        return G.stack_wide(G.stack_table(outs, "text_id", ins, n_src), ins, n_src)
+
+    def stack_join_chain():
+        parts = [P.rename(outs.filter(F.col("src") == s).drop("src"), {c: f"{c}_label_{s}" for c in ins})
+                 for s in range(n_src)]
+        return J.join_all(parts, ["text_id"])
+
+    return {"w600_g1_stack_wide": stack_union, "w600_naive_join_chain": stack_join_chain,
+            "x500_v1_mean_pool": pool_dims, "x500_naive_pool_explode": pool_explode,
             "x100_o2_oof_group_mean": oof_subtract, "x100_naive_oof_k_fits": oof_k_fits}
 
 
