@@ -53,6 +53,8 @@ def session(cpus: str) -> SparkSession:
              .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    from foldwise import importable_by_workers
+    importable_by_workers(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(os.path.join(scratch, "checkpoints"))
     return spark
