@@ -41,15 +41,17 @@ def r3_best_epoch(spark, sf_dir):
     return R.best_epoch(T.loss_log(spark, sf_dir)).select("run", F.col("best_step").cast("int"), "best_loss")
 
 
-def _recursive_stop(patience: int) -> str:
-    """Sequential early stopping as a recursive query (independent of the scans)."""
+def _recursive_stop(patience: int, delta: float = 0.0) -> str:
+    """Sequential early stopping as a recursive query (independent of the scans
+    and of the improvement chain used with ``delta``)."""
+    bar = "es.best" if delta == 0 else f"es.best - CAST({delta!r} AS DOUBLE)"
     return f"""WITH RECURSIVE {V.LOSS_LOG},
 es(run, step, best, counter) AS (
   SELECT run, step, loss, 0 FROM loss_log WHERE step = 0
   UNION ALL
   SELECT l.run, l.step,
-         CASE WHEN l.loss <= es.best THEN l.loss ELSE es.best END,
-         CASE WHEN l.loss <= es.best THEN 0 ELSE es.counter + 1 END
+         CASE WHEN l.loss <= {bar} THEN l.loss ELSE es.best END,
+         CASE WHEN l.loss <= {bar} THEN 0 ELSE es.counter + 1 END
   FROM es JOIN loss_log l ON l.run = es.run AND l.step = es.step + 1
   WHERE es.counter < {patience}),
 stops AS (SELECT run, CAST(min(CASE WHEN counter >= {patience} THEN step END) AS INTEGER) AS stop_at
@@ -67,6 +69,12 @@ def r4_early_stop_p25(spark, sf_dir):
     return R.early_stop(T.loss_log(spark, sf_dir), 25).select("run", F.col("stop_at").cast("int"))
 
 
+@register("r4_early_stop_delta", _recursive_stop(25, 0.5) + "SELECT run, stop_at FROM stops")
+def r4_early_stop_delta(spark, sf_dir):
+    """An improvement must beat the best by 0.5 (the path-dependent case)."""
+    return R.early_stop(T.loss_log(spark, sf_dir), 25, delta=0.5).select("run", F.col("stop_at").cast("int"))
+
+
 @register("r5_effective_log", _recursive_stop(PATIENCE) + """
 SELECT l.run, l.step, l.loss FROM loss_log l JOIN stops s ON l.run = s.run
 WHERE s.stop_at IS NULL OR l.step <= s.stop_at""")
