@@ -96,9 +96,18 @@ class RidgeFolds:
         return self.nu + b0 + (X - self.mu) @ beta
 
 
+# Elements per summed piece of a flat moment vector.
+MOMENT_CHUNK = 8192
+
+
 def _moments(df: DataFrame, features: str, targets: Sequence[str], fold: str, mu, nu) -> dict:
-    """Per-fold centred sums [n, Sx, Sy, Gxx, Gxy] in one pass: each task folds its
-    rows into one flat partial per fold (numpy), Spark sums the partials."""
+    """Per-fold centred sums [n, Sx, Sy, Gxx, Gxy] in one pass.
+
+    Each task folds its rows into one flat partial per fold (numpy) and emits
+    it in pieces of :data:`MOMENT_CHUNK` elements; Spark sums the pieces
+    grouped by (fold, piece).  With d features a partial has about d * d
+    numbers (360k at d = 600), so keying by piece spreads the sums over
+    k * pieces reducers instead of k.  The driver receives k summed vectors."""
     d, t = len(mu), len(nu)
     width = 1 + d + t + d * d + d * t
     cols = [fold, features, *targets]
@@ -115,22 +124,27 @@ def _moments(df: DataFrame, features: str, targets: Sequence[str], fold: str, mu
                 x, y = X[sel], Y[sel]
                 v = np.concatenate([[len(x)], x.sum(0), y.sum(0), (x.T @ x).ravel(), (x.T @ y).ravel()])
                 acc[int(f)] = acc.get(int(f), 0) + v
-        if acc:
-            yield pd.DataFrame({"fold": list(acc.keys()), "stats": [a.tolist() for a in acc.values()]})
+        rows = [(f, c, v[c * MOMENT_CHUNK:(c + 1) * MOMENT_CHUNK].tolist())
+                for f, v in acc.items() for c in range((width + MOMENT_CHUNK - 1) // MOMENT_CHUNK)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["fold", "piece", "stats"])
 
-    part = df.select(*cols).mapInPandas(partials, "fold int, stats array<double>")
+    part = df.select(*cols).mapInPandas(partials, "fold int, piece int, stats array<double>")
     summ = Summarizer.metrics("sum")
-    tot = part.groupBy("fold").agg(summ.summary(array_to_vector("stats")).alias("s"))
-    rows = tot.select("fold", vector_to_array("s.sum").alias("v")).collect()
-    out = {}
+    tot = part.groupBy("fold", "piece").agg(summ.summary(array_to_vector("stats")).alias("s"))
+    rows = tot.select("fold", "piece", vector_to_array("s.sum").alias("v")).collect()
+    pieces: dict = {}
     for r in rows:
-        v = np.asarray(r["v"], dtype=float)
+        pieces.setdefault(r["fold"], {})[r["piece"]] = r["v"]
+    out = {}
+    for f, ps in pieces.items():
+        v = np.concatenate([np.asarray(ps[c], dtype=float) for c in sorted(ps)])
         assert len(v) == width
         n = v[0]
         sx, sy = v[1:1 + d], v[1 + d:1 + d + t]
         gxx = v[1 + d + t:1 + d + t + d * d].reshape(d, d)
         gxy = v[1 + d + t + d * d:].reshape(d, t)
-        out[r["fold"]] = (n, sx, sy, gxx, gxy)
+        out[f] = (n, sx, sy, gxx, gxy)
     return out
 
 

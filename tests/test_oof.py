@@ -74,3 +74,13 @@ def test_oof_loop_assert_each_id_once(spark):
 
     with pytest.raises(Exception):
         O.oof(df, 2, fit, predict_twice, id_col="id").collect()
+
+
+def test_ridge_moments_summed_in_pieces(spark, monkeypatch):
+    df = embedding_folds(spark, SF01)
+    one = O.fit_ridge_folds(df, "x", ["label"], lam=0.5)
+    monkeypatch.setattr(O, "MOMENT_CHUNK", 97)   # many pieces, uneven last one
+    many = O.fit_ridge_folds(df, "x", ["label"], lam=0.5)
+    for f in one.models:
+        np.testing.assert_allclose(one.models[f][1], many.models[f][1], rtol=1e-10, atol=1e-12)
+        np.testing.assert_allclose(one.models[f][0], many.models[f][0], rtol=1e-10, atol=1e-12)
