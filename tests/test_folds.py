@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,18 @@ def test_shuffle_reseeds_per_epoch(spark):
     b = [r["id"] for r in B.shuffle(df, "id", 1, epoch=1).orderBy("ordinal").collect()]
     c = [r["id"] for r in B.shuffle(df, "id", 2, epoch=0).orderBy("ordinal").collect()]
     assert sorted(a) == list(range(50)) and a != b and b == c
+
+
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_with_ordinal_random_groups_match_pandas(spark, parts):
+    import random
+    rnd = random.Random(parts)
+    rows = [(i, rnd.choice([None, "a", "b", "hot", "hot", "hot"]), rnd.randint(0, 20)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, x int").repartition(5)
+    got = {r["id"]: r["ordinal"] for r in P.with_ordinal(df, ["x", "id"], by=["g"], num_partitions=parts).collect()}
+    pdf = pd.DataFrame(rows, columns=["id", "g", "x"]).fillna({"g": "<null>"})
+    pdf["o"] = pdf.sort_values(["x", "id"]).groupby("g").cumcount()
+    assert got == dict(zip(pdf["id"], pdf["o"]))
+    glob = {r["id"]: r["ordinal"] for r in P.with_ordinal(df, ["x", "id"], num_partitions=parts, start=1).collect()}
+    assert sorted(glob.values()) == list(range(1, 401))
+    assert glob == dict(zip(pdf.sort_values(["x", "id"])["id"], range(1, 401)))
