@@ -182,3 +182,41 @@ def test_trim_batch_of_empty_masks(spark):
     for how in ("sum", "last"):
         got = {r["id"]: (r["m"], r["tokens"]) for r in K.trim_to_batch(df, "batch", ["tokens"], mask="m", how=how).collect()}
         assert got == {1: ([], []), 2: ([], []), 3: ([], [])}, how
+
+
+@pytest.mark.parametrize("method", ["dims", "summarizer"])
+def test_pooling_matches_numpy_on_random_groups(spark, method):
+    import math
+    import random
+    rnd = random.Random(21)
+    rows = []
+    for doc in range(25):
+        for pos in range(rnd.randint(1, 7)):
+            mask = 0 if doc % 6 == 0 else rnd.choice([0, 1, 1])      # every 6th doc fully masked
+            rows.append((doc, pos, mask, [round(rnd.uniform(-3, 3), 3) for _ in range(4)], rnd.uniform(-2, 2)))
+    df = spark.createDataFrame(rows, "doc int, pos int, mask int, vec array<double>, s double")
+    by_doc = {}
+    for doc, pos, m, v, s in rows:
+        by_doc.setdefault(doc, []).append((m, np.array(v), s))
+
+    def close(a, b):
+        if a is None or b is None:
+            return a is None and b is None
+        return all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b))
+
+    mean = {r["doc"]: r["pooled"] for r in V.mean_pool(df, method=method).collect()}
+    mx = {r["doc"]: r["pooled"] for r in V.max_pool(df, method=method).collect()}
+    mn = {r["doc"]: r["pooled"] for r in V.min_pool(df, method=method).collect()}
+    att = {r["doc"]: r["pooled"] for r in V.attention_pool(df, "s", method=method).collect()}
+    for doc, items in by_doc.items():
+        real = [(v, s) for m, v, s in items if m == 1]
+        vs = np.stack([v for v, _ in real]) if real else None
+        assert close(mean[doc], list(vs.mean(0)) if real else [0.0] * 4), doc
+        assert close(mx[doc], list(vs.max(0)) if real else [-1e4] * 4), doc
+        assert close(mn[doc], list(vs.min(0)) if real else None), doc
+        if real:
+            sc = np.array([s for _, s in real])
+            w = np.exp(sc - sc.max())
+            assert close(att[doc], list((w[:, None] * vs).sum(0) / w.sum())), doc
+        else:
+            assert att[doc] is None, doc
