@@ -88,3 +88,34 @@ def test_batch_mean_vs_row_mean(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 8.0)], "batch int, loss double")
     r = L.batch_mean_loss(df).first()
     assert r["batch_mean"] == 5.0 and r["row_mean"] == 4.0
+
+
+def _python_vote(votes):
+    """votes: [(fold, label, prob)] -> (label, prob) by the reference's rule: count,
+    strictly more wins, so a tie keeps the label met first in fold order."""
+    counts, probs = {}, {}
+    for f, lab, p in sorted(votes):
+        counts[lab] = counts.get(lab, 0) + 1
+        probs.setdefault(lab, []).append(p)
+    best = None
+    for lab in counts:                       # insertion order = first seen in fold order
+        if best is None or counts[lab] > counts[best]:
+            best = lab
+    return best, sum(probs[best]) / len(probs[best])
+
+
+def test_vote_matches_direct_form_on_random_folds(spark):
+    import random
+    rnd = random.Random(9)
+    rows = []
+    for i in range(120):
+        for t in ["a", "b"]:
+            for f in rnd.sample(range(5), rnd.randint(1, 5)):
+                rows.append((f"id{i}", f, t, rnd.randint(0, 2), round(rnd.random(), 3)))
+    got = {(r["text_id"], r["target"]): (r["label"], r["prob"]) for r in E.vote(_preds(spark, rows)).collect()}
+    groups = {}
+    for i, f, t, lab, p in rows:
+        groups.setdefault((i, t), []).append((f, lab, p))
+    for key, votes in groups.items():
+        lab, p = _python_vote(votes)
+        assert got[key][0] == lab and math.isclose(got[key][1], p, rel_tol=1e-12), key
