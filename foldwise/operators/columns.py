@@ -178,10 +178,11 @@ def with_ordinal(df: DataFrame, order_by, by=(), name: str = "ordinal", start: i
         .rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     stats = stats.drop("_n")
-    # The shift table has at most partitions + groups rows.  Count it (it reads
-    # the cached rows) and broadcast it when that bound is small, so the rows
-    # keep their range partitioning; beyond the bound it is a shuffle join.
-    n_stats = stats.count()
+    # The shift table has at most partitions + groups rows; without groups the
+    # bound is the partition count itself.  Otherwise count it (it reads the
+    # cached rows).  Below the broadcast bound the rows keep their range
+    # partitioning; beyond it the join is a shuffle join.
+    n_stats = n if not by_names else stats.count()
     joined = join_small(ranged, stats, ["_pid", *by_names], null_safe=True, bound=n_stats)
     return joined.withColumn(name, (F.col("_before") + F.col("_loc") - F.col("_first") + F.lit(start))
                              .cast("long")).drop("_pid", "_loc", "_first", "_before")
