@@ -2,7 +2,8 @@
 
 A log has one row per step: group columns (e.g. run, fold), a dense step
 ordinal starting at 0, and a loss.  All scans use :mod:`foldwise.plans.scan`
-so that one long run is processed by many tasks.
+and early stopping with ``delta`` uses bucketed improvement chains, so that
+one long run is processed by many tasks.
 
 Semantics held from the reference:
 * running best (R2) improves only on a *strict* decrease, so the best step is
