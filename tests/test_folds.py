@@ -102,3 +102,22 @@ def test_with_ordinal_random_groups_match_pandas(spark, parts):
     glob = {r["id"]: r["ordinal"] for r in P.with_ordinal(df, ["x", "id"], num_partitions=parts, start=1).collect()}
     assert sorted(glob.values()) == list(range(1, 401))
     assert glob == dict(zip(pdf.sort_values(["x", "id"])["id"], range(1, 401)))
+
+
+@pytest.mark.parametrize("drop_last", [False, True])
+def test_batches_match_direct_form_on_random_groups(spark, drop_last):
+    import random
+    rnd = random.Random(17)
+    rows = [(i, rnd.choice([None, "r1", "r2", "r2"]), rnd.random()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, run string, x double").repartition(4)
+    for size in (1, 4, 7):
+        got = {r["id"]: r["batch"] for r in B.batches(df, size, ["x", "id"], drop_last, by=["run"]).collect()}
+        want = {}
+        for g in {r[1] for r in rows}:
+            members = sorted([r for r in rows if r[1] == g], key=lambda r: (r[2], r[0]))
+            keep = len(members) // size * size if drop_last else len(members)
+            want.update({r[0]: j // size for j, r in enumerate(members[:keep])})
+        assert got == want, size
+        counts = {r["run"]: r["batches"] for r in B.batch_counts(df, size, drop_last, by=["run"]).collect()}
+        assert counts == {g: (len([r for r in rows if r[1] == g]) // size if drop_last
+                              else -(-len([r for r in rows if r[1] == g]) // size)) for g in {r[1] for r in rows}}
