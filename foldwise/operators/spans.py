@@ -55,6 +55,12 @@ def word_starts(df: DataFrame, ids: str = "word_ids", out: str = "word_start") -
     return df.withColumn(out, word_starts_expr(ids))
 
 
+def _null_free(df: DataFrame, col: str) -> bool:
+    """True when the schema says the array holds no nulls (T9 already applied)."""
+    t = df.schema[col].dataType
+    return isinstance(t, T.ArrayType) and not t.containsNull
+
+
 # T11
 def start_positions(starts) -> Column:
     """0-based positions of the true entries of a boolean array, in order."""
@@ -93,8 +99,8 @@ def align_labels(df: DataFrame, ids: str = "word_ids", labels: str = "labels",
     not the ignore class (hard) or first probability above ``threshold`` (soft).
     """
     elem = df.schema[labels].dataType.elementType
-    w = word_ids_expr(ids)
-    d = df.withColumn(ids, w).withColumn("word_start", word_starts_expr(ids))
+    d = df if _null_free(df, ids) else df.withColumn(ids, word_ids_expr(ids))
+    d = d.withColumn("word_start", word_starts_expr(ids))
     # a column of its own: referenced several times, so it is not inlined
     d = d.withColumn("_sp", start_positions("word_start"))
     d = d.withColumn("label", labels_at_starts("word_start", labels, elem, sp="_sp")).drop("_sp")
