@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
@@ -83,10 +82,12 @@ def early_stop_stream(stream: DataFrame, patience: int, delta: float = 0.0, run:
 
 
 def run_to_table(states: DataFrame, out_path: str, checkpoint: str, trigger_available_now: bool = True):
-    """Run the stopper stream to the end of the available input, appending every
-    micro-batch's state rows to a Parquet table; returns the finished query."""
+    """Run the stopper stream to the end of the available input, writing every
+    micro-batch's state rows to a Parquet table partitioned by ``batch_id``;
+    returns the finished query.  A micro-batch replayed after a failure
+    overwrites its own partition, so the table holds it once."""
     def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (states.writeStream.outputMode("update").foreachBatch(sink)
                .option("checkpointLocation", checkpoint)
