@@ -59,8 +59,9 @@ def read_tagged(spark: SparkSession, paths: Sequence[str], fmt: str | None = Non
                 schema: T.StructType | None = None, tag: str = "src") -> DataFrame:
     """One scan over several files; each row is tagged with the position of its
     file in ``paths`` (the reference encodes it as a column suffix).  The tag
-    comes from ``input_file_name()`` matched against the path list, which is
-    a small literal map (one entry per file)."""
+    comes from the scan's file path (``_metadata.file_path``) matched against
+    the path list: a file path itself, or a folder followed by ``/``; the
+    longest matching entry wins (``out/a`` does not claim ``out/ab``)."""
     paths = list(paths)
     fmt = fmt or ("parquet" if paths[0].rstrip("/").endswith((".pq", ".parquet")) else "csv")
     reader = spark.read.options(**CSV_OPTIONS) if fmt == "csv" else spark.read
@@ -71,11 +72,12 @@ def read_tagged(spark: SparkSession, paths: Sequence[str], fmt: str | None = Non
     df = reader.format(fmt).load(paths)
     # file paths become URIs (file:/..., hdfs://...): match on the path suffix
     idx = F.lit(None).cast("int")
-    fname = F.input_file_name()
-    for i, p in enumerate(paths):
-        clean = p.rstrip("/").split(":", 1)[-1].lstrip("/")
-        idx = F.when(F.instr(fname, clean) > 0, F.lit(i)).otherwise(idx)
-    return df.withColumn(tag, F.coalesce(idx, F.raise_error(F.lit("read_tagged: unknown file"))))
+    fname = F.col("_metadata.file_path")
+    cleaned = [(i, p.rstrip("/").split(":", 1)[-1].lstrip("/")) for i, p in enumerate(paths)]
+    for i, c in sorted(cleaned, key=lambda ic: len(ic[1])):     # longer paths checked last win
+        hit = F.endswith(fname, F.lit(c)) | (F.instr(fname, F.lit(c + "/")) > 0)
+        idx = F.when(hit, F.lit(i)).otherwise(idx)
+    return df.withColumn(tag, F.coalesce(idx, F.raise_error(F.lit("read_tagged: unknown file")).cast("int")))
 
 
 # S5 / S6

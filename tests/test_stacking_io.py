@@ -95,3 +95,13 @@ def test_read_tagged(spark, tmp_path):
     paths = [str(tmp_path / f"f{i}.parquet") for i in (2, 0, 1)]
     got = {r["text_id"]: r["src"] for r in S.read_tagged(spark, paths).collect()}
     assert got == {"r2": 0, "r0": 1, "r1": 2}
+
+
+def test_read_tagged_prefix_paths(spark, tmp_path):
+    from foldwise.sources import files as S
+    a, ab = str(tmp_path / "out" / "a"), str(tmp_path / "out" / "ab")
+    spark.createDataFrame([(1,)], "x int").write.parquet(a)
+    spark.createDataFrame([(2,), (3,)], "x int").write.parquet(ab)
+    for paths in ([a, ab], [ab, a]):
+        got = {r["x"]: r["src"] for r in S.read_tagged(spark, paths, fmt="parquet").collect()}
+        assert got == {1: paths.index(a), 2: paths.index(ab), 3: paths.index(ab)}
