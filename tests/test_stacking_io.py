@@ -105,3 +105,22 @@ def test_read_tagged_prefix_paths(spark, tmp_path):
     for paths in ([a, ab], [ab, a]):
         got = {r["x"]: r["src"] for r in S.read_tagged(spark, paths, fmt="parquet").collect()}
         assert got == {1: paths.index(a), 2: paths.index(ab), 3: paths.index(ab)}
+
+
+def test_importable_by_workers_adds_package_folder_once(spark):
+    import os
+
+    import foldwise
+    env = spark.sparkContext.environment
+    before = env.get("PYTHONPATH")
+    try:
+        env["PYTHONPATH"] = "/some/other/path"
+        foldwise.importable_by_workers(spark)
+        foldwise.importable_by_workers(spark)
+        root = os.path.dirname(os.path.dirname(os.path.abspath(foldwise.__file__)))
+        assert env["PYTHONPATH"].split(os.pathsep) == [root, "/some/other/path"]
+    finally:
+        if before is None:
+            env.pop("PYTHONPATH", None)
+        else:
+            env["PYTHONPATH"] = before
