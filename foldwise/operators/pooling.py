@@ -145,8 +145,10 @@ def attention_pool(df: DataFrame, score: str, by: Sequence[str] = ("doc",), vec:
     A group with no real position gives null (the reference's softmax gives NaN)."""
     by = list(by)
     real = F.col(mask) == 1
-    mx = df.filter(real).groupBy(*by).agg(F.max(score).alias("_mx"))
-    d = join_small(df, mx, by, how="left", null_safe=True)
+    # the group's largest real score, by a window: the rows are shuffled once
+    # on the group keys and the aggregation below reuses that partitioning
+    # (a group is one document's positions)
+    d = df.withColumn("_mx", F.max(F.when(real, F.col(score))).over(Window.partitionBy(*by)))
     w = F.when(real, F.exp(F.col(score) - F.col("_mx"))).otherwise(F.lit(0.0))
     width = _width(df, vec, dim)
     if _use_dims(method, width):
