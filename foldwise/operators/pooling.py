@@ -216,13 +216,17 @@ def word_mean(df: DataFrame, by: Sequence[str] = ("doc",), word: str = "word_id"
     """Each token of a word gets the mean vector of the word's tokens; tokens with
     word id -1 keep their vector."""
     by = list(by)
-    words = df.filter(F.col(word) >= 0)
     width = _width(df, vec, dim)
     if _use_dims(method, width):
-        g = _dims_agg(words, [*by, word], vec, width, lambda i: F.avg(F.col(vec)[i]))
-        means = g.select(*by, word, _checked(F.array(*[F.col(f"_e{i}") for i in range(width)]), width).alias("_wm"))
-    else:
-        means = _weighted(words, [*by, word], vec, F.lit(1.0), "mean", "_wm")
+        # one window over (group, word): the rows shuffle once and no join is
+        # needed; a window holds one word's tokens (or a document's specials)
+        wnd = Window.partitionBy(*by, word)
+        d = df.withColumns({"_lo": F.min(F.size(vec)).over(wnd), "_hi": F.max(F.size(vec)).over(wnd)})
+        d = d.withColumn("_wm", _checked(F.array(*[F.avg(F.col(vec)[i]).over(wnd) for i in range(width)]), width))
+        return (d.withColumn(out, F.when(F.col(word) >= 0, F.col("_wm")).otherwise(F.col(vec)))
+                 .drop("_wm", "_lo", "_hi"))
+    words = df.filter(F.col(word) >= 0)
+    means = _weighted(words, [*by, word], vec, F.lit(1.0), "mean", "_wm")
     j = join_small(df, means, [*by, word], how="left", null_safe=True)
     return j.withColumn(out, F.when(F.col(word) >= 0, F.col("_wm")).otherwise(F.col(vec))).drop("_wm")
 

@@ -220,3 +220,18 @@ def test_pooling_matches_numpy_on_random_groups(spark, method):
             assert close(att[doc], list((w[:, None] * vs).sum(0) / w.sum())), doc
         else:
             assert att[doc] is None, doc
+
+
+def test_word_mean_window_equals_summarizer_and_numpy(spark):
+    import random
+    rnd = random.Random(4)
+    rows = []
+    for doc in range(12):
+        for pos in range(rnd.randint(1, 9)):
+            rows.append((doc, pos, rnd.choice([-1, 0, 1, 1, 2, 3]), [round(rnd.uniform(-2, 2), 3) for _ in range(3)]))
+    df = spark.createDataFrame(rows, "doc int, pos int, word_id int, vec array<double>")
+    a = {(r["doc"], r["pos"]): r["vec"] for r in V.word_mean(df, method="dims").collect()}
+    b = {(r["doc"], r["pos"]): r["vec"] for r in V.word_mean(df, method="summarizer").collect()}
+    for doc, pos, w, v in rows:
+        want = v if w < 0 else list(np.mean([x for d, _, ww, x in rows if d == doc and ww == w], axis=0))
+        assert np.allclose(a[(doc, pos)], want) and np.allclose(b[(doc, pos)], want), (doc, pos)
