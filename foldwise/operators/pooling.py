@@ -188,9 +188,9 @@ def pool_last_layers(df: DataFrame, n: int = 4, by: Sequence[str] = ("doc",), la
     layers = df.select(layer).distinct()
     top = layers.withColumn("_rk", F.row_number().over(Window.orderBy(F.col(layer).desc())))
     top = top.filter(F.col("_rk") <= n).withColumn("slot", (F.lit(n) - F.col("_rk")).cast("int")).drop("_rk")
-    kept = join_small(df, top, [layer])
+    kept = join_small(df, top, [layer], bound=n)      # top holds at most n layers
     pooled = mean_pool(kept, [*by, layer], vec, mask, out)
-    return join_small(pooled, top, [layer])
+    return join_small(pooled, top, [layer], bound=n)
 
 
 def stack_slots(df: DataFrame, by: Sequence[str], slot: str = "slot", vec: str = "pooled",
