@@ -23,24 +23,31 @@ def target_levels(vec, j: int | Column, levels: int = SCORE_LEVELS, targets: int
     """The ``levels`` logits of target ``j`` from a level-major flat vector."""
     j = j if isinstance(j, Column) else F.lit(j)
     v = _c(vec)
-    return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)),
-                       lambda c: F.element_at(v, c * targets + j + 1))
+    # strided pick by index; the lambda reads only its own variables and
+    # constants, so an inlined vector expression is evaluated once
+    picked = F.filter(v, lambda x, i: (i % targets == j) & (i < levels * targets))
+    return picked
 
 
 # H2
 def softmax(z) -> Column:
     """Numerically stable softmax of an array."""
     z = _c(z)
-    m = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - m))
+    e = F.transform(_with(z, F.array_max(z)), lambda t: F.exp(t["x"] - t["c"]))
     s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    return F.transform(_with(e, s), lambda t: t["x"] / t["c"])
 
 
 def log_sum_exp(z) -> Column:
     z = _c(z)
     m = F.array_max(z)
-    return m + F.log(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return m + F.log(F.aggregate(_with(z, m), F.lit(0.0), lambda acc, t: acc + F.exp(t["x"] - t["c"])))
+
+
+def _with(arr: Column, c: Column) -> Column:
+    """Array of struct(x, c): each element paired with the scalar ``c``.  A
+    lambda that named ``c`` directly would evaluate it again per element."""
+    return F.arrays_zip(arr.alias("x"), F.array_repeat(c, F.size(arr)).alias("c"))
 
 
 # H3
