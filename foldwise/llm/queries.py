@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, dedup
+from foldwise.llm import bpe, chat, dedup, ngram_join
 from foldwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,40 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+#: Components of documents whose shingle sets are similar, over a table ``docs``.
+NEAR_SQL = r"""
+w0 AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
+  FROM (SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[\x20\x09-\x0D]+') AS words FROM docs)),
+w AS (
+  SELECT doc_id, i, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS w2, lead(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w3,
+         count(*) OVER (PARTITION BY doc_id) AS k
+  FROM w0 WHERE word <> ''),
+shingles AS (
+  SELECT DISTINCT doc_id, word || ' ' || w2 || ' ' || w3 AS g FROM w WHERE w3 IS NOT NULL
+  UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY i) FROM w WHERE k < 3 GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b USING (g)
+  WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+pairs AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(doc_id, other) AS (SELECT x, y FROM links UNION SELECT doc_id, y FROM reach JOIN links ON other = x)"""
+
+
+@register(f"""
+WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {NEAR_SQL}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id, coalesce(l, 0) AS n_links
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS l FROM links GROUP BY x) k ON k.x = d.doc_id""")
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and number of links of every document."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @register(r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
