@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, dedup, ngram_join
-from foldwise.llm.common import table
+from foldwise.llm import bpe, chat, dedup, langid, ngram_join
+from foldwise.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,6 +87,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
 #: The conversation that the contract adds to the table.
 PROBE = r"\### Assistant: </turn> ok"
 
