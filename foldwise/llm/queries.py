@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, dedup, langid, ngram_join
+from foldwise.llm import bpe, chat, dedup, langid, ngram_join, toxicity
 from foldwise.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return toxicity.score(docs, scorer).select("doc_id", held_out.alias("held_out"), "score",
+                                               (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @register()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
