@@ -31,8 +31,9 @@ import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foldwise.llm.common import columns_of, rows_out, small_batches
+from foldwise.llm.common import columns_of, rows_out, saved, small_batches
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,6 +43,8 @@ LEXICON_WORDS = 1 << 17
 MEMO_PIECES, MEMO_CHARS = 600_000, 64
 #: Bytes of decimal ids after which the memo starts anew.
 MEMO_TOTAL = 32 << 20
+#: Pieces whose parts are gathered at a time.
+GATHER = 100_000
 SPACE_RUN = re.compile(r" (?:\s|$)")
 
 
@@ -266,6 +269,15 @@ class Lexicon:
         return self.ids[self.start[rank]:self.start[rank + 1]].tolist()
 
 
+def spans(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``most`` pieces each (one text at least)."""
+    i, n = 0, len(first) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + most, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
 class Encoder:
     """Encodes texts in one worker: the pieces between spaces are looked up in a
     bounded memo; the words of new ones go through the lexicon, else are merged.
@@ -361,10 +373,13 @@ class Encoder:
         """Number of ids, digest of the ids and digest of the decoded text."""
         ks, first = self.numbers(texts)
         ends = np.concatenate([[0], np.cumsum(np.diff(np.frombuffer(self.ends[0], np.int64), prepend=0)[ks])])
-        shown, a = self._gather(1, ks, first)
-        raw, b = self._gather(2, ks, first)
-        return (np.diff(ends[first]), [hashlib.sha256(shown[i:max(i, j - 1)]).hexdigest() for i, j in zip(a, a[1:])],
-                [hashlib.sha256(self.as_text(raw[i:j].tobytes()).encode()).hexdigest() for i, j in zip(b, b[1:])])
+        shown, raw = [], []
+        for i, j in spans(first, GATHER):               # few texts at a time: the gathered parts are large
+            flat, a = self._gather(1, ks[first[i]:first[j]], first[i:j + 1] - first[i])
+            shown += [hashlib.sha256(flat[x:max(x, y - 1)]).hexdigest() for x, y in zip(a, a[1:])]
+            flat, a = self._gather(2, ks[first[i]:first[j]], first[i:j + 1] - first[i])
+            raw += [hashlib.sha256(self.as_text(flat[x:y].tobytes()).encode()).hexdigest() for x, y in zip(a, a[1:])]
+        return np.diff(ends[first]), shown, raw
 
     @staticmethod
     def as_text(data: bytes) -> str:
@@ -404,9 +419,11 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def ship(spark: SparkSession, name: str, data: bytes) -> str:
     """``data`` as a file in the shared scratch folder that Spark hands to every
-    executor under ``name`` (bounded by the caller)."""
+    executor under the returned name (its size is bounded by the caller)."""
     from foldwise.sources.files import scratch_dir
-    path = f"{scratch_dir(spark)}/{name}"
+    folder = scratch_dir(spark)
+    name = f"{name}-{folder.rsplit('/', 1)[-1]}.bin"     # Spark takes a file name once only
+    path = f"{folder}/{name}"
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
@@ -418,19 +435,28 @@ def ship(spark: SparkSession, name: str, data: bytes) -> str:
     return name
 
 
+def frequent(counts: DataFrame, words: int) -> list[str]:
+    """The most frequent words, at most ``words``: all above a count that a
+    histogram of the counts (sixteen bins for each doubling) gives.  Only the
+    bounded list and the histogram reach the driver."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    left, least = words, None
+    for r in sorted(counts.groupBy(step.alias("bin")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.bin):
+        if (left := left - r.k) < 0:
+            break
+        least = r.bin
+    return [] if least is None else [r.word for r in counts.where(step >= least).select("word").collect()]
+
+
 def fit_lexicon(docs: DataFrame, vocabulary: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Counts the words of all documents, compiles the ``words`` most frequent
-    ones (ties: smaller word) and ships the automaton; returns its file name.
-    The driver holds that bounded list only."""
-    spark = docs.sparkSession
-    top = (word_counts(docs, text).where(F.length("word") <= MEMO_CHARS)
-           .orderBy(F.desc("n"), "word").limit(words).collect())
+    """Counts the words of all documents, compiles the most frequent ones (at most
+    ``words``) and ships the automaton; returns its file name."""
+    counts = saved(word_counts(docs, text).where(F.length("word") <= MEMO_CHARS))
     v = Vocabulary(vocabulary)
     # a word of the corpus is met after a space or at the start of a line
-    parts = {w.encode() for r in top for form in (" " + r.word, r.word) for w in v.words.findall(form)}
-    parts = list(parts)
+    parts = sorted({w.encode() for word in frequent(counts, words) for form in (" " + word, word) for w in v.words.findall(form)})
     data = Lexicon.build(dict(zip(parts, v.merge_all(parts)))).to_bytes()
-    return ship(spark, f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin", data)
+    return ship(docs.sparkSession, "lexicon", data)
 
 
 def _prepared(docs: DataFrame, vocabulary: str, lexicon: str | None, text: str) -> tuple[str, str]:
@@ -442,7 +468,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids
     """``docs`` with the ids of each whole text as an array column ``out``."""
     files = _prepared(docs, vocabulary, lexicon, text)
     keep = [c for c in docs.columns if c != out]
-    schema = docs.select(*keep).schema.add(out, "array<int>")
+    schema = docs.select(*keep).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(*files)
@@ -460,7 +486,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
     encoded.sparkSession.sparkContext.addFile(vocabulary)
     name = os.path.basename(vocabulary)
     keep = [c for c in encoded.columns if c != out]
-    schema = encoded.select(*keep).schema.add(out, "string")
+    schema = encoded.select(*keep).schema.add(out, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(name, None)

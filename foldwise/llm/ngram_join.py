@@ -3,11 +3,18 @@
 Each document is the set of its distinct word shingles.  Sets are grouped into
 size bands such that linked sets lie in the same or neighbouring bands.  For a
 band, H is the largest symmetric difference of a linked pair, and the universe
-of shingles is cut by hash into m segments with allowances a_1..a_m, summing to
-H + 1.  By the pigeonhole a linked pair differs in some segment i by fewer than
-a_i shingles: allowance 1 needs equal segment subsets, allowance 2 equal ones
-after at most one deletion, so one-deletion neighbourhoods are indexed too.  The
-allowances are chosen for each band by cost from the counts of all sets.
+of shingles is cut by hash into m segments with allowances.  By the pigeonhole a
+linked pair agrees in some segment within its allowance: allowance 1 needs equal
+segment subsets, allowance 2 equal ones after at most one deletion, so
+one-deletion neighbourhoods are indexed too, and 0 leaves a segment out.
+
+Allocation by cost, for each band, from the sizes of all sets:
+* H + 1 + z segments of allowance 1: a linked pair has z + 1 equal segments, so a
+  set with at most z empty segments leaves those out (an empty segment says
+  nothing and would meet every other one); sets with more write them all;
+* or half as many segments of allowance 2, all written.
+Very common shingles form a segment of allowance 0: any fixed choice of them
+keeps the pigeonhole, so they are found from batch counts.
 
 Sets that share a segment key become candidates; connected candidates form a
 cluster whose sets meet once (large clusters in pairs of blocks), where every
@@ -25,6 +32,7 @@ their own; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,14 +45,18 @@ from pyspark.sql import functions as F
 from foldwise.llm.common import partitions, rows_out, saved, small_batches
 from foldwise.llm.components import components
 
-#: Similarity as percent, and words of a shingle.
-PERCENT, WORDS = 90, 3
+#: Similarity as percent, and words of a shingle, unless a caller says otherwise.
+PERCENT, WORDS = 80, 5
 #: Shingles of the sets that one task verifies together (a block of a cluster).
 BLOCK = 1 << 21
+#: Bytes of text that are shingled at a time.
+TEXTS = 4 << 20
 #: Key rows are dealt by this many hash buckets for each shuffle partition.
 BUCKETS = 16
-#: Words whose hash a worker remembers.
-MEMO = 500_000
+#: Words whose hash a worker remembers, and sets that a task knows it has indexed.
+MEMO = 150_000
+#: Common shingles: in this share of a batch's sets, and at most so many.
+COMMON_SHARE, COMMON = 0.02, 4096
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -121,29 +133,32 @@ def difference(top: int, percent: int) -> int:
     return both * (100 - percent) // (100 + percent)
 
 
-def allowances(low: int, top: int, sets: int, percent: int) -> tuple[int, int]:
-    """(segments of allowance 1, segments of allowance 2), summing to H + 1.
+def allowances(low: int, top: int, sets: int, percent: int) -> tuple[int, int, int]:
+    """(segments of allowance 1, segments of allowance 2, empty ones that may be
+    left out) of the least cost for a band of so many sets.
 
-    Cost of a choice: the keys that all sets of the band write, plus the pairs of
-    unlike sets that meet by chance in empty segments (each set lacks a segment
-    with probability e^-(size / segments); deletions must leave it empty too)."""
+    Cost: the keys that all sets write, plus the pairs of unlike sets that meet by
+    chance in empty segments (the number of empty ones is taken as Poisson)."""
     need = difference(top, percent) + 1
 
-    def cost(twos: int) -> float:
-        ones = need - 2 * twos
+    def cost(ones: int, twos: int, spare: int) -> float:
         m = ones + twos
         size = low / m
-        empty = np.exp(-size)
-        keys = sets * (ones + twos * (1 + size))
-        pairs = (ones * (sets * empty) ** 2 + twos * (sets * empty * (1 + size)) ** 2) / 2
-        return keys + 8 * pairs
+        if twos:
+            return sets * twos * (1 + size) + 4 * m * (sets * math.exp(-size) * (1 + size)) ** 2
+        mean = m * math.exp(-size)
+        term = total = math.exp(-mean)
+        for k in range(1, spare + 1):
+            term *= mean / k
+            total += term
+        wrote = max(0.0, 1 - total) if spare else 1.0
+        return sets * m + 4 * m * (sets * wrote * min(1.0, max(mean, spare + 1) / m)) ** 2
 
-    options = sorted({0, need // 8, need // 4, need // 2})
-    twos = min(options, key=cost)
-    return need - 2 * twos, twos
+    options = [(need + z, 0, z) for z in {0, 1, 2, 4, *(need * k // 16 for k in range(1, 9))}] + [(0, (need + 1) // 2, 0)]
+    return min(sorted(options), key=lambda x: cost(*x))
 
 
-def keys_of(sets: list[np.ndarray], plan: list[tuple[int, int, int, int]], percent: int) -> list[np.ndarray]:
+def keys_of(sets: list[np.ndarray], plan: list[tuple[int, ...]], percent: int, common: np.ndarray) -> list[np.ndarray]:
     """The segment keys of each set in its own band and in the band below."""
     lows = np.array([p[0] for p in plan])
     out = []
@@ -152,22 +167,30 @@ def keys_of(sets: list[np.ndarray], plan: list[tuple[int, int, int, int]], perce
             out.append(np.zeros(0, np.uint64))
             continue
         own = int(np.searchsorted(lows, len(s), "right")) - 1
+        rare = s
+        if len(common):
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            rare = s[common[at] != s]
         found = []
         for band in (own, own - 1):
             if band < 0 or band < own and plan[band][1] * 100 < percent * len(s):
                 continue                       # no set of the band below is large enough
-            _, _, ones, twos = plan[band]
+            _, _, ones, twos, spare = plan[band]
             m = ones + twos
-            token = mix(s + np.uint64(band + 1))
+            token = mix(rare + np.uint64(band + 1))
             seg = ((token >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             value = mix(token)
             total = np.zeros(m, np.uint64)
             np.add.at(total, seg, value)
             salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-            found.append(mix(total + salt))
-            if twos:                           # the last segments allow one deletion
-                two = seg >= ones
-                found.append(mix(total[seg[two]] - value[two] + salt[seg[two]]))
+            keys = mix(total + salt)
+            if twos:                           # one deletion is allowed
+                found.append(mix(total[seg] - value + salt[seg]))
+            elif spare:
+                empty = np.bincount(seg, minlength=m) == 0
+                if empty.sum() <= spare:
+                    keys = keys[~empty]
+            found.append(keys)
         out.append(np.unique(np.concatenate(found)))
     return out
 
@@ -180,23 +203,35 @@ def _shingler(n: int) -> Shingler:
 
 
 def sizes(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """Id, set size and set digest (null for an empty set) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.string())])
+    """Id, set size and set digest (null for an empty set) of every row; the first
+    row of a batch also names the shingles that are common in that batch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.string()), ("common", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", TEXTS):
             sets = _shingler(n).sets(b.column("text"))
-            yield rows_out(schema, b.column("doc_id"), [len(s) for s in sets], [digest(s).hex() if len(s) else None for s in sets])
+            common: list = [None] * len(sets)
+            if sets:
+                token, count = np.unique(np.concatenate(sets), return_counts=True)
+                common[0] = token[count >= max(8, COMMON_SHARE * len(sets))].view(np.int64).tolist()
+            yield rows_out(schema, b.column("doc_id"), [len(s) for s in sets], [digest(s).hex() if len(s) else None for s in sets], common)
 
-    return _rows(docs, id_col, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, `set` string")
+    return _rows(docs, id_col, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, `set` string, common array<bigint>")
+
+
+def common_shingles(counted: DataFrame) -> np.ndarray:
+    """The shingles that were common in most batches, ascending (at most COMMON)."""
+    top = (counted.where("common is not null").select(F.explode("common").alias("c")).groupBy("c").count()
+           .orderBy(F.desc("count"), "c").limit(COMMON).collect())
+    return np.sort(np.array([r.c for r in top], np.int64).view(np.uint64))
 
 
 def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
 
-def allocation(counted: DataFrame, percent: int) -> list[tuple[int, int, int, int]]:
-    """(lowest size, highest size, ones, twos) of each band, from the sizes of all
+def allocation(counted: DataFrame, percent: int) -> list[tuple[int, ...]]:
+    """(lowest size, highest size, ones, twos, spare) of each band, from the sizes of all
     different sets.  The driver gets one number for each band that is in use."""
     different = counted.where("n_shingles > 0").select("set", "n_shingles").distinct()
     top = different.agg(F.max("n_shingles")).first()[0]
@@ -210,17 +245,19 @@ def allocation(counted: DataFrame, percent: int) -> list[tuple[int, int, int, in
     return [(a, b - 1, *allowances(a, b - 1, sets.get(i, 0) + sets.get(i + 1, 0), percent)) for i, (a, b) in enumerate(zip(lows, lows[1:]))]
 
 
-def candidates(docs: DataFrame, plan: list[tuple[int, int, int, int]], n: int, percent: int, id_col: str, text: str) -> DataFrame:
+def candidates(docs: DataFrame, plan: list[tuple[int, ...]], common: np.ndarray, n: int, percent: int, id_col: str, text: str) -> DataFrame:
     """Edges (u, v) between sets that share a segment key, as stars.  Sets go by
-    the first 64 bits of their digest, as more candidates do no harm."""
+    the first 64 bits of their digest and keys by 32 bits in their bucket, as more
+    candidates do no harm."""
     spark = docs.sparkSession
+    plan_and_common = spark.sparkContext.broadcast((plan, common))
     buckets = BUCKETS * partitions(spark)
     packed = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
     edge = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in small_batches(batches, "text", 16 << 20):
+        for b in small_batches(batches, "text", TEXTS):
             fresh, names = [], []
             for s in _shingler(n).sets(b.column("text")):
                 if len(s) and (d := digest(s)) not in seen:
@@ -229,14 +266,14 @@ def candidates(docs: DataFrame, plan: list[tuple[int, int, int, int]], n: int, p
                     names.append(int.from_bytes(d[:8], "big", signed=True))
             if len(seen) > MEMO:
                 seen.clear()
-            lists = keys_of(fresh, plan, percent)
+            lists = keys_of(fresh, plan_and_common.value[0], percent, plan_and_common.value[1])
             if not lists:
                 continue
             keys = np.concatenate(lists)
             sets = np.repeat(np.array(names, np.int64), [len(x) for x in lists])
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, sets, bucket = keys[order], sets[order], bucket[order]
+            keys, sets, bucket = (keys[order] >> np.uint64(32)).astype(np.uint32), sets[order], bucket[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = [*at[1:].tolist(), len(keys)]
             yield rows_out(packed, bucket[at], [keys[i:j].tobytes() for i, j in zip(at, ends)],
@@ -246,7 +283,7 @@ def candidates(docs: DataFrame, plan: list[tuple[int, int, int, int]], n: int, p
         now, keys, sets = None, [], []
 
         def stars() -> Iterator[pa.RecordBatch]:
-            k, s = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(sets), np.int64)
+            k, s = np.frombuffer(b"".join(keys), np.uint32), np.frombuffer(b"".join(sets), np.int64)
             order = np.lexsort((s, k))
             k, s = k[order], s[order]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -284,7 +321,7 @@ def linked_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, p
                       ("copies", pa.int64()), ("shingles", pa.binary())])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", TEXTS):
             out = []
             for s, name, copies, cluster, blocks, block in zip(_shingler(n).sets(b.column("text")), *(c.to_pylist() for c in b.columns[1:])):
                 if digest(s).hex() == name:      # rows that share an id may have other texts
@@ -365,7 +402,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
     plan = allocation(counted, percent)
     if plan:
-        clusters = components(candidates(docs, plan, n, percent, id_col, text))
+        clusters = components(candidates(docs, plan, common_shingles(counted), n, percent, id_col, text))
         edges, links = linked_sets(docs, reps, clusters, n, percent, id_col, text)
         roots = components(edges)
     else:

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, dedup, langid, ngram_join, toxicity
-from foldwise.llm.common import crc_mod, table
+from foldwise.llm import bpe, chat, dedup, html_text, langid, mixing, ngram_join, quality, topk, toxicity
+from foldwise.llm.common import crc_mod, table, vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,9 +27,20 @@ def register(sql: str | None = None):
     return deco
 
 
-def vocabulary_path() -> str:
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+@register("""
+WITH x AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+bad AS (SELECT DISTINCT vec_id FROM x WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT vec_id, i, CAST(floor(CAST(256 AS DOUBLE) * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM x WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 @register()
@@ -38,6 +49,115 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def _quality_sql() -> str:
+    space = r"[\x20\x09-\x0D]"
+
+    def ratio(part: str, whole: str, bins: int, most: int | None = None) -> str:
+        r = f"CASE WHEN {whole} > 0 THEN ({part}) * {bins} // ({whole}) ELSE -1 END"
+        return r if most is None else f"least({r}, {most})"
+
+    bins = {
+        "length": "length(bin(n_words))",
+        "symbols": ratio(r"len(regexp_extract_all(t, '[%*#$&|!<>{}=@~^+\\/]'))", "n", 50, 20),
+        "capitals": ratio("len(regexp_extract_all(t, '[A-Z]'))", "n", 10),
+        "digits": ratio("len(regexp_extract_all(t, '[0-9]'))", "n", 50, 20),
+        "distinct": ratio("len(list_distinct(words))", "n_words", 10),
+        "lines": ratio("len(list_distinct(rows))", "len(rows)", 5),
+        "words": ratio("n", "n_words", 1, 20)}
+    names = list(bins)
+    strength = f"""coalesce(CASE WHEN sum(n * (k / n - prior) * (k / n - prior)) / sum(n) - sum(prior * (1 - prior)) / sum(n) > 0
+      THEN least(greatest(sum(n * prior * (1 - prior)) / sum(n)
+             / (sum(n * (k / n - prior) * (k / n - prior)) / sum(n) - sum(prior * (1 - prior)) / sum(n)) - 1, {quality.STRENGTH[0]}), {quality.STRENGTH[1]})
+      ELSE {quality.STRENGTH[1]} END, {quality.STRENGTH[1]})"""
+    return f"""
+WITH t0 AS (
+  SELECT doc_id, source AS host, lang AS path, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda w: w <> '') AS rows FROM documents),
+t1 AS (SELECT *, len(words) AS n_words FROM t0),
+f AS (SELECT doc_id, host, path, {', '.join(f'{e} AS "{f}_"' for f, e in bins.items())} FROM t1),
+y AS (SELECT f.*, CAST(quality > 0 AS INT) AS y FROM f JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+long AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {chr(34)}{f}_{chr(34)} AS bin, y FROM y" for f in names)}),
+counts AS (SELECT feature, bin, sum(y) AS good, sum(1 - y) AS bad FROM long GROUP BY ALL),
+llr AS (
+  SELECT feature, bin, ln((good + 1) / CAST(sum(good) OVER (PARTITION BY feature) + count(*) OVER (PARTITION BY feature) AS DOUBLE))
+                     - ln((bad + 1) / CAST(sum(bad) OVER (PARTITION BY feature) + count(*) OVER (PARTITION BY feature) AS DOUBLE)) AS llr FROM counts),
+base AS (SELECT (sum(y) + 1) / CAST(count(*) + 2 AS DOUBLE) AS prior FROM y),
+paths AS (SELECT host, path, sum(y) AS k, CAST(count(*) AS DOUBLE) AS n FROM y GROUP BY ALL),
+hosts AS (SELECT host, sum(k) AS k, sum(n) AS n, any_value(prior) AS prior FROM paths, base GROUP BY host),
+hs AS (SELECT {strength} AS s FROM hosts),
+hr AS (SELECT host, (k + s * prior) / (n + s) AS prior FROM hosts, hs),
+under AS (SELECT p.*, prior FROM paths p JOIN hr ON hr.host IS NOT DISTINCT FROM p.host),
+ps AS (SELECT {strength} AS s FROM under),
+pr AS (SELECT host, path, (k + s * prior) / (n + s) AS path_rate FROM under, ps),
+e AS (
+  SELECT f.doc_id, f.host, f.path, {quality.TRUST} * ({' + '.join(f'coalesce(l_{f}.llr, 0)' for f in names)}) AS evidence,
+         coalesce(hr.prior, base.prior) AS host_rate, coalesce(path_rate, hr.prior, base.prior) AS path_rate
+  FROM f, base {' '.join(f"LEFT JOIN llr l_{f} ON l_{f}.feature = '{f}' AND l_{f}.bin = f.{chr(34)}{f}_{chr(34)}" for f in names)}
+  LEFT JOIN hr ON hr.host IS NOT DISTINCT FROM f.host
+  LEFT JOIN pr ON pr.host IS NOT DISTINCT FROM f.host AND pr.path IS NOT DISTINCT FROM f.path),
+s AS (SELECT *, 1 / (1 + exp(-(evidence + ln(path_rate / (1 - path_rate))))) AS score FROM e)
+SELECT doc_id, host, path, round(evidence, 6) AS evidence, round(host_rate, 6) AS host_rate, round(path_rate, 6) AS path_rate,
+       round(score, 6) AS score, score >= {quality.KEEP} AS keep FROM s"""
+
+
+def mixing_sql(docs: str, result: str) -> str:
+    """The raking of the documents in ``docs`` unrolled, then ``result`` over ``docs`` d and the cells c."""
+    margins = ("source", "lang", "topic")
+    marks = "(n_chars_ - length(replace(t, '{0}', ''))) * 50 >= n_chars_ + 100"
+    out = rf"""
+mixed0 AS (SELECT *, coalesce(text, '') AS t, length(coalesce(text, '')) AS n_chars_ FROM {docs}),
+mixed AS (
+  SELECT *, len(regexp_extract_all(t, '[^ 	-
+]+')) AS n_tokens,
+         CASE WHEN {marks.format('|')} THEN 'table' WHEN {marks.format('!!')} THEN 'shouting' WHEN n_chars_ < 200 THEN 'note'
+              WHEN n_chars_ >= 5000 THEN 'long prose' ELSE 'prose' END AS topic
+  FROM mixed0),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS n FROM mixed GROUP BY ALL),"""
+    for m in margins:
+        out += f"""
+goal_{m} AS (
+  SELECT {m}, p / sum(p) OVER () AS share
+  FROM (SELECT {m}, pow(CAST(sum(n) AS DOUBLE), {mixing.TEMPER}) AS p FROM cells GROUP BY {m} HAVING sum(n) > 0)),"""
+    out += """
+rake0 AS (
+  SELECT c.*, CAST(n AS DOUBLE) AS w, """ + ", ".join(f"coalesce(g_{m}.share, 0) AS t_{m}" for m in margins) + """
+  FROM cells c """ + " ".join(f"LEFT JOIN goal_{m} g_{m} ON g_{m}.{m} IS NOT DISTINCT FROM c.{m}" for m in margins) + "),"
+    k = 0
+    for _ in range(mixing.ROUNDS):
+        for m in margins:
+            total = f"sum(w) OVER (PARTITION BY {m})"
+            out += f"""
+rake{k + 1} AS (SELECT * REPLACE (CASE WHEN {total} > 0 THEN w * t_{m} / {total} ELSE 0 END AS w) FROM rake{k}),"""
+            k += 1
+    return out + f"""
+weights AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w * sum(n) OVER () / n ELSE 0 END AS weight FROM rake{k}),
+chances AS (SELECT *, CASE WHEN max(weight) OVER () > 0 THEN weight / max(weight) OVER () ELSE 0 END AS probability FROM weights)
+{result}
+FROM mixed d JOIN chances c ON c.source IS NOT DISTINCT FROM d.source AND c.lang IS NOT DISTINCT FROM d.lang AND c.topic = d.topic"""
+
+
+SAMPLED_SQL = ("CAST('0x' || substr(md5('" + mixing.SEED + ":' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) "
+               "/ CAST(4294967296 AS DOUBLE) < c.probability")
+
+
+@register(_quality_sql())
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text, source (host) and language there
+    (path), learned from all labels."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return found.withColumns({c: F.round(c, 6) for c in ("evidence", "host_rate", "path_rate", "score")})
+
+
+@register("WITH " + mixing_sql("documents", f"""SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.n_tokens AS BIGINT) AS n_tokens,
+  round(c.weight, 6) AS weight, round(c.probability, 6) AS probability, {SAMPLED_SQL} AS sampled"""))
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated weight and sampling decision of every document."""
+    found = mixing.decided(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
 #: Components of documents whose shingle sets are similar, over a table ``docs``.
 NEAR_SQL = r"""
 w0 AS (
@@ -69,7 +189,7 @@ LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r ON r.doc
 LEFT JOIN (SELECT x, count(*) AS l FROM links GROUP BY x) k ON k.x = d.doc_id""")
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and number of links of every document."""
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 @register(r"""
@@ -142,5 +262,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(probe), path), path).drop("n_tokens")
 
 
+@register()
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    return dict(QUERIES), dict(ORACLE)
+    import corpus_pipeline
+    oracle = dict(ORACLE)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        oracle["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, oracle
