@@ -135,7 +135,7 @@ def scaled_pairs(spark, sf):
     folds.count()
 
     def pool_dims():
-        return V.mean_pool(h, by=["doc", "layer"], dim=64)
+        return V.mean_pool(h, by=["doc", "layer"])
 
     def pool_explode():
         return (h.select("doc", "layer", "mask", F.posexplode("vec").alias("d", "x"))

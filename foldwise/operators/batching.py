@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import seeded_key
-from foldwise.operators.columns import with_ordinal
+from foldwise.operators.columns import with_hashed_ordinal, with_ordinal
 from foldwise.plans.sizing import join_small
 
 
@@ -31,7 +31,7 @@ def shuffle(df: DataFrame, id_col: str, seed: int, epoch: int = 0, by: Sequence[
     if seed < 0:
         seed = random.randrange(0, 2**31)
     keyed = df.withColumn("_sk", shuffle_key(id_col, seed, epoch))
-    return with_ordinal(keyed, ["_sk", id_col], by=list(by), name=out).drop("_sk")
+    return with_hashed_ordinal(keyed, "_sk", [id_col], by=list(by), name=out).drop("_sk")
 
 
 # K5

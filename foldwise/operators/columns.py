@@ -1,10 +1,9 @@
 """Projections, column shaping and row ordinals.
 
-All functions are thin compositions of DataFrame calls except
-:func:`with_ordinal`, which numbers rows without a single-partition window:
-rows are range partitioned on the order key, numbered inside each partition,
-and shifted by prefix counts computed on a table with one row per
-(partition, group) pair.
+All functions are thin compositions of DataFrame calls except the row
+ordinals, which number rows without a single-partition window: keys are range
+partitioned (or bucketed by a hash), numbered inside each part, and shifted by
+prefix counts computed on a table with one row per (part, group) pair.
 """
 
 from __future__ import annotations
@@ -12,10 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.plans.scratch import written
 from foldwise.plans.sizing import default_partitions, join_small
 
 
@@ -143,46 +142,82 @@ def split_fold(df: DataFrame, k: int, fold: str = "fold") -> tuple[DataFrame, Da
 
 
 # P5
+def _sort_columns(order_by) -> tuple[list[str], list[Column]]:
+    """Names and sort orders of ``order_by``: names, or (name, "desc") pairs."""
+    items = [order_by] if isinstance(order_by, str) else list(order_by)
+    names = [c if isinstance(c, str) else c[0] for c in items]
+    return names, [F.col(c) if isinstance(c, str) else F.col(c[0]).desc() if c[1] == "desc" else F.col(c[0]) for c in items]
+
+
+def running_before(table: DataFrame, order_by, by=(), value: str = "_n", name: str = "_before",
+                   num_partitions: int | None = None) -> DataFrame:
+    """``table`` with the sum of ``value`` over the rows that come before in
+    ``order_by`` order, per ``by`` group.  The keys must be unique.
+
+    No window spans a whole group: the rows are range partitioned (a hot group
+    is split over many partitions) and written to shared scratch storage with
+    their partition number, so both uses below see the same cut.  Sums run
+    inside (partition, group), and the totals of earlier partitions are added."""
+    by = list(by)
+    names, order = _sort_columns(order_by)
+    n = num_partitions or default_partitions(table)
+    cut = written(table.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by) if by else Window
+    totals = cut.groupBy("_pid", *by).agg(F.sum(value).alias("_sum"))
+    shift = totals.select("_pid", *by, F.coalesce(F.sum("_sum").over(
+        earlier.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    rows = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = join_small(rows, shift, ["_pid", *by], null_safe=True, bound=None if by else n)
+    return joined.withColumn(name, (F.col("_inside") + F.col("_shift")).cast("long")).drop("_pid", "_inside", "_shift")
+
+
 def with_ordinal(df: DataFrame, order_by, by=(), name: str = "ordinal", start: int = 0,
                  num_partitions: int | None = None) -> DataFrame:
-    """Dense row ordinal in ``order_by`` order, restarting per ``by`` group.
-
-    No window spans a whole group: rows are range partitioned on
-    ``by + order_by`` (a hot group is split over many partitions), numbered
-    inside their partition, and shifted by the rows of the same group that
-    landed in earlier partitions.  The shift table has at most
-    ``partitions + groups`` rows.  Ties in ``order_by`` get distinct,
-    arbitrary ordinals; add a unique column for a total order.  The range
-    partitioned rows are persisted (memory and disk) so that both uses see
-    the same partitioning.
-    """
+    """Dense row ordinal in ``order_by`` order (names, or (name, "desc")),
+    restarting per ``by`` group.
+
+    The distinct keys (``by`` and ``order_by`` columns only) get their place by
+    :func:`running_before`; the rows then join on their keys, so wide columns are
+    shuffled once and nothing is cached.  Ties in ``order_by`` get distinct,
+    arbitrary ordinals; add a unique column for a total order."""
     by = _cols(by)
-    order = _cols(order_by)
-    n = num_partitions or default_partitions(df)
-    # The range bounds are sampled per exchange, so the two uses below (the
-    # shift table and the rows) must read one materialisation.  A lost cached
-    # block is rebuilt from the same shuffle (same bounds) and, with a total
-    # order, the same row order.
-    ranged = (df.repartitionByRange(n, *by, *order)
-                .sortWithinPartitions(*by, *order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_loc", F.monotonically_increasing_id()
-                            - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    by_names = [c if isinstance(c, str) else None for c in by]
-    if any(b is None for b in by_names):
+    if not all(isinstance(b, str) for b in by):
         raise TypeError("with_ordinal: 'by' must be column names")
-    stats = ranged.groupBy("_pid", *by_names).agg(F.min("_loc").alias("_first"),
-                                                   F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*by_names) if by_names else Window).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    stats = stats.drop("_n")
-    # The shift table has at most partitions + groups rows; without groups the
-    # bound is the partition count itself.  Otherwise count it (it reads the
-    # cached rows).  Below the broadcast bound the rows keep their range
-    # partitioning; beyond it the join is a shuffle join.
-    n_stats = n if not by_names else stats.count()
-    joined = join_small(ranged, stats, ["_pid", *by_names], null_safe=True, bound=n_stats)
-    return joined.withColumn(name, (F.col("_before") + F.col("_loc") - F.col("_first") + F.lit(start))
-                             .cast("long")).drop("_pid", "_loc", "_first", "_before")
+    names, _ = _sort_columns(order_by)
+    key = list(dict.fromkeys([*by, *names]))
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    placed = written(running_before(counts, order_by, by, "_n", "_o_at", num_partitions))
+    ties = placed.filter("_n > 1").select("_n").first() is not None
+    at = F.col("_o_at") + F.lit(start)
+    if ties:
+        at = at + F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1
+    joined = join_small(df, placed.drop("_n"), key, null_safe=True)
+    return joined.withColumn(name, at.cast("long")).drop("_o_at")
+
+
+#: Leading hex digits of a hashed key that cut a group into buckets.
+KEY_DIGITS = 3
+
+
+def with_hashed_ordinal(df: DataFrame, key: str, tie: Sequence[str], by: Sequence[str] = (), name: str = "ordinal",
+                        start: int = 0, across: bool = False) -> DataFrame:
+    """:func:`with_ordinal` for a hex key that is spread evenly (md5).
+
+    Rows are numbered inside (group, leading digits) and shifted by the counts of
+    smaller digits: no sampling, one shuffle of the rows, the same numbers on
+    every run, and a group of any size spreads over 16 ** KEY_DIGITS buckets.
+    With ``across`` the numbering goes on from group to group in ``by`` order."""
+    by = list(by)
+    rows = df.withColumn("_o_hx", F.substring(key, 1, KEY_DIGITS))
+    counts = rows.groupBy(*by, "_o_hx").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = (Window.partitionBy(*by) if by else Window).orderBy("_o_hx").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.withColumn("_o_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    if across and by:
+        totals = counts.groupBy(*by).agg(F.sum("_n").alias("_n"))
+        shift = join_small(shift, running_before(totals, by).drop("_n"), by, null_safe=True)
+        shift = shift.withColumn("_o_at", F.col("_o_at") + F.col("_before")).drop("_before")
+    order = Window.partitionBy(*by, "_o_hx").orderBy(key, *tie)
+    numbered = rows.withColumn("_o_rn", F.row_number().over(order))
+    joined = join_small(numbered, shift, [*by, "_o_hx"], null_safe=True)
+    return joined.withColumn(name, (F.col("_o_at") + F.col("_o_rn") - 1 + F.lit(start)).cast("long")).drop("_o_hx", "_o_rn", "_o_at")

@@ -76,9 +76,9 @@ def combined_loss(df: DataFrame, weights: Mapping[str, float], z: str = "z", lev
 
 # L5
 def masked_mean(df: DataFrame, x: str = "loss", mask: str = "mask", by=()) -> DataFrame:
-    """sum(x * mask) / sum(mask), per ``by`` group."""
-    return df.groupBy(*by).agg((F.sum(F.col(x) * F.col(mask).cast("double"))
-                                / F.sum(F.col(mask).cast("double"))).alias("masked_mean"))
+    """sum(x * mask) / sum(mask), per ``by`` group; null for a group whose mask sums to 0."""
+    m = F.col(mask).cast("double")
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(x) * m), F.sum(m)).alias("masked_mean"))
 
 
 # L6 (row level)
@@ -88,6 +88,17 @@ def token_ce_expr(z, target) -> Column:
     return F.when(t == IGNORE_INDEX, F.lit(0.0)).otherwise(cross_entropy_expr(z, t))
 
 
+def token_soft_ce_expr(z, target) -> Column:
+    """Cross entropy of one token with a soft target (an array of class weights):
+    ``-sum_c p_c * log q_c``; 0 where the target is null or all of it is the ignore index."""
+    z, t = _c(z), _c(target)
+    lse = log_sum_exp(z)
+    dot = F.aggregate(F.zip_with(t, z, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    mass = F.aggregate(t, F.lit(0.0), lambda a, x: a + x)
+    ignored = t.isNull() | F.forall(t, lambda p: p == IGNORE_INDEX)
+    return F.when(ignored, F.lit(0.0)).otherwise(mass * lse - dot)
+
+
 # L7
 def batch_mean_loss(df: DataFrame, batch: str = "batch", loss: str = "loss", by=()) -> DataFrame:
     """Mean of per-batch means (the reference's report) and the exact row mean."""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.joins import union_all
+from foldwise.plans.scratch import written
 from foldwise.plans.sizing import join_small
 
 
@@ -39,35 +40,59 @@ def oof_group_mean(df: DataFrame, id_col: str, group: str, targets: Sequence[str
     One shuffle aggregates (group, fold, target) sums; the rest runs on that
     small table and is joined back.
     """
+    folds = [r[0] for r in df.select(fold).distinct().collect()]      # k values (null: a fold of its own)
+    if len(folds) > MAX_FOLDS:
+        raise ValueError(f"oof_group_mean: {len(folds)} folds; at most {MAX_FOLDS} are expected")
     rows = long_targets(df, [id_col, fold, group], targets)
-    cell = rows.groupBy(group, fold, "target").agg(F.sum("y").alias("s_gf"),
-                                                  F.count("y").alias("n_gf"))
-    wg = Window.partitionBy(group, "target")
-    wf = Window.partitionBy(fold, "target")
-    wt = Window.partitionBy("target")
-    stats = (cell.withColumn("s_g", F.sum("s_gf").over(wg)).withColumn("n_g", F.sum("n_gf").over(wg))
-                 .withColumn("s_f", F.sum("s_gf").over(wf)).withColumn("n_f", F.sum("n_gf").over(wf))
-                 .withColumn("s", F.sum("s_gf").over(wt)).withColumn("n", F.sum("n_gf").over(wt)))
-    stats = stats.select(
-        group, fold, "target",
-        F.when(F.col("n_g") - F.col("n_gf") > 0,
-               (F.col("s_g") - F.col("s_gf")) / (F.col("n_g") - F.col("n_gf")))
-         .otherwise((F.col("s") - F.col("s_f")) / (F.col("n") - F.col("n_f"))).alias("pred"))
+
+    def inside(f):
+        return F.col(fold).eqNullSafe(F.lit(f))
+
+    # one row per (group, target): its whole sum and count, and those of each fold
+    cell = rows.groupBy(group, "target").agg(
+        F.sum("y").alias("s"), F.count("y").alias("n"),
+        F.array(*[F.struct(F.lit(f).cast(df.schema[fold].dataType).alias("f"), F.coalesce(F.sum(F.when(inside(f), F.col("y"))), F.lit(0.0)).alias("s"),
+                           F.count(F.when(inside(f), F.col("y"))).alias("n")) for f in folds]).alias("by_fold"))
+    # k x targets rows: training mean of every fold over all groups
+    flat = cell.select("target", F.explode("by_fold").alias("x")).groupBy("target", F.col("x.f").alias("f")).agg(
+        F.sum("x.s").alias("s_f"), F.sum("x.n").alias("n_f"))
+    both = flat.join(F.broadcast(flat.groupBy("target").agg(F.sum("s_f").alias("s_all"), F.sum("n_f").alias("n_all"))), "target")
+    overall = both.select(F.col("target").alias("_t"), F.col("f").alias("_f"),
+                          F.try_divide(F.col("s_all") - F.col("s_f"), F.col("n_all") - F.col("n_f")).alias("_mean"))
+    held = cell.select(group, "target", "s", "n", F.explode("by_fold").alias("x"))
+    stats = held.select(group, F.col("x.f").alias(fold), "target", F.try_divide(
+        F.col("s") - F.col("x.s"), F.col("n") - F.col("x.n")).alias("_own"))
+    stats = stats.join(F.broadcast(overall), (F.col("target") == F.col("_t")) & F.col(fold).eqNullSafe(F.col("_f")))
+    stats = stats.select(group, fold, "target", F.coalesce("_own", "_mean").alias("pred"))
     return join_small(rows, stats, [group, fold, "target"], null_safe=True)
 
 
+#: Most folds that a held-out statistic is expected to have.
+MAX_FOLDS = 1000
+
+
+def checked_folds(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
+    """``df``, with an error inside the query for a row whose fold is null or outside [0, k)."""
+    known = F.coalesce(F.col(fold).between(0, k - 1), F.lit(False))
+    return df.filter(F.when(known, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"oof: a row's fold is null or outside 0..{k - 1}")).cast("boolean")))
+
+
 # O1
 def oof(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
         predict: Callable[[object, DataFrame], DataFrame], fold: str = "fold",
         id_col: str | None = None) -> DataFrame:
     """General OOF: for each fold f, ``predict(fit(df[fold != f]), df[fold == f])``.
 
-    The pieces are appended by name.  With ``id_col`` the result is checked to
-    hold each id exactly once (raises inside the query otherwise).
+    The pieces are appended by name.  A row whose fold is null or outside [0, k)
+    is an error inside the query, as it would be in no piece.  With ``id_col`` the
+    result is checked to hold each id exactly once.
     """
     pieces = []
     for f in range(k):
         train, valid = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
+        if f == 0:                       # the first piece reads all rows: it checks their folds
+            valid = checked_folds(df, k, fold).filter(F.col(fold) == f)
         pieces.append(predict(fit(train), valid))
     out = union_all(pieces)
     if id_col is not None:
@@ -107,7 +132,8 @@ def _moments(df: DataFrame, features: str, targets: Sequence[str], fold: str, mu
     it in pieces of :data:`MOMENT_CHUNK` elements; Spark sums the pieces
     grouped by (fold, piece).  With d features a partial has about d * d
     numbers (360k at d = 600), so keying by piece spreads the sums over
-    k * pieces reducers instead of k.  The driver receives k summed vectors."""
+    k * pieces reducers instead of k.  The driver receives k summed vectors, whose
+    size is bounded by the model's width, not by the rows."""
     d, t = len(mu), len(nu)
     width = 1 + d + t + d * d + d * t
     cols = [fold, features, *targets]
@@ -223,10 +249,10 @@ def oof_ml(df: DataFrame, id_col: str, features: str, targets: Sequence[str], ma
            k: int, fold: str = "fold") -> DataFrame:
     """Fit a ``pyspark.ml`` regressor per (fold, target) on the other folds and
     predict the held-out fold; long (id, fold, target, y, pred).  The assembled
-    vectors are persisted once and reused by all k x t fits."""
-    from pyspark import StorageLevel
-    base = df.select(id_col, fold, array_to_vector(F.col(features)).alias("_features"),
-                     *[F.col(t).cast("double").alias(t) for t in targets]).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors are written to shared scratch storage and reread by all k x t fits; a
+    row whose fold is null or outside [0, k) is an error."""
+    base = written(checked_folds(df, k, fold).select(id_col, fold, array_to_vector(F.col(features)).alias("_features"),
+                                                     *[F.col(t).cast("double").alias(t) for t in targets]))
     pieces = []
     for f in range(k):
         train, valid = base.filter(F.col(fold) != f), base.filter(F.col(fold) == f)

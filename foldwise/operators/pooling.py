@@ -1,20 +1,19 @@
 """Pooling token vectors into document vectors (V1-V9).
 
-Input rows: (group keys, e.g. doc and layer; pos; mask 0/1; vec array<double>).
-Vectors stay arrays; no row is exploded per dimension and no group is
-collected into one task.  Two plans:
-
-* ``dims`` (vectors up to :data:`WIDE_DIM` elements): one hash aggregation
-  with one ``sum``/``max``/``min`` per element (``vec[i] * mask``), whole-stage
-  code generated, with map-side partial aggregation.  Measured on the
-  hidden-state fixture scaled to 1M rows x 64 dims: 1.9-3.8 s, against 4.5 s
-  for Summarizer and 9-11 s for explode-by-dimension.
-* ``summarizer`` (wider vectors): ``pyspark.ml.stat.Summarizer``, a JVM
-  aggregate over vectors, with the mask (or a softmax weight) as instance
-  weight; zero-weight rows are skipped before it.
-
-The vector width is the ``dim`` argument or is read from one row; every
-aggregation also checks that all rows have that width.
+Input rows: (group keys, e.g. doc and layer; pos; mask; vec array<double>).  No
+group is collected into one task.  One formula at all widths: a vector is cut
+into pieces of :data:`PIECE` elements, the rows of a (group, piece) go through
+one hash aggregation with one aggregate per element (code generated, partial
+aggregation on the map side), and a group's pieces are put together again.
+
+Rules, the same at all widths:
+* a row whose mask is 0 or null is hidden and never read, so a NaN there does
+  no harm; every other mask value is real (a weight for the mean);
+* a row with a null vector is hidden; a group without a vector gives null;
+* NaN in a real row follows Spark's order (above every number): the mean and the
+  maximum become NaN, the minimum only where all are;
+* layer weights may be negative or zero; weights that sum to 0 give null;
+* vectors of one group must have one width (an error inside the query).
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,105 +28,77 @@ from pyspark.sql import types as T
 from foldwise.constants import MASKED_MAX_FILL, MEAN_POOL_EPS
 from foldwise.plans.sizing import join_small
 
-# Widest vector pooled with one aggregate per element.
-WIDE_DIM = 256
+# Elements that one aggregation row holds.
+PIECE = 64
 
 
-def _width(df: DataFrame, vec: str, dim: int | None) -> int:
-    if dim is not None:
-        return int(dim)
-    row = df.select(F.size(vec).alias("n")).filter(F.col("n") >= 0).first()
-    return int(row["n"]) if row else 0
-
-
-def _use_dims(method: str, d: int) -> bool:
-    if method not in ("auto", "dims", "summarizer"):
-        raise ValueError(f"unknown method {method!r}")
-    return method == "dims" or (method == "auto" and d <= WIDE_DIM)
-
-
-def _dims_agg(df: DataFrame, by, vec: str, d: int, cell, extra=()) -> DataFrame:
-    """One aggregation: ``cell(i)`` for every element i, extra aggregates, and
-    the min/max width for the consistency check."""
-    aggs = [cell(i).alias(f"_e{i}") for i in range(d)]
-    aggs += list(extra) + [F.min(F.size(vec)).alias("_lo"), F.max(F.size(vec)).alias("_hi")]
-    return df.groupBy(*by).agg(*aggs)
-
-
-def _checked(arr: Column, d: int) -> Column:
-    ok = (F.col("_lo") == d) & (F.col("_hi") == d)
-    return F.when(ok, arr).otherwise(F.raise_error(F.lit(f"pooling: vectors are not all of width {d}")))
+def _pooled(df: DataFrame, by: Sequence[str], vec: str, cell, out: str, finish=None, extra=()) -> DataFrame:
+    """(by..., out): ``cell(x)`` aggregated for every element x of the vectors;
+    ``extra`` aggregates of the rows are added, and ``finish(array)`` makes the
+    result from the joined pieces and them."""
+    by = list(by)
+    width = F.size(vec)
+    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(width / PIECE).cast("int") - 1, F.lit(0)))
+    pieces = F.when(F.col(vec).isNotNull(), F.transform(cuts, lambda k: F.slice(vec, k * PIECE + 1, PIECE)))
+    rows = df.withColumn("_w", F.when(F.col(vec).isNotNull(), width)).select(
+        "*", F.posexplode_outer(pieces).alias("_k", "_p")).withColumn("_k", F.coalesce("_k", F.lit(0)))
+    per = rows.groupBy(*by, "_k").agg(*[cell(F.get("_p", F.lit(i))).alias(f"_e{i}") for i in range(PIECE)],
+                                      F.min("_w").alias("_lo"), F.max("_w").alias("_hi"), *extra)
+    part = F.slice(F.array(*[F.col(f"_e{i}") for i in range(PIECE)]), 1,
+                   F.least(F.lit(PIECE), F.greatest(F.col("_hi") - F.col("_k") * PIECE, F.lit(0))))
+    names = [c for c in per.columns if c not in by and c != "_k" and not c.startswith("_e")]
+    whole = per.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", part.alias("p")))).alias("_l"),
+                                 *[(F.min if c == "_lo" else F.max)(c).alias(c) for c in names])
+    arr = F.flatten(F.transform("_l", lambda x: x["p"]))
+    arr = F.when(F.col("_lo") == F.col("_hi"), arr if finish is None else finish(arr)).when(
+        F.col("_lo").isNotNull(), F.raise_error(F.lit("pooling: vectors of one group differ in width")))
+    return whole.select(*by, arr.alias(out))
 
 
-def _weighted(df: DataFrame, by: Sequence[str], vec: str, weight: Column, metric: str,
-              out: str) -> DataFrame:
-    """Summarizer ``metric`` of ``vec`` per group with instance weight ``weight``.
-    Zero-weight rows are dropped first; groups with no weighted row are absent."""
-    d = (df.select(*by, F.col(vec).alias("_a"), weight.cast("double").alias("_w"))
-           .filter(F.col("_w") != 0)
-           .select(*by, array_to_vector(F.col("_a")).alias("_v"), "_w"))
-    summ = Summarizer.metrics(metric)
-    agg = d.groupBy(*by).agg(summ.summary(F.col("_v"), F.col("_w")).alias("_s"))
-    return agg.select(*by, vector_to_array(F.col(f"_s.{metric}")).alias(out))
+def _real(mask: str, vec: str) -> Column:
+    return F.col(vec).isNotNull() & F.col(mask).isNotNull() & (F.col(mask) != 0)
 
 
-def _zeros_like(vec: Column) -> Column:
-    return F.transform(vec, lambda x: F.lit(0.0))
+def _divided(arr: Column, by: Column) -> Column:
+    """Elements over ``by``; null where ``by`` is 0."""
+    return F.when(by != 0, F.transform(arr, lambda x: x / by))
 
 
 # V1
 def mean_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
-              out: str = "pooled", dim: int | None = None, method: str = "auto") -> DataFrame:
+              out: str = "pooled") -> DataFrame:
     """sum(v * mask) / max(sum(mask), 1e-9); a group with no real token pools to zeros."""
-    by = list(by)
-    d = _width(df, vec, dim)
-    if _use_dims(method, d):
-        m = F.col(mask).cast("double")
-        g = _dims_agg(df, by, vec, d, lambda i: F.sum(F.col(vec)[i] * m), [F.sum(m).alias("_m")])
-        den = F.greatest(F.col("_m"), F.lit(MEAN_POOL_EPS))
-        return g.select(*by, _checked(F.array(*[F.col(f"_e{i}") / den for i in range(d)]), d).alias(out))
-    m = _weighted(df, by, vec, F.col(mask), "mean", out)
-    # zero vector for groups with nothing real: width taken from any row of the group
-    width = df.groupBy(*by).agg(F.first(F.col(vec), ignorenulls=True).alias("_any"))
-    j = join_small(width, m, by, how="left", null_safe=True)
-    return j.select(*by, F.coalesce(F.col(out), _zeros_like(F.col("_any"))).alias(out))
+    m = F.when(_real(mask, vec), F.col(mask).cast("double"))
+    d = df.withColumn("_m", m)
+    den = F.greatest(F.coalesce(F.col("_s"), F.lit(0.0)), F.lit(MEAN_POOL_EPS))
+    return _pooled(d, by, vec, lambda x: F.sum(F.when(F.col("_m").isNotNull(), x * F.col("_m"))), out,
+                   lambda arr: F.transform(arr, lambda x: F.coalesce(x, F.lit(0.0)) / den), [F.sum("_m").alias("_s")])
 
 
 # V2 / V3
 def max_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
-             out: str = "pooled", fill: float | None = MASKED_MAX_FILL, dim: int | None = None,
-             method: str = "auto") -> DataFrame:
+             out: str = "pooled", fill: float | None = MASKED_MAX_FILL) -> DataFrame:
     """Element-wise max over real positions.  A group with no real token gets
     ``fill`` in every element (the reference's -1e4) or null with ``fill=None``."""
-    return _extreme(df, by, vec, mask, out, "max", fill, dim, method)
+    return _extreme(df, by, vec, mask, out, F.max, fill)
 
 
 def min_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
-             out: str = "pooled", fill: float | None = None, dim: int | None = None,
-             method: str = "auto") -> DataFrame:
+             out: str = "pooled", fill: float | None = None) -> DataFrame:
     """Element-wise min over real positions (the true masked min; the
     reference fills hidden positions with +1e-4, see SURVEY D9).  A group
     with no real token gets ``fill`` (null by default)."""
-    return _extreme(df, by, vec, mask, out, "min", fill, dim, method)
+    return _extreme(df, by, vec, mask, out, F.min, fill)
 
 
-def _extreme(df, by, vec, mask, out, metric, fill, dim=None, method="auto"):
-    by = list(by)
-    d = _width(df, vec, dim)
-    if _use_dims(method, d):
-        fn = F.max if metric == "max" else F.min
-        real = F.col(mask) == 1
-        g = _dims_agg(df, by, vec, d, lambda i: fn(F.when(real, F.col(vec)[i])),
-                      [F.max(real.cast("int")).alias("_any")])
-        arr = F.array(*[F.col(f"_e{i}") for i in range(d)])
-        none = F.lit(None) if fill is None else F.array_repeat(F.lit(float(fill)), d)
-        return g.select(*by, _checked(F.when(F.col("_any") == 1, arr).otherwise(none), d).alias(out))
-    m = _weighted(df, by, vec, F.col(mask), metric, out)
-    width = df.groupBy(*by).agg(F.first(F.col(vec), ignorenulls=True).alias("_any"))
-    j = join_small(width, m, by, how="left", null_safe=True)
-    filled = F.col(out) if fill is None else F.coalesce(F.col(out), F.transform(
-        "_any", lambda x: F.lit(float(fill))))
-    return j.select(*by, filled.alias(out))
+def _extreme(df, by, vec, mask, out, fn, fill):
+    d = df.withColumn("_r", _real(mask, vec))
+
+    def finish(arr):
+        filled = F.lit(None).cast("array<double>") if fill is None else F.transform(arr, lambda x: F.lit(float(fill)))
+        return F.when(F.col("_any"), arr).otherwise(filled)
+
+    return _pooled(d, by, vec, lambda x: fn(F.when(F.col("_r"), x)), out, finish, [F.max("_r").alias("_any")])
 
 
 def pool(df: DataFrame, how: str = "mean", **kw) -> DataFrame:
@@ -139,43 +108,31 @@ def pool(df: DataFrame, how: str = "mean", **kw) -> DataFrame:
 
 # V4
 def attention_pool(df: DataFrame, score: str, by: Sequence[str] = ("doc",), vec: str = "vec",
-                   mask: str = "mask", out: str = "pooled", dim: int | None = None,
-                   method: str = "auto") -> DataFrame:
+                   mask: str = "mask", out: str = "pooled") -> DataFrame:
     """Softmax(score) over the real positions of each group, then sum(w * v).
     A group with no real position gives null (the reference's softmax gives NaN)."""
-    by = list(by)
-    real = F.col(mask) == 1
-    # the group's largest real score, by a window: the rows are shuffled once
-    # on the group keys and the aggregation below reuses that partitioning
-    # (a group is one document's positions)
+    real = _real(mask, vec)
+    # the group's largest real score by a window (a group is one document's positions)
     d = df.withColumn("_mx", F.max(F.when(real, F.col(score))).over(Window.partitionBy(*by)))
-    w = F.when(real, F.exp(F.col(score) - F.col("_mx"))).otherwise(F.lit(0.0))
-    width = _width(df, vec, dim)
-    if _use_dims(method, width):
-        g = _dims_agg(d, by, vec, width, lambda i: F.sum(F.col(vec)[i] * w), [F.sum(w).alias("_ws")])
-        arr = F.array(*[F.col(f"_e{i}") / F.col("_ws") for i in range(width)])
-        return g.select(*by, _checked(F.when(F.col("_ws") > 0, arr), width).alias(out))
-    pooled = _weighted(d, by, vec, w, "mean", out)
-    return join_small(df.select(*by).distinct(), pooled, by, how="left", null_safe=True)
+    d = d.withColumn("_sw", F.when(real, F.exp(F.col(score) - F.col("_mx"))))
+    return _pooled(d, by, vec, lambda x: F.sum(F.when(F.col("_sw").isNotNull(), x * F.col("_sw"))), out,
+                   lambda arr: _divided(arr, F.col("_ws")), [F.sum("_sw").alias("_ws")])
 
 
 # V5
 def pool_layers(df: DataFrame, start: int = 8, weights: Sequence[float] | None = None,
                 by: Sequence[str] = ("doc", "pos"), layer: str = "layer", vec: str = "vec",
-                out: str = "pooled", dim: int | None = None, method: str = "auto") -> DataFrame:
-    """Weighted average of layers ``start..`` (weights default to 1) per token."""
-    d = df.filter(F.col(layer) >= start)
-    if weights is None:
-        w = F.lit(1.0)
-    else:
+                out: str = "pooled") -> DataFrame:
+    """Weighted average of layers ``start..`` (weights default to 1) per token.
+    Weights are free parameters: negative ones are taken as they are."""
+    d = df.filter((F.col(layer) >= start) & F.col(vec).isNotNull())
+    w = F.lit(1.0)
+    if weights is not None:
         wmap = F.create_map(*[x for i, wt in enumerate(weights) for x in (F.lit(start + i), F.lit(float(wt)))])
         w = F.coalesce(F.try_element_at(wmap, F.col(layer)), F.raise_error(F.lit("pool_layers: no weight")))
-    width = _width(d, vec, dim)
-    if _use_dims(method, width):
-        g = _dims_agg(d, list(by), vec, width, lambda i: F.sum(F.col(vec)[i] * w), [F.sum(w).alias("_ws")])
-        arr = F.array(*[F.col(f"_e{i}") / F.col("_ws") for i in range(width)])
-        return g.select(*by, _checked(arr, width).alias(out))
-    return _weighted(d, list(by), vec, w, "mean", out)
+    d = d.withColumn("_lw", w.cast("double"))
+    return _pooled(d, by, vec, lambda x: F.sum(x * F.col("_lw")), out,
+                   lambda arr: _divided(arr, F.col("_ws")), [F.sum("_lw").alias("_ws")])
 
 
 # V6
@@ -212,21 +169,12 @@ def softmax_over(df: DataFrame, partition: Sequence[str], value: str = "value",
 
 # V8
 def word_mean(df: DataFrame, by: Sequence[str] = ("doc",), word: str = "word_id", vec: str = "vec",
-              out: str = "vec", dim: int | None = None, method: str = "auto") -> DataFrame:
+              out: str = "vec") -> DataFrame:
     """Each token of a word gets the mean vector of the word's tokens; tokens with
-    word id -1 keep their vector."""
+    word id -1 (or null) keep their vector."""
     by = list(by)
-    width = _width(df, vec, dim)
-    if _use_dims(method, width):
-        # one window over (group, word): the rows shuffle once and no join is
-        # needed; a window holds one word's tokens (or a document's specials)
-        wnd = Window.partitionBy(*by, word)
-        d = df.withColumns({"_lo": F.min(F.size(vec)).over(wnd), "_hi": F.max(F.size(vec)).over(wnd)})
-        d = d.withColumn("_wm", _checked(F.array(*[F.avg(F.col(vec)[i]).over(wnd) for i in range(width)]), width))
-        return (d.withColumn(out, F.when(F.col(word) >= 0, F.col("_wm")).otherwise(F.col(vec)))
-                 .drop("_wm", "_lo", "_hi"))
-    words = df.filter(F.col(word) >= 0)
-    means = _weighted(words, [*by, word], vec, F.lit(1.0), "mean", "_wm")
+    words = df.filter(F.col(word) >= 0).withColumn("_one", F.lit(1))
+    means = mean_pool(words, [*by, word], vec, "_one", "_wm")
     j = join_small(df, means, [*by, word], how="left", null_safe=True)
     return j.withColumn(out, F.when(F.col(word) >= 0, F.col("_wm")).otherwise(F.col(vec))).drop("_wm")
 

@@ -20,9 +20,6 @@ from pyspark.sql import types as T
 from foldwise.operators.columns import with_ordinal
 from foldwise.plans.sizing import join_small
 
-# Above this many codes a label table is joined instead of inlined as a map.
-INLINE_CODES_MAX = 10_000
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -115,13 +112,10 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, keys: Sequence[str], un
            out: str = "ids") -> DataFrame:
     """Token ids per row, long form (keys..., pos, id); unknown tokens get ``unknown``.
 
-    The vocabulary is counted: up to ``MAX_BROADCAST_ROWS`` entries it is
-    broadcast, so the token rows are not shuffled and a very frequent token
-    costs nothing extra.  A larger vocabulary is a shuffle join whose hot
-    keys adaptive execution splits (skew join)."""
+    A plain null-safe join: adaptive execution broadcasts a vocabulary whose measured bytes are
+    small, and splits the rows of a very frequent token otherwise (skew join)."""
     longer = df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
-    v = vocab.select("token", "id")
-    j = join_small(longer, v, ["token"], how="left", bound=v.count())
+    j = join_small(longer, vocab.select("token", "id"), ["token"], how="left", null_safe=True)
     return j.select(*keys, F.col("pos").cast("int").alias("pos"),
                     F.coalesce(F.col("id"), F.lit(unknown)).alias(out))
 
@@ -164,36 +158,28 @@ def fit_labels(df: DataFrame, col: str) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, col: str, codes: DataFrame, out: str | None = None,
-                  inline_max: int = INLINE_CODES_MAX) -> DataFrame:
+                  keys: Sequence[str] = ()) -> DataFrame:
     """Replace a label (scalar column) or every label of a list column by its
-    code; an unseen label raises.
+    code; an unseen label raises, a null label is a label like any other (it has
+    a code if the table was fitted on nulls).
 
-    A code table of at most ``inline_max`` rows (checked by counting it) is
-    inlined as a map literal, so the column is encoded in place with no join.
-    A larger table is joined: a scalar column directly; a list column by its
-    (row, position) pairs, regrouped per row (a group is one row's list)."""
+    Always a null-safe join, whose smaller side adaptive execution broadcasts by
+    measured bytes.  A list column needs ``keys``, the columns that identify a
+    row: its (row, position) pairs are joined and regrouped (a group is one
+    row's list)."""
     out = out or col
-    is_list = isinstance(df.schema[col].dataType, T.ArrayType)
-    n = codes.count()
-    if n <= inline_max:
-        pairs = codes.orderBy("code").collect()
-        m = F.create_map(*[x for r in pairs for x in (F.lit(r["label"]), F.lit(r["code"]))])
-
-        def look(x):
-            return F.coalesce(F.try_element_at(m, x),
-                              F.raise_error(F.concat(F.lit("unseen label "), x.cast("string"))).cast("int"))
-
-        return df.withColumn(out, F.transform(col, look) if is_list else look(F.col(col)))
     seen = lambda c: F.when(c.isNull(), F.raise_error(F.lit("unseen label")).cast("int")).otherwise(c)
     cd = codes.select(F.col("label").alias("_lab"), F.col("code").alias("_code"))
-    if not is_list:
+    if not isinstance(df.schema[col].dataType, T.ArrayType):
         j = df.join(cd, df[col].eqNullSafe(cd["_lab"]), "left")
         return j.withColumn(out, seen(F.col("_code"))).drop("_lab", "_code")
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    longer = rows.select("_row", F.posexplode(col).alias("_p", "_lab"))
-    coded = longer.join(cd, "_lab", "left")
-    back = coded.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", seen(F.col("_code")).alias("c"))))
-                                     .alias("_l"))
-    back = back.select("_row", F.transform("_l", lambda x: x["c"]).alias("_enc"))
-    j = rows.join(back, "_row", "left")
-    return j.withColumn(out, F.coalesce(F.col("_enc"), F.array().cast("array<int>"))).drop("_row", "_enc")
+    keys = list(keys)
+    if not keys:
+        raise ValueError("encode_labels: a list column needs the row's key columns")
+    longer = df.select(*keys, F.posexplode(col).alias("_p", "_l"))
+    coded = longer.join(cd, longer["_l"].eqNullSafe(cd["_lab"]), "left").select(*keys, "_p", seen(F.col("_code")).alias("_code"))
+    back = coded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_code"))).alias("_l"))
+    back = back.select(*keys, F.transform("_l", lambda x: x["_code"]).alias("_enc"))
+    j = join_small(df, back, keys, how="left", null_safe=True)
+    none = F.when(F.col(col).isNotNull(), F.array().cast("array<int>"))
+    return j.withColumn(out, F.coalesce(F.col("_enc"), none)).drop("_enc")

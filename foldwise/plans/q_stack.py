@@ -176,7 +176,7 @@ SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC,
 FROM documents""")
 def p5_ordinal_by_group(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return P.with_ordinal(d, [F.col("n_chars").desc(), "doc_id"], by=["lang"]).select("doc_id", "lang", "ordinal")
+    return P.with_ordinal(d, [("n_chars", "desc"), "doc_id"], by=["lang"]).select("doc_id", "lang", "ordinal")
 
 
 @register("p5_global_ordinal", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS ordinal FROM events")

@@ -205,7 +205,7 @@ def t13_list_codes(spark, sf_dir):
         "doc_id", F.transform(F.split("text", " "), lambda w: F.concat(F.lit("L"), (F.length(w) % 8).cast("string")))
         .alias("labels"))
     codes = K.fit_labels(d, "labels")
-    enc = K.encode_labels(d, "labels", codes)
+    enc = K.encode_labels(d, "labels", codes, keys=["doc_id"])
     return S.positions(enc, ["doc_id"], ["labels"]).select("doc_id", "pos", F.col("labels").cast("int").alias("code"))
 
 

@@ -36,5 +36,5 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
         return big.join(small, on, how)
     ren = {c: f"_r_{c}" for c in on}
     right = small.withColumnsRenamed(ren)
-    cond = reduce(lambda a, b: a & b, [big[c].eqNullSafe(right[ren[c]]) for c in on])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(ren[c])) for c in on])
     return big.join(right, cond, how).drop(*ren.values())

@@ -6,7 +6,7 @@ CSV files carry quoted multi-line text: read and write with ``multiLine`` and
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from foldwise.constants import TARGETS
 from foldwise.operators.columns import with_ordinal as _number_rows
+from foldwise.plans.scratch import scratch_dir, written
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
@@ -27,14 +28,6 @@ def essay_schema(targets: Sequence[str] = TARGETS, with_fold: bool = False) -> T
     return T.StructType(fields)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder in shared storage: under the session's checkpoint
-    directory, else under the warehouse directory.  Never machine-local temp."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
-        or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/foldwise-scratch/{uuid.uuid4().hex}"
-
-
 # S1
 def read_essays(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with header and quoted multi-line text, typed by ``schema`` (no inference)."""
@@ -70,12 +63,15 @@ def read_tagged(spark: SparkSession, paths: Sequence[str], fmt: str | None = Non
     elif fmt == "csv":
         reader = reader.option("inferSchema", "true")
     df = reader.format(fmt).load(paths)
-    # file paths become URIs (file:/..., hdfs://...): match on the path suffix
+    # both sides as plain paths: no scheme or authority, %xx escapes decoded
+    found = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
     idx = F.lit(None).cast("int")
-    fname = F.col("_metadata.file_path")
-    cleaned = [(i, p.rstrip("/").split(":", 1)[-1].lstrip("/")) for i, p in enumerate(paths)]
+    cleaned = [(i, re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/")) for i, p in enumerate(paths)]
     for i, c in sorted(cleaned, key=lambda ic: len(ic[1])):     # longer paths checked last win
-        hit = F.endswith(fname, F.lit(c)) | (F.instr(fname, F.lit(c + "/")) > 0)
+        if c.startswith("/"):
+            hit = (found == c) | F.startswith(found, F.lit(c + "/"))
+        else:                                                   # relative: below the working directory
+            hit = F.endswith(found, F.lit("/" + c)) | (F.instr(found, F.lit("/" + c + "/")) > 0)
         idx = F.when(hit, F.lit(i)).otherwise(idx)
     return df.withColumn(tag, F.coalesce(idx, F.raise_error(F.lit("read_tagged: unknown file")).cast("int")))
 
@@ -113,6 +109,11 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 # S8
 def run_missing(spark: SparkSession, keys: DataFrame, out_path: str,
                 fn: Callable[[DataFrame], DataFrame], key_cols: Sequence[str]) -> DataFrame:
@@ -123,19 +124,16 @@ def run_missing(spark: SparkSession, keys: DataFrame, out_path: str,
     is appended partitioned by the key columns (dynamic partition overwrite,
     so a unit is replaced whole).  Returns the missing keys that were run."""
     key_cols = list(key_cols)
-    try:
-        done = spark.read.parquet(out_path).select(*key_cols).distinct()
+    # the keys' own types, not inferred ones: "1" and "01" are two units
+    schema = T.StructType([T.StructField(c, keys.schema[c].dataType) for c in key_cols])
+    missing = keys
+    if _exists(spark, out_path):
+        done = spark.read.schema(schema).parquet(out_path).select(*key_cols).distinct()
         missing = keys.join(done, key_cols, "left_anti")
-    except Exception as e:  # no output yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        missing = keys
     # The output is read (finished keys) and then overwritten: the missing
     # keys are written to shared scratch storage first, which cuts their
     # lineage to the output (nothing passes through the driver).
-    tmp = scratch_dir(spark)
-    missing.write.parquet(tmp)
-    missing = spark.read.parquet(tmp)
+    missing = written(missing)
     if missing.isEmpty():
         return missing
     result = fn(missing)

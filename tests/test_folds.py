@@ -121,3 +121,48 @@ def test_batches_match_direct_form_on_random_groups(spark, drop_last):
         counts = {r["run"]: r["batches"] for r in B.batch_counts(df, size, drop_last, by=["run"]).collect()}
         assert counts == {g: (len([r for r in rows if r[1] == g]) // size if drop_last
                               else -(-len([r for r in rows if r[1] == g]) // size)) for g in {r[1] for r in rows}}
+
+
+def test_quota_folds_with_null_labels(spark):
+    rows = [(i, None if i % 7 == 0 else f"s{i % 5}", None if i % 11 == 0 else i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, s string, x int")
+    f = K.stratified_folds(df, "id", ["s", "x"])
+    assert sorted(r["id"] for r in f.collect()) == list(range(500))
+    sizes = [r["n"] for r in K.fold_sizes(f).collect()]
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 2
+    for t in ("s", "x"):
+        per = f.groupBy(t).pivot("fold", list(range(5))).count().fillna(0).collect()
+        assert all(max(r[str(i)] for i in range(5)) - min(r[str(i)] for i in range(5)) <= 5 for r in per)
+
+
+def test_quota_folds_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 16)
+    monkeypatch.setattr(K, "FANOUT", 3)
+    rows = [(i, (i * 7919) % 61, (i * 104729) % 13, i % 2) for i in range(2000)]
+    f = K.stratified_folds(spark.createDataFrame(rows, "id int, a int, b int, c int"), "id", ["a", "b", "c"])
+    got = f.collect()
+    assert sorted(r["id"] for r in got) == list(range(2000)) and {r["fold"] for r in got} == set(range(5))
+    sizes = [r["n"] for r in K.fold_sizes(f).collect()]
+    assert max(sizes) - min(sizes) <= 2
+    per = f.groupBy("c").pivot("fold", list(range(5))).count().collect()
+    assert all(max(r[str(i)] for i in range(5)) - min(r[str(i)] for i in range(5)) <= 5 for r in per)
+
+
+def test_with_ordinal_ties_and_descending(spark):
+    df = spark.createDataFrame([(i, i % 4, None if i == 9 else i % 3) for i in range(40)], "id int, g int, x int")
+    tied = P.with_ordinal(df, ["x"], by=["g"]).collect()
+    for g in range(4):
+        mine = sorted((r["ordinal"], -1 if r["x"] is None else r["x"]) for r in tied if r["g"] == g)
+        assert [o for o, _ in mine] == list(range(10)) and [x for _, x in mine] == sorted(x for _, x in mine)
+    down = {r["id"]: r["ordinal"] for r in P.with_ordinal(df, [("id", "desc")]).collect()}
+    assert down == {i: 39 - i for i in range(40)}
+
+
+def test_hashed_ordinal_equals_the_general_one(spark):
+    from foldwise.functions.hashing import seeded_key
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(300)], "id int, g int").withColumn("k", seeded_key(1, "id"))
+    a = {r["id"]: r["ordinal"] for r in P.with_hashed_ordinal(df, "k", ["id"], by=["g"], across=True).collect()}
+    b = {r["id"]: r["ordinal"] for r in P.with_ordinal(df, ["g", "k", "id"]).collect()}
+    c = {r["id"]: r["ordinal"] for r in P.with_hashed_ordinal(df, "k", ["id"], by=["g"], start=1).collect()}
+    d = {r["id"]: r["ordinal"] for r in P.with_ordinal(df, ["k", "id"], by=["g"], start=1).collect()}
+    assert a == b and c == d

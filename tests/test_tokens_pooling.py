@@ -25,13 +25,15 @@ def test_trim_sum_vs_last_with_hole(spark):
 
 
 def test_label_codes_unseen_raises(spark):
-    train = spark.createDataFrame([(["b", "a"],), (["c"],)], "l array<string>")
+    train = spark.createDataFrame([(1, ["b", "a"]), (2, ["c"])], "id int, l array<string>")
     codes = K.fit_labels(train, "l")
     assert {r["label"]: r["code"] for r in codes.collect()} == {"a": 0, "b": 1, "c": 2}
-    assert K.encode_labels(train, "l", codes).first()["l"] == [1, 0]
-    bad = spark.createDataFrame([(["a", "zz"],)], "l array<string>")
-    with pytest.raises(Exception):
-        K.encode_labels(bad, "l", codes).collect()
+    assert K.encode_labels(train, "l", codes, keys=["id"]).where("id = 1").first()["l"] == [1, 0]
+    bad = spark.createDataFrame([(1, ["a", "zz"])], "id int, l array<string>")
+    with pytest.raises(Exception, match="unseen label"):
+        K.encode_labels(bad, "l", codes, keys=["id"]).collect()
+    with pytest.raises(ValueError):
+        K.encode_labels(bad, "l", codes)
 
 
 def test_spans_only_ignored_labels(spark):
@@ -98,18 +100,18 @@ def test_layers_weighted(spark):
     assert V.pool_layers(df, start=1, weights=[1.0, 2.0]).first()["pooled"] == [5.0]
 
 
-def test_encode_labels_join_path_matches_inline(spark):
-    lists = spark.createDataFrame([(1, ["b", "a", "c"]), (2, []), (3, ["c", "c"])], "id int, l array<string>")
+def test_encode_labels_lists_scalars_and_nulls(spark):
+    rows = [(1, ["b", "a", None]), (2, []), (3, ["c", "c"]), (None, ["a"]), (4, None)]
+    lists = spark.createDataFrame(rows, "id int, l array<string>")
     codes = K.fit_labels(lists, "l")
-    inline = {r["id"]: r["l"] for r in K.encode_labels(lists, "l", codes).collect()}
-    joined = {r["id"]: r["l"] for r in K.encode_labels(lists, "l", codes, inline_max=0).collect()}
-    assert inline == joined == {1: [1, 0, 2], 2: [], 3: [2, 2]}
-    scalars = spark.createDataFrame([(1, "b"), (2, "a")], "id int, s string")
+    code = {r["label"]: r["code"] for r in codes.collect()}
+    assert sorted(code, key=lambda x: (x is not None, x)) == [None, "a", "b", "c"] and sorted(code.values()) == [0, 1, 2, 3]
+    # a list column encoded after a repartition: rows are told apart by their keys
+    got = {r["id"]: r["l"] for r in K.encode_labels(lists.repartition(5), "l", codes, keys=["id"]).collect()}
+    assert got == {i: None if v is None else [code[x] for x in v] for i, v in rows}
+    scalars = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, s string")
     sc = K.fit_labels(scalars, "s")
-    assert {r["id"]: r["s"] for r in K.encode_labels(scalars, "s", sc, inline_max=0).collect()} == {1: 1, 2: 0}
-    bad = spark.createDataFrame([(1, ["a", "zz"])], "id int, l array<string>")
-    with pytest.raises(Exception):
-        K.encode_labels(bad, "l", codes, inline_max=0).collect()
+    assert {r["id"]: r["s"] for r in K.encode_labels(scalars, "s", sc).collect()} == {3: 0, 2: 1, 1: 2}
 
 
 def _python_targets(word_ids, labels, ignore=7):
@@ -184,8 +186,8 @@ def test_trim_batch_of_empty_masks(spark):
         assert got == {1: ([], []), 2: ([], []), 3: ([], [])}, how
 
 
-@pytest.mark.parametrize("method", ["dims", "summarizer"])
-def test_pooling_matches_numpy_on_random_groups(spark, method):
+@pytest.mark.parametrize("width", [1, 4, 64, 65, 300])
+def test_pooling_matches_numpy_on_random_groups(spark, width):
     import math
     import random
     rnd = random.Random(21)
@@ -193,7 +195,7 @@ def test_pooling_matches_numpy_on_random_groups(spark, method):
     for doc in range(25):
         for pos in range(rnd.randint(1, 7)):
             mask = 0 if doc % 6 == 0 else rnd.choice([0, 1, 1])      # every 6th doc fully masked
-            rows.append((doc, pos, mask, [round(rnd.uniform(-3, 3), 3) for _ in range(4)], rnd.uniform(-2, 2)))
+            rows.append((doc, pos, mask, [round(rnd.uniform(-3, 3), 3) for _ in range(width)], rnd.uniform(-2, 2)))
     df = spark.createDataFrame(rows, "doc int, pos int, mask int, vec array<double>, s double")
     by_doc = {}
     for doc, pos, m, v, s in rows:
@@ -204,15 +206,15 @@ def test_pooling_matches_numpy_on_random_groups(spark, method):
             return a is None and b is None
         return all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b))
 
-    mean = {r["doc"]: r["pooled"] for r in V.mean_pool(df, method=method).collect()}
-    mx = {r["doc"]: r["pooled"] for r in V.max_pool(df, method=method).collect()}
-    mn = {r["doc"]: r["pooled"] for r in V.min_pool(df, method=method).collect()}
-    att = {r["doc"]: r["pooled"] for r in V.attention_pool(df, "s", method=method).collect()}
+    mean = {r["doc"]: r["pooled"] for r in V.mean_pool(df).collect()}
+    mx = {r["doc"]: r["pooled"] for r in V.max_pool(df).collect()}
+    mn = {r["doc"]: r["pooled"] for r in V.min_pool(df).collect()}
+    att = {r["doc"]: r["pooled"] for r in V.attention_pool(df, "s").collect()}
     for doc, items in by_doc.items():
         real = [(v, s) for m, v, s in items if m == 1]
         vs = np.stack([v for v, _ in real]) if real else None
-        assert close(mean[doc], list(vs.mean(0)) if real else [0.0] * 4), doc
-        assert close(mx[doc], list(vs.max(0)) if real else [-1e4] * 4), doc
+        assert close(mean[doc], list(vs.mean(0)) if real else [0.0] * width), doc
+        assert close(mx[doc], list(vs.max(0)) if real else [-1e4] * width), doc
         assert close(mn[doc], list(vs.min(0)) if real else None), doc
         if real:
             sc = np.array([s for _, s in real])
@@ -222,16 +224,39 @@ def test_pooling_matches_numpy_on_random_groups(spark, method):
             assert att[doc] is None, doc
 
 
-def test_word_mean_window_equals_summarizer_and_numpy(spark):
+@pytest.mark.parametrize("width", [3, 130])
+def test_word_mean_equals_numpy(spark, width):
     import random
     rnd = random.Random(4)
     rows = []
     for doc in range(12):
         for pos in range(rnd.randint(1, 9)):
-            rows.append((doc, pos, rnd.choice([-1, 0, 1, 1, 2, 3]), [round(rnd.uniform(-2, 2), 3) for _ in range(3)]))
+            rows.append((doc, pos, rnd.choice([-1, 0, 1, 1, 2, 3]), [round(rnd.uniform(-2, 2), 3) for _ in range(width)]))
     df = spark.createDataFrame(rows, "doc int, pos int, word_id int, vec array<double>")
-    a = {(r["doc"], r["pos"]): r["vec"] for r in V.word_mean(df, method="dims").collect()}
-    b = {(r["doc"], r["pos"]): r["vec"] for r in V.word_mean(df, method="summarizer").collect()}
+    got = {(r["doc"], r["pos"]): r["vec"] for r in V.word_mean(df).collect()}
     for doc, pos, w, v in rows:
         want = v if w < 0 else list(np.mean([x for d, _, ww, x in rows if d == doc and ww == w], axis=0))
-        assert np.allclose(a[(doc, pos)], want) and np.allclose(b[(doc, pos)], want), (doc, pos)
+        assert np.allclose(got[(doc, pos)], want), (doc, pos)
+
+
+@pytest.mark.parametrize("width", [4, 300])
+def test_pooling_rules_do_not_depend_on_the_width(spark, width):
+    import math
+    nan = float("nan")
+    rows = [("hidden nan", 0, [nan] * width), ("hidden nan", 1, [1.0] * width), ("real nan", 1, [nan] * width), ("real nan", 1, [1.0] * width),
+            ("mask 2", 2, [5.0] * width), ("mask 2", 1, [2.0] * width), ("null vector", 1, None), ("null vector", 1, [1.0] * width),
+            ("null mask", None, [9.0] * width), ("null mask", 1, [1.0] * width), ("no vector", 1, None), ("all hidden", 0, [3.0] * width)]
+    df = spark.createDataFrame(rows, "doc string, mask int, vec array<double>")
+    mean, mx, mn = ({r["doc"]: r["pooled"] for r in f(df).collect()} for f in (V.mean_pool, V.max_pool, V.min_pool))
+    for out, one in ((mean, [1.0] * width), (mx, [1.0] * width), (mn, [1.0] * width)):
+        assert out["hidden nan"] == out["null vector"] == out["null mask"] == one and out["no vector"] is None
+    assert all(map(math.isnan, mean["real nan"])) and all(map(math.isnan, mx["real nan"])) and mn["real nan"] == [1.0] * width
+    assert mean["mask 2"] == [4.0] * width and mx["mask 2"] == [5.0] * width and mn["mask 2"] == [2.0] * width
+    assert mean["all hidden"] == [0.0] * width and mx["all hidden"] == [-1e4] * width and mn["all hidden"] is None
+    layers = spark.createDataFrame([(1, 0, 0, [1.0] * width), (1, 0, 1, [3.0] * width)], "doc int, pos int, layer int, vec array<double>")
+    assert V.pool_layers(layers, 0, [-1.0, 3.0]).first()["pooled"] == [4.0] * width
+    assert V.pool_layers(layers, 0, [0.0, 0.0]).first()["pooled"] is None
+    mixed = spark.createDataFrame([(1, 1, [1.0] * width), (1, 1, [1.0] * (width + 1))], "doc int, mask int, vec array<double>")
+    with pytest.raises(Exception, match="differ in width"):
+        V.mean_pool(mixed).collect()
+
