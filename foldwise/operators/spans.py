@@ -1,10 +1,10 @@
 """Token -> word alignment and span labels.
 
-Everything is an array expression evaluated inside the row of its document:
-no explode, no window and no regrouping, so there is no shuffle and a long
-text costs time linear in its token count.  The label cursor (the n-th word
-start takes the n-th label) is built from the start positions: each start
-opens a segment ``[label_k, null, ...]`` that runs up to the next start.
+Everything happens inside the row of its document: no explode, no window and
+no regrouping, so there is no shuffle and a long text costs time linear in its
+token count.  Word ids and starts are array expressions; labels are aligned and
+scattered in Arrow batches, where the running count of word starts indexes the
+labels (the n-th word start takes the n-th label).
 :func:`positions` turns the arrays into long rows at the edge.
 """
 
@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,37 +58,32 @@ def word_starts(df: DataFrame, ids: str = "word_ids", out: str = "word_start") -
     return df.withColumn(out, word_starts_expr(ids))
 
 
-def _null_free(df: DataFrame, col: str) -> bool:
-    """True when the schema says the array holds no nulls (T9 already applied)."""
-    t = df.schema[col].dataType
-    return isinstance(t, T.ArrayType) and not t.containsNull
-
-
 # T11
-def start_positions(starts) -> Column:
-    """0-based positions of the true entries of a boolean array, in order."""
-    return F.filter(F.transform(_c(starts), lambda s, i: F.when(s, i).otherwise(F.lit(-1))),
-                    lambda x: x >= 0)
-
-
-def labels_at_starts(starts, labels, elem: T.DataType, sp=None) -> Column:
-    """Array as long as ``starts``: the k-th word start holds ``labels[k]``
-    (null when there are fewer labels), every other position null.
-
-    ``elem`` is the label type (a null of it fills the gaps); ``sp`` the
-    start positions if they are already a column (they are used five times)."""
-    starts, labels = _c(starts), _c(labels)
-    none = F.lit(None).cast(elem)
-    n = F.size(starts)
-    sp = start_positions(starts) if sp is None else _c(sp)
-    m = F.size(sp)
-    # each start with the position of the following start (or the array end)
-    # and its label; arrays_zip pads missing labels with null
-    z = F.arrays_zip(sp.alias("p"), F.slice(F.concat(sp, F.array(n)), 2, m).alias("q"),
-                     F.slice(labels, 1, m).alias("l"))
-    segs = F.transform(z, lambda e: F.concat(F.array(e["l"]), F.array_repeat(none, e["q"] - e["p"] - 1)))
-    first = F.coalesce(F.try_element_at(sp, F.lit(1)), n)
-    return F.concat(F.array_repeat(none, first), F.flatten(segs))
+def _aligned(ids: pa.Array, labels: pa.Array, soft: bool, ignore_class: int, threshold: float):
+    """ids (nulls as -1), word_start, label and flag of a batch, over flattened
+    values: the running count of word starts in a document indexes its labels."""
+    ids = ids.cast(pa.list_(pa.int32()))
+    at = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    word = pc.fill_null(ids.flatten(), SPECIAL_WORD_ID)
+    w = word.to_numpy(zero_copy_only=False)
+    size = np.diff(at)
+    first = np.zeros(len(w), bool)
+    first[at[:-1][size > 0]] = True
+    start = (w > -1) & (first | np.concatenate([[True], w[1:] != w[:-1]])[:len(w)])
+    count = np.concatenate([[0], np.cumsum(start)])
+    cursor = count[1:] - 1 - np.repeat(count[at[:-1]], size)
+    have = pc.fill_null(pc.list_value_length(labels), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(have) - have
+    known = start & (cursor < np.repeat(have, size))
+    index = pa.array(np.where(known, cursor + np.repeat(begin, size), 0), mask=~known)
+    flat = labels.flatten()
+    label = flat.take(index) if len(flat) else pa.nulls(len(w), flat.type)
+    score = label if not soft else pc.list_element(pc.if_else(pc.greater(pc.fill_null(pc.list_value_length(label), 0), 0), label, None), 0)
+    keep = pc.greater(score, threshold) if soft else pc.not_equal(score, pa.scalar(ignore_class, score.type))
+    flag = pc.and_(pa.array(start), pc.fill_null(keep, False))
+    offsets = pa.array(at.astype(np.int32))
+    null = ids.is_null()
+    return [pa.ListArray.from_arrays(offsets, x, mask=null) for x in (word, pa.array(start), label, flag)]
 
 
 def align_labels(df: DataFrame, ids: str = "word_ids", labels: str = "labels",
@@ -97,20 +95,20 @@ def align_labels(df: DataFrame, ids: str = "word_ids", labels: str = "labels",
     The n-th word start takes the n-th label (the cursor counts every word
     start, also those whose label is ignored).  ``flag``: word start and label
     not the ignore class (hard) or first probability above ``threshold`` (soft).
+    One Arrow pass, vectorised across the documents of a batch; no shuffle.
     """
     elem = df.schema[labels].dataType.elementType
-    d = df if _null_free(df, ids) else df.withColumn(ids, word_ids_expr(ids))
-    d = d.withColumn("word_start", word_starts_expr(ids))
-    # a column of its own: referenced several times, so it is not inlined
-    d = d.withColumn("_sp", start_positions("word_start"))
-    d = d.withColumn("label", labels_at_starts("word_start", labels, elem, sp="_sp")).drop("_sp")
-    if soft:
-        keep = lambda s, lab: s & (lab[0] > threshold)
-    else:
-        keep = lambda s, lab: s & (lab != ignore_class)
-    d = d.withColumn("flag", F.zip_with("word_start", "label",
-                                        lambda s, lab: F.coalesce(keep(s, lab), F.lit(False))))
-    return d.drop(labels)
+    keep = [c for c in df.columns if c not in (ids, labels, "word_start", "label", "flag")]
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(ids, T.ArrayType(T.IntegerType())),
+                           T.StructField("word_start", T.ArrayType(T.BooleanType())), T.StructField("label", T.ArrayType(elem)),
+                           T.StructField("flag", T.ArrayType(T.BooleanType()))])
+
+    def run(batches):
+        for b in batches:
+            new = _aligned(b.column(ids), b.column(labels), soft, ignore_class, threshold)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 # T12
@@ -120,10 +118,20 @@ def scatter_target(aligned: DataFrame, soft: bool = False, width: int | None = N
     row of -100)."""
     if soft:
         fill = F.array_repeat(F.lit(float(IGNORE_INDEX)), width)
-    else:
-        fill = F.lit(IGNORE_INDEX)
-    return aligned.withColumn(out, F.zip_with("flag", "label",
-                                              lambda f, lab: F.when(f, lab).otherwise(fill)))
+        return aligned.withColumn(out, F.zip_with("flag", "label", lambda f, lab: F.when(f, lab).otherwise(fill)))
+    keep = [c for c in aligned.columns if c != out]
+    schema = T.StructType([*[aligned.schema[c] for c in keep], T.StructField(out, aligned.schema["label"].dataType)])
+
+    def run(batches):
+        for b in batches:
+            flag, label = b.column("flag"), b.column("label")
+            flat = label.flatten()
+            values = pc.if_else(pc.fill_null(flag.flatten(), False), flat, pa.scalar(IGNORE_INDEX, flat.type))
+            at = label.offsets.to_numpy()
+            target = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), values, mask=label.is_null())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), target], names=schema.names)
+
+    return aligned.mapInArrow(run, schema)
 
 
 def positions(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pos: str = "pos") -> DataFrame:

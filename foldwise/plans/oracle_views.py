@@ -39,7 +39,6 @@ HIDDEN = ("hidden AS (SELECT CAST(floor(vec_id / 40) AS BIGINT) AS doc, "
           "CAST(CASE WHEN vec_id % 10 < label % 8 + 3 THEN 1 ELSE 0 END AS INTEGER) AS mask, "
           "CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)")
 
-LOGITS = "logits AS (SELECT vec_id AS id, CAST(embedding[1:54] AS DOUBLE[]) AS z FROM embeddings)"
 
 WORD_LABELS = ("word_labels AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, word, "
                "CAST(length(word) % 8 AS INTEGER) AS label FROM ("
@@ -59,8 +58,9 @@ TNAMES0 = "tnames AS (" + " UNION ALL ".join(
     f"SELECT {j} AS j, '{t}' AS target" for j, t in enumerate(TARGETS)) + ")"
 
 # one row per (id, target j, level c) with the logit v and the true level of (id, j)
-LOGIT_CELLS = (TNAMES0 + ",\nlg AS (SELECT vec_id AS id, label, CAST(embedding[r.i + 1] AS DOUBLE) AS v, "
-               "CAST(r.i AS INTEGER) AS i FROM embeddings CROSS JOIN range(54) r(i)),\n"
+LOGIT_CELLS = (TNAMES0 + ",\nlg AS (SELECT vec_id AS id, label, CAST(r.i AS INTEGER) AS i, "
+               "sum(CAST(embedding[x.x + 1] AS DOUBLE) * ((7 * x.x + 3 * r.i) % 11 - 5) / 10) AS v "
+               "FROM embeddings CROSS JOIN range(54) r(i) CROSS JOIN range(64) x(x) GROUP BY vec_id, label, r.i),\n"
                "cells AS (SELECT lg.id, CAST(lg.i % 6 AS INTEGER) AS j, t.target, "
                "CAST(floor(lg.i / 6) AS INTEGER) AS c, lg.v, "
                "CAST((lg.label + lg.i % 6) % 9 AS INTEGER) AS level "

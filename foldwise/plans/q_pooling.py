@@ -79,26 +79,144 @@ q AS (SELECT *, CAST(floor(doc / 4) AS BIGINT) AS batch,
 SELECT doc, layer, dim, round(exp(value - mx) / sum(exp(value - mx)) OVER (PARTITION BY batch, layer, dim), 6)
        AS softmax FROM q""")
 def v7_softmax_over(spark, sf_dir):
-    pooled = _long(V.mean_pool(T.hidden(spark, sf_dir), by=["doc", "layer"]), ["doc", "layer"])
-    # re-pool unrounded values for the softmax
     raw = V.mean_pool(T.hidden(spark, sf_dir), by=["doc", "layer"]).select(
         "doc", "layer", F.posexplode("pooled").alias("dim", "value"))
     raw = raw.withColumn("batch", F.floor(F.col("doc") / 4).cast("long")).withColumn("dim", F.col("dim").cast("int"))
     sm = V.softmax_over(raw, ["batch", "layer", "dim"])
-    _ = pooled
     return sm.select("doc", "layer", "dim", F.round("softmax", 6).alias("softmax"))
 
 
 @register("v8_word_mean", _H + """,
 t AS (SELECT *, CASE WHEN pos = 0 THEN -1 ELSE CAST(floor((pos - 1) / 3) AS BIGINT) END AS word_id
-      FROM hd WHERE layer = 3)
-SELECT doc, pos, dim, round(CASE WHEN word_id >= 0 THEN avg(v) OVER (PARTITION BY doc, word_id, dim)
+      FROM hd)
+SELECT doc, layer, pos, dim, round(CASE WHEN word_id >= 0 THEN avg(v) OVER (PARTITION BY doc, layer, word_id, dim)
                                  ELSE v END, 6) AS value FROM t""")
 def v8_word_mean(spark, sf_dir):
-    h = T.hidden(spark, sf_dir).filter(F.col("layer") == 3)
+    h = T.hidden(spark, sf_dir)
     h = h.withColumn("word_id", F.when(F.col("pos") == 0, F.lit(-1))
                      .otherwise(F.floor((F.col("pos") - 1) / 3)).cast("long"))
-    return _long(V.word_mean(h, by=["doc"]), ["doc", "pos"], vec="vec")
+    return _long(V.word_mean(h, by=["doc", "layer"]), ["doc", "layer", "pos"], vec="vec")
+
+
+#: Times that a 64-wide vector is laid end to end for the wide queries (768).
+WIDE = 12
+
+
+def wide_hidden(spark, sf_dir):
+    """The whole hidden table with 768-wide vectors: copy c of the vector is scaled
+    by 1 + c / 8; documents divisible by 5 are masked throughout, and position 9
+    (hidden everywhere by its mask of 0) holds NaN."""
+    h = T.hidden(spark, sf_dir)
+    nan = F.transform("vec", lambda x: F.lit(float("nan")))
+
+    def scaled(c):
+        return F.transform("vec", lambda x: x * (1 + c / 8))
+
+    vec = F.flatten(F.array(*[scaled(c) for c in range(WIDE)]))
+    mask = F.when((F.col("doc") % 5 == 0) | (F.col("pos") == 9), F.lit(0)).otherwise(F.col("mask"))
+    h = h.withColumn("score", F.col("vec")[0]).withColumn("mask", mask)
+    h = h.withColumn("vec", F.when(F.col("pos") == 9, nan).otherwise(F.col("vec")))
+    return h.withColumn("vec", vec)
+
+
+_WIDE = OV.with_views(OV.HIDDEN_DIMS) + """,
+wd AS (SELECT doc, layer, pos, CAST(c.c * 64 + dim AS INTEGER) AS dim, score,
+              CASE WHEN pos = 9 THEN CAST('nan' AS DOUBLE) ELSE v * (1 + c.c / 8) END AS v,
+              CASE WHEN doc % 5 = 0 OR pos = 9 THEN 0 ELSE mask END AS mask
+       FROM hd CROSS JOIN range(12) c(c))
+"""
+
+
+def _sums(df, keys, vec="pooled"):
+    """Per vector: its width, its nulls, and two weighted sums that depend on every element's place."""
+    i = F.sequence(F.lit(1), F.size(vec))
+    dot = lambda k: F.aggregate(F.transform(F.arrays_zip(i.alias("i"), F.col(vec).alias("x")), lambda e: e["x"] * (e["i"] % k)),
+                                F.lit(0.0), lambda a, x: a + x)
+    return df.select(*keys, F.coalesce(F.size(vec), F.lit(0)).alias("width"), F.round(dot(7), 5).alias("a"), F.round(dot(11), 5).alias("b"))
+
+
+def _sums_sql(inner: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, CAST(count(value) AS INTEGER) AS width, round(sum(value * ((dim + 1) % 7)), 5) AS a, round(sum(value * ((dim + 1) % 11)), 5) AS b
+FROM ({inner}) GROUP BY {keys}"""
+
+
+@register("v1_mean_pool_768", _WIDE + _sums_sql(
+    "SELECT doc, layer, dim, sum(CASE WHEN mask <> 0 THEN v * mask ELSE 0 END) / greatest(sum(mask), 1e-9) AS value FROM wd GROUP BY doc, layer, dim", "doc, layer"))
+def v1_mean_pool_768(spark, sf_dir):
+    return _sums(V.mean_pool(wide_hidden(spark, sf_dir), by=["doc", "layer"]), ["doc", "layer"])
+
+
+@register("v2_max_pool_768", _WIDE + _sums_sql(
+    "SELECT doc, layer, dim, coalesce(max(CASE WHEN mask <> 0 THEN v END), -10000.0) AS value FROM wd GROUP BY doc, layer, dim", "doc, layer"))
+def v2_max_pool_768(spark, sf_dir):
+    return _sums(V.max_pool(wide_hidden(spark, sf_dir), by=["doc", "layer"]), ["doc", "layer"])
+
+
+@register("v3_min_pool_768", _WIDE + _sums_sql(
+    "SELECT doc, layer, dim, min(CASE WHEN mask <> 0 THEN v END) AS value FROM wd GROUP BY doc, layer, dim", "doc, layer"))
+def v3_min_pool_768(spark, sf_dir):
+    return _sums(V.min_pool(wide_hidden(spark, sf_dir), by=["doc", "layer"]), ["doc", "layer"])
+
+
+@register("v4_attention_pool_768", _WIDE + """,
+m AS (SELECT doc, layer, max(CASE WHEN mask <> 0 THEN score END) AS mx FROM wd GROUP BY doc, layer),
+w AS (SELECT wd.*, CASE WHEN mask <> 0 THEN exp(score - mx) END AS e FROM wd JOIN m USING (doc, layer))
+""" + _sums_sql("SELECT doc, layer, dim, sum(CASE WHEN mask <> 0 THEN e * v END) / sum(e) AS value FROM w GROUP BY doc, layer, dim", "doc, layer"))
+def v4_attention_pool_768(spark, sf_dir):
+    return _sums(V.attention_pool(wide_hidden(spark, sf_dir), "score", by=["doc", "layer"]), ["doc", "layer"])
+
+
+@register("v5_pool_layers_768", _WIDE + _sums_sql(
+    """SELECT doc, pos, dim, sum(v * CASE layer WHEN 2 THEN -1 ELSE 3 END) / sum(CASE layer WHEN 2 THEN -1 ELSE 3 END) AS value
+       FROM wd WHERE layer >= 2 AND pos < 9 GROUP BY doc, pos, dim""", "doc, pos"))
+def v5_pool_layers_768(spark, sf_dir):
+    """Layer weights are free: one is negative."""
+    h = wide_hidden(spark, sf_dir).filter(F.col("pos") < 9)
+    return _sums(V.pool_layers(h, start=2, weights=[-1.0, 3.0]), ["doc", "pos"])
+
+
+@register("v6_last_layers_768", _WIDE + _sums_sql(
+    """SELECT doc, CAST(layer - 2 AS INTEGER) AS slot, dim, sum(CASE WHEN mask <> 0 THEN v * mask ELSE 0 END) / greatest(sum(mask), 1e-9) AS value
+       FROM wd WHERE layer >= 2 GROUP BY doc, layer, dim""", "doc, slot"))
+def v6_last_layers_768(spark, sf_dir):
+    return _sums(V.pool_last_layers(wide_hidden(spark, sf_dir), n=2), ["doc", "slot"])
+
+
+@register("v8_word_mean_768", _WIDE + """,
+t AS (SELECT *, CASE WHEN pos = 0 THEN -1 ELSE CAST(floor((pos - 1) / 3) AS BIGINT) END AS word_id FROM wd WHERE pos < 9)
+""" + _sums_sql("SELECT doc, layer, pos, dim, CASE WHEN word_id >= 0 THEN avg(v) OVER (PARTITION BY doc, layer, word_id, dim) ELSE v END AS value FROM t", "doc, layer, pos"))
+def v8_word_mean_768(spark, sf_dir):
+    h = wide_hidden(spark, sf_dir).filter(F.col("pos") < 9)
+    h = h.withColumn("word_id", F.when(F.col("pos") == 0, F.lit(-1)).otherwise(F.floor((F.col("pos") - 1) / 3)).cast("long"))
+    return _sums(V.word_mean(h, by=["doc", "layer"]), ["doc", "layer", "pos"], vec="vec")
+
+
+@register("v6_v7_v9_regression_head", _H + """,
+p AS (SELECT doc, layer, dim, sum(v * mask) / greatest(sum(mask), 1e-9) AS value FROM hd GROUP BY doc, layer, dim),
+s AS (SELECT doc, layer, dim, exp(value - max(value) OVER w) / sum(exp(value)) OVER w * exp(max(value) OVER w) AS sm
+      FROM p WINDOW w AS (PARTITION BY CAST(floor(doc / 4) AS BIGINT), layer, dim)),
+c AS (SELECT doc, dim, sum(sm * (layer + 1) / 10) + 0.5 AS x FROM s GROUP BY doc, dim)
+SELECT doc, CAST(k.k AS INTEGER) AS k, round(sum(x * ((7 * dim + 3 * k.k) % 11 - 5) / 10) + k.k / 10, 6) AS value
+FROM c CROSS JOIN range(6) k(k) GROUP BY doc, k.k""")
+def v6_v7_v9_regression_head(spark, sf_dir):
+    """The regression head as one flow: the last four layers pooled, softmax over the
+    batch, the layers contracted 4 to 1, then six outputs."""
+    p = V.pool_last_layers(T.hidden(spark, sf_dir), n=4)
+    x = p.select("doc", "slot", F.posexplode("pooled").alias("dim", "value")).withColumn("batch", F.floor(F.col("doc") / 4))
+    sm = V.softmax_over(x, ["batch", "slot", "dim"], out="sm")
+    per_dim = sm.groupBy("doc", "dim").agg(F.sort_array(F.collect_list(F.struct("slot", "sm"))).alias("l"))   # four layers
+    
+    def at(slot):
+        return F.coalesce(F.get(F.filter("l", lambda e: e["slot"] == slot), F.lit(0))["sm"], F.lit(0.0))
+
+    slots = [at(slot) for slot in range(4)]
+    per_dim = per_dim.select("doc", "dim", F.array(*slots).alias("vec"))         # a layer that a document lacks counts 0
+    one = V.project(per_dim, np.array([[0.1], [0.2], [0.3], [0.4]]), [0.5]).select("doc", "dim", F.col("proj")[0].alias("x"))
+    docs = one.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("l"))               # 64 elements
+    docs = docs.select("doc", F.transform("l", lambda e: e["x"]).alias("vec"))
+    out = V.project(docs, *head_weights()).select("doc", F.posexplode("proj").alias("k", "value"))
+    return out.select("doc", F.col("k").cast("int").alias("k"), F.round("value", 6).alias("value"))
 
 
 def head_weights(d: int = 64, o: int = 6):

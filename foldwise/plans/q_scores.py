@@ -143,32 +143,49 @@ def l7_batch_mean_loss(spark, sf_dir):
 
 
 def token_logits(spark, sf_dir):
-    """Token rows of the last layer: 8 class logits (first 8 dims), a target
-    class or -100 on masked positions, and the mask."""
-    h = T.hidden(spark, sf_dir).filter(F.col("layer") == 3)
-    tgt = F.when(F.col("mask") == 1, ((F.col("doc") + F.col("pos")) % 8).cast("int")).otherwise(F.lit(-100))
-    return h.select("doc", "pos", "mask", F.slice("vec", 1, 8).alias("z"), tgt.alias("target"))
+    """Token rows of all layers: 64 class logits, a target class or -100 on masked
+    positions, and the mask; every third document is masked throughout."""
+    h = T.hidden(spark, sf_dir).withColumn("mask", F.when(F.col("doc") % 3 == 2, F.lit(0)).otherwise(F.col("mask")))
+    tgt = F.when(F.col("mask") == 1, ((F.col("doc") + F.col("pos")) % 64).cast("int")).otherwise(F.lit(-100))
+    return h.select("doc", "layer", "pos", "mask", F.col("vec").alias("z"), tgt.alias("target"))
 
 
 _TOK = V.with_views(V.HIDDEN_DIMS) + """,
-tk AS (SELECT doc, pos, mask, dim, v, CASE WHEN mask = 1 THEN CAST((doc + pos) % 8 AS INTEGER) ELSE -100 END AS target
-       FROM hd WHERE layer = 3 AND dim < 8),
-mx AS (SELECT *, max(v) OVER (PARTITION BY doc, pos) AS m FROM tk),
-ce AS (SELECT doc, pos, max(mask) AS mask, max(target) AS target,
+tk AS (SELECT doc, layer, pos, dim, v, CASE WHEN doc % 3 = 2 THEN 0 ELSE mask END AS mask FROM hd),
+tt AS (SELECT *, CASE WHEN mask = 1 THEN CAST((doc + pos) % 64 AS INTEGER) ELSE -100 END AS target FROM tk),
+mx AS (SELECT *, max(v) OVER (PARTITION BY doc, layer, pos) AS m FROM tt),
+ce AS (SELECT doc, layer, pos, max(mask) AS mask, max(target) AS target,
               CASE WHEN max(target) = -100 THEN CAST(0 AS DOUBLE)
                    ELSE max(m) + ln(sum(exp(v - m))) - max(CASE WHEN dim = target THEN v END) END AS loss
-       FROM mx GROUP BY doc, pos)
+       FROM mx GROUP BY doc, layer, pos)
 """
 
 
-@register("l6_token_ce", _TOK + "SELECT doc, pos, round(loss, 6) AS loss FROM ce")
+@register("l6_token_ce", _TOK + "SELECT doc, layer, pos, round(loss, 6) AS loss FROM ce")
 def l6_token_ce(spark, sf_dir):
     t = token_logits(spark, sf_dir)
-    return t.select("doc", "pos", _r(L.token_ce_expr("z", "target"), "loss"))
+    return t.select("doc", "layer", "pos", _r(L.token_ce_expr("z", "target"), "loss"))
 
 
 @register("l5_masked_mean", _TOK + """
-SELECT doc, round(sum(loss * mask) / sum(mask), 6) AS masked_mean FROM ce GROUP BY doc""")
+SELECT doc, layer, round(sum(loss * mask) / nullif(sum(mask), 0), 6) AS masked_mean FROM ce GROUP BY doc, layer""")
 def l5_masked_mean(spark, sf_dir):
     t = token_logits(spark, sf_dir).withColumn("loss", L.token_ce_expr("z", "target"))
-    return L.masked_mean(t, "loss", "mask", by=["doc"]).select("doc", _r("masked_mean"))
+    return L.masked_mean(t, "loss", "mask", by=["doc", "layer"]).select("doc", "layer", _r("masked_mean"))
+
+
+@register("l6_soft", _TOK + """,
+sc AS (SELECT doc, layer, pos, max(mask) AS mask, max(m) + ln(sum(exp(v - m))) AS lse,
+              0.75 * max(CASE WHEN dim = (doc + pos) % 64 THEN v END) + 0.25 * max(CASE WHEN dim = (doc + pos + 1) % 64 THEN v END) AS hit
+       FROM mx GROUP BY doc, layer, pos)
+SELECT doc, layer, pos, round(CASE WHEN mask = 1 THEN lse - hit ELSE 0 END, 6) AS loss FROM sc""")
+def l6_soft(spark, sf_dir):
+    """Soft targets (T12's soft form): 0.75 on the class, 0.25 on the next; all -100 where masked."""
+    from foldwise.operators.spans import scatter_target
+    t = token_logits(spark, sf_dir)
+    soft = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda c: F.lit(0.0))
+    soft = F.transform(F.arrays_zip(F.sequence(F.lit(0), F.lit(63)).alias("c"), soft.alias("p")), lambda e: F.when(
+        e["c"] == (F.col("doc") + F.col("pos")) % 64, F.lit(0.75)).when(e["c"] == (F.col("doc") + F.col("pos") + 1) % 64, F.lit(0.25)).otherwise(e["p"]))
+    rows = t.select("doc", "layer", "pos", "z", F.array((F.col("mask") == 1)).alias("flag"), F.array(soft).alias("label"))
+    rows = scatter_target(rows, soft=True, width=64)
+    return rows.select("doc", "layer", "pos", _r(L.token_soft_ce_expr("z", F.col("target")[0]), "loss"))

@@ -130,13 +130,19 @@ def t7_trim_last(spark, sf_dir):
 g AS (SELECT doc_id, ll, CAST(unnest(range(blen)) AS INTEGER) AS pos FROM b),
 mk AS (SELECT g.doc_id, g.pos, g.ll, CASE WHEN w.word IS NOT NULL AND length(w.word) % 8 <> 7 THEN 1 ELSE 0 END AS mv
        FROM g LEFT JOIN w ON w.doc_id = g.doc_id AND w.pos = g.pos)
-SELECT doc_id, pos, CAST(CASE WHEN pos < ll THEN mv ELSE 0 END AS DOUBLE) AS value FROM mk""")
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(CASE WHEN pos < ll THEN mv ELSE 0 END, ',' ORDER BY pos)) AS scores_md5
+FROM mk GROUP BY doc_id""")
 def t8_pad_scores(spark, sf_dir):
     """Scores (here the mask) of the trimmed batch padded back to the padded length."""
     t = K.trim_to_batch(_masked(spark, sf_dir), "batch", ["tokens"], how="last")
     s = t.withColumn("scores", F.col("attention_mask").cast("array<double>"))
     p = K.pad_scores(s, "scores", F.col("padded_len"))
-    return p.select("doc_id", F.posexplode("scores").alias("pos", "value")).withColumn("pos", F.col("pos").cast("int"))
+    return p.select("doc_id", F.size("scores").alias("n"), _digest("scores", 1).alias("scores_md5"))
+
+
+def _digest(values: str, scale: int):
+    """md5 of an array's values (times ``scale``, as integers) in order."""
+    return F.md5(F.array_join(F.transform(values, lambda x: F.round(x * scale).cast("bigint").cast("string")), ","))
 
 
 def span_rows(spark, sf_dir):
@@ -222,16 +228,15 @@ def soft_span_rows(spark, sf_dir):
 
 
 @register("t11_t12_soft_target", _SPAN + """,
-soft AS (SELECT al.doc_id, al.pos, al.word_start, CAST((length(wl.word) % 5 - 1) / 4 AS DOUBLE) AS p0
-         FROM al LEFT JOIN cur ON cur.doc_id = al.doc_id AND cur.pos = al.pos
-         LEFT JOIN word_labels wl ON wl.doc_id = al.doc_id AND wl.pos = cur.c AND al.word_start),
-fl AS (SELECT doc_id, pos, coalesce(word_start AND p0 > 0, false) AS flag, p0 FROM soft)
-SELECT doc_id, pos, CAST(c.c AS INTEGER) AS c,
-       CASE WHEN NOT flag THEN CAST(-100 AS DOUBLE) WHEN c.c = 0 THEN p0 WHEN c.c = 1 THEN 0.5 ELSE 0.25 END AS value
-FROM fl CROSS JOIN range(3) c(c)""")
+wl AS (SELECT doc_id, pos AS w, (length(word) % 5 - 1) * 250 AS p0 FROM word_labels),
+soft AS (SELECT cur.doc_id, cur.pos, coalesce(wl.p0 > 0, false) AS flag, wl.p0
+         FROM cur LEFT JOIN wl ON wl.doc_id = cur.doc_id AND wl.w = cur.c AND cur.word_start)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n,
+       md5(string_agg(CASE WHEN flag THEN p0 || ',500,250' ELSE '-100000,-100000,-100000' END, ',' ORDER BY pos)) AS target_md5
+FROM soft GROUP BY doc_id""")
 def t11_t12_soft_target(spark, sf_dir):
+    """The whole soft target of every document (times 1000, as a digest)."""
     a = S.align_labels(soft_span_rows(spark, sf_dir), soft=True)
     t = S.scatter_target(a, soft=True, width=3)
-    x = S.positions(t, ["doc_id"], ["target"])
-    x = x.select("doc_id", "pos", F.posexplode("target").alias("c", "value"))
-    return x.select("doc_id", "pos", F.col("c").cast("int").alias("c"), "value")
+    flat = t.select("doc_id", F.size("target").alias("n"), F.flatten("target").alias("flat"))
+    return flat.select("doc_id", "n", _digest("flat", 1000).alias("target_md5"))

@@ -7,6 +7,7 @@ them.  The oracle side writes the same views as SQL in
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,11 +85,18 @@ def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def class_head(d: int = 64, o: int = 54):
+    """A fixed head from the whole vector to 54 logits: W[i, k] = ((7 i + 3 k) % 11 - 5) / 10."""
+    i, k = np.arange(d)[:, None], np.arange(o)[None, :]
+    return ((7 * i + 3 * k) % 11 - 5) / 10.0
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class scores: id and 54 logits (level-major 9 x 6)."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"),
-                    F.slice(F.col("embedding").cast("array<double>"), 1, 54).alias("z"))
+    """Class scores: id, label and 54 logits (level-major 9 x 6) of the whole vector through a head (V9)."""
+    from foldwise.operators.pooling import project
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+    return project(e, class_head(), out="z").drop("vec")
 
 
 def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +111,7 @@ def logit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, j, target, z array<double>(9), level, y): logits of each target with a
     true level ``(label + j) % 9`` and its score ``1 + 0.5 * level``."""
     from foldwise.operators.classes import unpack_levels
-    e = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), "label",
-        F.slice(F.col("embedding").cast("array<double>"), 1, 54).alias("z"))
-    cells = unpack_levels(e, "z", keep=["id", "label"])
+    cells = unpack_levels(logits(spark, sf_dir), "z", keep=["id", "label"])
     lvl = ((F.col("label") + F.col("j")) % 9).cast("int")
     return cells.select("id", "j", "target", "z", lvl.alias("level"),
                         (F.lit(1.0) + F.lit(0.5) * lvl).alias("y"))
