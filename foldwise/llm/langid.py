@@ -183,8 +183,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "tex
     key = F.md5(F.concat_ws(":", F.lit("lang"), F.col(id_col).cast("string")))
     rows = (docs.where(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
             .select(F.col(lang).alias("lang"), key.alias("key"), F.substring(text, 1, SAMPLE_CHARS).alias("text")))
-    order = Window.partitionBy("lang").orderBy("key", "text")
-    top = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).orderBy("lang", "key", "text").collect()
+    # first within slices of a language, as one language may hold most rows
+    sliced = rows.withColumn("slice", F.substring("key", 1, 2))
+    for by in (["lang", "slice"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("key", "text")
+        sliced = sliced.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).drop("k")
+    top = sliced.orderBy("lang", "key", "text").collect()
     samples: dict[str, list[str]] = {}
     for r in top:
         samples.setdefault(r.lang, []).append(r.text)

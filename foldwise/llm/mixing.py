@@ -29,7 +29,7 @@ from foldwise.llm.common import saved
 #: Raking rounds, and the rounds after which the cells are written out.
 ROUNDS, CUT = 8, 2
 #: Default targets: observed token shares to this power, normalised.
-TEMPER = 0.7
+TEMPER = 0.9
 SEED = "mix"
 
 
