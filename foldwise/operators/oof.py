@@ -71,11 +71,16 @@ def oof_group_mean(df: DataFrame, id_col: str, group: str, targets: Sequence[str
 MAX_FOLDS = 1000
 
 
+def _misplaced(k: int, fold: str):
+    """True for a row of an unknown fold, as an error inside the query; false else."""
+    known = F.coalesce(F.col(fold).between(0, k - 1), F.lit(False))
+    return F.when(known, F.lit(False)).otherwise(
+        F.raise_error(F.lit(f"oof: a row's fold is null or outside 0..{k - 1}")).cast("boolean"))
+
+
 def checked_folds(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
     """``df``, with an error inside the query for a row whose fold is null or outside [0, k)."""
-    known = F.coalesce(F.col(fold).between(0, k - 1), F.lit(False))
-    return df.filter(F.when(known, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"oof: a row's fold is null or outside 0..{k - 1}")).cast("boolean")))
+    return df.filter(~_misplaced(k, fold))
 
 
 # O1
@@ -91,10 +96,11 @@ def oof(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
     pieces = []
     for f in range(k):
         train, valid = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
-        if f == 0:                       # the first piece reads all rows: it checks their folds
-            valid = checked_folds(df, k, fold).filter(F.col(fold) == f)
         pieces.append(predict(fit(train), valid))
     out = union_all(pieces)
+    # one more piece without rows, whose scan of the fold column checks it
+    none = df.filter(_misplaced(k, fold)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema])
+    out = out.unionByName(none)
     if id_col is not None:
         w = Window.partitionBy(id_col)
         # a filter keeps the check in the plan (an unused column would be pruned)

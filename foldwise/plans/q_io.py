@@ -105,3 +105,26 @@ def s8_run_missing(spark, sf_dir):
     S.run_missing(spark, keys.filter(F.col("run").isin("click", "view")), path, work, ["run"])
     S.run_missing(spark, keys, path, work, ["run"])
     return spark.read.parquet(path).select("run", "best_step", "best_loss")
+
+
+@register("s4_path_with_space", "SELECT src, count(*) AS n FROM range(2) s(src) CROSS JOIN labels GROUP BY src")
+def s4_path_with_space(spark, sf_dir):
+    """Tagged files whose paths hold a space, a plus and a percent sign."""
+    base = S.scratch_dir(spark)
+    paths = [f"{base}/first stage+1%20.pq", f"{base}/first stage.pq"]
+    for p in paths:
+        S.write_table(T.table(spark, sf_dir, "labels"), p)
+    return S.read_tagged(spark, paths, fmt="parquet").groupBy(F.col("src").cast("bigint").alias("src")).count().withColumnRenamed("count", "n")
+
+
+@register("s8_string_keys", "SELECT unit, 1 AS runs FROM (SELECT '1' AS unit UNION ALL SELECT '01' UNION ALL SELECT 'a b')")
+def s8_string_keys(spark, sf_dir):
+    """Units named "1" and "01" are two units: the second call runs the missing ones only."""
+    out = S.scratch_dir(spark) + "/units"
+    n = T.table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n"))
+    work = lambda keys: keys.crossJoin(F.broadcast(n))
+    one = spark.createDataFrame([("1",)], "unit string")
+    rest = spark.createDataFrame([("1",), ("01",), ("a b",)], "unit string")
+    first = S.run_missing(spark, one, out, work, ["unit"])
+    second = S.run_missing(spark, rest, out, work, ["unit"])
+    return first.unionByName(second).groupBy("unit").agg(F.count(F.lit(1)).cast("int").alias("runs"))

@@ -275,18 +275,105 @@ def embedding_folds(spark, sf_dir):
     return K.deal_folds(e, "vec_id", ["label"], k=5, seed=7)
 
 
-@register("o3_oof_ridge_64")
+@register("o3_oof_ridge_64", """
+SELECT CAST(f.range AS INTEGER) AS fold, count(*) AS n, CAST(0 AS DOUBLE) AS residual
+FROM embeddings CROSS JOIN range(5) f GROUP BY f.range""")
 def o3_oof_ridge_64(spark, sf_dir):
-    p = O.oof_ridge(embedding_folds(spark, sf_dir), "vec_id", "x", ["label"], lam=1.0)
-    return p.select("vec_id", "fold", "target", "y", _r("pred"))
+    """Per fold model: rows that it scores, and the largest residual of its normal
+    equations, sum over training rows of (x - mean)(y - prediction) - lam * beta,
+    relative to the rows (0 for an exact fit)."""
+    d = embedding_folds(spark, sf_dir)
+    return normal_equations(spark, d, O.fit_ridge_folds(d, "x", ["label"], lam=1.0), "vec_id", "x", 1.0)
+
+
+def normal_equations(spark, d, model, id_col, features, lam):
+    """(fold, n, residual) of every fold model, over the rows it was fitted on."""
+    scored = O.predict_ridge(d.drop("fold"), model, id_col, features, fold=None).withColumnRenamed("fold", "model")
+    err = scored.join(d.select(id_col, "fold", F.posexplode(features).alias("i", "x")), id_col)
+    err = err.where("fold <> model").groupBy("model", "target", "i").agg(
+        F.sum((F.col("x")) * (F.col("y") - F.col("pred"))).alias("r"), F.sum(F.col("y") - F.col("pred")).alias("r0"),
+        F.avg("x").alias("m"), F.count(F.lit(1)).alias("rows"))
+    beta = spark.createDataFrame([(f, t, i, float(b[i, j])) for f, (_, b) in model.models.items() for i in range(b.shape[0])
+                                  for j, t in enumerate(model.targets)], "model int, target string, i int, beta double")   # folds x width x targets
+    out = err.join(F.broadcast(beta), ["model", "target", "i"]).groupBy("model").agg(F.max(F.greatest(
+        F.abs(F.col("r") - F.col("m") * F.col("r0") - lam * F.col("beta")), F.abs("r0")) / F.col("rows")).alias("worst"))
+    n = scored.groupBy("model").agg(F.countDistinct(id_col).alias("n"))
+    # adding 0.0 turns a negative zero into zero
+    return out.join(n, "model").select(F.col("model").alias("fold"), "n", (F.round("worst", 6) + F.lit(0.0)).alias("residual"))
+
+
+def _ridge2_sql(rows: str, lam: float, prediction: str) -> str:
+    """Closed-form ridge on two features for every held-out fold and target of
+    ``rows`` (id, fold, target, x1, x2, y), then ``prediction`` over rows r and fits f."""
+    return f"""{rows},
+mom AS (SELECT CAST(h.range AS INTEGER) AS held, r.target, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2,
+               covar_pop(x1, x1) * count(*) + {lam} AS a, covar_pop(x1, x2) * count(*) AS b, covar_pop(x2, x2) * count(*) + {lam} AS c,
+               covar_pop(x1, y) * count(*) AS p, covar_pop(x2, y) * count(*) AS q
+        FROM range(5) h JOIN rows_ r ON r.fold <> h.range GROUP BY h.range, r.target),
+beta AS (SELECT *, (c * p - b * q) / (a * c - b * b) AS b1, (a * q - b * p) / (a * c - b * b) AS b2 FROM mom),
+fits AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM beta)
+{prediction}"""
+
+
+_TWO = V.with_views(V.LABELLED_FOLDS) + """,
+rows_ AS (SELECT doc_id, fold, CAST(n_chars AS DOUBLE) / 1000 AS x1, CAST(length(source) AS DOUBLE) AS x2, 'quality' AS target, CAST(quality AS DOUBLE) AS y FROM lf
+          UNION ALL SELECT doc_id, fold, CAST(n_chars AS DOUBLE) / 1000, CAST(length(source) AS DOUBLE), 'toxic', CAST(toxic AS DOUBLE) FROM lf)"""
+
+
+def _two_features(spark, sf_dir):
+    d = labelled_folds(spark, sf_dir)
+    return d.select("doc_id", "fold", F.array(F.col("n_chars").cast("double") / 1000, F.length("source").cast("double")).alias("x"),
+                    *[F.col(t).cast("double").alias(t) for t in LABEL_TARGETS])
+
+
+@register("o3_oof_ridge_2", _ridge2_sql(_TWO, 3.0, """
+SELECT r.doc_id, r.fold, r.target, r.y, round(b0 + b1 * x1 + b2 * x2, 6) AS pred
+FROM rows_ r JOIN fits f ON f.held = r.fold AND f.target = r.target"""))
+def o3_oof_ridge_2(spark, sf_dir):
+    p = O.oof_ridge(_two_features(spark, sf_dir), "doc_id", "x", LABEL_TARGETS, lam=3.0)
+    return p.select("doc_id", "fold", "target", "y", _r("pred"))
+
 
+@register("g2_stack_predict_2", _ridge2_sql(_TWO, 3.0, """
+SELECT r.doc_id, r.target, round(avg(b0 + b1 * x1 + b2 * x2), 6) AS pred
+FROM rows_ r JOIN fits f ON f.target = r.target GROUP BY r.doc_id, r.target"""))
+def g2_stack_predict_2(spark, sf_dir):
+    """Every row scored by all fold models, averaged."""
+    d = _two_features(spark, sf_dir)
+    return G.stack_predict(d, O.fit_ridge_folds(d, "x", LABEL_TARGETS, lam=3.0), "doc_id", features="x").select("doc_id", "target", _r("pred"))
 
-@register("g2_stack_predict")
+
+@register("g2_stack_predict", """
+SELECT CAST(doc_id AS VARCHAR) AS text_id, 6 AS targets, true AS near FROM documents""")
 def g2_stack_predict(spark, sf_dir):
+    """The whole second stage on 24 features: per text, the targets scored, and
+    whether the mean of the fold models is within 0.75 of every true score (the
+    first stage is off by at most 0.2; :func:`g2_stack_predict_2` has exact values)."""
     tab = G.stack_table(first_stage_long(spark, sf_dir), "text_id", INPUTS, N_SRC, truth=truth(spark, sf_dir))
     tab = K.deal_folds(tab, "text_id", [], k=5, seed=42)
     model = O.fit_ridge_folds(tab, "features", TARGETS, lam=1.0)
-    return G.stack_predict(tab, model, "text_id").select("text_id", "target", _r("pred"))
+    pred = G.stack_predict(tab, model, "text_id")
+    true = O.long_targets(truth(spark, sf_dir), ["text_id"], TARGETS, "y")
+    both = pred.join(true, ["text_id", "target"])
+    return both.groupBy("text_id").agg(F.count(F.lit(1)).cast("int").alias("targets"), F.max(F.abs(F.col("pred") - F.col("y")) <= 0.75).alias("near"))
+
+
+@register("o1_incomplete_folds", "SELECT 'null fold' AS kind, true AS raised UNION ALL SELECT 'foreign fold', true UNION ALL SELECT 'complete', false")
+def o1_incomplete_folds(spark, sf_dir):
+    """Out-of-fold prediction must not lose rows: a null fold and a fold outside
+    [0, k) end the query, the table as dealt does not."""
+    d = labelled_folds(spark, sf_dir).select("doc_id", "fold", "lang", F.col("quality").cast("double").alias("y"))
+    cases = [("null fold", F.when(F.col("doc_id") % 2 == 0, F.col("fold"))), ("foreign fold", F.col("fold") * 2), ("complete", F.col("fold"))]
+    found = []
+    for kind, fold in cases:
+        try:
+            O.oof(d.withColumn("fold", fold), 5, _fit_group_mean, _predict_group_mean, id_col="doc_id").count()
+            found.append((kind, False))
+        except Exception as e:
+            if "fold is null or outside" not in str(e):
+                raise
+            found.append((kind, True))
+    return spark.createDataFrame(found, "kind string, raised boolean")
 
 
 def fold_heads(k: int = 5, d: int = 64, o: int = 6):
@@ -323,16 +410,42 @@ def b2_score_folds(spark, sf_dir):
     return s.select("vec_id", "fold", "target", _r("pred"))
 
 
-@register("k1_quota_folds")
+@register("k1_quota_folds", """
+SELECT CAST(doc_id AS VARCHAR) AS text_id, true AS once, true AS in_range, true AS even FROM documents""")
 def k1_quota_folds(spark, sf_dir):
-    e = T.essays(spark, sf_dir)
-    return K.stratified_folds(e, "text_id", TARGETS, k=5, seed=42).select("text_id", "fold")
+    """Every text: whether it has one fold, in 0..4, of sizes that differ by at most 2."""
+    e = K.stratified_folds(T.essays(spark, sf_dir).select("text_id", *TARGETS), "text_id", TARGETS, k=5, seed=42).select("text_id", "fold")
+    sizes = K.fold_sizes(e).agg((F.max("n") - F.min("n") <= 2).alias("even"))
+    per = e.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.min("fold").alias("lo"), F.max("fold").alias("hi"))
+    return per.crossJoin(F.broadcast(sizes)).select("text_id", (F.col("n") == 1).alias("once"), ((F.col("lo") >= 0) & (F.col("hi") <= 4)).alias("in_range"), "even")
+
+
+def _balance_sql(view: str, targets) -> str:
+    return V.with_views(view) + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, CAST({t} AS VARCHAR) AS value, count(*) AS n, true AS level FROM essays GROUP BY {t}" for t in targets)
 
 
-@register("k1_quota_balance")
+def _balance(folds, targets):
+    """Per (target, value): its rows, and whether their folds differ by at most 5."""
+    out = None
+    for t in targets:
+        per = folds.groupBy(F.lit(t).alias("target"), F.col(t).cast("string").alias("value"), "fold").count()
+        per = per.groupBy("target", "value").agg(F.sum("count").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"), F.count(F.lit(1)).alias("folds"))
+        per = per.select("target", "value", "n", (F.col("hi") - F.when(F.col("folds") == 5, F.col("lo")).otherwise(0) <= 5).alias("level"))
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+@register("k1_quota_balance", _balance_sql(V.ESSAYS, TARGETS))
 def k1_quota_balance(spark, sf_dir):
-    e = K.stratified_folds(T.essays(spark, sf_dir), "text_id", TARGETS, k=5, seed=42)
-    return K.fold_balance(e, TARGETS, 5)
+    return _balance(K.stratified_folds(T.essays(spark, sf_dir).select("text_id", *TARGETS), "text_id", TARGETS, k=5, seed=42), TARGETS)
+
 
+_WIDE_TARGETS = ["n_chars", "lang", "source"]
 
 
+@register("k1_quota_wide", _balance_sql("essays AS (SELECT * FROM documents)", _WIDE_TARGETS))
+def k1_quota_wide(spark, sf_dir):
+    """Quota folds where one target has about as many values as there are rows."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", *_WIDE_TARGETS)
+    return _balance(K.stratified_folds(d, "doc_id", _WIDE_TARGETS, k=5, seed=42), _WIDE_TARGETS)
