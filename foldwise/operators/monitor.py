@@ -65,14 +65,15 @@ def best_epoch(log: DataFrame, by: Sequence[str] = ("run",), step: str = "step",
 
 # R4
 def improvements(log: DataFrame, by: Sequence[str] = ("run",), step: str = "step", loss: str = "loss",
-                 bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                 bucket_rows: int = DEFAULT_BUCKET_ROWS, keep_keys: bool = False) -> DataFrame:
     """Per step: ``improved`` (loss <= best so far, equal counts) and
-    ``counter`` (steps since the last improvement)."""
+    ``counter`` (steps since the last improvement).  ``keep_keys`` is that of
+    :func:`prefix`."""
     by = list(by)
     lc = _clean(loss)
     d = prefix(log, by, step, lc, "min", "_prev", False, bucket_rows, keep_keys=True)
     d = d.withColumn("improved", lc.isNotNull() & (F.col("_prev").isNull() | (lc <= F.col("_prev"))))
-    d = prefix(d, by, step, F.when(F.col("improved"), F.col(step)), "max", "_last", True, bucket_rows)
+    d = prefix(d, by, step, F.when(F.col("improved"), F.col(step)), "max", "_last", True, bucket_rows, keep_keys=keep_keys)
     return (d.withColumn("counter", (F.col(step) - F.coalesce(F.col("_last"), F.lit(-1))).cast("int"))
              .drop("_prev", "_last"))
 
@@ -90,10 +91,9 @@ def early_stop(log: DataFrame, patience: int, delta: float = 0.0, by: Sequence[s
     if patience < 1:
         raise ValueError("early_stop: patience must be at least 1")
     if delta == 0:
+        # one aggregation over the scanned rows gives the groups without a stop too
         imp = improvements(log, by, step, loss, bucket_rows)
-        hit = imp.filter(F.col("counter") >= patience).groupBy(*by).agg(F.min(step).alias("stop_at"))
-        groups = log.select(*by).distinct()
-        return join_small(groups, hit, by, how="left", null_safe=True)
+        return imp.groupBy(*by).agg(F.min(F.when(F.col("counter") >= patience, F.col(step))).alias("stop_at"))
     return _early_stop_chain(log, patience, delta, by, step, loss, bucket_rows)
 
 
@@ -203,7 +203,16 @@ def _early_stop_chain(log: DataFrame, patience: int, delta: float, by: list[str]
 def effective_log(log: DataFrame, patience: int, delta: float = 0.0, by: Sequence[str] = ("run",),
                   step: str = "step", loss: str = "loss",
                   bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """The log cut at the stop step (steps after it never ran)."""
+    """The log cut at the stop step (steps after it never ran).
+
+    Without ``delta`` a third scan over the same (group, bucket) partitioning asks
+    each row whether a stop came before it: no group's rows are gathered."""
+    if patience < 1:
+        raise ValueError("effective_log: patience must be at least 1")
+    if delta == 0:
+        imp = improvements(log, by, step, loss, bucket_rows, keep_keys=True)
+        hit = F.when(F.col("counter") >= patience, F.col(step))
+        return prefix(imp, list(by), step, hit, "min", "_hit", False, bucket_rows).filter("_hit is null").select(*log.columns)
     stops = early_stop(log, patience, delta, by, step, loss, bucket_rows)
     j = join_small(log, stops, list(by), how="left", null_safe=True)
     return j.filter(F.col("stop_at").isNull() | (F.col(step) <= F.col("stop_at"))).drop("stop_at")
