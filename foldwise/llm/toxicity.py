@@ -249,16 +249,23 @@ def lower_bound(k: float, n: float, z: float = 1.645) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
     """Learns from all rows of ``labels`` (id, 0/1 label) that have a document.
     Counts stay in Spark; the driver gets the bounded candidate list."""
-    marked = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label) > 0).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text, F.lit("")).alias("text")).join(marked, "_id").select("text", "y")
+    # a merge join at every size: labels follow the rows, so they are never broadcast
+    marked = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label) > 0).cast("int").alias("y")).hint("merge")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     spark = docs.sparkSession
+    listed = pa.schema([("id", pa.int64()), ("words", pa.string())])
     counted = pa.schema([("word", pa.string()), ("y", pa.int32()), ("n", pa.int64())])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            for t, y in zip(*columns_of(b, "text", "y")):
-                seen.update((w, y) for w in set(_LETTERS.findall(t.lower())) if 3 <= len(w) <= 30)
+            ids, texts = columns_of(b, "id", "text")
+            yield rows_out(listed, ids, [" ".join({w for w in _LETTERS.findall(t.lower()) if 3 <= len(w) <= 30}) for t in texts])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in small_batches(batches, "words"):
+            for ws, y in zip(*columns_of(b, "words", "y")):
+                seen.update((w, y) for w in ws.split())
                 seen["", y] += 1               # the empty word counts the documents
             if len(seen) > 400_000:
                 yield rows_out(counted, [w for w, _ in seen], [y for _, y in seen], list(seen.values()))
@@ -266,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         if seen:
             yield rows_out(counted, [w for w, _ in seen], [y for _, y in seen], list(seen.values()))
 
-    totals = (rows.mapInArrow(words, "word string, y int, n bigint").groupBy("word")
+    taught = rows.mapInArrow(distinct, "id bigint, words string").join(marked, F.col("id") == F.col("_id")).select("words", "y")
+    totals = (taught.mapInArrow(count, "word string, y int, n bigint").groupBy("word")
               .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("n")))
     share = F.col("k") / F.col("n")
     top = totals.where((F.col("word") == "") | (F.col("k") >= LEAST_DOCS) & (share >= LEAST_SHARE)).orderBy(
@@ -276,12 +284,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     toxic, n_docs = top[0].k, top[0].n
     names = {r.word for r in top[1:] if lower_bound(r.k, r.n) >= LEAST_SHARE}
     shared = spark.sparkContext.broadcast(FuzzyTrie(list(names)))
-    met = pa.schema([("word", pa.string()), ("edits", pa.int32()), ("context", pa.string()), ("y", pa.int32())])
+    met = pa.schema([("id", pa.int64()), ("word", pa.string()), ("edits", pa.int32()), ("context", pa.string())])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         for b in small_batches(batches, "text"):
-            texts, ys = columns_of(b, "text", "y")
+            ids, texts = columns_of(b, "id", "text")
             hits, found = spelled(trie, texts)
             out = set()
             for d in found:
@@ -290,11 +298,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                     here = [h for h in here if h[0] == 0]
                 for e, w, begin, end in here:
                     around = texts[d][max(0, begin - CONTEXT):begin].split()[-2:], texts[d][end:end + CONTEXT].split()[:2]
-                    out.add((trie.words[w], e, " ".join(around[0] + [""] + around[1]), ys[d]))
+                    out.add((ids[d], trie.words[w], e, " ".join(around[0] + [""] + around[1])))
             if out:
                 yield rows_out(met, *zip(*out))
 
-    seen = (rows.mapInArrow(contexts, "word string, edits int, context string, y int").distinct().groupBy("word", "edits")
+    seen = (rows.mapInArrow(contexts, "id bigint, word string, edits int, context string").join(marked, F.col("id") == F.col("_id"))
+            .select("word", "edits", "context", "y").distinct().groupBy("word", "edits")
             .agg(F.sum("y").alias("k"), F.count("*").alias("n")).collect()) if names else []
     count = {(r.word, r.edits): (r.k, r.n) for r in seen}
     rate = toxic / max(n_docs, 1)
