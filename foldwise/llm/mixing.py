@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import saved
@@ -78,10 +78,9 @@ def rake(cells: DataFrame, margins: Mapping[str, DataFrame], rounds: int = ROUND
     now = saved(now)
     for r in range(rounds):
         for k, margin in enumerate(margins):
-            held = now.groupBy(F.col(margin).alias("_v")).agg(F.sum("w").alias("_s"))
-            now = (now.join(held, F.col(margin).eqNullSafe(F.col("_v")))
-                   .withColumn("w", F.when(F.col("_s") > 0, F.col("w") * F.col(f"_t{k}") / F.col("_s")).otherwise(0.0))
-                   .drop("_v", "_s"))
+            # a margin value's cells, never its documents, meet in one window
+            now = now.withColumn("_s", F.sum("w").over(Window.partitionBy(margin)))
+            now = now.withColumn("w", F.when(F.col("_s") > 0, F.col("w") * F.col(f"_t{k}") / F.col("_s")).otherwise(0.0)).drop("_s")
         if (r + 1) % CUT == 0:
             now = saved(now)
     total = now.agg(F.sum("n").alias("_all"))
