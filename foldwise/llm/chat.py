@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm import bpe
-from foldwise.llm.common import columns_of, rows_out, small_batches
+from foldwise.llm.common import columns_of, rows_out, saved, small_batches
 
 #: Markers of roles, in the order of their reserved ids (fixed by this template).
 MARKERS = {"system": "### System:", "user": "### User:", "assistant": "### Assistant:", "tool": "### Tool:"}
@@ -120,7 +120,8 @@ def format_turns(turns: DataFrame, vocabulary: str, lexicon: str | None = None)
             tie = [hashlib.sha256(t.encode()).hexdigest() for t in text]
             yield rows_out(schema, conv, turn, role, tie, ids, head)
 
-    cut = docs.mapInArrow(run, "conv_id bigint, turn bigint, role string, tie string, ids array<int>, head int")
+    # written out: the totals and the rows both read the ids, which are encoded once
+    cut = saved(docs.mapInArrow(run, "conv_id bigint, turn bigint, role string, tie string, ids array<int>, head int"))
     cut = cut.withColumn("bucket", F.floor(F.col("turn") / BUCKET).cast("bigint")).withColumn("n", F.size("ids"))
     order = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "tie")
     inside = order.rowsBetween(Window.unboundedPreceding, -1)
