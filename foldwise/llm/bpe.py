@@ -40,7 +40,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words of the lexicon; they alter the speed, not the ids.
 LEXICON_WORDS = 1 << 17
 #: Encoded pieces that a worker remembers; the longest word of the lexicon.
-MEMO_PIECES, MEMO_CHARS = 600_000, 64
+MEMO_PIECES, MEMO_CHARS = 400_000, 64
 #: Bytes of decimal ids after which the memo starts anew.
 MEMO_TOTAL = 32 << 20
 #: Pieces whose parts are gathered at a time.
@@ -389,10 +389,16 @@ class Encoder:
         return self.as_text(self.decode_bytes(ids))
 
 
-@lru_cache(2)
+@lru_cache(1)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+@lru_cache(1)
 def _encoder(vocabulary_file: str, lexicon_file: str | None) -> Encoder:
-    """One encoder for each worker process: the lexicon is mapped, not copied."""
-    return Encoder(Vocabulary(SparkFiles.get(vocabulary_file)),
+    """One encoder for each worker process, the last one used: the lexicon is
+    mapped, not copied, and an earlier memo is let go."""
+    return Encoder(_vocabulary(SparkFiles.get(vocabulary_file)),
                    Lexicon.mapped(SparkFiles.get(lexicon_file)) if lexicon_file else None)
 
 
