@@ -96,9 +96,10 @@ class Shingler:
         at = np.concatenate([[0], np.cumsum(keep)])[at]
         flat = h[which[keep]] if len(which) else np.zeros(0, np.uint64)
         n = self.n
-        rolled = np.full(max(0, len(flat) - n + 1), n, np.uint64)
+        starts = max(0, len(flat) - n + 1)                              # a batch may hold fewer than n words
+        rolled = np.full(starts, n, np.uint64)
         for k in range(n):
-            rolled = mix(rolled + flat[k:len(flat) - n + 1 + k])
+            rolled = mix(rolled + flat[k:starts + k])
         out = []
         for a, b in zip(at.tolist(), at[1:].tolist()):
             if b - a >= n:
@@ -393,9 +394,9 @@ def links_of(unit: dict[str, tuple[np.ndarray, int, int]], across: bool, percent
     return [(names[i], names[find(i)], int(links[i])) for i in np.flatnonzero(links).tolist()]
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: set size, the smallest id of its component
-    (``component_id``) and the number of documents it links with (``n_links``)."""
+def _found(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+    """The rows of ``join`` with their set's digest (``set``) and the digest of the
+    set that stands for their component (``keeper``: of the smallest id, the smallest)."""
     spark = docs.sparkSession
     counted = saved(sizes(docs, n, id_col, text))
     reps = counted.where("set is not null").groupBy("set").agg(
@@ -409,19 +410,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
         roots = spark.createDataFrame([], "node string, root string")
         links = spark.createDataFrame([], "`set` string, links bigint")
     classes = reps.join(roots, reps["set"] == roots["node"], "left").select("set", "rep", "copies", F.coalesce("root", "set").alias("root"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component"))
+    least = classes.groupBy("root").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "set"))).alias("least"))
     named = classes.join(least, "root").join(links, "set", "left").select(
-        F.col("set").alias("_set"), "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        F.col("set").alias("_set"), F.col("least.rep").alias("component"), F.col("least.set").alias("keeper"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = counted.join(named, F.col("set") == F.col("_set"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-                      F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+                      F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), "set", "keeper")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: set size, the smallest id of its component
+    (``component_id``) and the number of documents it links with (``n_links``)."""
+    return _found(docs, id_col, text, n, percent).drop("set", "keeper")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
-    Rows without an id are kept."""
-    found = join(docs, id_col, text, n, percent)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` with one document of each component: the one with the smallest id
+    (of its sets, the one with the smallest digest).  Rows without an id or without
+    shingles are kept; rows of one id and one set are one document."""
+    stays = F.col("set").isNull() | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) & (F.col("set") == F.col("keeper"))
+    found = saved(_found(docs, id_col, text, n, percent).where("doc_id is not null").select("doc_id", "set", (~stays).alias("gone")).distinct())
+    ids = saved(found.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("gone").alias("any"), F.bool_and("gone").alias("all")).where("any"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    row_id = names[docs.columns.index(id_col)]
-    return docs.toDF(*names).join(gone, F.col(row_id) == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    row_id, row_text = (names[docs.columns.index(c)] for c in (id_col, text))
+    rows = docs.toDF(*names)
+    kept = rows.join(ids, F.col(row_id) == F.col("_gone"), "left_anti")
+    # ids of rows that go and of rows that stay: their rows are told apart by their sets
+    mixed = saved(ids.where("not all").select("_gone"))
+    if mixed.isEmpty():
+        return kept.toDF(*docs.columns)
+    pairs = found.where("gone").join(mixed, F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("set").alias("_gone_set"))
+    unsure = rows.join(mixed, F.col(row_id) == F.col("_gone"), "left_semi").withColumn("_set", F.lit(None).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, row_text, TEXTS):
+            sets = [digest(s).hex() if len(s) else None for s in _shingler(n).sets(b.column(row_text))]
+            yield b.set_column(b.num_columns - 1, "_set", pa.array(sets, pa.string()))
+
+    told = unsure.mapInArrow(run, unsure.schema).join(pairs, (F.col(row_id) == F.col("_id")) & (F.col("_set") == F.col("_gone_set")), "left_anti")
+    return kept.unionByName(told.drop("_set")).toDF(*docs.columns)

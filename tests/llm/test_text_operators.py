@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,21 @@ def test_representatives(spark, odd, nothing):
     assert ngram_join.join(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_batches_of_few_words(n):
+    for words in range(n + 2):
+        for texts in ([" ".join("abcdefg"[:words])], list("abcdefg"[:words]), ["", None, " ".join("abcdefg"[:words])]):
+            alone = [ngram_join.Shingler(n).sets(pa.array([t, "x " * 9], pa.string()))[0].tolist() for t in texts]
+            assert [s.tolist() for s in ngram_join.Shingler(n).sets(pa.array(texts, pa.string()))] == alone
+
+
+def test_representatives_of_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c + " more"), (7, None), (9, c + " most")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.representatives(spark.createDataFrame(rows, DOCS), n=5, percent=80).collect()]
+    assert sorted(d for d, _ in kept) == [1, 5, 7, 7] and {(1, a), (5, b), (7, None)} < set(kept)
+
+
 # ---- 6: exact dedup ----
 
 def test_dedup_equals_brute_force(spark, odd, monkeypatch):
