@@ -98,7 +98,8 @@ def blocks(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def routed(queries: DataFrame, pivots: np.ndarray, summary: list[tuple[str, int, int, float, int]], k: int, first: bool) -> DataFrame:
     """(query id, v, block) for each block that a query must see: with ``first``
     those of the tile with the best upper bound, else of all others whose upper
-    bound reaches ``least``, the k-th score known so far."""
+    bound reaches ``least``, the k-th score known so far.  A query comes with
+    ``own``, the number of rows of its id, which are no results."""
     shared = queries.sparkSession.sparkContext.broadcast((pivots, summary))
     schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("block", pa.string())])
 
@@ -118,9 +119,10 @@ def routed(queries: DataFrame, pivots: np.ndarray, summary: list[tuple[str, int,
                     chosen = np.zeros(upper.shape, bool)
                     chosen[np.arange(len(q)), upper.argmax(1)] = True
                 else:
-                    # k + 1 vectors score at least this much, one of which may be the query itself
+                    # k vectors score at least this much, even if all rows of the query's id are among those counted
                     order = np.argsort(-lower, 1)
-                    full = np.cumsum(size[order], 1) > k
+                    own = part.column("own").to_numpy()[:, None]
+                    full = np.cumsum(size[order], 1) >= k + own
                     at_least = np.where(full.any(1), np.take_along_axis(lower, order, 1)[np.arange(len(q)), full.argmax(1)], -np.inf)
                     known = np.array([-np.inf if x is None else x for x in part.column("least").to_pylist()])
                     chosen = upper >= np.maximum(at_least, known)[:, None]
@@ -193,7 +195,7 @@ def top_k(data: DataFrame, is_query: Column, id_col: str = "vec_id", vec: str =
     placed, summary = blocks(cells(rows, pivots))
     tiles = [(r.tile, r.cell, r.n, r.far, r.parts) for r in summary.collect()]
     marked = data.where(is_query).select(F.col(id_col).cast("bigint").alias("id")).distinct()
-    queries = rows.join(marked, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    queries = rows.join(marked, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     home = saved(solved(placed, routed(queries, pivots, tiles, k, True), k))
     kth = (home.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") == k)

@@ -53,6 +53,13 @@ def test_top_k_small(spark):
     assert found(topk.top_k(spark.createDataFrame(rows[:1], schema), F.lit(True))) == []
 
 
+def test_top_k_repeated_query_id(spark):
+    schema = "vec_id long, embedding array<float>"
+    for own in (2, 7):
+        rows = [(50, [3.0, 4.0])] * own + [(i, [0.1 * i, 0.5]) for i in range(1, 6)] + [(100 + i, [-2.0, 0.1 * i]) for i in range(40)]
+        assert found(topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") == 50)) == brute_top(rows, lambda i: i == 50)
+
+
 # ---- 3: quality ----
 
 def test_quality_held_out(spark):
