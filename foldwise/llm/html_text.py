@@ -3,11 +3,12 @@
 The standard library's streaming parser turns a page into lines, one for each
 block of text, with the number of characters and of tags that it took.  The
 ratio of text to tags by line is smoothed with a Gaussian and compared with its
-own spread; lines above form clusters of content.  A region (the nearest
-sectioning container) that holds such a cluster is content, and all its lines
-are kept, short ones too; ``article`` and ``main`` are regions that win over
-others.  Menus, headers, footers, sidebars, notices, adverts, forms, comments
-and the like are left out by element, role, class or id beforehand.
+own spread; lines above form clusters of content, on every page.  Clusters are
+widened to their containers: the deepest one that holds more than ``SHARE`` of the
+clusters' text, or the ``article`` or ``main`` around it, is content, and all its
+lines are kept, short ones too; then the same for the clusters beside it.  The
+ratio counts ``PRIOR`` times within ``article`` and ``main``.  Menus, headers, footers, sidebars, notices, adverts,
+forms, comments and the like are left out by element, role, class or id beforehand.
 
 Defined results: null and empty pages give an empty text; markup that is broken
 off or badly nested ends where its parents end; text that no element marks is a
@@ -45,8 +46,9 @@ commentlist comments complementary consent contentinfo cookie cookies copyright
 navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion related replies respond rss
 search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget""".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Radius of the Gaussian, in lines.
-RADIUS = 1
+#: Radius of the Gaussian, in lines; the weight of a line's ratio in article and
+#: main; and the share of the clusters' text that a container must hold.
+RADIUS, PRIOR, SHARE = 1, 2.0, 0.8
 
 
 def noisy(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -65,13 +67,15 @@ def noisy(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bo
 
 
 class Lines(HTMLParser):
-    """Blocks of text with their tag counts, region, and whether an article or main holds them."""
+    """Blocks of text with their tag counts, region, and whether an article or main
+    holds them; ``parent`` and ``kind`` give the region around each region (0 is the
+    page) and its element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, bool, int, bool]] = []    # (tag, dropped, region, in article)
-        self.regions, self.part, self.tags = 0, [], 0
+        self.parent, self.kind, self.part, self.tags = [0], [""], [], 0
 
     def _top(self) -> tuple[str, bool, int, bool]:
         return self.open[-1] if self.open else ("", False, 0, False)
@@ -98,9 +102,10 @@ class Lines(HTMLParser):
             return
         _, dropped, region, article = self._top()
         dropped = dropped or noisy(tag, attrs, article)
-        if tag in REGIONS and not article:
-            self.regions += 1
-            region = self.regions
+        if tag in REGIONS:
+            self.parent.append(region)
+            self.kind.append(tag)
+            region = len(self.parent) - 1
         self.open.append((tag, dropped, region, article or not dropped and tag in ("article", "main")))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,21 +150,47 @@ def smoothed(ratio: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratio)), weight, "full")[radius:radius + len(ratio)]
 
 
-def content(lines: list[tuple[str, int, int, bool]]) -> list[str]:
+def content(lines: list[tuple[str, int, int, bool]], parent: list[int], kind: list[str]) -> list[str]:
     """The lines of the content regions, in page order."""
-    if any(article for *_, article in lines):
-        return [text for text, _, _, article in lines if article]
     if not lines:
         return []
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
-    chosen = {lines[i][2] for i in np.flatnonzero(ratio >= ratio.std())}
-    if not chosen:
-        chosen = {max(lines, key=lambda x: len(x[0]))[2]}
-    return [text for text, _, region, _ in lines if region in chosen]
+    ratio = smoothed(np.array([len(text) * (PRIOR if article else 1) / max(1, tags) for text, tags, _, article in lines]))
+    above = np.flatnonzero(ratio >= ratio.std()).tolist() or [max(range(len(lines)), key=lambda i: len(lines[i][0]))]
+    weight = [0] * len(parent)                         # the clusters' characters directly in each region
+    for i in above:
+        weight[lines[i][2]] += len(lines[i][0])
+    total, inner = weight[:], [[] for _ in parent]
+    for r in range(len(parent) - 1, 0, -1):            # a region comes after the one around it
+        total[parent[r]] += total[r]
+        inner[parent[r]].append(r)
+    whole, own, open_ = set(), set(), [0]              # regions kept whole, and those whose own lines only are
+    while open_:
+        r = open_.pop()
+        if not total[r]:
+            continue
+        need, path = SHARE * total[r], [r]
+        while (deeper := next((c for c in inner[r] if total[c] > need), None)) is not None:
+            r = deeper
+            path.append(r)
+        if not inner[r] and len(path) > 1 and kind[path[-2]] not in ("", "body"):
+            path.pop()                                 # a wrapper of one block: its siblings belong to it
+        ends = next((k for k, x in enumerate(path) if kind[x] in ("article", "main")), len(path) - 1)
+        whole.add(path[ends])
+        for r, taken in zip(path[:ends], path[1:]):
+            if weight[r]:
+                own.add(r)
+            open_ += [c for c in inner[r] if c != taken]
+    for r in range(1, len(parent)):
+        if parent[r] in whole:
+            whole.add(r)
+    return [text for text, _, r, _ in lines if r in whole or r in own]
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(content(Lines().finish(page))) if page else ""
+    if not page:
+        return ""
+    found = Lines()
+    return "\n".join(content(found.finish(page), found.parent, found.kind))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

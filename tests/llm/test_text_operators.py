@@ -412,6 +412,39 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A paragraph of many words, as the body of a page has them, one after the other, until its end."
+
+
+def wrapped(*texts):
+    return "".join(f"<div><p>{t}</p></div>" for t in texts)
+
+
+@pytest.mark.parametrize("page,text", [
+    # the body stands in divs beside short articles, or beside a short main
+    (f"<body><div class=body>{wrapped('Heading', LONG, LONG + '2', 'Short.', LONG + '3')}</div>"
+     "<div class=cards><article><a href=x><b>Card</b></a></article><article><a href=y><b>Next</b></a></article></div></body>",
+     ["Heading", LONG, LONG + "2", "Short.", LONG + "3"]),
+    (f"<body><main><i><b>Hi</b></i></main><div>{wrapped(LONG, LONG + '2', LONG + '3')}</div></body>", [LONG, LONG + "2", LONG + "3"]),
+    # no article: every block has a div of its own
+    (f"<body><div>{wrapped('T', 'By', 'On', 'At', LONG, 'a', 'b', 'c', 'd', LONG + LONG)}</div></body>",
+     ["T", "By", "On", "At", LONG, "a", "b", "c", "d", LONG + LONG]),
+    (f"<body>{wrapped('T', 'By', 'On', LONG, 'a', 'b', 'c', LONG + '2', 'e', 'f', 'g')}</body>",
+     ["T", "By", "On", LONG, "a", "b", "c", LONG + "2", "e", "f", "g"]),
+    # a short section stays in its article
+    (f"<article><section><p>{LONG}</p><p>{LONG}</p></section><section><p>x</p></section><section><p>y</p></section></article>", [LONG, LONG, "x", "y"]),
+])
+def test_ratio_chooses_and_containers_widen(page, text):
+    got = html_text.main_text(page).split("\n")
+    assert [t for t in got if t in text] == text
+
+
+def test_ratio_decides_against_an_article():
+    menu = "".join(f"<li><a href=x><b>Go {i}</b></a></li>" for i in range(30))
+    page = f"<body><article><ul>{menu}</ul></article><div>{wrapped(*[LONG + str(i) for i in range(6)])}</div></body>"
+    got = html_text.main_text(page).split("\n")
+    assert [t for t in got if t.startswith("A")] == [LONG + str(i) for i in range(6)] and "Go 9" not in got
+
+
 def test_pages(spark):
     pages = table(spark, SF01, "pages")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
