@@ -40,11 +40,15 @@ DROPPED = frozenset("""applet aside audio button canvas datalist dialog embed fi
 meter nav noembed noframes noscript object optgroup option progress script select style svg template textarea title video""".split())
 #: Elements whose lines belong together.
 REGIONS = frozenset("article main section div td body".split())
-#: Words of class, id or role that mark what is not main text.
+#: Words of class, id or role that mark what is not main text: in an article those
+#: that make up a whole class or role, elsewhere also words of a class or a whole id.
+#: Headings and paragraphs go by whole classes and roles everywhere.
 NOISE = frozenset("""ad ads adsense advert advertisement advertisements adverts alert announcement banner breadcrumb breadcrumbs byline captcha comment
 commentlist comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr header hidden login masthead menu modal nav navbar
 navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion related replies respond rss
 search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget""".split())
+#: Elements whose id is the slug of their text.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Radius of the Gaussian, in lines; the weight of a line's ratio in article and
 #: main; and the share of the clusters' text that a container must hold.
@@ -59,10 +63,18 @@ def noisy(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bo
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none", value):
             return True
-        if value and name in ("class", "id", "role"):
-            words = {w.lower() for w in _TOKEN.findall(value)}
-            if words & NOISE and not (in_article and words & NOISE == {"header"}) and tag not in ("html", "body"):
-                return True
+        if value and name in ("class", "id", "role") and tag not in ("html", "body"):
+            # an id is one value, often the slug of a heading
+            values = [value] if name == "id" else value.split()
+            strict = in_article or name == "id" or tag in TEXTUAL
+            if name == "id" and (in_article or tag in TEXTUAL):
+                continue
+            for v in values:
+                words = {w.lower() for w in _TOKEN.findall(v)}
+                if in_article:
+                    words = words - {"header"}
+                if words and (words <= NOISE if strict else words & NOISE):
+                    return True
     return False
 
 

@@ -445,6 +445,26 @@ def test_ratio_decides_against_an_article():
     assert [t for t in got if t.startswith("A")] == [LONG + str(i) for i in range(6)] and "Go 9" not in got
 
 
+@pytest.mark.parametrize("part", [
+    '<h2 id="related-work">x</h2>', '<section id="search-algorithms"><p>x</p></section>', '<p id="social-history">x</p>', '<div id="notice-of-appeal">x</div>',
+    '<h2 id="comments">x</h2>', '<h3 class="section-header">x</h3>', '<div class="search-algorithms">x</div>', '<section id="comments"><p>x</p></section>'])
+def test_slugs_are_no_noise_in_an_article(part):
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<{tag}><p>{LONG}</p>{part}<p>{LONG}</p></{tag}>") == f"{LONG}\nx\n{LONG}"
+
+
+def test_slugs_are_no_noise_elsewhere():
+    for part in ('<h2 id="related-work">x</h2>', '<section id="search-algorithms"><p>x</p></section>', '<p id="social-history">x</p>'):
+        assert html_text.main_text(f"<body><div><p>{LONG}</p>{part}<p>{LONG}</p></div></body>") == f"{LONG}\nx\n{LONG}"
+    for part in ('<div id="cookie-notice">x</div>', '<div class="site-footer">x</div>', '<ul role="navigation"><li>x</ul>', '<p class="copyright">x</p>'):
+        assert html_text.main_text(f"<body><div><p>{LONG}</p>{part}<p>{LONG}</p></div></body>") == f"{LONG}\n{LONG}"
+
+
+def test_whole_values_are_noise_in_an_article():
+    for part in ('<div class="box comments">x</div>', '<div class="cookie-notice">x</div>', '<ul role="navigation"><li>x</ul>'):
+        assert html_text.main_text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+
+
 def test_pages(spark):
     pages = table(spark, SF01, "pages")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
