@@ -1,9 +1,13 @@
 """Operator 4: mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed once into cells (source, language, topic).  The cells'
-weights are raked to the target share of each margin in turn; then each document
-is sampled with its cell's probability, weight / largest weight, so the expected
-token shares of the sample meet the calibrated ones.  DataFrame functions only.
+weights are raked to the target share of each margin in turn, until the margins
+are met within ``TOLERANCE``; then each document is sampled with its cell's
+probability.  The sample's size is the token budget: a share of all tokens.  A
+cell, and a margin value, gives at most the tokens it has, and the others are
+raked to make up for it, so no small cell limits the rest.  Without a budget
+(None) the probability is weight / largest weight after a fixed number of rounds.
+DataFrame functions only.
 
 A cell table has a row for each combination of margin values that occurs, however
 many documents hold it.  Its factors stay in Spark; every few rounds they are
@@ -19,6 +23,7 @@ table gives an empty table; other columns are carried or not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +31,15 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import saved
 
-#: Raking rounds, and the rounds after which the cells are written out.
+log = logging.getLogger(__name__)
+
+#: Raking rounds without a budget, and the rounds after which the cells are written out.
 ROUNDS, CUT = 8, 2
 #: Default targets: observed token shares to this power, normalised.
 TEMPER = 0.9
+#: Share of the tokens that a sample is to hold; the sum of a margin's differences
+#: from its targets, as a share of the sample, at which raking ends; rounds at most.
+BUDGET, TOLERANCE, MOST_ROUNDS = 0.8, 1e-4, 60
 SEED = "mix"
 
 
@@ -88,30 +98,88 @@ def rake(cells: DataFrame, margins: Mapping[str, DataFrame], rounds: int = ROUND
     return now.crossJoin(F.broadcast(total)).withColumn("weight", weight).select(*cells.columns, "weight")
 
 
-def calibrated(docs: DataFrame, margins: Mapping[str, Column], text: str = "text", rounds: int = ROUNDS,
-               targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Cells of ``docs`` by ``margins`` (name -> column) with their token count,
-    raked weight and sampling probability."""
+def bounded(cells: DataFrame, margin: str, targets: DataFrame, budget: float) -> DataFrame:
+    """``value`` and ``goal``, the tokens that each margin value is to give: in
+    proportion to its target share, at most those it has, ``budget`` in all."""
+    have = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("n").cast("double").alias("have"))
+    t = targets.select(F.col("value").alias("_v"), "share")
+    have = saved(have.join(t, F.col("value").eqNullSafe(F.col("_v")), "left").select("value", "have", F.coalesce("share", F.lit(0.0)).alias("share")))
+    scale = 0.0
+    while True:                                        # more values give all they have each time
+        full = F.col("share") * scale >= F.col("have")
+        r = have.where("share > 0").agg(F.sum(F.when(full, F.col("have"))).alias("full"), F.sum(F.when(~full, F.col("share"))).alias("rest")).first()
+        new = (budget - (r.full or 0.0)) / r.rest if r.rest else scale
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    return have.select("value", F.least(F.col("share") * scale, F.col("have")).alias("goal"))
+
+
+def balanced(cells: DataFrame, margins: Mapping[str, DataFrame], budget: float = BUDGET, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """``cells`` with ``probability`` (at most 1) and ``weight`` (probability over the
+    budget) such that the expected tokens meet the targets (value, share) of every
+    margin, and the largest margin error that is left."""
+    wanted = budget * float(cells.agg(F.sum("n")).first()[0] or 0)
+    now = cells.withColumn("w", F.col("n") * F.lit(float(budget)))
+    for k, (margin, targets) in enumerate(margins.items()):
+        g = bounded(cells, margin, targets, wanted).select(F.col("value").alias("_v"), F.col("goal").alias(f"_g{k}"))
+        now = now.join(g, F.col(margin).eqNullSafe(F.col("_v")), "left").drop("_v")
+    now = saved(now)
+    error, done = float("inf"), 0
+    while wanted > 0 and error > tolerance and done < MOST_ROUNDS:
+        for _ in range(CUT):
+            for k, margin in enumerate(margins):
+                now = now.withColumn("_s", F.sum("w").over(Window.partitionBy(margin)))
+                raised = F.least(F.col("n").cast("double"), F.col("w") * F.col(f"_g{k}") / F.col("_s"))
+                now = now.withColumn("w", F.when(F.col("_s") > 0, raised).otherwise(0.0)).drop("_s")
+        now, done = saved(now), done + CUT
+        error = max(now.groupBy(m).agg(F.abs(F.sum("w") - F.first(f"_g{k}")).alias("d")).agg(F.sum("d")).first()[0] for k, m in enumerate(margins)) / wanted
+    if wanted > 0 and error > tolerance:
+        log.warning("mixing: margin error %.6f after %d rounds; the cells do not allow the targets at this budget", error, done)
+    chance = F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(0.0)
+    return now.select(*cells.columns, (chance / F.lit(float(budget))).alias("weight"), chance.alias("probability")), error if wanted > 0 else 0.0
+
+
+def _cells(docs: DataFrame, margins: Mapping[str, Column], text: str, targets: Mapping[str, DataFrame] | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cells of ``docs`` by ``margins`` with their token count, and every margin's targets."""
     cells = saved(docs.select(*(c.alias(m) for m, c in margins.items()), tokens(text).alias("_n"))
                   .groupBy(*margins).agg(F.sum("_n").alias("n"), F.count("*").alias("docs")))
     goals = {m: (targets or {}).get(m) for m in margins}
-    raked = rake(cells, {m: tempered(cells, m) if g is None else g for m, g in goals.items()}, rounds)
+    return cells, {m: tempered(cells, m) if g is None else g for m, g in goals.items()}
+
+
+def calibrated(docs: DataFrame, margins: Mapping[str, Column], text: str = "text", rounds: int = ROUNDS,
+               targets: Mapping[str, DataFrame] | None = None, budget: float | None = BUDGET) -> DataFrame:
+    """Cells of ``docs`` by ``margins`` (name -> column) with their token count,
+    raked weight and sampling probability."""
+    cells, goals = _cells(docs, margins, text, targets)
+    if budget is not None:
+        return balanced(cells, goals, budget)[0]
+    raked = rake(cells, goals, rounds)
     top = raked.agg(F.max("weight").alias("top"))
     return raked.crossJoin(F.broadcast(top)).withColumn(
         "probability", F.when(F.col("top") > 0, F.col("weight") / F.col("top")).otherwise(0.0)).drop("top")
 
 
+def report(docs: DataFrame, margins: Mapping[str, Column] | None = None, text: str = "text", targets: Mapping[str, DataFrame] | None = None,
+           budget: float = BUDGET) -> dict[str, float]:
+    """Expected shares of the documents and tokens that a sample keeps, and the margin error."""
+    out, error = balanced(*_cells(docs, margins or default_margins(), text, targets), budget)
+    r = out.agg(*((F.sum(F.col("probability") * F.col(c)) / F.sum(c)).alias(c) for c in ("docs", "n"))).first()
+    return {"documents": r.docs or 0.0, "tokens": r.n or 0.0, "margin_error": error}
+
+
 def default_margins() -> dict[str, Column]:
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic("text")}
 
 
 def decided(docs: DataFrame, margins: Mapping[str, Column] | None = None, id_col: str = "doc_id", text: str = "text",
-            rounds: int = ROUNDS, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+            rounds: int = ROUNDS, targets: Mapping[str, DataFrame] | None = None, budget: float | None = BUDGET) -> DataFrame:
     """One row per row of ``docs``: its margin values, tokens, the weight and
     probability of its cell, and whether it is sampled.  The join on the cells
     splits a hot cell's rows, as each finds one cell row."""
     margins = dict(margins or default_margins())
-    cells = calibrated(docs, margins, text, rounds, targets)
+    cells = calibrated(docs, margins, text, rounds, targets, budget)
     rows = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(m) for m, c in margins.items()), tokens(text).alias("n_tokens"))
     on = None
     for m in margins:
@@ -123,10 +191,10 @@ def decided(docs: DataFrame, margins: Mapping[str, Column] | None = None, id_col
 
 
 def sample(docs: DataFrame, margins: Mapping[str, Column] | None = None, id_col: str = "doc_id", text: str = "text",
-           rounds: int = ROUNDS, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+           rounds: int = ROUNDS, targets: Mapping[str, DataFrame] | None = None, budget: float | None = BUDGET) -> DataFrame:
     """The sampled rows of ``docs``."""
     margins = dict(margins or default_margins())
-    cells = calibrated(docs, margins, text, rounds, targets)
+    cells = calibrated(docs, margins, text, rounds, targets, budget)
     names = [f"c{i}" for i in range(len(docs.columns))]
     keyed = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names)), *(c.alias(f"m{i}") for i, c in enumerate(margins.values())))
     on = None

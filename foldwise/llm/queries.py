@@ -154,7 +154,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(c.weight, 6) AS weight, round(c.probability, 6) AS probability, {SAMPLED_SQL} AS sampled"""))
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated weight and sampling decision of every document."""
-    found = mixing.decided(table(spark, sf_dir, "documents"))
+    found = mixing.decided(table(spark, sf_dir, "documents"), budget=None)
     return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 

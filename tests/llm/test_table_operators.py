@@ -140,6 +140,32 @@ def test_mixing_odd_rows(spark):
     assert mixing.decided(docs.limit(0)).count() == mixing.sample(docs.limit(0)).count() == 0
 
 
+def test_a_tiny_cell_does_not_set_the_sample(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(1, 60), rng.choice("aaaaaab"), rng.choice(["en", "en", "de"])) for i in range(3000)]
+    docs = spark.createDataFrame(rows + [(9000, "three small words", "rare", "xx")], "doc_id long, text string, source string, lang string")
+    got = mixing.decided(docs).collect()
+    total, kept = sum(r.n_tokens for r in got), sum(r.n_tokens * r.probability for r in got)
+    assert abs(kept / total - mixing.BUDGET) < 1e-3 and max(r.probability for r in got) <= 1
+    assert sum(r.sampled for r in got) > 0.75 * len(got)
+    out = mixing.report(docs)
+    assert out["margin_error"] <= mixing.TOLERANCE and abs(out["tokens"] - kept / total) < 1e-9
+    # the margins are met: shares in proportion to the tempered targets, but for values that give all they have
+    for m in ("source", "lang"):
+        have, want = {}, {}
+        for r in got:
+            have[r[m]] = have.get(r[m], 0) + r.n_tokens
+            want[r[m]] = want.get(r[m], 0) + r.n_tokens * r.probability
+        rates = {v: want[v] / have[v] ** mixing.TEMPER for v in have if want[v] < 0.999 * have[v]}
+        assert max(rates.values()) < 1.01 * min(rates.values())
+
+
+def test_targets_beyond_the_tokens_are_reported(spark):
+    cells = cells_of(spark, [("a", "x", 60), ("a", "y", 10), ("b", "x", 20), ("b", "y", 10)])
+    rows, error = mixing.balanced(cells, {"source": targets_of(spark, a=1.0), "lang": targets_of(spark, y=1.0)}, 0.9)
+    assert error > 0.5 and all(0 <= r.probability <= 1 for r in rows.collect())
+
+
 # ---- components and the pipeline ----
 
 @pytest.mark.parametrize("kind", ["bigint", "string"])
