@@ -84,7 +84,8 @@ class Shingler:
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """For each text its ascending distinct shingle hashes."""
-        low = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+        # lowered before the cast: a cast slice keeps its offset, which the kernel overlooks
+        low = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
         cut = pc.ascii_split_whitespace(low)
         at = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()

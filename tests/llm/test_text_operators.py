@@ -199,6 +199,58 @@ def test_batches_of_few_words(n):
             assert [s.tolist() for s in ngram_join.Shingler(n).sets(pa.array(texts, pa.string()))] == alone
 
 
+@pytest.mark.parametrize("holes", [False, True])
+def test_sets_of_slices(holes):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Ab", "c", "Déf", "GH", "i"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    texts = [None if holes and i % 7 == 3 else t for i, t in enumerate(texts)]
+    whole = pa.array(texts, pa.string())
+    alone = [ngram_join.Shingler(2).sets(pa.array([t], pa.string()))[0].tolist() for t in texts]
+    for start in range(0, 60, 3):
+        for size in (1, 7, 60):
+            got = ngram_join.Shingler(2).sets(whole.slice(start, size))
+            assert [s.tolist() for s in got] == alone[start:start + size]
+
+
+def test_join_beyond_one_slice(spark):
+    """15 MB of text in two input tasks, so that batches are cut into several slices."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40_000)]
+    rows = []
+    for _ in range(1100):
+        words = rng.choices(vocabulary, k=rng.randint(300, 1500))
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            cut = rng.randrange(len(words) - rng.randint(1, 40))
+            rows.append((len(rows), " ".join(words[:cut] + words[cut + rng.randint(1, 30):])))
+    assert sum(len(t) for _, t in rows) > 12_000_000
+    got = ngram_join.join(spark.createDataFrame(rows, DOCS).repartition(2), n=3, percent=90).collect()
+    sets = {d: (lambda w: frozenset(zip(w, w[1:], w[2:])))(t.split()) for d, t in rows}
+    index: dict = {}
+    for d, s in sets.items():
+        for g in s:
+            index.setdefault(g, []).append(d)
+    shared: dict = {}
+    for ds in index.values():
+        for k, a in enumerate(ds):
+            for b in ds[k + 1:]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    up, links = {d: d for d in sets}, dict.fromkeys(sets, 0)
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), k in shared.items():
+        if 100 * k >= 90 * (len(sets[a]) + len(sets[b]) - k):
+            links[a] += 1
+            links[b] += 1
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == [(d, len(sets[d]), find(d), links[d]) for d in sorted(sets)]
+
+
 def test_representatives_of_shared_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c + " more"), (7, None), (9, c + " most")]
