@@ -213,11 +213,11 @@ def test_sets_of_slices(holes):
 
 
 def test_join_beyond_one_slice(spark):
-    """15 MB of text in two input tasks, so that batches are cut into several slices."""
+    """13 MB of text in two input tasks, so that batches are cut into several slices."""
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40_000)]
     rows = []
-    for _ in range(1100):
+    for _ in range(1300):
         words = rng.choices(vocabulary, k=rng.randint(300, 1500))
         rows.append((len(rows), " ".join(words)))
         for _ in range(rng.choice([0, 0, 1, 2])):
