@@ -6,12 +6,13 @@ and derives the digest columns from the operator's output.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, dedup, html_text, langid, mixing, ngram_join, quality, topk, toxicity
+from foldwise.llm import bpe, chat, dedup, fim, html_text, langid, mixing, ngram_join, packing, quality, repair, topk, toxicity
 from foldwise.llm.common import crc_mod, table, vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,6 +269,114 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@register()
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def _repair_sql() -> str:
+    """The damage, and a recursive DP that carries (cost, audit, lines) of each state."""
+    solid = f"regexp_replace(text, '{repair.SPACE}', '', 'g')"
+
+    def cell(*options: str) -> str:
+        return "list_sort([" + ", ".join(options) + "])[1]"
+
+    def edit(s: str, cost: str, letter: str, line: str | None = None, when: str = "true") -> str:
+        lines = f"{s}.lines" if line is None else f"list_append({s}.lines, {line})"
+        return (f"CASE WHEN {when} THEN {{'cost': {s}.cost + {cost}, 'audit': {s}.audit || '{letter}', 'lines': {lines}}} "
+                "ELSE {'cost': 1000000000::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} END")
+
+    def insert(s: str, role: str) -> str:
+        return edit(s, "2", "I", f"'{role}:'")
+
+    def row(s: str, state: int) -> list[str]:
+        """Keep and rerole, from a state before that lets the role of ``state`` follow."""
+        first = " sua"[state]
+        kept = edit(s, "cut", "K", "role || ':' || text", f"NOT goes AND role[1] = '{first}'")
+        return [kept] if state == 1 else [kept, edit(s, "2 + cut", "R", f"'{repair.ROLES[state]}:' || text", "NOT goes")]
+
+    u2 = cell("s2", insert("s0", "user"), insert("s1", "user"), insert("s3", "user"))
+    closed = f"{u2} AS z2, {cell('s3', insert(u2, 'assistant'))} AS z3"
+    start = "{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}"
+    none = "{'cost': 1000000000::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}"
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+shown AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (
+  SELECT s.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                              lambda a, x: xor(a >> 8, crc.t[1 + (xor(a, x) & 255)])), 4294967295) % 20 AS h
+  FROM shown s, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copies,
+         {solid} AS solid FROM hurt),
+f AS (
+  SELECT *, solid = '' AS blank, solid <> '' AND copies > 1 AS duplicate, solid = '' OR copies > 1 AS goes,
+         CAST(solid <> '' AND copies = 1 AND solid[-1] NOT IN ('.', '!', '?') AS BIGINT) AS cut,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
+         sum(cut) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {start} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM f
+  UNION ALL
+  SELECT c.conv_id, f.i, {edit('s0', '3', 'D')}, {cell(edit('s1', '3', 'D'), *row('s0', 1))},
+         {cell(edit('z2', '3', 'D'), *row('s0', 2), *row('s1', 2), *row('z3', 2))}, {cell(edit('z3', '3', 'D'), *row('z2', 3))}
+  FROM (SELECT *, {closed} FROM dp) c JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.i + 1),
+done AS (
+  SELECT conv_id, gaps, blank, duplicate, truncated, illegal, list_sort([s0, z3])[1] AS best
+  FROM (SELECT *, {closed} FROM dp) JOIN sums USING (conv_id) WHERE i = n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@register(_repair_sql())
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every damaged conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.digests(repair.damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    all_ids = turns.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    numbers = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    nothing = {**numbers, "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    return (all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+            .select("conv_id", *(F.coalesce(c, F.lit(x).cast("bigint") if c in numbers else F.lit(x)).alias(c) for c, x in nothing.items())))
+
+
+@register(r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (
+  SELECT *, len(lines) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(lines) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(lines) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100
+              THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT *, array_to_string(lines[1:least(x, y)], '') AS prefix, array_to_string(lines[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(lines[greatest(x, y) + 1:n], '') AS suffix FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""")
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, and restored from its output and form."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     import corpus_pipeline
     oracle = dict(ORACLE)
