@@ -318,13 +318,12 @@ hurt AS (
          unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
   FROM hit),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copies,
-         {solid} AS solid FROM hurt),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, {solid} AS solid FROM hurt),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copies FROM placed),
 f AS (
   SELECT *, solid = '' AS blank, solid <> '' AND copies > 1 AS duplicate, solid = '' OR copies > 1 AS goes,
          CAST(solid <> '' AND copies = 1 AND solid[-1] NOT IN ('.', '!', '?') AS BIGINT) AS cut,
-         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM counted),
 sums AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
          sum(cut) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
