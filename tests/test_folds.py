@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from foldwise.operators import batching as B
 from foldwise.operators import columns as P
 from foldwise.operators import folds as K
 from foldwise.plans import tables as T
+from foldwise.plans.scratch import written
 from tests.conftest import SF01
 
 
@@ -135,17 +137,60 @@ def test_quota_folds_with_null_labels(spark):
         assert all(max(r[str(i)] for i in range(5)) - min(r[str(i)] for i in range(5)) <= 5 for r in per)
 
 
-def test_quota_folds_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK", 16)
-    monkeypatch.setattr(K, "FANOUT", 3)
+@pytest.mark.parametrize("block,pool", [(16, 64), (64, 4096)])
+def test_quota_folds_over_many_blocks(spark, monkeypatch, block, pool):
+    monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "POOL", pool)
     rows = [(i, (i * 7919) % 61, (i * 104729) % 13, i % 2) for i in range(2000)]
     f = K.stratified_folds(spark.createDataFrame(rows, "id int, a int, b int, c int"), "id", ["a", "b", "c"])
     got = f.collect()
     assert sorted(r["id"] for r in got) == list(range(2000)) and {r["fold"] for r in got} == set(range(5))
     sizes = [r["n"] for r in K.fold_sizes(f).collect()]
     assert max(sizes) - min(sizes) <= 2
-    per = f.groupBy("c").pivot("fold", list(range(5))).count().collect()
-    assert all(max(r[str(i)] for i in range(5)) - min(r[str(i)] for i in range(5)) <= 5 for r in per)
+    assert all(r["spread"] <= 5 for r in K.fold_balance(f, ["a", "b", "c"], 5).collect())
+    by = {}
+    for r in got:                                   # every combination gives each fold floor(n/k) rows or one more
+        by.setdefault((r["a"], r["b"], r["c"]), [0] * 5)[r["fold"]] += 1
+    assert all(set(c) <= {sum(c) // 5, sum(c) // 5 + 1} for c in by.values())
+
+
+def test_quota_folds_on_tens_of_thousands_of_combinations(spark):
+    """Five targets of nine values each: level cells, and the same folds however the rows are partitioned."""
+    targets = ["a", "b", "c", "d", "e"]
+    seen = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shuffles in ((1, 8), (32, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            df = spark.range(0, 40_000, 1, parts).select("id", *[F.pmod(F.xxhash64("id", F.lit(t)), F.lit(9)).cast("int").alias(t) for t in targets])
+            f = written(K.stratified_folds(df, "id", targets))
+            seen.add(f.agg(F.sum(F.xxhash64("id", "fold").cast("decimal(38,0)"))).first()[0])
+            sizes = [r["n"] for r in K.fold_sizes(f).collect()]
+            assert max(sizes) - min(sizes) <= 2
+            assert K.fold_balance(f, targets, 5).agg(F.max("spread")).first()[0] <= 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
+
+
+def test_moves_lower_the_squares():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        k, n = int(rng.integers(2, 6)), int(rng.integers(1, 80))
+        cells = rng.integers(0, 7, (n, 3)) + np.array([0, 7, 14])
+        held = rng.random((n, k)) < 0.4
+        sums = np.stack([[held[(cells == c).any(1), f].sum() for f in range(k)] for c in range(21)])
+        sizes = held.sum(0)
+        rows, start = held.sum(1), (sums ** 2).sum() + K.SIZE_WEIGHT * (sizes ** 2).sum()
+        K.move_rows(held, cells, sums, sizes)
+        assert (held.sum(1) == rows).all() and (held.sum(0) == sizes).all()
+        assert (sums == np.stack([[held[(cells == c).any(1), f].sum() for f in range(k)] for c in range(21)])).all()
+        end = (sums ** 2).sum() + K.SIZE_WEIGHT * (sizes ** 2).sum()
+        assert end <= start
+        for i in range(n):                           # no single move is left that lowers them
+            for a in np.flatnonzero(held[i]):
+                for b in np.flatnonzero(~held[i]):
+                    assert (sums[cells[i], a] - sums[cells[i], b] - 1).sum() + K.SIZE_WEIGHT * (sizes[a] - sizes[b] - 1) <= 0
 
 
 def test_with_ordinal_ties_and_descending(spark):
