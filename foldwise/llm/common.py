@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,29 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
         step = max(1, n * most_bytes // max(size, 1)) if size > most_bytes else max(n, 1)
         for i in range(0, n, step):
             yield b.slice(i, min(step, n - i))
+
+
+_CACHES: list = []
+
+
+def let_go(keep: str = "") -> None:
+    """Empties the worker's caches of all modules but ``keep``: Python workers serve
+    the stages of a job one after the other, and hold the caches of one operator only."""
+    filled = [c for c in _CACHES if c.__wrapped__.__module__ != keep and c.cache_info().currsize]
+    for c in filled:
+        c.cache_clear()
+    if filled:
+        pa.default_memory_pool().release_unused()
+
+
+def worker_cache(fn: Callable) -> Callable:
+    """``fn`` with its last result kept in the worker until another module's cache is used."""
+    cached = lru_cache(1)(fn)
+    _CACHES.append(cached)
+
+    @wraps(fn)
+    def call(*args):
+        let_go(fn.__module__)
+        return cached(*args)
+
+    return call

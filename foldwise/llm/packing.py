@@ -30,7 +30,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm import bpe
-from foldwise.llm.common import columns_of, partitions, rows_out, saved, small_batches
+from foldwise.llm.common import columns_of, partitions, rows_out, saved, small_batches, worker_cache
 from foldwise.plans.scratch import scratch_dir
 
 #: Tokens of a sequence, and the id that ends a document, unless a caller says otherwise.
@@ -60,7 +59,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # ---- pieces ----
 
-@lru_cache(1)
+@worker_cache
 def _encode(vocabulary_file: str):
     """Text -> ids as a numpy array.  The vocabulary's merges are made in the order
     of their ids, so a rank-based encoder gives the same ids several times faster."""
@@ -146,17 +145,20 @@ def round_of(state: DataFrame, runs: int, capacity: int) -> DataFrame:
     """One round over gap and item runs: sweeps by ranges of size, then the
     leftovers of the ranges, a fan of them at a time."""
     order = [F.desc("size"), "kind", "first"]
-    out = (state.repartitionByRange(-(-runs // RUNS), *order).sortWithinPartitions(*order)
-           .mapInArrow(_by_range(capacity), STATE))
     ranges = -(-runs // RUNS)
+    # a single range needs no shuffle; its task reads the few files of the last round
+    dealt = state.repartitionByRange(ranges, *order) if ranges > 1 else state.coalesce(1)
+    out = dealt.sortWithinPartitions(*order).mapInArrow(_by_range(capacity), STATE)
+    left = F.col("kind").isin(GAP, ITEM)
     while ranges > 1:
-        ranges = -(-ranges // FAN) if ranges > FAN else 1
-        # leftovers go by their fan of ranges (the last fan is one task), settled runs pass through
-        fan = F.lit(0) if ranges == 1 else F.floor(F.col("part") / FAN).cast("int")
-        left = F.col("kind").isin(GAP, ITEM)
-        out = (out.withColumn("part", F.when(left, fan).otherwise(F.col("part")))
-               .repartition(ranges, F.when(left, F.col("part")).otherwise(0)).sortWithinPartitions("part", *order)
-               .mapInArrow(_by_fan(capacity), STATE))
+        if ranges > FAN:                                 # leftovers go by their fan of ranges, settled runs pass through
+            ranges = -(-ranges // FAN)
+            out = (out.withColumn("part", F.when(left, F.floor(F.col("part") / FAN).cast("int")).otherwise(F.col("part")))
+                   .repartition(ranges, F.when(left, F.col("part")).otherwise(0)))
+        else:
+            ranges = 1
+            out = out.withColumn("part", F.lit(0)).repartition(1)
+        out = out.sortWithinPartitions("part", *order).mapInArrow(_by_fan(capacity), STATE)
     return out
 
 
