@@ -1,10 +1,10 @@
 """Pooling token vectors into document vectors (V1-V9).
 
 Input rows: (group keys, e.g. doc and layer; pos; mask; vec array<double>).  No
-group is collected into one task.  One formula at all widths: a vector is cut
-into pieces of :data:`PIECE` elements, the rows of a (group, piece) go through
-one hash aggregation with one aggregate per element (code generated, partial
-aggregation on the map side), and a group's pieces are put together again.
+group is collected into one task.  One formula at all widths: every task folds its
+rows into one partial vector per group with numpy over Arrow batches, so one row per
+(task, group) is shuffled, and partials are folded in the same way.  The softmax is
+folded with its running maximum, so it needs no pass of its own.
 
 Rules, the same at all widths:
 * a row whose mask is 0 or null is hidden and never read, so a NaN there does
@@ -18,9 +18,11 @@ Rules, the same at all widths:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,31 +30,126 @@ from pyspark.sql import types as T
 from foldwise.constants import MASKED_MAX_FILL, MEAN_POOL_EPS
 from foldwise.plans.sizing import join_small
 
-# Elements that one aggregation row holds.
-PIECE = 64
-
-
-def _pooled(df: DataFrame, by: Sequence[str], vec: str, cell, out: str, finish=None, extra=()) -> DataFrame:
-    """(by..., out): ``cell(x)`` aggregated for every element x of the vectors;
-    ``extra`` aggregates of the rows are added, and ``finish(array)`` makes the
-    result from the joined pieces and them."""
+# Bytes of partial vectors that a task holds before it folds them.
+HELD = 32 << 20
+# Columns of a partial: weight (for a softmax the largest score), sum of the softmax
+# terms, whether a real row was met, the vectors' width (null without any) and the vector.
+PARTIAL = ("_m", "_s", "_real", "_w", "_v")
+
+
+def _groups(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by group, where each group begins there, and a row of each group."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for i in range(keys):
+        d = pc.dictionary_encode(batch.column(i), null_encoding="encode")
+        code = code * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code, return_inverse=True)[1]        # dense again, so no product overflows
+    order = np.argsort(code, kind="stable")
+    begin = np.flatnonzero(np.diff(code[order], prepend=-1))
+    return order, begin, order[begin]
+
+
+def _folded(batch: pa.RecordBatch, keys: int, how: str) -> pa.RecordBatch:
+    """One partial per group of a batch of partials."""
+    order, begin, first = _groups(batch, keys)
+    m, s, real, w, v = (batch.column(keys + i) for i in range(5))
+    m, s = (x.fill_null(0.0).to_numpy(zero_copy_only=False)[order] for x in (m, s))
+    real = real.to_numpy(zero_copy_only=False)[order].astype(bool)
+    lo = np.minimum.reduceat(np.where((n := w.fill_null(-1).to_numpy(zero_copy_only=False)[order]) < 0, np.iinfo(np.int32).max, n), begin)
+    hi = np.maximum.reduceat(n, begin)
+    if (bad := (hi >= 0) & (lo != hi)).any():
+        raise ValueError(f"pooling: vectors of one group differ in width ({lo[bad][0]} and {hi[bad][0]})")
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    if how == "softmax":
+        top = np.full(len(begin), -np.inf)
+        np.maximum.at(top, group[real], m[real])
+        with np.errstate(invalid="ignore"):
+            scale = np.where(real, np.where(m == top[group], 1.0, np.exp(m - top[group])), 0.0)
+        total, m = np.add.reduceat(s * scale, begin), top
+    else:
+        scale, total, m = None, np.add.reduceat(s, begin), np.add.reduceat(m, begin)
+    any_real = np.logical_or.reduceat(real, begin)
+    # vectors, one width at a time
+    offsets, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+    pieces: list[np.ndarray] = [np.zeros(0)] * len(begin)
+    for d in np.unique(hi[hi > 0]):
+        mine = np.flatnonzero(real & (hi[group] == d))
+        held = np.flatnonzero(hi == d)
+        out = np.full((len(begin), d), {"max": -np.inf, "min": np.inf}.get(how, 0.0))
+        if len(mine):
+            x = flat[offsets[order[mine]][:, None] + np.arange(d)]
+            if scale is not None:
+                x = x * scale[mine][:, None]
+            at = np.flatnonzero(np.diff(group[mine], prepend=-1))
+            fold = {"max": np.maximum, "min": np.fmin}.get(how, np.add)
+            out[group[mine][at]] = fold.reduceat(x, at, axis=0)
+        for g in held:
+            pieces[g] = out[g]
+    sizes = np.array([len(p) for p in pieces])
+    vectors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*pieces, np.zeros(0)])))
+    width = pa.array(hi.astype(np.int32), mask=hi < 0)
+    return pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(first)) for i in range(keys)), pa.array(m), pa.array(total),
+                                       pa.array(any_real), width, vectors], names=batch.schema.names)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _fold_task(keys: int, how: str, is_sorted: bool):
+    """Folds a task's partials: into one per group as far as HELD bytes reach, or, if
+    groups come one after the other, into exactly one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(_folded(b, keys, how))
+            if sum(x.nbytes for x in held) > HELD:
+                one = _folded(_joined(held), keys, how)
+                if is_sorted:                                    # all but the last group are complete
+                    last = _last(one, b, keys)
+                    yield one.filter(pa.array(~last))
+                    held = [one.filter(pa.array(last))]
+                elif one.nbytes > HELD // 2:
+                    yield one
+                    held = []
+                else:
+                    held = [one]
+        if held:
+            yield _folded(_joined(held), keys, how)
+
+    return run
+
+
+def _last(folded: pa.RecordBatch, batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Which groups of ``folded`` the last row of ``batch`` is in."""
+    same = np.ones(folded.num_rows, bool)
+    for i in range(keys):
+        x, y = folded.column(i), batch.column(i)[-1]
+        equal = pc.is_null(x) if not y.is_valid else pc.fill_null(pc.equal(x, y), False)
+        same &= equal.to_numpy(zero_copy_only=False)
+    return same
+
+
+def _pooled(df: DataFrame, by: Sequence[str], vec: str, how: str, real: Column, weight: Column | None, out: str, finish) -> DataFrame:
+    """(by..., out): the real rows' vectors folded by ``how`` (sum of vectors times
+    ``weight``, max, min, or softmax with ``weight`` as score); ``finish(array)`` makes
+    the result from it and the partial's columns."""
     by = list(by)
-    width = F.size(vec)
-    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(width / PIECE).cast("int") - 1, F.lit(0)))
-    pieces = F.when(F.col(vec).isNotNull(), F.transform(cuts, lambda k: F.slice(vec, k * PIECE + 1, PIECE)))
-    rows = df.withColumn("_w", F.when(F.col(vec).isNotNull(), width)).select(
-        "*", F.posexplode_outer(pieces).alias("_k", "_p")).withColumn("_k", F.coalesce("_k", F.lit(0)))
-    per = rows.groupBy(*by, "_k").agg(*[cell(F.get("_p", F.lit(i))).alias(f"_e{i}") for i in range(PIECE)],
-                                      F.min("_w").alias("_lo"), F.max("_w").alias("_hi"), *extra)
-    part = F.slice(F.array(*[F.col(f"_e{i}") for i in range(PIECE)]), 1,
-                   F.least(F.lit(PIECE), F.greatest(F.col("_hi") - F.col("_k") * PIECE, F.lit(0))))
-    names = [c for c in per.columns if c not in by and c != "_k" and not c.startswith("_e")]
-    whole = per.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", part.alias("p")))).alias("_l"),
-                                 *[(F.min if c == "_lo" else F.max)(c).alias(c) for c in names])
-    arr = F.flatten(F.transform("_l", lambda x: x["p"]))
-    arr = F.when(F.col("_lo") == F.col("_hi"), arr if finish is None else finish(arr)).when(
-        F.col("_lo").isNotNull(), F.raise_error(F.lit("pooling: vectors of one group differ in width")))
-    return whole.select(*by, arr.alias(out))
+    keys, v = [f"_k{i}" for i in range(len(by))], F.col(vec).cast("array<double>")
+    weight = F.lit(1.0) if weight is None else weight.cast("double")
+    hidden = F.array().cast("array<double>")
+    shown = F.transform(v, lambda x: x * weight) if how == "sum" else v
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.when(real, weight).alias("_m"), F.when(real, F.lit(1.0)).otherwise(F.lit(0.0)).alias("_s"),
+                     F.coalesce(real, F.lit(False)).alias("_real"), F.when(v.isNotNull(), F.size(v)).alias("_w"), F.when(real, shown).otherwise(hidden).alias("_v"))
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name in keys), *(T.StructField(n, t) for n, t in zip(PARTIAL, (
+        T.DoubleType(), T.DoubleType(), T.BooleanType(), T.IntegerType(), T.ArrayType(T.DoubleType()))))])
+    part = rows.mapInArrow(_fold_task(len(by), how, False), schema)
+    part = part.repartition(*keys).sortWithinPartitions(*keys) if keys else part.repartition(1)
+    whole = part.mapInArrow(_fold_task(len(by), how, True), schema)
+    return whole.select(*(F.col(k).alias(c) for c, k in zip(by, keys)), F.when(F.col("_w").isNotNull(), finish(F.col("_v"))).alias(out))
 
 
 def _real(mask: str, vec: str) -> Column:
@@ -68,11 +165,8 @@ def _divided(arr: Column, by: Column) -> Column:
 def mean_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
               out: str = "pooled") -> DataFrame:
     """sum(v * mask) / max(sum(mask), 1e-9); a group with no real token pools to zeros."""
-    m = F.when(_real(mask, vec), F.col(mask).cast("double"))
-    d = df.withColumn("_m", m)
-    den = F.greatest(F.coalesce(F.col("_s"), F.lit(0.0)), F.lit(MEAN_POOL_EPS))
-    return _pooled(d, by, vec, lambda x: F.sum(F.when(F.col("_m").isNotNull(), x * F.col("_m"))), out,
-                   lambda arr: F.transform(arr, lambda x: F.coalesce(x, F.lit(0.0)) / den), [F.sum("_m").alias("_s")])
+    den = F.greatest(F.col("_m"), F.lit(MEAN_POOL_EPS))
+    return _pooled(df, by, vec, "sum", _real(mask, vec), F.col(mask), out, lambda arr: _divided(arr, den))
 
 
 # V2 / V3
@@ -80,7 +174,7 @@ def max_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask
              out: str = "pooled", fill: float | None = MASKED_MAX_FILL) -> DataFrame:
     """Element-wise max over real positions.  A group with no real token gets
     ``fill`` in every element (the reference's -1e4) or null with ``fill=None``."""
-    return _extreme(df, by, vec, mask, out, F.max, fill)
+    return _extreme(df, by, vec, mask, out, "max", fill)
 
 
 def min_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask: str = "mask",
@@ -88,17 +182,15 @@ def min_pool(df: DataFrame, by: Sequence[str] = ("doc",), vec: str = "vec", mask
     """Element-wise min over real positions (the true masked min; the
     reference fills hidden positions with +1e-4, see SURVEY D9).  A group
     with no real token gets ``fill`` (null by default)."""
-    return _extreme(df, by, vec, mask, out, F.min, fill)
-
+    return _extreme(df, by, vec, mask, out, "min", fill)
 
-def _extreme(df, by, vec, mask, out, fn, fill):
-    d = df.withColumn("_r", _real(mask, vec))
 
+def _extreme(df, by, vec, mask, out, how, fill):
     def finish(arr):
-        filled = F.lit(None).cast("array<double>") if fill is None else F.transform(arr, lambda x: F.lit(float(fill)))
-        return F.when(F.col("_any"), arr).otherwise(filled)
+        filled = F.lit(None).cast("array<double>") if fill is None else F.array_repeat(F.lit(float(fill)), F.col("_w"))
+        return F.when(F.col("_real"), arr).otherwise(filled)
 
-    return _pooled(d, by, vec, lambda x: fn(F.when(F.col("_r"), x)), out, finish, [F.max("_r").alias("_any")])
+    return _pooled(df, by, vec, how, _real(mask, vec), None, out, finish)
 
 
 def pool(df: DataFrame, how: str = "mean", **kw) -> DataFrame:
@@ -111,12 +203,8 @@ def attention_pool(df: DataFrame, score: str, by: Sequence[str] = ("doc",), vec:
                    mask: str = "mask", out: str = "pooled") -> DataFrame:
     """Softmax(score) over the real positions of each group, then sum(w * v).
     A group with no real position gives null (the reference's softmax gives NaN)."""
-    real = _real(mask, vec)
-    # the group's largest real score by a window (a group is one document's positions)
-    d = df.withColumn("_mx", F.max(F.when(real, F.col(score))).over(Window.partitionBy(*by)))
-    d = d.withColumn("_sw", F.when(real, F.exp(F.col(score) - F.col("_mx"))))
-    return _pooled(d, by, vec, lambda x: F.sum(F.when(F.col("_sw").isNotNull(), x * F.col("_sw"))), out,
-                   lambda arr: _divided(arr, F.col("_ws")), [F.sum("_sw").alias("_ws")])
+    return _pooled(df, by, vec, "softmax", _real(mask, vec) & F.col(score).isNotNull(), F.col(score), out,
+                   lambda arr: F.when(F.col("_real"), _divided(arr, F.col("_s"))))
 
 
 # V5
@@ -130,9 +218,7 @@ def pool_layers(df: DataFrame, start: int = 8, weights: Sequence[float] | None =
     if weights is not None:
         wmap = F.create_map(*[x for i, wt in enumerate(weights) for x in (F.lit(start + i), F.lit(float(wt)))])
         w = F.coalesce(F.try_element_at(wmap, F.col(layer)), F.raise_error(F.lit("pool_layers: no weight")))
-    d = d.withColumn("_lw", w.cast("double"))
-    return _pooled(d, by, vec, lambda x: F.sum(x * F.col("_lw")), out,
-                   lambda arr: _divided(arr, F.col("_ws")), [F.sum("_lw").alias("_ws")])
+    return _pooled(d, by, vec, "sum", F.col(vec).isNotNull(), w, out, lambda arr: _divided(arr, F.col("_m")))
 
 
 # V6

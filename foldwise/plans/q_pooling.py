@@ -128,16 +128,19 @@ wd AS (SELECT doc, layer, pos, CAST(c.c * 64 + dim AS INTEGER) AS dim, score,
 
 
 def _sums(df, keys, vec="pooled"):
-    """Per vector: its width, its nulls, and two weighted sums that depend on every element's place."""
+    """Per vector: its width, its NaN elements, and two weighted sums of the others that depend on every element's place."""
     i = F.sequence(F.lit(1), F.size(vec))
-    dot = lambda k: F.aggregate(F.transform(F.arrays_zip(i.alias("i"), F.col(vec).alias("x")), lambda e: e["x"] * (e["i"] % k)),
+    dot = lambda k: F.aggregate(F.transform(F.arrays_zip(i.alias("i"), F.col(vec).alias("x")), lambda e: F.when(F.isnan(e["x"]), 0.0).otherwise(e["x"]) * (e["i"] % k)),
                                 F.lit(0.0), lambda a, x: a + x)
-    return df.select(*keys, F.coalesce(F.size(vec), F.lit(0)).alias("width"), F.round(dot(7), 5).alias("a"), F.round(dot(11), 5).alias("b"))
+    nans = F.coalesce(F.size(F.filter(vec, F.isnan)), F.lit(0)).alias("nans")
+    return df.select(*keys, F.coalesce(F.size(vec), F.lit(0)).alias("width"), nans, F.round(dot(7), 5).alias("a"), F.round(dot(11), 5).alias("b"))
 
 
 def _sums_sql(inner: str, keys: str) -> str:
     return f"""
-SELECT {keys}, CAST(count(value) AS INTEGER) AS width, round(sum(value * ((dim + 1) % 7)), 5) AS a, round(sum(value * ((dim + 1) % 11)), 5) AS b
+SELECT {keys}, CAST(count(value) AS INTEGER) AS width, CAST(count(CASE WHEN isnan(value) THEN 1 END) AS INTEGER) AS nans,
+       round(sum(CASE WHEN isnan(value) THEN 0 ELSE value END * ((dim + 1) % 7)), 5) AS a,
+       round(sum(CASE WHEN isnan(value) THEN 0 ELSE value END * ((dim + 1) % 11)), 5) AS b
 FROM ({inner}) GROUP BY {keys}"""
 
 
@@ -169,11 +172,10 @@ def v4_attention_pool_768(spark, sf_dir):
 
 @register("v5_pool_layers_768", _WIDE + _sums_sql(
     """SELECT doc, pos, dim, sum(v * CASE layer WHEN 2 THEN -1 ELSE 3 END) / sum(CASE layer WHEN 2 THEN -1 ELSE 3 END) AS value
-       FROM wd WHERE layer >= 2 AND pos < 9 GROUP BY doc, pos, dim""", "doc, pos"))
+       FROM wd WHERE layer >= 2 GROUP BY doc, pos, dim""", "doc, pos"))
 def v5_pool_layers_768(spark, sf_dir):
-    """Layer weights are free: one is negative."""
-    h = wide_hidden(spark, sf_dir).filter(F.col("pos") < 9)
-    return _sums(V.pool_layers(h, start=2, weights=[-1.0, 3.0]), ["doc", "pos"])
+    """Layer weights are free: one is negative.  Position 9 is NaN throughout, and so is its average."""
+    return _sums(V.pool_layers(wide_hidden(spark, sf_dir), start=2, weights=[-1.0, 3.0]), ["doc", "pos"])
 
 
 @register("v6_last_layers_768", _WIDE + _sums_sql(
@@ -184,10 +186,11 @@ def v6_last_layers_768(spark, sf_dir):
 
 
 @register("v8_word_mean_768", _WIDE + """,
-t AS (SELECT *, CASE WHEN pos = 0 THEN -1 ELSE CAST(floor((pos - 1) / 3) AS BIGINT) END AS word_id FROM wd WHERE pos < 9)
+t AS (SELECT *, CASE WHEN pos = 0 THEN -1 ELSE CAST(floor((pos - 1) / 3) AS BIGINT) END AS word_id FROM wd)
 """ + _sums_sql("SELECT doc, layer, pos, dim, CASE WHEN word_id >= 0 THEN avg(v) OVER (PARTITION BY doc, layer, word_id, dim) ELSE v END AS value FROM t", "doc, layer, pos"))
 def v8_word_mean_768(spark, sf_dir):
-    h = wide_hidden(spark, sf_dir).filter(F.col("pos") < 9)
+    """The last word's tokens include the NaN of position 9, so its mean is NaN."""
+    h = wide_hidden(spark, sf_dir)
     h = h.withColumn("word_id", F.when(F.col("pos") == 0, F.lit(-1)).otherwise(F.floor((F.col("pos") - 1) / 3)).cast("long"))
     return _sums(V.word_mean(h, by=["doc", "layer"]), ["doc", "layer", "pos"], vec="vec")
 
