@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators import spans as S
+from foldwise.operators import subwords as W
 from foldwise.operators import tokens as K
 from foldwise.plans import oracle_views as V
 from foldwise.plans import tables as T
@@ -240,3 +241,42 @@ def t11_t12_soft_target(spark, sf_dir):
     t = S.scatter_target(a, soft=True, width=3)
     flat = t.select("doc_id", F.size("target").alias("n"), F.flatten("target").alias("flat"))
     return flat.select("doc_id", "n", _digest("flat", 1000).alias("target_md5"))
+
+
+def vocabulary_file() -> str:
+    """Where the public byte-level tokenizer's file is installed."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("t1_subword_spans", """
+SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), ' '), lambda w, i: w <> '' OR i > 1)) AS INTEGER) AS words,
+       CAST(length(coalesce(text, '')) AS INTEGER) AS chars, true AS tiled FROM documents""")
+def t1_subword_spans(spark, sf_dir):
+    """Sub-word tokens of every document: its words that have tokens, the end of the
+    last span, and whether the spans follow one another without gap or overlap."""
+    d = W.subword_tokens(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary_file())
+    n = F.size("ids")
+    follows = (F.slice("starts", 2, F.greatest(n - 1, F.lit(0))) == F.slice("ends", 1, F.greatest(n - 1, F.lit(0)))) & (
+        (n == 0) | (F.get("starts", F.lit(0)) == 0)) & (F.size("starts") == n) & (F.size("ends") == n) & (F.size("word_ids") == n)
+    return d.select("doc_id", F.size(F.array_distinct("word_ids")).alias("words"), F.coalesce(F.get("ends", n - 1), F.lit(0)).alias("chars"),
+                    follows.alias("tiled"))
+
+
+@register("t9_t12_subwords", """
+WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents)),
+l AS (SELECT doc_id, length(word) % 8 AS label FROM w WHERE word <> '' OR i > 1)
+SELECT d.doc_id, CAST(count(label) AS BIGINT) AS starts, CAST(count(CASE WHEN label <> 7 THEN 1 END) AS BIGINT) AS flagged,
+       CAST(coalesce(sum(CASE WHEN label <> 7 THEN label END), 0) AS BIGINT) AS labels
+FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""")
+def t9_t12_subwords(spark, sf_dir):
+    """Word labels aligned to sub-word tokens and scattered: every word's first token
+    carries its label, all other tokens are ignored."""
+    d = W.subword_tokens(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary_file())
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w, i: (w != "") | (i > 0))
+    d = d.select("doc_id", "word_ids", F.transform(words, lambda w: F.length(w) % 8).alias("labels"))
+    t = S.scatter_target(S.align_labels(d))
+    real = F.filter("target", lambda x: x != -100)
+    return t.select("doc_id", F.size(F.filter("word_start", lambda x: x)).cast("bigint").alias("starts"),
+                    F.size(F.filter("flag", lambda x: x)).cast("bigint").alias("flagged"),
+                    F.aggregate(real, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("labels"))
