@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 from foldwise.constants import TARGETS
 from foldwise.operators.columns import with_ordinal as _number_rows
 from foldwise.plans.scratch import scratch_dir, written
+from foldwise.sources.split_csv import read_csv
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# white space at the ends of a text stays (Spark's writer drops it unless told so)
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def essay_schema(targets: Sequence[str] = TARGETS, with_fold: bool = False) -> T.StructType:
@@ -30,8 +33,9 @@ def essay_schema(targets: Sequence[str] = TARGETS, with_fold: bool = False) -> T
 
 # S1
 def read_essays(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header and quoted multi-line text, typed by ``schema`` (no inference)."""
-    return spark.read.schema(schema or essay_schema()).options(**CSV_OPTIONS).csv(path)
+    """CSV with header and quoted multi-line text, typed by ``schema`` (no inference).
+    A file is read by byte ranges, so one large file spreads over many tasks."""
+    return read_csv(spark, path, schema or essay_schema(), CSV_OPTIONS)
 
 
 # S2 / S3
