@@ -98,11 +98,13 @@ def _pair_sql(n_src: int) -> str:
     return "SELECT text_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in cols) + " FROM (" + body + ")"
 
 
-@register("j3_drop_right", _pair_sql(2))
+@register("j3_drop_right", _pair_sql(N_SRC))
 def j3_drop_right(spark, sf_dir):
-    """Two output files joined after dropping the right file's target columns."""
-    a, b = [P.rename(source_table(spark, sf_dir, s), {c: f"{c}_label_{s}" for c in INPUTS}) for s in range(2)]
-    return _rounded(J.join_all([a, b], ["text_id"], drop_right=TARGETS))
+    """The output files joined one by one, each after dropping its target columns."""
+    first, *rest = [P.rename(source_table(spark, sf_dir, s), {c: f"{c}_label_{s}" for c in INPUTS}) for s in range(N_SRC)]
+    for right in rest:
+        first = J.join_all([first, right], ["text_id"], drop_right=TARGETS)
+    return _rounded(first)
 
 
 @register("p2_features_of", "SELECT * EXCLUDE (" + ", ".join(TARGETS) + ") FROM (" + _WIDE_ROUND_SQL + ")")
@@ -113,36 +115,37 @@ def p2_features_of(spark, sf_dir):
 
 
 @register("j4_join_suffixed", _FS + """
-SELECT a.text_id, """ + ", ".join(f"round(a.{t}, 6) AS {t}, round(b.{t}, 6) AS {t}_y" for t in TARGETS) + """
-FROM first_stage a JOIN first_stage b ON a.text_id = b.text_id WHERE a.src = 0 AND b.src = 1""")
+SELECT a.text_id, a.src, """ + ", ".join(f"round(a.{t}, 6) AS {t}, round(b.{t}, 6) AS {t}_y" for t in TARGETS) + """
+FROM first_stage a JOIN first_stage b ON a.text_id = b.text_id AND b.src = a.src + 1""")
 def j4_join_suffixed(spark, sf_dir):
+    """Every source beside the next one."""
     fs = T.first_stage(spark, sf_dir)
-    a = fs.filter(F.col("src") == 0).drop("src")
-    b = fs.filter(F.col("src") == 1).drop("src")
-    return _rounded(J.join_suffixed(a, b, ["text_id"]))
+    return _rounded(J.join_suffixed(fs, fs.withColumn("src", F.col("src") - 1), ["text_id", "src"]))
 
 
 @register("j1_join_outputs", V.with_views(V.ESSAYS, V.TARGETS6, V.FOLDS5, V.FOLD_PREDS) + """,
 per AS (SELECT text_id, target, label, count(*) AS n, min(fold) AS f FROM fold_preds GROUP BY text_id, target, label),
 win AS (SELECT *, row_number() OVER (PARTITION BY text_id, target ORDER BY n DESC, f) AS rk FROM per)
-SELECT e.text_id, e.cohesion, w.label AS cohesion_label FROM essays e
-JOIN win w ON w.text_id = e.text_id AND w.target = 'cohesion' AND w.rk = 1""")
+SELECT e.text_id, """ + ", ".join(f"any_value(e.{t}) AS {t}, max(CASE WHEN w.target = '{t}' THEN w.label END) AS {t}_label" for t in TARGETS) + """
+FROM essays e JOIN win w ON w.text_id = e.text_id AND w.rk = 1 GROUP BY e.text_id""")
 def j1_join_outputs(spark, sf_dir):
-    v = E.vote(T.fold_preds(spark, sf_dir)).filter(F.col("target") == "cohesion")
-    v = v.select("text_id", F.col("label").alias("cohesion_label"))
-    return J.join_outputs(truth(spark, sf_dir).select("text_id", "cohesion"), v, ["text_id"], null_safe=True)
+    """The voted labels of all targets joined to the true scores."""
+    v = E.vote(T.fold_preds(spark, sf_dir)).groupBy("text_id").pivot("target", TARGETS).agg(F.first("label"))
+    v = v.withColumnsRenamed({t: f"{t}_label" for t in TARGETS})
+    return J.join_outputs(truth(spark, sf_dir), v, ["text_id"], null_safe=True)
 
 
 @register("j5_attach", V.with_views(V.LABELLED_FOLDS) + """,
-rows_ AS (SELECT doc_id, fold, lang, CAST(quality AS DOUBLE) AS y FROM lf),
-oof AS (SELECT r.doc_id, coalesce((SELECT avg(t.y) FROM rows_ t WHERE t.lang = r.lang AND t.fold <> r.fold),
-                                  (SELECT avg(t.y) FROM rows_ t WHERE t.fold <> r.fold)) AS pred FROM rows_ r)
-SELECT d.doc_id, d.lang, round(o.pred, 6) AS quality_pred FROM documents d LEFT JOIN oof o ON d.doc_id = o.doc_id""")
+oof AS (SELECT r.doc_id, """ + ", ".join(f"""coalesce((SELECT avg(CAST(t.{y} AS DOUBLE)) FROM lf t WHERE t.lang = r.lang AND t.fold <> r.fold),
+                                  (SELECT avg(CAST(t.{y} AS DOUBLE)) FROM lf t WHERE t.fold <> r.fold)) AS {y}""" for y in LABEL_TARGETS) + """ FROM lf r)
+SELECT d.doc_id, d.lang, """ + ", ".join(f"round(o.{y}, 6) AS {y}_pred" for y in LABEL_TARGETS) + """ FROM documents d LEFT JOIN oof o ON d.doc_id = o.doc_id""")
 def j5_attach(spark, sf_dir):
-    preds = O.oof_group_mean(labelled_folds(spark, sf_dir), "doc_id", "lang", ["quality"])
-    preds = preds.select("doc_id", _r("pred", "quality_pred"))
+    """Out-of-fold predictions of both labels attached to all documents."""
     rows = T.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return J.attach(rows, preds, "doc_id", how="left")
+    preds = O.oof_group_mean(labelled_folds(spark, sf_dir), "doc_id", "lang", LABEL_TARGETS)
+    for t in LABEL_TARGETS:
+        rows = J.attach(rows, preds.filter(F.col("target") == t).select("doc_id", _r("pred", f"{t}_pred")), "doc_id", how="left")
+    return rows
 
 
 @register("j6_duplicate_keys", _FS + "SELECT text_id, count(*) AS count FROM first_stage GROUP BY text_id "
@@ -165,13 +168,13 @@ def p1_select(spark, sf_dir):
     return P.select_columns(T.essays(spark, sf_dir), ["text_id", "cohesion", "syntax"])
 
 
-@register("p3_p4_p6_shape", _FS + "SELECT text_id, " + ", ".join(
-    f"round({t}, 6) AS {t}_fold0" for t in TARGETS) + " FROM first_stage WHERE src = 0")
+@register("p3_p4_p6_shape", _FS + "SELECT text_id, src, " + ", ".join(
+    f"round({t}, 6) AS {'grammar_score' if t == 'grammar' else t}_fold0" for t in TARGETS if t != "syntax") + " FROM first_stage")
 def p3_p4_p6_shape(spark, sf_dir):
-    fs = T.first_stage(spark, sf_dir).filter(F.col("src") == 0)
-    fs = P.drop_columns(fs, ["src"])
-    fs = P.rename(fs, {"not_a_column": "ignored"})
-    return _rounded(P.suffix_columns(fs, "_fold0", keep=["text_id"]))
+    """All sources: one target dropped, one renamed (an absent name changes nothing), the rest suffixed."""
+    fs = P.drop_columns(T.first_stage(spark, sf_dir), ["syntax", "not_a_column"])
+    fs = P.rename(fs, {"grammar": "grammar_score", "not_a_column": "ignored"})
+    return _rounded(P.suffix_columns(fs, "_fold0", keep=["text_id", "src"]))
 
 
 @register("p5_ordinal_by_group", """
@@ -228,19 +231,21 @@ def _fit_group_mean(train):
 def _predict_group_mean(model, valid):
     g, m = model
     return (valid.join(g, "lang", "left").crossJoin(F.broadcast(m))   # m: one row
-                 .select("doc_id", "fold", "lang", F.lit("quality").alias("target"), "y",
+                 .select("doc_id", "fold", "lang", "target", "y",
                          F.coalesce("g", "m").alias("pred")))
 
 
 @register("o1_oof_loop", V.with_views(V.LABELLED_FOLDS) + """,
-rows_ AS (SELECT doc_id, fold, lang, CAST(quality AS DOUBLE) AS y FROM lf)
-SELECT r.doc_id, r.fold, r.lang, 'quality' AS target, r.y,
-       round(coalesce((SELECT avg(t.y) FROM rows_ t WHERE t.lang = r.lang AND t.fold <> r.fold),
-                      (SELECT avg(t.y) FROM rows_ t WHERE t.fold <> r.fold)), 6) AS pred FROM rows_ r""")
+rows_ AS (""" + " UNION ALL ".join(f"SELECT doc_id, fold, lang, '{t}' AS target, CAST({t} AS DOUBLE) AS y FROM lf" for t in LABEL_TARGETS) + """)
+SELECT r.doc_id, r.fold, r.lang, r.target, r.y,
+       round(coalesce((SELECT avg(t.y) FROM rows_ t WHERE t.lang = r.lang AND t.target = r.target AND t.fold <> r.fold),
+                      (SELECT avg(t.y) FROM rows_ t WHERE t.target = r.target AND t.fold <> r.fold)), 6) AS pred FROM rows_ r""")
 def o1_oof_loop(spark, sf_dir):
-    d = labelled_folds(spark, sf_dir).select("doc_id", "fold", "lang", F.col("quality").cast("double").alias("y"))
-    out = O.oof(d, 5, _fit_group_mean, _predict_group_mean, id_col="doc_id")
-    return out.select("doc_id", "fold", "lang", "target", "y", _r("pred"))
+    """Both labels, each by its own loop over the folds."""
+    d = labelled_folds(spark, sf_dir)
+    found = [O.oof(d.select("doc_id", "fold", "lang", F.lit(t).alias("target"), F.col(t).cast("double").alias("y")), 5,
+                   _fit_group_mean, _predict_group_mean, id_col="doc_id") for t in LABEL_TARGETS]
+    return J.union_all(found).select("doc_id", "fold", "lang", "target", "y", _r("pred"))
 
 
 _OLS_SQL = V.with_views(V.LABELLED_FOLDS) + """,
@@ -431,22 +436,27 @@ def l1_fitted_class_moments(spark, sf_dir):
         ("s0", F.lit(1.0)), ("s1", F.get("x", F.lit(0))), ("s2", F.get("x", F.lit(1))))])
 
 
-@register("o1_incomplete_folds", "SELECT 'null fold' AS kind, true AS raised UNION ALL SELECT 'foreign fold', true UNION ALL SELECT 'complete', false")
+@register("o1_incomplete_folds", V.with_views(V.LABELLED_FOLDS) + """,
+cases AS (SELECT 'null fold' AS kind, CASE WHEN doc_id % 2 = 0 THEN fold END AS fold FROM lf
+          UNION ALL SELECT 'foreign fold', fold * 2 FROM lf UNION ALL SELECT 'complete', fold FROM lf)
+SELECT kind, count(*) FILTER (fold IS NULL OR fold NOT BETWEEN 0 AND 4) AS misplaced,
+       CASE WHEN count(*) FILTER (fold IS NULL OR fold NOT BETWEEN 0 AND 4) = 0 THEN count(*) END AS predicted FROM cases GROUP BY kind""")
 def o1_incomplete_folds(spark, sf_dir):
     """Out-of-fold prediction must not lose rows: a null fold and a fold outside
-    [0, k) end the query, the table as dealt does not."""
-    d = labelled_folds(spark, sf_dir).select("doc_id", "fold", "lang", F.col("quality").cast("double").alias("y"))
+    [0, k) end the query (nothing is predicted), the table as dealt does not."""
+    d = labelled_folds(spark, sf_dir).select("doc_id", "fold", "lang", F.lit("quality").alias("target"), F.col("quality").cast("double").alias("y"))
     cases = [("null fold", F.when(F.col("doc_id") % 2 == 0, F.col("fold"))), ("foreign fold", F.col("fold") * 2), ("complete", F.col("fold"))]
     found = []
     for kind, fold in cases:
+        dealt = d.withColumn("fold", fold)
+        misplaced = dealt.where(F.col("fold").isNull() | ~F.col("fold").between(0, 4)).count()
         try:
-            O.oof(d.withColumn("fold", fold), 5, _fit_group_mean, _predict_group_mean, id_col="doc_id").count()
-            found.append((kind, False))
+            found.append((kind, misplaced, O.oof(dealt, 5, _fit_group_mean, _predict_group_mean, id_col="doc_id").count()))
         except Exception as e:
             if "fold is null or outside" not in str(e):
                 raise
-            found.append((kind, True))
-    return spark.createDataFrame(found, "kind string, raised boolean")
+            found.append((kind, misplaced, None))
+    return spark.createDataFrame(found, "kind string, misplaced long, predicted long")
 
 
 def fold_heads(k: int = 5, d: int = 64, o: int = 6):
