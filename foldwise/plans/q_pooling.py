@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from foldwise.operators import attention as A
 from foldwise.operators import pooling as V
 from foldwise.plans import oracle_views as OV
 from foldwise.plans import tables as T
@@ -251,3 +252,29 @@ def v9_project(spark, sf_dir):
 @register("v9_project_arrow", _V9)
 def v9_project_arrow(spark, sf_dir):
     return _v9(spark, sf_dir, "pandas")
+
+
+def scorer_weights(d: int = 64) -> A.Scorer:
+    """A fixed scorer: w1[i, j] = ((7 i + 3 j) % 11 - 5) / 50, b1[j] = (j % 5) / 10, scale[j] = 1 + (j % 3) / 10,
+    shift[j] = (j % 4) / 10, w2[j] = ((5 j) % 7 - 3) / 10, b2 = 0.1."""
+    i, j = np.arange(d)[:, None], np.arange(d)
+    return A.Scorer(((7 * i + 3 * j) % 11 - 5) / 50, j % 5 / 10, 1 + j % 3 / 10, j % 4 / 10, (5 * j % 7 - 3) / 10, 0.1)
+
+
+#: The error function of ``u``: a series of positive terms, as the engine has none of its own.
+_ERF = ("sign(u) * CASE WHEN abs(u) > 5.9 THEN 1 ELSE 2 / sqrt(pi()) * exp(-u * u) * list_sum(list_transform(range(0, 200), "
+        "lambda n: exp(n * ln(2) + (2 * n + 1) * ln(greatest(abs(u), 1e-300)) - (lgamma(2 * n + 2) - n * ln(2) - lgamma(n + 1))))) END")
+
+
+@register("v4_learned_attention", _H + f""",
+z AS (SELECT doc, layer, pos, mask, CAST(j.j AS INTEGER) AS j, sum(v * ((7 * dim + 3 * j.j) % 11 - 5) / 50) + (j.j % 5) / 10 AS z
+      FROM hd CROSS JOIN range(64) j(j) GROUP BY doc, layer, pos, mask, j.j),
+n AS (SELECT *, (z - avg(z) OVER w) / sqrt(var_pop(z) OVER w + 1e-5) * (1 + (j % 3) / 10) + (j % 4) / 10 AS x FROM z WINDOW w AS (PARTITION BY doc, layer, pos)),
+u AS (SELECT *, x / sqrt(2) AS u FROM n),
+s AS (SELECT doc, layer, pos, mask, sum(x * (1 + {_ERF}) / 2 * ((5 * j) % 7 - 3) / 10) + 0.1 AS score FROM u GROUP BY doc, layer, pos, mask),
+e AS (SELECT doc, layer, pos, exp(score - max(score) OVER (PARTITION BY doc, layer)) AS e FROM s WHERE mask <> 0)
+SELECT doc, layer, dim, round(sum(e * v) / sum(e), 6) AS value FROM hd JOIN e USING (doc, layer, pos) GROUP BY doc, layer, dim""")
+def v4_learned_attention(spark, sf_dir):
+    """Attention pooling by the learned scorer's own scores."""
+    p = A.learned_attention_pool(T.hidden(spark, sf_dir), scorer_weights(), by=["doc", "layer"])
+    return _long(p, ["doc", "layer"])
