@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.operators.columns import with_ordinal
+from foldwise.plans.scratch import written
 from foldwise.plans.sizing import join_small
 
 
@@ -101,23 +102,41 @@ def prefix_type(df: DataFrame, words: str, sep: str, out: str | None = None) ->
 
 
 # T5
+# Tokens that hold at least one in so many of all occurrences are coded where the rows
+# are, if they have at most so many characters: their table is bounded by both.
+HEAVY, HEAVY_CHARS = 4096, 64
+
+
 def fit_vocab(df: DataFrame, tokens: str, min_count: int = 1) -> DataFrame:
-    """(token, id, count): distinct tokens numbered in token order."""
+    """(token, id, count): distinct tokens numbered in token order, written to shared
+    scratch storage, as encoding reads it more than once."""
     counts = (df.select(F.explode(tokens).alias("token")).groupBy("token")
                 .agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_count))
-    return with_ordinal(counts, ["token"], name="id").select("token", F.col("id").cast("int"), "count")
+    return written(with_ordinal(written(counts), ["token"], name="id").select("token", F.col("id").cast("int"), "count"))
 
 
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, keys: Sequence[str], unknown: int = -1,
            out: str = "ids") -> DataFrame:
     """Token ids per row, long form (keys..., pos, id); unknown tokens get ``unknown``.
 
-    A plain null-safe join: adaptive execution broadcasts a vocabulary whose measured bytes are
-    small, and splits the rows of a very frequent token otherwise (skew join)."""
+    The heavy hitters of the vocabulary (by its ``count``, if it has one) are coded in
+    each task from their bounded table, so the rows of a frequent token are neither
+    shuffled nor met in one task; the rest joins plainly (null-safe)."""
     longer = df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
-    j = join_small(longer, vocab.select("token", "id"), ["token"], how="left", null_safe=True)
-    return j.select(*keys, F.col("pos").cast("int").alias("pos"),
-                    F.coalesce(F.col("id"), F.lit(unknown)).alias(out))
+    ids = vocab.select("token", "id")
+
+    def shaped(rows: DataFrame, id_col) -> DataFrame:
+        return rows.select(*keys, F.col("pos").cast("int").alias("pos"), F.coalesce(id_col, F.lit(unknown)).alias(out))
+
+    if "count" not in vocab.columns:
+        return shaped(join_small(longer, ids, ["token"], how="left", null_safe=True), F.col("id"))
+    least = (vocab.agg(F.sum("count")).first()[0] or 0) / HEAVY
+    heavy = (F.col("count") >= least) & (F.coalesce(F.length("token"), F.lit(0)) <= HEAVY_CHARS)
+    told = join_small(longer, vocab.where(heavy).select("token", F.col("id").alias("_id"), F.lit(True).alias("_told")), ["token"],
+                      how="left", null_safe=True, bound=HEAVY)
+    rest = join_small(told.where(F.col("_told").isNull()).drop("_id", "_told"), vocab.where(~heavy).select("token", "id"), ["token"],
+                      how="left", null_safe=True)
+    return shaped(told.where("_told"), F.col("_id")).unionByName(shaped(rest, F.col("id")))
 
 
 # T6 / T7

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +262,23 @@ def test_pooling_rules_do_not_depend_on_the_width(spark, width):
     with pytest.raises(Exception, match="differ in width"):
         V.mean_pool(mixed).collect()
 
+
+
+def test_encode_splits_heavy_hitters(spark, monkeypatch):
+    """The ids are those of a plain lookup, whatever share is heavy; long and null tokens join."""
+    rng = random.Random(12)
+    stock = ["the"] * 500 + ["of"] * 120 + [f"w{i}" for i in range(300)] + ["x" * 90] * 40 + [None] * 60
+    rows = [(i, [rng.choice(stock) for _ in range(rng.randint(0, 30))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc int, tokens array<string>")
+    train = df.where("doc % 3 != 0")
+    want = None
+    for heavy in (1, 8, 4096):
+        monkeypatch.setattr(K, "HEAVY", heavy)
+        vocab = K.fit_vocab(train, "tokens")
+        known = {r.token: r.id for r in vocab.collect()}
+        assert sorted(known.values()) == list(range(len(known)))
+        got = sorted((r.doc, r.pos, r.ids) for r in K.encode(df, "tokens", vocab, ["doc"]).collect())
+        assert got == sorted((d, p, known.get(t, -1)) for d, ts in rows for p, t in enumerate(ts))
+        assert got == sorted((r.doc, r.pos, r.ids) for r in K.encode(df, "tokens", vocab.drop("count"), ["doc"]).collect())
+        assert want in (None, got)
+        want = got
