@@ -10,9 +10,11 @@ callables; O4 wraps ``pyspark.ml`` estimators in it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -251,21 +253,27 @@ def oof_ridge(df: DataFrame, id_col: str, features: str, targets: Sequence[str],
 
 
 # O4
+# Fits that run at a time.
+FITS = 4
+
+
 def oof_ml(df: DataFrame, id_col: str, features: str, targets: Sequence[str], make_estimator,
            k: int, fold: str = "fold") -> DataFrame:
     """Fit a ``pyspark.ml`` regressor per (fold, target) on the other folds and
     predict the held-out fold; long (id, fold, target, y, pred).  The assembled
-    vectors are written to shared scratch storage and reread by all k x t fits; a
-    row whose fold is null or outside [0, k) is an error."""
+    vectors are written to shared scratch storage and reread by all k x t fits, which
+    run a few at a time as concurrent jobs (``make_estimator`` is called from their
+    threads); the results are in the order of folds and targets.  A row whose fold is
+    null or outside [0, k) is an error, and so is any failing fit."""
     base = written(checked_folds(df, k, fold).select(id_col, fold, array_to_vector(F.col(features)).alias("_features"),
                                                      *[F.col(t).cast("double").alias(t) for t in targets]))
-    pieces = []
-    for f in range(k):
-        train, valid = base.filter(F.col(fold) != f), base.filter(F.col(fold) == f)
-        for t in targets:
-            est = make_estimator().setFeaturesCol("_features").setLabelCol(t).setPredictionCol("_pred")
-            m = est.fit(train)
-            pieces.append(m.transform(valid).select(id_col, F.col(fold).cast("int").alias("fold"),
-                                                    F.lit(t).alias("target"), F.col(t).alias("y"),
-                                                    F.col("_pred").cast("double").alias("pred")))
-    return union_all(pieces)
+
+    def fitted(unit: tuple[int, str]) -> DataFrame:
+        f, t = unit
+        est = make_estimator().setFeaturesCol("_features").setLabelCol(t).setPredictionCol("_pred")
+        m = est.fit(base.filter(F.col(fold) != f))
+        return m.transform(base.filter(F.col(fold) == f)).select(
+            id_col, F.col(fold).cast("int").alias("fold"), F.lit(t).alias("target"), F.col(t).alias("y"), F.col("_pred").cast("double").alias("pred"))
+
+    with ThreadPoolExecutor(FITS) as pool:
+        return union_all(list(pool.map(inheritable_thread_target(fitted), [(f, t) for f in range(k) for t in targets])))

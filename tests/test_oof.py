@@ -84,3 +84,30 @@ def test_ridge_moments_summed_in_pieces(spark, monkeypatch):
     for f in one.models:
         np.testing.assert_allclose(one.models[f][1], many.models[f][1], rtol=1e-10, atol=1e-12)
         np.testing.assert_allclose(one.models[f][0], many.models[f][0], rtol=1e-10, atol=1e-12)
+
+
+def test_ml_fits_overlap_and_keep_their_order(spark):
+    """Fits run at a time, and the result is that of one after the other."""
+    import threading
+    from pyspark.ml.regression import LinearRegression
+    rows = [(i, i % 3, [float(i), float(i * i % 7)], 2.0 * i + i * i % 7, 1.0 - i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, fold int, x array<double>, a double, b double")
+    lock, seen = threading.Lock(), set()
+
+    def make():
+        with lock:
+            seen.add(threading.get_ident())
+        return LinearRegression()
+
+    got = O.oof_ml(df, "id", "x", ["a", "b"], make, 3)
+    assert len(seen) > 1
+    assert [(r.fold, r.target) for r in got.select("fold", "target").distinct().collect()] != []
+    for r in got.collect():
+        assert r.fold == r.id % 3 and abs(r.y - r.pred) < 1e-6
+    assert got.count() == 120
+
+    def broken():
+        raise RuntimeError("no estimator")
+
+    with pytest.raises(RuntimeError, match="no estimator"):
+        O.oof_ml(df, "id", "x", ["a"], broken, 3)
