@@ -10,7 +10,8 @@ The result never depends on which words are in the lexicon.
 
 Defined results: a null text counts as empty (no ids, empty decoded text); an
 added token's string in a text becomes that token's id; repeated rows are
-encoded each; an empty table gives an empty table; other columns are not read.
+encoded each; an empty table gives an empty table; other columns are not read, but one
+named like the output column is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import columns_of, rows_out, saved, small_batches
+from foldwise.llm.common import columns_of, rows_out, saved, small_batches, worker_cache
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -389,12 +390,12 @@ class Encoder:
         return self.as_text(self.decode_bytes(ids))
 
 
-@lru_cache(1)
+@worker_cache
 def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(1)
+@worker_cache
 def _encoder(vocabulary_file: str, lexicon_file: str | None) -> Encoder:
     """One encoder for each worker process, the last one used: the lexicon is
     mapped, not copied, and an earlier memo is let go."""

@@ -42,6 +42,18 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where rows hold whole texts.
+WIDE_ROWS = 1000
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Arrow batches of few rows for this session: Spark's default of 10,000 is meant for
+    narrow rows, and the buffers of batches of documents stand beside the executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > WIDE_ROWS:
+        spark.conf.set(name, WIDE_ROWS)
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> tuple[list, ...]:
     return tuple(batch.column(n).to_pylist() for n in names)
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import ASCII_SPACE, rows_out, small_batches
+from foldwise.llm.common import ASCII_SPACE, let_go, rows_out, small_batches
 
 #: Bytes of labels that a task's trie may hold before it hands subtrees on.
 TRIE_BYTES = 32 << 20
@@ -165,6 +165,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         trie = Patricia()
         for b in small_batches(batches, "text"):
             col = b.column("text")
@@ -227,10 +228,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """``docs`` with one row for each different text; of rows that share both id
     and text, one stays.  Only rows whose id owns some text are kept at all, so
     the last step sees no copies but those."""
-    own = owners(docs, id_col, text).select(F.col("keep_id").alias("_id"), F.col("sha").alias("_sha"), F.col("keep_chars").alias("_n"))
+    def key(doc_id, sha, chars):
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), sha, chars.cast("string"))
+
+    own = owners(docs, id_col, text).select(key(F.col("keep_id"), F.col("sha"), F.col("keep_chars")).alias("_key"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     row_id, row_text = names[docs.columns.index(id_col)], F.coalesce(names[docs.columns.index(text)], F.lit(""))
     sha = F.sha2(F.regexp_replace(row_text, r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    same = F.col(row_id).cast("bigint").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")) & (F.char_length(row_text) == F.col("_n"))
-    return rows.join(own, same).dropDuplicates(["_id", "_sha"]).select(*names).toDF(*docs.columns)
+    rows = rows.withColumn("_key", key(F.col(row_id).cast("bigint"), sha, F.char_length(row_text)))
+    # one plain key: rows are dealt and sorted by it once, for the join and for the copies
+    return rows.join(own, "_key").dropDuplicates(["_key"]).select(*names).toDF(*docs.columns)
