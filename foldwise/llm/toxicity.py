@@ -1,12 +1,14 @@
 """Operator 7: toxicity by Levenshtein automata over a learned lexicon.
 
-Learning: the words of all labelled rows are counted by Spark in toxic and other
-documents; words whose toxic share has a high lower bound are candidates.  Copies
-of a document would count many times over, so a candidate's evidence is then the
-number of its different contexts (the words around it) in either class.  The
-strongest ``LEXICON`` words form the lexicon.  The same pass counts the contexts of
-misspelled forms in documents without a well-spelled hit, so forms that are
-words of their own in clean text lose their weight.
+Learning: the words of all labelled texts are counted by Spark in toxic and other
+ones, copies once; words whose toxic share has a high lower bound are candidates.
+A candidate's evidence is then the number of its different contexts (the words
+around it) in either class, and every word whose share of contexts has a high lower
+bound is in the lexicon.  The same pass counts the contexts of misspelled forms in
+documents without a well-spelled hit, so forms that are words of their own in clean
+text lose their weight.  Words come in parts of about ``PART``, so each trie that is
+broadcast is bounded at any size of the lexicon; with several parts, a token takes
+its nearest word of all of them.
 
 Matching: the lexicon trie is intersected with the Levenshtein automata (edits,
 neighbouring letters swapped) of all words at once; the product is determinised
@@ -26,23 +28,28 @@ read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import columns_of, rows_out, small_batches
+from foldwise.llm.common import columns_of, rows_out, saved, small_batches
 
-#: Words of the lexicon; least documents of a candidate; least lower bound of its toxic share.
-LEXICON, LEAST_DOCS, LEAST_SHARE = 500, 5, 0.6
-#: Candidates whose contexts are counted.
-CANDIDATES = 5_000
+#: Least texts (and contexts) of a word, and least lower bound of its toxic share.
+LEAST_DOCS, LEAST_SHARE = 5, 0.6
+#: Words that one trie holds, about.
+PART = 20_000
+#: Digests of texts that a task knows it has listed.
+LISTED = 200_000
 #: What is left of a word's weight after one and two edits, and in quotation.
 EDITED, QUOTED = (1.0, 0.9, 0.75), 0.3
 #: Characters around a hit that make its context.
@@ -215,27 +222,34 @@ def occurrences(text: str, hits: dict[str, tuple[int, int]]) -> Iterator[tuple[i
             yield *h, m.start(), m.end()
 
 
-class Scorer:
-    """The learned lexicon, the weight of each word at each number of edits, and the base rate."""
+class Part:
+    """A part of the lexicon and the weight of each of its words at each number of edits."""
 
     def __init__(self, weight: dict[tuple[str, int], float], base: float):
         self.base = base
         self.trie = FuzzyTrie(sorted({w for w, _ in weight}))
-        self.weight = {(self.trie.words.index(w), e): x for (w, e), x in weight.items()}
+        number = {w: i for i, w in enumerate(self.trie.words)}
+        self.weight = {(number[w], e): x for (w, e), x in weight.items()}
+
+    def hits(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, begin, edits, word number, evidence) of each hit."""
+        hits, docs = spelled(self.trie, texts)
+        for d in docs:
+            for e, w, begin, end in occurrences(texts[d], hits):
+                yield d, begin, e, w, self.weight[w, e] * (QUOTED if quoted(texts[d], begin, end) else 1)
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        out = [self.base] * len(texts)
-        if self.weight:
-            hits, docs = spelled(self.trie, texts)
-            for d in docs:
-                out[d] = self._score(texts[d], hits)
-        return out
+        clean = [1 - self.base] * len(texts)
+        for d, _, _, _, x in self.hits(texts) if self.weight else ():
+            clean[d] *= 1 - x
+        return [min(1.0, max(0.0, 1 - c)) for c in clean]
+
+
+class Scorer(NamedTuple):
+    """The learned lexicon in parts, and the base rate."""
 
-    def _score(self, text: str, hits: dict[str, tuple[int, int]]) -> float:
-        clean = 1 - self.base
-        for e, w, begin, end in occurrences(text, hits):
-            clean *= 1 - self.weight[w, e] * (QUOTED if quoted(text, begin, end) else 1)
-        return min(1.0, max(0.0, 1 - clean))
+    parts: list[dict[tuple[str, int], float]]
+    base: float
 
 
 def lower_bound(k: float, n: float, z: float = 1.645) -> float:
@@ -246,81 +260,120 @@ def lower_bound(k: float, n: float, z: float = 1.645) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _least_share(k: Column, n: Column, z: float = 1.645) -> Column:
+    """:func:`lower_bound` as a column."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _parts(words: DataFrame) -> Iterator[list[Row]]:
+    """The rows of a table of words, about PART words at a time."""
+    n = words.select("word").distinct().count()
+    m = -(-n // PART)
+    for i in range(m):
+        yield words.where(F.pmod(F.xxhash64("word"), F.lit(m)) == i).collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
     """Learns from all rows of ``labels`` (id, 0/1 label) that have a document.
-    Counts stay in Spark; the driver gets the bounded candidate list."""
-    # a merge join at every size: labels follow the rows, so they are never broadcast
+    Counts stay in Spark; the driver gets the words that pass the bounds."""
+    # merge joins at every size: labels follow the rows, so they are never broadcast
     marked = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label) > 0).cast("int").alias("y")).hint("merge")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     spark = docs.sparkSession
-    listed = pa.schema([("id", pa.int64()), ("words", pa.string())])
     counted = pa.schema([("word", pa.string()), ("y", pa.int32()), ("n", pa.int64())])
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
-            ids, texts = columns_of(b, "id", "text")
-            yield rows_out(listed, ids, [" ".join({w for w in _LETTERS.findall(t.lower()) if 3 <= len(w) <= 30}) for t in texts])
+    def listing(with_words: bool):
+        """Digest of every row's set of words; or the words of each digest, once in a task."""
+        schema = pa.schema([("h", pa.string()), ("words", pa.string()) if with_words else ("id", pa.int64())])
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[str] = set()
+            for b in small_batches(batches, "text"):
+                ids, texts = columns_of(b, "id", "text")
+                words = [" ".join(sorted({w for w in _LETTERS.findall(t.lower()) if 3 <= len(w) <= 30})) for t in texts]
+                h = [hashlib.blake2b(w.encode(), digest_size=16).hexdigest() for w in words]
+                if with_words:
+                    fresh = {x: w for x, w in zip(h, words) if x not in seen}
+                    seen.update(fresh)
+                    if len(seen) > LISTED:
+                        seen.clear()
+                    h, ids = list(fresh), list(fresh.values())
+                if h:
+                    yield rows_out(schema, h, ids)
+
+        return rows.mapInArrow(distinct, "h string, " + ("words string" if with_words else "id bigint"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in small_batches(batches, "words"):
             for ws, y in zip(*columns_of(b, "words", "y")):
                 seen.update((w, y) for w in ws.split())
-                seen["", y] += 1               # the empty word counts the documents
+                seen["", y] += 1               # the empty word counts the texts
             if len(seen) > 400_000:
                 yield rows_out(counted, [w for w, _ in seen], [y for _, y in seen], list(seen.values()))
                 seen.clear()
         if seen:
             yield rows_out(counted, [w for w, _ in seen], [y for _, y in seen], list(seen.values()))
 
-    taught = rows.mapInArrow(distinct, "id bigint, words string").join(marked, F.col("id") == F.col("_id")).select("words", "y")
-    totals = (taught.mapInArrow(count, "word string, y int, n bigint").groupBy("word")
-              .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("n")))
-    share = F.col("k") / F.col("n")
-    top = totals.where((F.col("word") == "") | (F.col("k") >= LEAST_DOCS) & (share >= LEAST_SHARE)).orderBy(
-        F.col("word") != "", F.desc(share * F.log(F.col("n") + 1)), "word").limit(CANDIDATES + 1).collect()
-    if not top or top[0].word != "":
-        return Scorer({}, 0.0)
-    toxic, n_docs = top[0].k, top[0].n
-    names = {r.word for r in top[1:] if lower_bound(r.k, r.n) >= LEAST_SHARE}
-    shared = spark.sparkContext.broadcast(FuzzyTrie(list(names)))
+    classes = listing(False).join(marked, F.col("id") == F.col("_id")).select("h", "y").distinct()
+    taught = listing(True).join(classes.hint("merge"), "h").dropDuplicates(["h", "y"]).select("words", "y")
+    k, n = F.col("k"), F.col("n")
+    totals = saved(taught.mapInArrow(count, "word string, y int, n bigint").groupBy("word")
+                   .agg(F.sum(F.when(F.col("y") == 1, n).otherwise(0)).alias("k"), F.sum("n").alias("n"))
+                   .where((F.col("word") == "") | (k >= LEAST_DOCS) & (_least_share(k, n) >= LEAST_SHARE)))
+    all_texts = totals.where("word = ''").first()
+    if all_texts is None:
+        return Scorer([], 0.0)
+    rate = all_texts.k / max(all_texts.n, 1)
     met = pa.schema([("id", pa.int64()), ("word", pa.string()), ("edits", pa.int32()), ("context", pa.string())])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
-        for b in small_batches(batches, "text"):
-            ids, texts = columns_of(b, "id", "text")
-            hits, found = spelled(trie, texts)
-            out = set()
-            for d in found:
-                here = list(occurrences(texts[d], hits))
-                if any(e == 0 for e, *_ in here):
-                    here = [h for h in here if h[0] == 0]
-                for e, w, begin, end in here:
-                    around = texts[d][max(0, begin - CONTEXT):begin].split()[-2:], texts[d][end:end + CONTEXT].split()[:2]
-                    out.add((ids[d], trie.words[w], e, " ".join(around[0] + [""] + around[1])))
-            if out:
-                yield rows_out(met, *zip(*out))
-
-    seen = (rows.mapInArrow(contexts, "id bigint, word string, edits int, context string").join(marked, F.col("id") == F.col("_id"))
-            .select("word", "edits", "context", "y").distinct().groupBy("word", "edits")
-            .agg(F.sum("y").alias("k"), F.count("*").alias("n")).collect()) if names else []
-    count = {(r.word, r.edits): (r.k, r.n) for r in seen}
-    rate = toxic / max(n_docs, 1)
-    exact = {w: (k + rate) / (n + 1) for (w, e), (k, n) in count.items()
-             if e == 0 and n >= LEAST_DOCS and lower_bound(k, n) >= LEAST_SHARE}
-    weight = {}
-    for w in sorted(exact, key=lambda w: (-exact[w], w))[:LEXICON]:
-        for e in range(edits_allowed(w) + 1):
-            k, n = count.get((w, e), (0, 0))
-            weight[w, e] = exact[w] if e == 0 else (k + EDITED[e] * exact[w]) / (n + 1)
-    return Scorer(weight, min(rate, 0.5) / 10)
+    def contexts_of(shared):
+        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = shared.value
+            for b in small_batches(batches, "text"):
+                ids, texts = columns_of(b, "id", "text")
+                hits, found = spelled(trie, texts)
+                out = set()
+                for d in found:
+                    here = list(occurrences(texts[d], hits))
+                    if any(e == 0 for e, *_ in here):
+                        here = [h for h in here if h[0] == 0]
+                    for e, w, begin, end in here:
+                        around = texts[d][max(0, begin - CONTEXT):begin].split()[-2:], texts[d][end:end + CONTEXT].split()[:2]
+                        out.add((ids[d], trie.words[w], e, " ".join(around[0] + [""] + around[1])))
+                if out:
+                    yield rows_out(met, *zip(*out))
+        return contexts
+
+    weights: list[dict[tuple[str, int], float]] = []
+    for part in _parts(totals.where("word != ''")):
+        shared = spark.sparkContext.broadcast(FuzzyTrie([r.word for r in part]))
+        seen = (rows.mapInArrow(contexts_of(shared), "id bigint, word string, edits int, context string").join(marked, F.col("id") == F.col("_id"))
+                .select("word", "edits", "context", "y").distinct().groupBy("word", "edits")
+                .agg(F.sum("y").alias("k"), F.count("*").alias("n")).collect())
+        count_of = {(r.word, r.edits): (r.k, r.n) for r in seen}
+        exact = {w: (k + rate) / (n + 1) for (w, e), (k, n) in count_of.items()
+                 if e == 0 and n >= LEAST_DOCS and lower_bound(k, n) >= LEAST_SHARE}
+        weight = {}
+        for w in sorted(exact):
+            for e in range(edits_allowed(w) + 1):
+                k, n = count_of.get((w, e), (0, 0))
+                weight[w, e] = exact[w] if e == 0 else (k + EDITED[e] * exact[w]) / (n + 1)
+        if weight:
+            weights.append(weight)
+    return Scorer(weights, min(rate, 0.5) / 10)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) of every whole text; the scorer is
-    broadcast, its size bounded by ``LEXICON``."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    """``doc_id`` and ``score`` (0 to 1) of every whole text.  One part of the lexicon
+    is broadcast and scores in one pass; several are broadcast one by one, and their
+    hits meet by document."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    if len(scorer.parts) > 1:
+        return _score_by_parts(rows, scorer)
+    shared = spark.sparkContext.broadcast(Part(scorer.parts[0] if scorer.parts else {}, scorer.base))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,5 +381,27 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text: str = "
             ids, texts = columns_of(b, "doc_id", "text")
             yield rows_out(schema, ids, shared.value.scores(texts))
 
-    return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-            .mapInArrow(run, "doc_id bigint, score double"))
+    return rows.mapInArrow(run, "doc_id bigint, score double")
+
+
+def _score_by_parts(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    schema = pa.schema([("doc", pa.int64()), ("sha", pa.string()), ("begin", pa.int64()), ("edits", pa.int32()), ("word", pa.string()), ("x", pa.float64())])
+    keyed = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+    def hits_of(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = shared.value
+            for b in small_batches(batches, "text"):
+                ids, texts, sha = columns_of(b, "doc_id", "text", "sha")
+                out = [(ids[d], sha[d], begin, e, part.trie.words[w], x) for d, begin, e, w, x in part.hits(texts)]
+                if out:
+                    yield rows_out(schema, *zip(*out))
+        return run
+
+    hits = reduce(DataFrame.unionByName, (
+        keyed.mapInArrow(hits_of(rows.sparkSession.sparkContext.broadcast(Part(w, scorer.base))), "doc bigint, sha string, begin bigint, edits int, word string, x double")
+        for w in scorer.parts))
+    nearest = hits.groupBy("doc", "sha", "begin").agg(F.min(F.struct("edits", "word", "x")).alias("h"))
+    clean = nearest.groupBy("doc", F.col("sha").alias("_sha")).agg(F.sum(F.log(1 - F.col("h.x"))).alias("clean"))
+    found = keyed.select("doc_id", "sha").join(clean, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("sha") == F.col("_sha")), "left")
+    return found.select("doc_id", F.greatest(F.lit(0.0), 1 - (1 - scorer.base) * F.exp(F.coalesce("clean", F.lit(0.0)))).alias("score"))
