@@ -9,6 +9,8 @@ clusters' text, or the ``article`` or ``main`` around it, is content, and all it
 lines are kept, short ones too; then the same for the clusters beside it.  The
 ratio counts ``PRIOR`` times within ``article`` and ``main``.  Menus, headers, footers, sidebars, notices, adverts,
 forms, comments and the like are left out by element, role, class or id beforehand.
+Outside articles a name that only holds such a word (``share-prices``) is doubtful: its
+text is left out unless it makes up most of the clusters' text.
 
 Defined results: null and empty pages give an empty text; markup that is broken
 off or badly nested ends where its parents end; text that no element marks is a
@@ -36,15 +38,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul""".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("""applet aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend map math menu
+DROPPED = frozenset("""applet aside audio canvas datalist dialog embed fieldset footer form head iframe input label menu
 meter nav noembed noframes noscript object optgroup option progress script select style svg template textarea title video""".split())
+#: Elements that hold none outside an article.
+OUTSIDE = frozenset("button header legend map".split())
 #: Elements whose lines belong together.
 REGIONS = frozenset("article main section div td body".split())
 #: Words of class, id or role that mark what is not main text: in an article those
-#: that make up a whole class or role, elsewhere also words of a class or a whole id.
+#: that make up a whole class or role, elsewhere all classes, the role or the id.
 #: Headings and paragraphs go by whole classes and roles everywhere.
-NOISE = frozenset("""ad ads adsense advert advertisement advertisements adverts alert announcement banner breadcrumb breadcrumbs byline captcha comment
-commentlist comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr header hidden login masthead menu modal nav navbar
+NOISE = frozenset("""ad ads adsense advert advertisement advertisements adverts alert announcement banner breadcrumb breadcrumbs captcha comment
+commentlist comments complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr header hidden login masthead menu modal nav navbar
 navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion related replies respond rss
 search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget""".split())
 #: Elements whose id is the slug of their text.
@@ -55,27 +59,26 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 RADIUS, PRIOR, SHARE = 1, 2.0, 0.8
 
 
-def noisy(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
+def noisy(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no main text, and whether its names make that doubtful only."""
+    if tag in DROPPED or tag in OUTSIDE and not in_article:
+        return True, False
+    doubtful = False
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and value and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, False
         if value and name in ("class", "id", "role") and tag not in ("html", "body"):
             # an id is one value, often the slug of a heading
-            values = [value] if name == "id" else value.split()
-            strict = in_article or name == "id" or tag in TEXTUAL
             if name == "id" and (in_article or tag in TEXTUAL):
                 continue
-            for v in values:
-                words = {w.lower() for w in _TOKEN.findall(v)}
-                if in_article:
-                    words = words - {"header"}
-                if words and (words <= NOISE if strict else words & NOISE):
-                    return True
-    return False
+            words = [{w.lower() for w in _TOKEN.findall(v)} - ({"header"} if in_article else set()) for v in ([value] if name == "id" else value.split())]
+            whole = [bool(w) and w <= NOISE for w in words]
+            if any(whole) if in_article or tag in TEXTUAL else any(words) and all(w or not x for w, x in zip(whole, words)):
+                return True, False
+            doubtful = doubtful or not in_article and tag not in TEXTUAL and name != "id" and any(w & NOISE for w in words)
+    return False, doubtful
 
 
 class Lines(HTMLParser):
@@ -86,17 +89,19 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []    # (tag, dropped, region, in article)
+        self.open: list[tuple[str, bool, int, bool, bool]] = []    # (tag, dropped, region, in article, doubtful)
+        self.doubtful: list[bool] = []                       # of each line
         self.parent, self.kind, self.part, self.tags = [0], [""], [], 0
 
-    def _top(self) -> tuple[str, bool, int, bool]:
-        return self.open[-1] if self.open else ("", False, 0, False)
+    def _top(self) -> tuple[str, bool, int, bool, bool]:
+        return self.open[-1] if self.open else ("", False, 0, False, False)
 
     def _break(self) -> None:
         text = " ".join("".join(self.part).split())
         if text:
-            _, _, region, article = self._top()
+            _, _, region, article, doubtful = self._top()
             self.lines.append((text, self.tags, region, article))
+            self.doubtful.append(doubtful)
             self.tags = 0
         self.part = []
 
@@ -112,13 +117,15 @@ class Lines(HTMLParser):
             self.part.append("" if tag == "wbr" else " ")
         if tag in VOID or not (tag in BLOCKS or tag in DROPPED or tag == "td" or attrs):
             return
-        _, dropped, region, article = self._top()
-        dropped = dropped or noisy(tag, attrs, article)
+        _, dropped, region, article, doubtful = self._top()
+        noise, doubt = noisy(tag, attrs, article)
+        dropped, doubtful = dropped or noise, doubtful or doubt
         if tag in REGIONS:
             self.parent.append(region)
             self.kind.append(tag)
             region = len(self.parent) - 1
-        self.open.append((tag, dropped, region, article or not dropped and tag in ("article", "main")))
+        article = article or not dropped and tag in ("article", "main")
+        self.open.append((tag, dropped, region, article, doubtful and not article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -162,12 +169,25 @@ def smoothed(ratio: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratio)), weight, "full")[radius:radius + len(ratio)]
 
 
-def content(lines: list[tuple[str, int, int, bool]], parent: list[int], kind: list[str]) -> list[str]:
-    """The lines of the content regions, in page order."""
+def clusters(lines: list[tuple[str, int, int, bool]]) -> list[int]:
+    """The lines whose smoothed ratio is above its spread (or the longest one)."""
+    ratio = smoothed(np.array([len(text) * (PRIOR if article else 1) / max(1, tags) for text, tags, _, article in lines]))
+    return np.flatnonzero(ratio >= ratio.std()).tolist() or [max(range(len(lines)), key=lambda i: len(lines[i][0]))]
+
+
+def content(lines: list[tuple[str, int, int, bool]], parent: list[int], kind: list[str], doubtful: list[bool] | None = None) -> list[str]:
+    """The lines of the content regions, in page order; doubtful ones only if they make
+    up most of the clusters' text."""
     if not lines:
         return []
-    ratio = smoothed(np.array([len(text) * (PRIOR if article else 1) / max(1, tags) for text, tags, _, article in lines]))
-    above = np.flatnonzero(ratio >= ratio.std()).tolist() or [max(range(len(lines)), key=lambda i: len(lines[i][0]))]
+    above = clusters(lines)
+    if doubtful is not None and any(doubtful):
+        size = [0, 0]
+        for i in above:
+            size[doubtful[i]] += len(lines[i][0])
+        if size[True] <= size[False]:
+            lines = [x for x, d in zip(lines, doubtful) if not d]
+            above = clusters(lines)
     weight = [0] * len(parent)                         # the clusters' characters directly in each region
     for i in above:
         weight[lines[i][2]] += len(lines[i][0])
@@ -202,7 +222,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = Lines()
-    return "\n".join(content(found.finish(page), found.parent, found.kind))
+    return "\n".join(content(found.finish(page), found.parent, found.kind, found.doubtful))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
