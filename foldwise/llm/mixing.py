@@ -18,7 +18,8 @@ tokens, an empty cell weight 0 and its documents are sampled like the cell's
 others; a value without a target, or with target 0, gets weight 0, and a target
 without a value is left out; the sampling number is a hash of the id, so repeated
 rows and every rerun decide alike (a null id is hashed as an empty one); an empty
-table gives an empty table; other columns are carried or not read.
+table gives an empty table; other columns are carried or not read; a margin named
+like a column of the cells (n, docs, w, weight, probability) is an error.
 """
 
 from __future__ import annotations
@@ -142,6 +143,8 @@ def balanced(cells: DataFrame, margins: Mapping[str, DataFrame], budget: float =
 
 def _cells(docs: DataFrame, margins: Mapping[str, Column], text: str, targets: Mapping[str, DataFrame] | None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Cells of ``docs`` by ``margins`` with their token count, and every margin's targets."""
+    if taken := {"n", "docs", "w", "weight", "probability"} & set(margins):
+        raise ValueError(f"mixing: margins can't be named {sorted(taken)}")
     cells = saved(docs.select(*(c.alias(m) for m, c in margins.items()), tokens(text).alias("_n"))
                   .groupBy(*margins).agg(F.sum("_n").alias("n"), F.count("*").alias("docs")))
     goals = {m: (targets or {}).get(m) for m in margins}

@@ -102,46 +102,58 @@ SELECT doc_id, host, path, round(evidence, 6) AS evidence, round(host_rate, 6) A
        round(score, 6) AS score, score >= {quality.KEEP} AS keep FROM s"""
 
 
-def mixing_sql(docs: str, result: str) -> str:
-    """The raking of the documents in ``docs`` unrolled, then ``result`` over ``docs`` d and the cells c."""
+def _mixing_sql() -> str:
+    """The raking to the token budget as a recursion over rounds, which ends as the operator's does."""
     margins = ("source", "lang", "topic")
     marks = "(n_chars_ - length(replace(t, '{0}', ''))) * 50 >= n_chars_ + 100"
     out = rf"""
-mixed0 AS (SELECT *, coalesce(text, '') AS t, length(coalesce(text, '')) AS n_chars_ FROM {docs}),
+WITH RECURSIVE mixed0 AS (SELECT *, coalesce(text, '') AS t, length(coalesce(text, '')) AS n_chars_ FROM documents),
 mixed AS (
-  SELECT *, len(regexp_extract_all(t, '[^ 	-
-]+')) AS n_tokens,
+  SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_tokens,
          CASE WHEN {marks.format('|')} THEN 'table' WHEN {marks.format('!!')} THEN 'shouting' WHEN n_chars_ < 200 THEN 'note'
               WHEN n_chars_ >= 5000 THEN 'long prose' ELSE 'prose' END AS topic
   FROM mixed0),
-cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS n FROM mixed GROUP BY ALL),"""
-    for m in margins:
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM mixed GROUP BY ALL),
+size AS (SELECT {mixing.BUDGET} * sum(n) AS wanted FROM cells),"""
+    for m in margins:                     # values that give all they have come first by have / share
         out += f"""
-goal_{m} AS (
-  SELECT {m}, p / sum(p) OVER () AS share
-  FROM (SELECT {m}, pow(CAST(sum(n) AS DOUBLE), {mixing.TEMPER}) AS p FROM cells GROUP BY {m} HAVING sum(n) > 0)),"""
-    out += """
-rake0 AS (
-  SELECT c.*, CAST(n AS DOUBLE) AS w, """ + ", ".join(f"coalesce(g_{m}.share, 0) AS t_{m}" for m in margins) + """
-  FROM cells c """ + " ".join(f"LEFT JOIN goal_{m} g_{m} ON g_{m}.{m} IS NOT DISTINCT FROM c.{m}" for m in margins) + "),"
-    k = 0
-    for _ in range(mixing.ROUNDS):
+have_{m} AS (SELECT {m}, sum(n) AS have, CASE WHEN sum(n) > 0 THEN pow(sum(n), {mixing.TEMPER}) ELSE 0 END AS p FROM cells GROUP BY {m}),
+share_{m} AS (SELECT *, p / sum(p) OVER () AS share FROM have_{m}),
+rank_{m} AS (
+  SELECT *, have / share AS ratio, coalesce(sum(have) OVER w, 0) AS full_, sum(share) OVER () - coalesce(sum(share) OVER w, 0) AS rest
+  FROM share_{m} WHERE share > 0 WINDOW w AS (ORDER BY have / share, have, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scale_{m} AS (SELECT coalesce(max((wanted - full_) / rest) FILTER ((wanted - full_) / rest < ratio), max(ratio)) AS scale FROM rank_{m}, size),
+goal_{m} AS (SELECT {m}, least(share * scale, have) AS goal FROM share_{m}, scale_{m}),"""
+    same = " ".join(f"LEFT JOIN goal_{m} g_{m} ON g_{m}.{m} IS NOT DISTINCT FROM c.{m}" for m in margins)
+
+    def raked(inner: str) -> str:
         for m in margins:
             total = f"sum(w) OVER (PARTITION BY {m})"
-            out += f"""
-rake{k + 1} AS (SELECT * REPLACE (CASE WHEN {total} > 0 THEN w * t_{m} / {total} ELSE 0 END AS w) FROM rake{k}),"""
-            k += 1
+            inner = f"(SELECT * REPLACE (CASE WHEN {total} > 0 THEN least(n, w * goal_{m} / {total}) ELSE 0 END AS w) FROM {inner})"
+        return inner
+
+    errors = ", ".join(f"sum(abs(s_{m} - goal_{m}) / k_{m}) OVER ()" for m in margins)
+    sums = ", ".join(f"sum(w) OVER (PARTITION BY {m}) AS s_{m}, count(*) OVER (PARTITION BY {m}) AS k_{m}" for m in margins)
+    again = "now"
+    for _ in range(mixing.CUT):
+        again = raked(again)
     return out + f"""
-weights AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w * sum(n) OVER () / n ELSE 0 END AS weight FROM rake{k}),
-chances AS (SELECT *, CASE WHEN max(weight) OVER () > 0 THEN weight / max(weight) OVER () ELSE 0 END AS probability FROM weights)
-{result}
+start AS (SELECT c.*, n * {mixing.BUDGET} AS w, wanted, {', '.join(f'g_{m}.goal AS goal_{m}' for m in margins)}, 0 AS round, CAST('inf' AS DOUBLE) AS error
+  FROM cells c {same}, size),
+now AS (
+  SELECT * FROM start
+  UNION ALL
+  SELECT source, lang, topic, n, w, wanted, {', '.join(f'goal_{m}' for m in margins)}, round + {mixing.CUT}, greatest({errors}) / wanted
+  FROM (SELECT *, {sums} FROM {again} r) WHERE wanted > 0 AND error > {mixing.TOLERANCE} AND round < {mixing.MOST_ROUNDS}),
+chances AS (
+  SELECT source, lang, topic, CASE WHEN n > 0 THEN w / n ELSE 0 END AS probability
+  FROM now WHERE round = (SELECT max(round) FROM now))
+SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.n_tokens AS BIGINT) AS n_tokens, round(probability / {mixing.BUDGET}, 6) AS weight,
+       round(probability, 6) AS probability,
+       CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < probability AS sampled
 FROM mixed d JOIN chances c ON c.source IS NOT DISTINCT FROM d.source AND c.lang IS NOT DISTINCT FROM d.lang AND c.topic = d.topic"""
 
 
-SAMPLED_SQL = ("CAST('0x' || substr(md5('" + mixing.SEED + ":' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) "
-               "/ CAST(4294967296 AS DOUBLE) < c.probability")
-
-
 @register(_quality_sql())
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from its text, source (host) and language there
@@ -151,11 +163,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("evidence", "host_rate", "path_rate", "score")})
 
 
-@register("WITH " + mixing_sql("documents", f"""SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.n_tokens AS BIGINT) AS n_tokens,
-  round(c.weight, 6) AS weight, round(c.probability, 6) AS probability, {SAMPLED_SQL} AS sampled"""))
+@register(_mixing_sql())
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated weight and sampling decision of every document."""
-    found = mixing.decided(table(spark, sf_dir, "documents"), budget=None)
+    """Calibrated weight and sampling decision of every document, at the pipeline's token budget."""
+    found = mixing.decided(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
