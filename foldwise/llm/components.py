@@ -67,23 +67,39 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
 
 
+#: Edges of a node beyond which it is a hub, at least; hubs at most (their table is broadcast).
+HUB, HUBS = 1000, 10_000
+
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` (u, v), ``n`` or so of them, with the smallest v of each u (``m``).
+    A hub's edges are dealt by v to as many shards as its degree needs, so no task gets
+    more than some ``HUB`` of them or an even part; there are at most HUBS hubs."""
+    most = max(HUB, -(-n // HUBS))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / most).cast("int").alias("shards"))
+    hubs = least.where("shards > 1").select("u", "shards")
+    dealt = edges.join(F.broadcast(hubs), "u", "left").select(
+        "u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("shards").cast("bigint")).cast("int"), F.lit(0)).alias("shard"))
+    shards = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    return dealt.join(shards, ["u", "shard"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): root is the smallest node
     of its component.  Alternates large and small stars until nothing changes;
     each round is written to shared storage, and only two numbers reach the driver."""
     now = saved(contracted(edges).where("u != v").distinct())
-    state = None
+    n, state = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(floor, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (_with_least(large, 2 * n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(floor.select("u", F.col("m").alias("v"))))
         now = saved(small.distinct())
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == state:
             break
-        state = (row.n, row.h)
+        state, n = (row.n, row.h), row.n
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

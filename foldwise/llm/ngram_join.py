@@ -16,10 +16,14 @@ Allocation by cost, for each band, from the sizes of all sets:
 Very common shingles form a segment of allowance 0: any fixed choice of them
 keeps the pigeonhole, so they are found from batch counts.
 
-Sets that share a segment key become candidates; connected candidates form a
-cluster whose sets meet once (large clusters in pairs of blocks), where every
-pair is verified exactly through an inverted index.  Equal sets are folded
-before and counted, so copies are never paired.
+Sets that share a segment key become candidates: as pairs where few share it, as a star
+where many do.  A pair is dropped if its sketches differ in more bits than a linked
+pair's sets may differ in shingles (a sketch holds, for each of its places, the parity of
+the set's shingles there, so it never differs in more); this keeps sets that met by
+chance, or by a passage they share, from chaining.  Connected candidates form a cluster
+whose sets meet once (a large cluster by size bands, each with the next one, and in pairs
+of blocks), where every pair is verified exactly through an inverted index.  Equal sets are folded before and counted, so copies
+are never paired.
 
 Shingles are compared by 64-bit hashes of their words, sets by 128-bit digests.
 
@@ -34,7 +38,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import partitions, rows_out, saved, small_batches
+from foldwise.llm.common import partitions, rows_out, saved, small_batches, worker_cache
 from foldwise.llm.components import components
 
 #: Similarity as percent, and words of a shingle, unless a caller says otherwise.
@@ -50,11 +53,15 @@ PERCENT, WORDS = 80, 5
 #: Shingles of the sets that one task verifies together (a block of a cluster).
 BLOCK = 1 << 21
 #: Bytes of text that are shingled at a time.
-TEXTS = 4 << 20
+TEXTS = 2 << 20
 #: Key rows are dealt by this many hash buckets for each shuffle partition.
 BUCKETS = 16
-#: Words whose hash a worker remembers, and sets that a task knows it has indexed.
-MEMO = 150_000
+#: Words whose hash a worker remembers, their longest, and sets that a task knows it has indexed.
+MEMO, MEMO_BYTES = 150_000, 64
+#: Sets of a key that are paired with one another; more of them form a star.
+PAIRED = 8
+#: Places of a sketch, in words of 64 bits.
+SKETCH = 16
 #: Common shingles: in this share of a batch's sets, and at most so many.
 COMMON_SHARE, COMMON = 0.02, 4096
 
@@ -77,9 +84,11 @@ class Shingler:
     def _hash(self, word: bytes) -> int:
         h = self.known.get(word)
         if h is None:
-            if len(self.known) > MEMO:
-                self.known.clear()
-            h = self.known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            if len(word) <= MEMO_BYTES:
+                if len(self.known) >= MEMO:
+                    self.known.clear()
+                self.known[word] = h
         return h
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
@@ -119,6 +128,12 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """The parity of the set's shingles at each of 64 * SKETCH places."""
+    odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 # ---- bands and allowances ----
 
 def bands(largest: int, percent: int) -> list[int]:
@@ -199,7 +214,7 @@ def keys_of(sets: list[np.ndarray], plan: list[tuple[int, ...]], percent: int, c
 
 # ---- Spark ----
 
-@lru_cache(4)
+@worker_cache
 def _shingler(n: int) -> Shingler:
     return Shingler(n)
 
@@ -207,7 +222,7 @@ def _shingler(n: int) -> Shingler:
 def sizes(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
     """Id, set size and set digest (null for an empty set) of every row; the first
     row of a batch also names the shingles that are common in that batch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.string()), ("common", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.string()), ("common", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", TEXTS):
@@ -216,9 +231,10 @@ def sizes(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
             if sets:
                 token, count = np.unique(np.concatenate(sets), return_counts=True)
                 common[0] = token[count >= max(8, COMMON_SHARE * len(sets))].view(np.int64).tolist()
-            yield rows_out(schema, b.column("doc_id"), [len(s) for s in sets], [digest(s).hex() if len(s) else None for s in sets], common)
+            yield rows_out(schema, b.column("doc_id"), [len(s) for s in sets], [digest(s).hex() if len(s) else None for s in sets], common,
+                           [sketch(s) if len(s) else None for s in sets])
 
-    return _rows(docs, id_col, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, `set` string, common array<bigint>")
+    return _rows(docs, id_col, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, `set` string, common array<bigint>, sketch array<bigint>")
 
 
 def common_shingles(counted: DataFrame) -> np.ndarray:
@@ -248,14 +264,14 @@ def allocation(counted: DataFrame, percent: int) -> list[tuple[int, ...]]:
 
 
 def candidates(docs: DataFrame, plan: list[tuple[int, ...]], common: np.ndarray, n: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """Edges (u, v) between sets that share a segment key, as stars.  Sets go by
-    the first 64 bits of their digest and keys by 32 bits in their bucket, as more
-    candidates do no harm."""
+    """Edges (u, v) between sets that share a segment key: all pairs of at most PAIRED
+    sets (``pair``), else a star.  Sets go by the first 64 bits of their digest and keys by
+    32 bits in their bucket, as more candidates do no harm."""
     spark = docs.sparkSession
     plan_and_common = spark.sparkContext.broadcast((plan, common))
     buckets = BUCKETS * partitions(spark)
     packed = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
-    edge = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    edge = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("pair", pa.bool_())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -288,12 +304,20 @@ def candidates(docs: DataFrame, plan: list[tuple[int, ...]], common: np.ndarray,
             k, s = np.frombuffer(b"".join(keys), np.uint32), np.frombuffer(b"".join(sets), np.int64)
             order = np.lexsort((s, k))
             k, s = k[order], s[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
+            k, s = k[new], s[new]                                   # a set once for each key
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            root = np.repeat(s[first], np.diff(np.append(first, len(k))))
-            other = s != root
-            if other.any():
-                pairs = np.unique(np.stack([s[other], root[other]], 1), axis=0)
-                yield rows_out(edge, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()))
+            count = np.diff(np.append(first, len(k)))
+            size, place = np.repeat(count, count), np.arange(len(k)) - np.repeat(first, count)
+            found = []
+            for back in range(1, PAIRED):                           # with each earlier set of a small group
+                at = np.flatnonzero((size <= PAIRED) & (place >= back))
+                found.append(np.stack([s[at], s[at - back], np.ones(len(at), np.int64)], 1))
+            at = np.flatnonzero((size > PAIRED) & (place > 0))
+            found.append(np.stack([s[at], s[at - place[at]], np.zeros(len(at), np.int64)], 1))
+            edges = np.unique(np.concatenate(found), axis=0)
+            if len(edges):
+                yield rows_out(edge, pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy()), pa.array(edges[:, 2] == 1))
 
         for b in batches:
             for bucket, k, s in zip(*(c.to_pylist() for c in b.columns)):
@@ -307,28 +331,53 @@ def candidates(docs: DataFrame, plan: list[tuple[int, ...]], common: np.ndarray,
             yield from stars()
 
     return (_rows(docs, id_col, text).mapInArrow(index, "bucket int, keys binary, sets binary")
-            .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u bigint, v bigint"))
+            .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u bigint, v bigint, pair boolean"))
+
 
+def plausible(edges: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The edges whose sets may be linked by their sizes and sketches; stars stay."""
+    name = F.conv(F.substring("set", 1, 16), 16, -10).cast("bigint")
+    # sets that share the 64 bits of a name are told apart by nothing here: the pair stays
+    known = reps.groupBy(name.alias("name")).agg(F.count("*").alias("k"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sides = [known.select(F.col("name").alias(c), F.col("k").alias(f"{c}k"), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s")) for c in "uv"]
+    pairs = edges.where("pair").select("u", "v").distinct().join(sides[0], "u").join(sides[1], "v")
+    differ = sum((F.bit_count(F.get("us", F.lit(i)).bitwiseXOR(F.get("vs", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    may = (F.col("uk") > 1) | (F.col("vk") > 1) | (differ * (100 + percent) <= (F.col("un") + F.col("vn")) * (100 - percent))
+    return pairs.where(may).select("u", "v").unionByName(edges.where(~F.col("pair")).select("u", "v"))
 
-def linked_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+
+def linked_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame, lows: list[int], n: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Verified links inside the clusters: stars (u, v) of set digests, and for each
-    set the number of documents it links with in other sets."""
+    set the number of documents it links with in other sets.
+
+    In a cluster of several blocks a set goes to the unit of its size band (``lows``),
+    where it is at home, and to that of the band below, so each pair that may be linked
+    meets in one unit with at least one of the two at home."""
     spark = docs.sparkSession
     chosen = reps.join(clusters, F.conv(F.substring("set", 1, 16), 16, -10).cast("bigint") == F.col("node")).select(
         F.col("rep").alias("_id"), F.col("set").alias("_set"), "copies", F.col("root").alias("cluster"), F.col("n_shingles").alias("n"))
-    total = chosen.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    chosen = chosen.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int"))
-    rows = _rows(docs, id_col, text).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_set", "copies", "cluster", "blocks", "block")
-    made = pa.schema([("cluster", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("block", pa.int32()), ("set", pa.string()),
+    def with_blocks(sets: DataFrame) -> DataFrame:
+        total = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        return sets.join(total, "cluster")
+
+    band = F.size(F.filter(F.array(*map(F.lit, lows)), lambda e: e <= F.col("n"))) - 1
+    chosen = with_blocks(chosen).withColumn("band", band)
+    chosen = chosen.withColumn("unit", F.explode(F.when(F.col("blocks") > 1, F.array("band", F.col("band") - 1)).otherwise(F.array(F.lit(-2)))))
+    chosen = chosen.withColumn("home", (F.col("unit") == F.col("band")) | (F.col("unit") == -2)).withColumn("cluster", F.xxhash64("cluster", "unit"))
+    chosen = with_blocks(chosen.drop("blocks")).withColumn("block", F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int"))
+    places = chosen.groupBy("_id", "_set", "copies").agg(F.collect_list(F.struct("cluster", "blocks", "block", "home")).alias("places"))
+    rows = _rows(docs, id_col, text).join(places, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_set", "copies", "places")
+    made = pa.schema([("cluster", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("block", pa.int32()), ("home", pa.bool_()), ("set", pa.string()),
                       ("copies", pa.int64()), ("shingles", pa.binary())])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", TEXTS):
             out = []
-            for s, name, copies, cluster, blocks, block in zip(_shingler(n).sets(b.column("text")), *(c.to_pylist() for c in b.columns[1:])):
+            for s, name, copies, places in zip(_shingler(n).sets(b.column("text")), *(c.to_pylist() for c in b.columns[1:])):
                 if digest(s).hex() == name:      # rows that share an id may have other texts
                     data = s.tobytes()
-                    out.extend((cluster, min(block, o), max(block, o), block, name, copies, data) for o in range(blocks))
+                    out.extend((p["cluster"], min(p["block"], o), max(p["block"], o), p["block"], p["home"], name, copies, data)
+                               for p in places for o in range(p["blocks"]))
             if out:
                 yield rows_out(made, *zip(*out))
 
@@ -337,23 +386,23 @@ def linked_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, p
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, unit = None, {}
         for b in small_batches(batches, "shingles"):
-            for cluster, x, y, block, name, copies, data in zip(*(c.to_pylist() for c in b.columns)):
+            for cluster, x, y, block, home, name, copies, data in zip(*(c.to_pylist() for c in b.columns)):
                 if (cluster, x, y) != now:
                     if unit and (found := links_of(unit, now[1] != now[2], percent)):
                         yield rows_out(stars, *zip(*found))
                     now, unit = (cluster, x, y), {}
-                unit[name] = (np.frombuffer(data, np.uint64), copies, block)
+                unit[name] = (np.frombuffer(data, np.uint64), copies, block, home)
         if unit and (found := links_of(unit, now[1] != now[2], percent)):
             yield rows_out(stars, *zip(*found))
 
-    out = saved(rows.mapInArrow(shingles, "cluster bigint, a int, b int, block int, `set` string, copies bigint, shingles binary")
+    out = saved(rows.mapInArrow(shingles, "cluster bigint, a int, b int, block int, home boolean, `set` string, copies bigint, shingles binary")
                 .repartition(partitions(spark), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
                 .mapInArrow(verify, "u string, v string, links bigint"))
     return out.where("u != v").select("u", "v"), out.where("links > 0").groupBy(F.col("u").alias("set")).agg(F.sum("links").alias("links"))
 
 
-def links_of(unit: dict[str, tuple[np.ndarray, int, int]], across: bool, percent: int) -> list[tuple[str, str, int]]:
-    """Verifies all pairs of a unit (only pairs of different blocks if ``across``):
+def links_of(unit: dict[str, tuple[np.ndarray, int, int, bool]], across: bool, percent: int) -> list[tuple[str, str, int]]:
+    """Verifies all pairs of a unit with one at home there (only pairs of different blocks if ``across``):
     (set, smallest set that it reaches here, documents it links with) of each linked set."""
     names = sorted(unit, key=lambda x: (len(unit[x][0]), x))
     if len(names) < 2:
@@ -361,6 +410,7 @@ def links_of(unit: dict[str, tuple[np.ndarray, int, int]], across: bool, percent
     size = np.array([len(unit[x][0]) for x in names])
     copies = np.array([unit[x][1] for x in names])
     block = np.array([unit[x][2] for x in names])
+    home = np.array([unit[x][3] for x in names])
     token, df = np.unique(np.concatenate([unit[x][0] for x in names]), return_inverse=True, return_counts=True)[1:]
     at = np.concatenate([[0], np.cumsum(size)])
     order = np.argsort(token, kind="stable")
@@ -383,7 +433,7 @@ def links_of(unit: dict[str, tuple[np.ndarray, int, int]], across: bool, percent
         where = np.repeat(begin[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
         both = np.bincount(owner[where], minlength=s)[:s]              # shared shingles with each smaller set
         hit = np.flatnonzero(100 * both >= percent * (size[:s] + size[s] - both))
-        hit = hit[both[hit] > 0]
+        hit = hit[(both[hit] > 0) & (home[hit] | home[s])]
         if across:
             hit = hit[block[hit] != block[s]]
         if len(hit):
@@ -401,11 +451,12 @@ def _found(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> Dat
     spark = docs.sparkSession
     counted = saved(sizes(docs, n, id_col, text))
     reps = counted.where("set is not null").groupBy("set").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     plan = allocation(counted, percent)
     if plan:
-        clusters = components(candidates(docs, plan, common_shingles(counted), n, percent, id_col, text))
-        edges, links = linked_sets(docs, reps, clusters, n, percent, id_col, text)
+        met = saved(candidates(docs, plan, common_shingles(counted), n, percent, id_col, text))
+        clusters = components(plausible(met, reps, percent))
+        edges, links = linked_sets(docs, reps, clusters, [p[0] for p in plan], n, percent, id_col, text)
         roots = components(edges)
     else:
         roots = spark.createDataFrame([], "node string, root string")
