@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldwise.llm import dedup, langid, mixing, quality, topk
-from foldwise.llm.common import crc_mod, table
+from foldwise.llm.common import crc_mod, saved, table
 from foldwise.llm.components import components
 from tests.conftest import SF001, SF01
 
@@ -168,8 +168,9 @@ def test_targets_beyond_the_tokens_are_reported(spark):
 
 # ---- components and the pipeline ----
 
-@pytest.mark.parametrize("kind", ["bigint", "string"])
-def test_components_equal_brute_force(spark, kind):
+@pytest.mark.parametrize("kind,hub", [("bigint", 1000), ("string", 1000), ("bigint", 3)])
+def test_components_equal_brute_force(spark, monkeypatch, kind, hub):
+    monkeypatch.setattr("foldwise.llm.components.HUB", hub)          # 3: most nodes are dealt to shards
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
     name = (lambda x: x) if kind == "bigint" else (lambda x: f"{x:04d}")
@@ -210,6 +211,32 @@ def test_pipeline_against_direct_stages(spark):
         assert r.ids == library.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_stages_take_odd_rows(spark):
+    """Null ids and texts, repeated rows, a very long text and clashing extra columns through all stages."""
+    from tests.llm.test_text_operators import ODD
+    text = [r.text for r in table(spark, SF001, "documents").limit(40).collect()]
+    rows = [(d, t, "en" if i % 3 else None, "src" if i % 2 else None, len(t or "")) for i, (d, t) in enumerate(ODD)]
+    rows += [(100 + i, t, "en", "src", len(t or "")) for i, t in enumerate(text)] * 2 + [(None, text[0] * 200, None, None, 7), (99, None, "fr", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"ids": F.lit("x"), "n_tokens": F.lit(0.5), "set": F.lit(1), "_key": F.lit("k"), "c0": F.lit(True), "probability": F.lit(2)})
+    now, before = docs, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = saved(stage(spark, now, SF001))
+        n = out.count()
+        assert 0 < n <= before, name
+        if name != "bpe":
+            assert out.schema.simpleString() == docs.schema.simpleString(), name
+        now, before = out, n
+    assert {f.name: f.dataType.simpleString() for f in now.schema}["ids"] == "array<int>" and "n_tokens" in now.columns   # replaced, as documented
+    assert now.where("n_tokens != size(ids)").count() == 0
+
+
+def test_margins_must_not_clash(spark):
+    docs = table(spark, SF001, "documents")
+    with pytest.raises(ValueError, match="margins"):
+        mixing.sample(docs, {"n": F.col("lang")})
+
+
 def test_stages_keep_the_columns_and_take_nothing(spark):
     docs = table(spark, SF001, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:

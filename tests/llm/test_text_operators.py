@@ -169,6 +169,26 @@ def test_join_in_pairs_of_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == brute_components(rows, 3, 80)
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[:rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 90)).astype(np.uint64)]))
+        bits = sum((x ^ y).bit_count() for x, y in zip(np.array(ngram_join.sketch(a)).view(np.uint64).tolist(), np.array(ngram_join.sketch(b)).view(np.uint64).tolist()))
+        assert bits <= len(np.setxor1d(a, b))
+        assert len(ngram_join.sketch(a)) == ngram_join.SKETCH
+
+
+def test_stars_and_pairs_find_the_same(spark, monkeypatch):
+    rows = near_rows(21) + [(1000 + i, " ".join(f"p{j}" for j in range(40)) + f" tail{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = brute_components(rows, 3, 80)
+    for paired in (1, 3, 100):
+        monkeypatch.setattr(ngram_join, "PAIRED", paired)
+        got = ngram_join.join(df, n=3, percent=80).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == want
+
+
 def test_allowances_keep_the_pigeonhole():
     for percent in (80, 90):
         low = ngram_join.bands(5000, percent)
@@ -360,6 +380,104 @@ def test_toxicity_odd_rows(spark, odd, nothing):
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, labels.limit(0))).collect()} == {0.0}
 
 
+def toxic_rows(rng, words, copies):
+    """Clean and toxic texts; each of ``words`` marks toxic ones.  One toxic text
+    of rare words stands in ``copies`` copies."""
+    plain = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("ran", "lis", "mot", "tun")]
+    rows = [(" ".join(rng.choices(plain, k=20)), 0) for _ in range(10 * len(words))]
+    for w in words:
+        for _ in range(8):
+            text = rng.choices(plain, k=20)
+            text[rng.randrange(20)] = w
+            rows.append((" ".join(text), 1))
+    rare = " ".join(f"once{a}{b}{c}" for a in "pqrs" for b in "aeiou" for c in "xyzvw")
+    return [(i, t, y) for i, (t, y) in enumerate([*rows, *[(rare, 1)] * copies])]
+
+
+@pytest.mark.parametrize("part", [20_000, 150])
+def test_lexicon_holds_every_word_that_passes(spark, monkeypatch, part):
+    """More toxic words than one part holds, and copies that must not teach."""
+    monkeypatch.setattr(toxicity, "PART", part)
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}{d}" for a in "wzvx" for b in "uoy" for c in "kgbdp" for d in ("ashi", "ergu", "olmo", "untz", "iffa", "ekko", "urba", "anso", "imbe", "odri")]
+    rows = toxic_rows(rng, words, 400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], DOCS)
+    scorer = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert {w for p in scorer.parts for w, _ in p} == set(words) and len(words) == 600
+    assert (len(scorer.parts) > 1) == (part < 600)
+    probe = [(i, f"baran {w} dimot") for i, w in enumerate(words)] + [(5000 + i, "baran dimot fitun") for i in range(9)] + [(None, None), (7, "baran wukxashi")]
+    got = toxicity.score(spark.createDataFrame(probe, DOCS), scorer).collect()
+    assert len(got) == len(probe)
+    assert all(r.score >= 0.7 for r in got if r.doc_id is not None and r.doc_id < 600)
+    assert all(r.score < 0.3 for r in got if r.doc_id is None or r.doc_id >= 5000)
+
+
+def test_parts_score_as_one(spark):
+    docs, labels = (table(spark, SF01, t) for t in ("documents", "labels"))
+    scorer = toxicity.fit(docs, labels)
+    words = sorted({w for w, _ in scorer.parts[0]})
+    halves = [{k: x for k, x in scorer.parts[0].items() if (k[0] in set(words[::2])) == odd} for odd in (True, False)]
+    one = {r.doc_id: r.score for r in toxicity.score(docs, scorer).collect()}
+    two = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.Scorer(halves, scorer.base)).collect()}
+    assert one.keys() == two.keys() and all(abs(one[d] - two[d]) < 1e-9 for d in one)
+
+
+def brute_toxicity(rows, tests):
+    """The method by plain counts and edit distances: scores of ``tests``."""
+    letters = re.compile(r"[^\W\d_]+")
+    texts = {(frozenset(w for w in letters.findall(t.lower()) if 3 <= len(w) <= 30), y) for _, t, y in rows}
+    rate = sum(y for _, y in texts) / len(texts)
+    count = {}
+    for ws, y in texts:
+        for w in ws:
+            k, n = count.get(w, (0, 0))
+            count[w] = k + y, n + 1
+    names = sorted(w for w, (k, n) in count.items() if k >= toxicity.LEAST_DOCS and toxicity.lower_bound(k, n) >= toxicity.LEAST_SHARE)
+
+    def hits(text, names):
+        found = []
+        for m in re.finditer(r"\S+", text):
+            best = min(((edit_distance(f, w), w) for f in toxicity.forms(m[0].lower()) for w in names
+                        if edit_distance(f, w) <= toxicity.edits_allowed(w)), default=None)
+            if best:
+                found.append((*best, m.start(), m.end()))
+        return found
+
+    seen = set()
+    for _, t, y in rows:
+        here = hits(t, names)
+        if any(e == 0 for e, *_ in here):
+            here = [h for h in here if h[0] == 0]
+        for e, w, a, b in here:
+            seen.add((w, e, (tuple(t[max(0, a - 60):a].split()[-2:]), tuple(t[b:b + 60].split()[:2])), y))
+    tally = {}
+    for w, e, _, y in seen:
+        k, n = tally.get((w, e), (0, 0))
+        tally[w, e] = k + y, n + 1
+    share = {w: (k + rate) / (n + 1) for (w, e), (k, n) in tally.items()
+             if e == 0 and n >= toxicity.LEAST_DOCS and toxicity.lower_bound(k, n) >= toxicity.LEAST_SHARE}
+    out = []
+    for t in tests:
+        clean = 1 - min(rate, 0.5) / 10
+        for e, w, a, b in hits(t, sorted(share)):
+            k, n = tally.get((w, e), (0, 0))
+            x = share[w] if e == 0 else (k + toxicity.EDITED[e] * share[w]) / (n + 1)
+            clean *= 1 - x * (toxicity.QUOTED if toxicity.quoted(t, a, b) else 1)
+        out.append(1 - clean)
+    return out
+
+
+def test_toxicity_equals_plain_counts(spark):
+    rng = random.Random(11)
+    words = ["grubnak", "zorfel", "vexatt", "mulgor"]
+    rows = toxic_rows(rng, words, 30)[::3] + [(9000 + i, f"they said grubnk {i} and zorfle", 0) for i in range(6)]
+    tests = ["you grubnak", "a grubnakk here", 'she said "zorfel" to us', "zorfle", "vexatt mulgor", "baran", "", "VEXAT!", "mulgro, you"]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], DOCS)
+    scorer = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = toxicity.score(spark.createDataFrame(list(enumerate(tests)), DOCS), scorer).orderBy("doc_id").collect()
+    assert [r.score for r in got] == pytest.approx(brute_toxicity(rows, tests), abs=1e-9)
+
+
 # ---- 8: language identification ----
 
 def normal(t):
@@ -400,6 +518,56 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
 
 
+SCRIPTS = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "he": "אבגדהוזחטיכלמנסעפצקרשת",
+           "ka": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "hy": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "la": "abcdefghijklmnopqrstuvwxyz",
+           "zh": "".join(chr(0x4E00 + 7 * i) for i in range(900))}
+
+
+def written_in(letters, rng, words):
+    """Text of a made-up language, from a small stock of words."""
+    stock = random.Random(letters)
+    parts = ["".join(stock.choices(letters, k=stock.randint(3, 6))) for _ in range(max(80, len(letters) // 3))]
+    return " ".join(rng.choices(parts, k=words))
+
+
+def test_language_of_many_scripts(spark):
+    """More letters than any fixed alphabet held; long texts teach as a whole."""
+    rng = random.Random(8)
+    rows = [(k, written_in(s, rng, rng.randint(20, 400)), lang) for k, (lang, s) in
+            enumerate((lang, s) for lang, s in SCRIPTS.items() for _ in range(24))]
+    rows += [(1000 + i, "1 " * 3000 + written_in(SCRIPTS["ru"], rng, 200), "late") for i in range(9)]      # letters after 6,000 characters only
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    model = langid.fit(docs.where("lang != 'late'"), F.lit(True))
+    letters = {c for _, t, lang in rows if lang != "late" for c in t.lower() if c.isalpha()}
+    assert letters == set(model.alphabet) and len(letters) > 400
+    got = {lang: [written_in(s, rng, 60) for _ in range(20)] for lang, s in SCRIPTS.items()}
+    for lang, texts in got.items():
+        assert model.predict(texts)[0] == [lang] * 20
+        assert model.known(texts).all()
+    noise = ["".join(rng.choices(SCRIPTS["la"] + " ", k=400)) for _ in range(20)]
+    other = [written_in("zyxwvutsrqponmlkjihgfedcba", rng, 60) for _ in range(20)]        # the same letters, another language
+    assert not model.known(noise).any() and not model.known(other).any()
+    assert langid.fit(docs.where("lang = 'late'"), F.lit(True)).known(got["ru"]).all()
+
+
+def test_transitions_equal_the_automaton():
+    rng = random.Random(1)
+    auto = langid.SuffixAutomaton()
+    for c in rng.choices(range(300), k=3000):
+        auto.extend(c)
+    table = langid.Transitions(auto.next, 302)
+    state, code = np.array([(s, c) for s in range(1, len(auto.next), 7) for c in range(0, 302, 5)]).T
+    assert table.step(state, code).tolist() == [auto.next[s].get(c, 0) for s, c in zip(state, code)]
+    assert table.root.tolist() == [auto.next[1].get(c, 0) for c in range(302)]
+
+
+def test_language_sample_is_not_held_by_copies(spark):
+    rng = random.Random(9)
+    rows = [(i, written_in(SCRIPTS["la"], rng, 30), "la") for i in range(60)] + [(100 + i, "the very same text", "la") for i in range(3000)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS + ", lang string"), F.lit(True))
+    assert model.lengths[0] > 30 * 60 and model.known([written_in(SCRIPTS["la"], rng, 50)]).all()
+
+
 def test_language_odd_rows(spark, odd, nothing):
     model = langid.Model.fit({"en": ["the word and the text here"], "xx": ["ouaie eua"]})
     got = langid.predict(odd, model).collect()
@@ -517,6 +685,39 @@ def test_whole_values_are_noise_in_an_article():
         assert html_text.main_text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
 
 
+BODY = "".join(f"<p>{w} is a long paragraph of the page's own text, and it says something at length.</p>" for w in ("One", "Two", "Three"))
+TEXT = "\n".join(f"{w} is a long paragraph of the page's own text, and it says something at length." for w in ("One", "Two", "Three"))
+
+
+@pytest.mark.parametrize("name", ["share-prices", "post-comment-policy", "home social", "news-tags", "article-header-body"])
+def test_the_ratio_overrules_a_doubtful_name(name):
+    menu = '<ul class="menu"><li><a href="/">Home</a><li><a href="/a">About</a></ul>'
+    assert html_text.main_text(f'<body>{menu}<div class="{name}">{BODY}</div><div class="footer">All rights</div></body>') == TEXT
+    side = f'<div class="{name}"><p>Follow us</p></div>'
+    assert html_text.main_text(f"<body>{menu}<div>{BODY}</div>{side}</body>") == TEXT
+
+
+def test_names_of_noise_alone_are_noise():
+    for name in ('class="share"', 'class="social share"', 'id="comments"', 'role="navigation"', 'class="cookie-banner"'):
+        assert html_text.main_text(f"<body><div>{BODY}</div><div {name}>{BODY}{BODY}</div></body>") == TEXT
+
+
+def test_an_article_keeps_all_its_own_text():
+    parts = ("<p class='byline'>By A. Writer</p>", "<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "<div class='disclaimer'>No advice.</div>",
+             "<p>Press <button>Start</button> now.</p>")
+    got = html_text.main_text(f"<body><article>{parts[0]}{BODY}{''.join(parts[1:])}</article></body>")
+    assert got == f"By A. Writer\n{TEXT}\nWhere x=2 holds.\nNo advice.\nPress Start now."
+
+
+def test_pages_without_an_article(spark):
+    """The given pages with their article made a plain container give the same text."""
+    pages = table(spark, SF01, "pages")
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="text">'), "</article>", "</div>"))
+    want = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    got = {r.page_id: r.text for r in html_text.extract(plain).collect()}
+    assert sum(want[i] == got[i] for i in want) >= 0.98 * len(want)
+
+
 def test_pages(spark):
     pages = table(spark, SF01, "pages")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
