@@ -11,16 +11,17 @@ kept, and an empty table passes through.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import bpe, dedup, langid, mixing, ngram_join
-from foldwise.llm.common import saved, table, vocabulary_path
+from foldwise.llm.common import saved, table, vocabulary_path, wide_rows
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or mostly in letters of no learned language."""
+    """Drops documents without a letter and those that are in no learned language."""
     return langid.accepted(docs, langid.fit(docs, F.lit(True)))
 
 
@@ -46,12 +47,21 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
+def _wide(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` over Arrow batches of few rows, as documents are wide ones."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        wide_rows(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_dedup),
-    ("ngram_join", near_dedup),
-    ("mixing", mix_sources),
-    ("bpe", bpe_encode),
+    ("language_id", _wide(language_id)),
+    ("exact_dedup", _wide(exact_dedup)),
+    ("ngram_join", _wide(near_dedup)),
+    ("mixing", _wide(mix_sources)),
+    ("bpe", _wide(bpe_encode)),
 ]
 
 #: Language identification and BPE can't be said in SQL; the tests hold the
