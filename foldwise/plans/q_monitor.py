@@ -12,6 +12,8 @@ from foldwise.plans.registry import register
 
 _LOG = V.with_views(V.LOSS_LOG)
 PATIENCE = 4
+# Rows of a file of the replayed loss stream.
+FILE_ROWS = 1 << 20
 
 
 def _r(c, name=None):
@@ -147,13 +149,14 @@ def r4_early_stop_stream(spark, sf_dir):
     streaming stopper; the last state of every run gives its stop step."""
     from pyspark.sql import Window
 
-    from foldwise.sources.files import scratch_dir
+    from foldwise.plans.scratch import scratch_dir, written
     from foldwise.streaming.monitor import early_stop_stream, run_to_table
     base = scratch_dir(spark)
-    log = T.loss_log(spark, sf_dir)
+    log = written(T.loss_log(spark, sf_dir))        # the blocks read it once each
     blocks = 4
+    files = -(-log.count() // (blocks * FILE_ROWS)) or 1    # by rows, so that micro-batches do not follow the cores
     for b in reversed(range(blocks)):
-        (log.filter(F.floor(F.col("step") / 500) % blocks == b).write.mode("overwrite")
+        (log.filter(F.floor(F.col("step") / 500) % blocks == b).coalesce(files).write.mode("overwrite")
             .parquet(f"{base}/in/block={b}"))
     stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2)
                    .option("recursiveFileLookup", "true").parquet(f"{base}/in"))

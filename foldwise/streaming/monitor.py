@@ -6,6 +6,10 @@ losses of many runs arrive as a stream of (run, step, loss) rows; a stateful
 counter and the stop step.  Steps may arrive out of order: steps ahead of
 the next expected one wait in the state until the gap is filled, so the
 result equals the batch operator on the same log.
+
+Waiting steps and their losses are two binary fields (8 bytes a value, in step
+order), which numpy reads in place and merges with the new rows: a micro-batch
+makes no Python object per waiting step, only per step that it walks.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType,
+from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 STATE = StructType([
@@ -24,8 +28,8 @@ STATE = StructType([
     StructField("best", DoubleType()),
     StructField("counter", IntegerType()),
     StructField("stop_at", LongType()),
-    StructField("pending_steps", ArrayType(LongType())),
-    StructField("pending_losses", ArrayType(DoubleType())),
+    StructField("pending_steps", BinaryType()),
+    StructField("pending_losses", BinaryType()),
 ])
 
 
@@ -40,32 +44,49 @@ def output_schema(run_type=StringType()) -> StructType:
     ])
 
 
+# Losses walked at a time.
+WALK = 1 << 16
+
+
+def _merged(steps: list[np.ndarray], losses: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Steps in order with their losses; of a step that came more than once, the last."""
+    s, x = np.concatenate(steps), np.concatenate(losses)
+    order = np.argsort(s, kind="stable")
+    s, x = s[order], x[order]
+    last = np.append(s[1:] != s[:-1], True)[:len(s)]
+    return s[last], x[last]
+
+
 def _stepper(patience: int, delta: float):
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             nxt, best, counter, stop_at, ps, pl = state.get
-            pending = dict(zip(ps or [], pl or []))
         else:
-            nxt, best, counter, stop_at, pending = 0, None, 0, None, {}
+            nxt, best, counter, stop_at, ps, pl = 0, None, 0, None, b"", b""
+        steps, losses = [np.frombuffer(ps, np.int64)], [np.frombuffer(pl, float)]
         for pdf in pdfs:
-            for s, x in zip(pdf["step"].to_numpy(), pdf["loss"].to_numpy(dtype=float)):
-                if int(s) >= nxt:
-                    pending[int(s)] = float(x)
-        while stop_at is None and nxt in pending:
-            x = pending.pop(nxt)
-            if np.isnan(x):
-                counter += 1
-            elif best is None or x <= best - delta:
-                best, counter = x, 0
-            else:
-                counter += 1
-            if counter >= patience:
-                stop_at = nxt
-            nxt += 1
-        if stop_at is not None:
-            pending = {}        # later epochs never ran
-        keys = sorted(pending)
-        state.update((nxt, best, counter, stop_at, keys, [pending[k] for k in keys]))
+            if stop_at is None:             # after a stop later epochs never ran
+                s, x = pdf["step"].to_numpy(dtype=np.int64), pdf["loss"].to_numpy(dtype=float)
+                steps.append(s[s >= nxt])
+                losses.append(x[s >= nxt])
+        s, x = _merged(steps, losses)
+        gap = np.flatnonzero(s != nxt + np.arange(len(s)))
+        ready = int(gap[0]) if len(gap) else len(s)
+        for i in range(0, ready, WALK):
+            for v in x[i:min(i + WALK, ready)].tolist():
+                if v == v and (best is None or v <= best - delta):
+                    best, counter = v, 0
+                else:
+                    counter += 1
+                if counter >= patience:
+                    stop_at = nxt
+                nxt += 1
+                if stop_at is not None:
+                    break
+            if stop_at is not None:
+                ready = len(s)
+                break
+        state.update((nxt, best, counter, stop_at, s[ready:].tobytes(), x[ready:].tobytes()))
         yield pd.DataFrame([{"run": key[0], "next_step": nxt, "best": best, "counter": counter,
                              "stop_at": stop_at, "stopped": stop_at is not None}])
     return step

@@ -121,3 +121,31 @@ def test_delta_chain_matches_sequential_on_random_logs(spark, monkeypatch, bucke
                    R.early_stop(log, patience, delta=delta, bucket_rows=bucket_rows).collect()}
             want = {k: python_stop(xs, patience, delta) for k, xs in runs.items()}
             assert got == want, (patience, delta)
+
+
+def test_stream_keeps_waiting_steps_without_an_object_each():
+    import numpy as np
+    import pandas as pd
+
+    from foldwise.streaming.monitor import _stepper
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def feed(state, steps, losses):
+        pdfs = [pd.DataFrame({"step": steps, "loss": np.array(losses, float)})]
+        return next(iter(_stepper(2, 0.0)(("r",), iter(pdfs), state))).iloc[0]
+
+    state = State()
+    n = 1000
+    assert feed(state, range(n, 0, -1), range(n, 0, -1))["next_step"] == 0
+    waiting = state.get[4], state.get[5]
+    assert all(isinstance(w, bytes) and len(w) == 8 * n for w in waiting)
+    assert feed(state, [3, 1], [2.0, float("nan")])["next_step"] == 0      # the last of a step counts
+    assert len(state.get[4]) == 8 * n
+    last = feed(state, [0], [2.0])                                      # 2, nan, 2, 2, 4, 5
+    assert (last["next_step"], last["best"], last["stop_at"], bool(last["stopped"])) == (6, 2.0, 5, True)
+    assert state.get[4] == b"" and feed(state, [7], [0.0])["stop_at"] == 5
