@@ -10,7 +10,7 @@ labels (the n-th word start takes the n-th label).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,21 @@ def word_starts(df: DataFrame, ids: str = "word_ids", out: str = "word_start") -
     return df.withColumn(out, word_starts_expr(ids))
 
 
+# Tokens and labels that a pass holds at a time.
+ELEMENTS = 1 << 18
+
+
+def slices(batch: pa.RecordBatch, lists: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ELEMENTS elements of its ``lists`` columns, or one row."""
+    held = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
+    total = np.concatenate([[0], np.cumsum(held)])
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(total, total[i] + ELEMENTS, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 # T11
 def _aligned(ids: pa.Array, labels: pa.Array, soft: bool, ignore_class: int, threshold: float):
     """ids (nulls as -1), word_start, label and flag of a batch, over flattened
@@ -104,7 +119,7 @@ def align_labels(df: DataFrame, ids: str = "word_ids", labels: str = "labels",
                            T.StructField("flag", T.ArrayType(T.BooleanType()))])
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, [ids, labels])):
             new = _aligned(b.column(ids), b.column(labels), soft, ignore_class, threshold)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=schema.names)
 
@@ -123,7 +138,7 @@ def scatter_target(aligned: DataFrame, soft: bool = False, width: int | None = N
     schema = T.StructType([*[aligned.schema[c] for c in keep], T.StructField(out, aligned.schema["label"].dataType)])
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, ["label"])):
             flag, label = b.column("flag"), b.column("label")
             flat = label.flatten()
             values = pc.if_else(pc.fill_null(flag.flatten(), False), flat, pa.scalar(IGNORE_INDEX, flat.type))

@@ -17,16 +17,18 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that a worker remembers, their longest, and bytes of text that are cut at a time.
-MEMO, MEMO_CHARS, TEXTS = 200_000, 64, 4 << 20
+MEMO, MEMO_CHARS, TEXTS = 100_000, 64, 1 << 20
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -92,21 +94,46 @@ class LongestMatch:
                 self.memo[word] = found
         return found
 
+    def texts(self, texts: pa.Array) -> list[pa.ListArray]:
+        """(ids, word ids, starts, ends) of texts without nulls; an empty one has no
+        tokens.  Each different word is cut once; its tokens are then gathered at
+        all its places."""
+        words = pc.split_pattern(texts, " ")
+        at = words.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        n = np.diff(at)
+        flat = words.flatten().dictionary_encode()
+        code = flat.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(code), bool)
+        first[at[:-1]] = True
+        # a word's key tells whether the space before it belongs to it
+        key = 2 * code + first
+        here = np.zeros(2 * len(flat.dictionary), bool)
+        here[key] = True
+        which = (np.cumsum(here) - 1)[key]
+        names = flat.dictionary.to_pylist()
+        found = [self.word(names[u >> 1] if u & 1 else " " + names[u >> 1]) for u in np.flatnonzero(here).tolist()]
+        count = np.fromiter((len(i) for i, _ in found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(i for i, _ in found), np.int32)
+        ends = np.fromiter(chain.from_iterable(e for _, e in found), np.int32)
+        begin = np.cumsum(count) - count
+        times = count[which]
+        token = np.concatenate([[0], np.cumsum(times)])
+        take = np.arange(token[-1]) - np.repeat(token[:-1] - begin[which], times)
+        chars = pc.utf8_length(flat.dictionary).to_numpy().astype(np.int64)[code] + ~first
+        left = np.cumsum(chars) - chars
+        left -= np.repeat(left[at[:-1]], n)
+        ends = ends[take] + np.repeat(left, times).astype(np.int32)
+        number = np.repeat(np.arange(len(code)) - np.repeat(at[:-1], n), times).astype(np.int32)
+        cut = token[at]
+        starts = np.concatenate([[0], ends])[:len(ends)].astype(np.int32)
+        starts[cut[:-1][np.diff(cut) > 0]] = 0
+        offsets = pa.array(cut.astype(np.int32))
+        return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[take], number, starts, ends)]
+
     def text(self, text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-        """(ids, word ids, starts, ends) of a text; an empty one has no tokens."""
-        ids: list[int] = []
-        words: list[int] = []
-        ends: list[int] = []
-        at = 0
-        for k, w in enumerate(text.split(" ")):
-            if k:
-                w = " " + w
-            i, e = self.word(w)
-            ids += i
-            words += [k] * len(i)
-            ends += [at + x for x in e]
-            at += len(w)
-        return ids, words, [0, *ends][:len(ends)], ends
+        """:meth:`texts` of one text."""
+        return tuple(x[0].as_py() for x in self.texts(pa.array([text])))
 
 
 @lru_cache(1)
@@ -122,18 +149,18 @@ def subword_tokens(df: DataFrame, text: str, vocabulary: str, ids: str = "ids",
     df.sparkSession.sparkContext.addFile(vocabulary)
     name = os.path.basename(vocabulary)
     made = [ids, words, starts, ends]
-    base = df.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).drop(*made)
-    kept = [f for f in base.schema.fields if f.name != "_text"]
+    kept = [f for f in df.schema.fields if f.name not in made]
     schema = T.StructType([*kept, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in made)])
-    base = base.select(*(f.name for f in kept), "_text")
+    # a text that stays is sent once
+    given = text if text not in made and isinstance(df.schema[text].dataType, T.StringType) else "_text"
+    base = df.select(*(f.name for f in kept), *([] if given == text else [F.col(text).cast("string").alias(given)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = _matcher(name)
         for b in batches:
-            step = max(1, b.num_rows * TEXTS // max(b.column("_text").nbytes, 1))
+            step = max(1, b.num_rows * TEXTS // max(b.column(given).nbytes, 1))
             for i in range(0, b.num_rows, step):
                 part = b.slice(i, step)
-                found = list(zip(*map(match.text, part.column("_text").to_pylist())))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, pa.list_(pa.int32())) for c in found)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *match.texts(pc.fill_null(part.column(given), ""))], names=schema.names)
 
     return base.mapInArrow(run, schema)

@@ -67,3 +67,30 @@ def test_subword_columns(spark, vocabulary, monkeypatch):
         assert (r.ids, r.word_ids, r.starts, r.ends) == match.text(r.text or "")
         seen += 1
     assert seen == len(rows) and W.subword_tokens(df.limit(0), "text", vocabulary_file()).count() == 0
+
+
+def test_a_different_word_is_cut_once_for_all_texts(monkeypatch):
+    import pyarrow as pa
+
+    from foldwise.operators.subwords import LongestMatch
+    match = LongestMatch({bytes([b]): b for b in range(256)} | {b"ab": 256, b" a": 257})
+    asked = []
+    word = match.word
+    monkeypatch.setattr(match, "word", lambda w: asked.append(w) or word(w))
+    got = [c.to_pylist() for c in match.texts(pa.array(["ab ab ab", "", " é", "x", "ab  ab"])[1:])]
+    assert got[0] == [[], [32, 0xC3, 0xA9], [120], [256, 32, 257, 98]]
+    assert got[1] == [[], [1, 1, 1], [0], [0, 1, 2, 2]]
+    assert got[2] == [[], [0, 1, 2], [0], [0, 2, 3, 5]] and got[3] == [[], [1, 2, 2], [1], [2, 3, 5, 6]]
+    assert sorted(asked) == ["", " ", " ab", " é", "ab", "x"]
+
+
+def test_span_passes_hold_few_elements(monkeypatch):
+    import pyarrow as pa
+
+    from foldwise.operators import spans as S
+    monkeypatch.setattr(S, "ELEMENTS", 10)
+    rows = [[1] * n for n in (4, 6, 3, 25, 0, 2, 9)] + [None, [1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(range(len(rows)))], names=["l", "i"])
+    parts = list(S.slices(batch, ["l"]))
+    assert [p.column("i").to_pylist() for p in parts] == [[0, 1], [2], [3], [4, 5], [6, 7, 8]]
+    assert sum((p.column("i").to_pylist() for p in parts), []) == list(range(len(rows)))
