@@ -13,11 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foldwise.operators.columns import with_ordinal
+from foldwise.operators.spans import slices
 from foldwise.plans.scratch import written
 from foldwise.plans.sizing import join_small
 
@@ -172,8 +177,29 @@ def fit_labels(df: DataFrame, col: str) -> DataFrame:
     """(label, code): distinct labels of a list (or scalar) column, codes in sorted order."""
     c = F.col(col)
     is_list = isinstance(df.schema[col].dataType, T.ArrayType)
-    vals = df.select((F.explode(c) if is_list else c).alias("label")).distinct()
-    return with_ordinal(vals, ["label"], name="code").select("label", F.col("code").cast("int"))
+    vals = written(df.select((F.explode(c) if is_list else c).alias("label")).distinct())
+    return written(with_ordinal(vals, ["label"], name="code").select("label", F.col("code").cast("int")))
+
+
+def _coded_in_rows(df: DataFrame, col: str, out: str, table: list) -> DataFrame:
+    """The list column coded inside its rows, by a table of few labels."""
+    at = pa.array([r["label"] for r in table], to_arrow_type(df.schema[col].dataType.elementType))
+    code = pa.array([r["code"] for r in table], pa.int32())
+    keep = [c for c in df.columns if c != out]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for b in (part for whole in batches for part in slices(whole, [col])):
+            given = b.column(col)
+            flat = given.flatten()
+            found = pc.index_in(flat.cast(at.type), value_set=at)
+            if found.null_count:
+                raise ValueError("unseen label")
+            offsets = given.offsets.to_numpy()
+            new = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), code.take(found), mask=given.is_null())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), new], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def encode_labels(df: DataFrame, col: str, codes: DataFrame, out: str | None = None,
@@ -182,8 +208,10 @@ def encode_labels(df: DataFrame, col: str, codes: DataFrame, out: str | None = N
     code; an unseen label raises, a null label is a label like any other (it has
     a code if the table was fitted on nulls).
 
-    Always a null-safe join, whose smaller side adaptive execution broadcasts by
-    measured bytes.  A list column needs ``keys``, the columns that identify a
+    Scalars take a null-safe join, whose smaller side adaptive execution broadcasts by
+    measured bytes.  Lists of strings or integers are coded inside their rows where
+    the table holds at most HEAVY labels of HEAVY_CHARS characters.  Any other list
+    column needs ``keys``, the columns that identify a
     row: its (row, position) pairs are joined and regrouped (a group is one
     row's list)."""
     out = out or col
@@ -195,6 +223,11 @@ def encode_labels(df: DataFrame, col: str, codes: DataFrame, out: str | None = N
     keys = list(keys)
     if not keys:
         raise ValueError("encode_labels: a list column needs the row's key columns")
+    kind = df.schema[col].dataType.elementType
+    if isinstance(kind, (T.StringType, T.IntegralType)) and codes.schema["label"].dataType == kind:
+        size = codes.agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.col("label").cast("string"))).alias("chars")).first()
+        if size["n"] <= HEAVY and (size["chars"] or 0) <= HEAVY_CHARS:
+            return _coded_in_rows(df, col, out, codes.select("label", "code").collect())
     longer = df.select(*keys, F.posexplode(col).alias("_p", "_l"))
     coded = longer.join(cd, longer["_l"].eqNullSafe(cd["_lab"]), "left").select(*keys, "_p", seen(F.col("_code")).alias("_code"))
     back = coded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_code"))).alias("_l"))

@@ -282,3 +282,17 @@ def test_encode_splits_heavy_hitters(spark, monkeypatch):
         assert got == sorted((r.doc, r.pos, r.ids) for r in K.encode(df, "tokens", vocab.drop("count"), ["doc"]).collect())
         assert want in (None, got)
         want = got
+
+
+def test_few_labels_are_coded_inside_their_rows(spark, monkeypatch):
+    from foldwise.plans.checks import exchanges
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, [None, "c"])]
+    df = spark.createDataFrame(rows, "id int, l array<string>")
+    codes = K.fit_labels(df, "l")
+    few = K.encode_labels(df, "l", codes, keys=["id"])
+    assert exchanges(few) == []
+    got = {r["id"]: r["l"] for r in few.collect()}
+    monkeypatch.setattr(K, "HEAVY", 1)
+    many = K.encode_labels(df, "l", codes, keys=["id"])
+    assert exchanges(many) != [] and got == {r["id"]: r["l"] for r in many.collect()}
+    assert got[2] == [] and got[3] is None and got[1][0] == got[1][2] == got[1][1] + 1
