@@ -117,11 +117,16 @@ def to_long(df: DataFrame, ids: Sequence[str], value: str = "value") -> DataFram
 
 def to_wide(df: DataFrame, ids: Sequence[str], targets: Sequence[str], kinds: Sequence[str],
             folds: Sequence[int], value: str = "value") -> DataFrame:
-    """Inverse of :func:`to_long`; pivot values are explicit so no extra job runs."""
+    """Inverse of :func:`to_long`; the cells are explicit so no extra job runs.  Of
+    several values for a cell the largest stays."""
     names = [f"{t}_{k}_fold{f}" for t in targets for k in kinds for f in folds]
-    keyed = df.withColumn("_name", F.concat_ws("", F.col("target"), F.lit("_"), F.col("kind"),
-                                               F.lit("_fold"), F.col("fold").cast("string")))
-    return keyed.groupBy(*ids).pivot("_name", names).agg(F.first(value))
+    place = F.lit(0)
+    for col, known in (("target", targets), ("kind", kinds), ("fold", folds)):
+        at = F.array_position(F.array(*(F.lit(str(x)) for x in known)), F.col(col).cast("string")) - 1
+        place = place * len(known) + F.when(at >= 0, at)            # null where a part is not listed
+    # a group is one row of cells from the first aggregation on: no group per cell comes before
+    return df.withColumn("_at", place).groupBy(*ids).agg(*(
+        F.max(F.when(F.col("_at") == i, F.col(value))).alias(n) for i, n in enumerate(names)))
 
 
 # P8
@@ -196,20 +201,26 @@ def with_ordinal(df: DataFrame, order_by, by=(), name: str = "ordinal", start: i
     return joined.withColumn(name, at.cast("long")).drop("_o_at")
 
 
-#: Leading hex digits of a hashed key that cut a group into buckets.
-KEY_DIGITS = 3
+#: Leading hex digits of a hashed key that cut a group into buckets, and rows of a
+#: bucket that fewer digits may leave where the largest group is known.
+KEY_DIGITS, BUCKET_ROWS = 3, 1 << 16
 
 
 def with_hashed_ordinal(df: DataFrame, key: str, tie: Sequence[str], by: Sequence[str] = (), name: str = "ordinal",
-                        start: int = 0, across: bool = False) -> DataFrame:
+                        start: int = 0, across: bool = False, largest: int | None = None) -> DataFrame:
     """:func:`with_ordinal` for a hex key that is spread evenly (md5).
 
     Rows are numbered inside (group, leading digits) and shifted by the counts of
     smaller digits: no sampling, one shuffle of the rows, the same numbers on
     every run, and a group of any size spreads over 16 ** KEY_DIGITS buckets.
-    With ``across`` the numbering goes on from group to group in ``by`` order."""
+    With ``across`` the numbering goes on from group to group in ``by`` order.
+    ``largest``, the rows of the largest group, saves digits: groups of at most
+    BUCKET_ROWS rows are numbered whole, without counts and their join."""
     by = list(by)
-    rows = df.withColumn("_o_hx", F.substring(key, 1, KEY_DIGITS))
+    digits = KEY_DIGITS if largest is None else next((d for d in range(KEY_DIGITS) if largest <= BUCKET_ROWS * 16 ** d), KEY_DIGITS)
+    if digits == 0 and by and not across:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(key, *tie)) + F.lit(start - 1)).cast("long"))
+    rows = df.withColumn("_o_hx", F.substring(key, 1, max(digits, 1)))
     counts = rows.groupBy(*by, "_o_hx").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (Window.partitionBy(*by) if by else Window).orderBy("_o_hx").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn("_o_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")

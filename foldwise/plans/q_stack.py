@@ -510,13 +510,12 @@ def _balance_sql(view: str, targets) -> str:
 
 def _balance(folds, targets):
     """Per (target, value): its rows, and whether their folds differ by at most 5."""
-    out = None
-    for t in targets:
-        per = folds.groupBy(F.lit(t).alias("target"), F.col(t).cast("string").alias("value"), "fold").count()
-        per = per.groupBy("target", "value").agg(F.sum("count").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"), F.count(F.lit(1)).alias("folds"))
-        per = per.select("target", "value", "n", (F.col("hi") - F.when(F.col("folds") == 5, F.col("lo")).otherwise(0) <= 5).alias("level"))
-        out = per if out is None else out.unionByName(per)
-    return out
+    # the dealt rows are read once: combinations are counted, then taken apart into cells
+    cells = F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).cast("string").alias("value")) for t in targets))
+    per = folds.groupBy(*targets, "fold").count().select("fold", "count", F.explode(cells).alias("cell"))
+    per = per.groupBy("cell.target", "cell.value", "fold").agg(F.sum("count").alias("count"))
+    per = per.groupBy("target", "value").agg(F.sum("count").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"), F.count(F.lit(1)).alias("folds"))
+    return per.select("target", "value", "n", (F.col("hi") - F.when(F.col("folds") == 5, F.col("lo")).otherwise(0) <= 5).alias("level"))
 
 
 @register("k1_quota_balance", _balance_sql(V.ESSAYS, TARGETS))

@@ -119,3 +119,18 @@ def test_vote_matches_direct_form_on_random_folds(spark):
     for key, votes in groups.items():
         lab, p = _python_vote(votes)
         assert got[key][0] == lab and math.isclose(got[key][1], p, rel_tol=1e-12), key
+
+
+def test_wide_cells_are_gathered_without_a_group_per_cell(spark):
+    from foldwise.operators import columns as P
+    from foldwise.plans.checks import plan_text
+    rows = [("a", "t", "label", 0, 1.0), ("a", "t", "prob", 1, float("nan")), ("b", "u", "label", 1, None), ("c", "other", "label", 0, 5.0),
+            ("c", None, "label", 0, 6.0)]
+    df = spark.createDataFrame(rows, "id string, target string, kind string, fold int, value double")
+    wide = P.to_wide(df, ["id"], ["t", "u"], ["label", "prob"], range(2))
+    assert wide.columns == ["id"] + [f"{t}_{k}_fold{f}" for t in "tu" for k in ("label", "prob") for f in range(2)]
+    text = plan_text(wide, "simple")
+    assert "pivotfirst" not in text and text.count("Aggregate(") == 2
+    got = {r["id"]: r for r in wide.collect()}
+    assert got["a"]["t_label_fold0"] == 1.0 and got["a"]["t_prob_fold1"] != got["a"]["t_prob_fold1"]
+    assert set(got) == {"a", "b", "c"} and all(x is None for x in got["c"][1:]) and all(x is None for x in got["b"][1:])

@@ -211,3 +211,15 @@ def test_hashed_ordinal_equals_the_general_one(spark):
     c = {r["id"]: r["ordinal"] for r in P.with_hashed_ordinal(df, "k", ["id"], by=["g"], start=1).collect()}
     d = {r["id"]: r["ordinal"] for r in P.with_ordinal(df, ["k", "id"], by=["g"], start=1).collect()}
     assert a == b and c == d
+
+
+def test_ordinals_of_small_groups_need_no_counts(spark):
+    from foldwise.plans.checks import plan_text
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    want = {r["id"]: r["o"] for r in P.with_hashed_ordinal(df, "k", ["id"], by=["g"], name="o", start=1).collect()}
+    small = P.with_hashed_ordinal(df, "k", ["id"], by=["g"], name="o", start=1, largest=100)
+    assert "Join" not in plan_text(small, "simple")
+    assert want == {r["id"]: r["o"] for r in small.collect()}
+    for largest in (1 << 17, 1 << 22, 1 << 40):
+        assert want == {r["id"]: r["o"] for r in P.with_hashed_ordinal(df, "k", ["id"], by=["g"], name="o", start=1, largest=largest).collect()}
