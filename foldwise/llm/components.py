@@ -71,35 +71,45 @@ def contracted(edges: DataFrame) -> DataFrame:
 HUB, HUBS = 1000, 10_000
 
 
-def _with_least(edges: DataFrame, n: int) -> DataFrame:
-    """``edges`` (u, v), ``n`` or so of them, with the smallest v of each u (``m``).
+def _with_least(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v), ``n`` or so of them, with the smallest v of each u (``m``),
+    and the table (u, m), which is written out so that the plan above it stays small.
     A hub's edges are dealt by v to as many shards as its degree needs, so no task gets
     more than some ``HUB`` of them or an even part; there are at most HUBS hubs."""
     most = max(HUB, -(-n // HUBS))
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / most).cast("int").alias("shards"))
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / most).cast("int").alias("shards")))
+    floor = least.select("u", "m")
     hubs = least.where("shards > 1").select("u", "shards")
+    if hubs.isEmpty():
+        return edges.join(floor, "u").select("u", "v", "m"), floor
     dealt = edges.join(F.broadcast(hubs), "u", "left").select(
         "u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("shards").cast("bigint")).cast("int"), F.lit(0)).alias("shard"))
     shards = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    return dealt.join(shards, ["u", "shard"]).select("u", "v", "m")
+    return dealt.join(shards, ["u", "shard"]).select("u", "v", "m"), floor
+
+
+def _form(edges: DataFrame) -> tuple[int, bool]:
+    """Number of ``edges`` (u, v), v < u, and whether they are stars around the smallest
+    nodes: each u has one edge, and no v is a u."""
+    sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    row = sides.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).agg(
+        F.sum("out").alias("n"), F.max(F.when(F.col("out") > 0, F.col("out") + F.col("into"))).alias("most")).first()
+    return row.n or 0, (row.most or 0) <= 1
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): root is the smallest node
-    of its component.  Alternates large and small stars until nothing changes;
-    each round is written to shared storage, and only two numbers reach the driver."""
+    of its component.  Alternates large and small stars until only stars are left;
+    each step is a small plan over tables in shared storage (the driver plans and keeps
+    a few exchanges at a time), and only two numbers reach the driver."""
     now = saved(contracted(edges).where("u != v").distinct())
-    n, state = now.count(), None
-    while True:
+    while not (form := _form(now))[1]:
+        n = 2 * form[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (_with_least(large, 2 * n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(floor.select("u", F.col("m").alias("v"))))
+        large = saved(_with_least(both, n)[0].where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        least, floor = _with_least(large, n)
+        small = least.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v")))
         now = saved(small.distinct())
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == state:
-            break
-        state, n = (row.n, row.h), row.n
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

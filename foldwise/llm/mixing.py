@@ -116,6 +116,14 @@ def bounded(cells: DataFrame, margin: str, targets: DataFrame, budget: float) ->
     return have.select("value", F.least(F.col("share") * scale, F.col("have")).alias("goal"))
 
 
+def margin_error(cells: DataFrame, margins: list[str]) -> float:
+    """The largest, over the margins, of the summed differences between the weights ``w``
+    of a margin's values and their goals (``_g0``, ``_g1``, ...); all margins in one query."""
+    goal = F.coalesce(*(F.when(F.grouping(m) == 0, F.first(f"_g{k}")) for k, m in enumerate(margins)))
+    values = cells.groupingSets([[F.col(m)] for m in margins], *margins).agg(F.grouping_id().alias("_m"), F.abs(F.sum("w") - goal).alias("_d"))
+    return values.groupBy("_m").agg(F.sum("_d").alias("_d")).agg(F.max("_d")).first()[0]
+
+
 def balanced(cells: DataFrame, margins: Mapping[str, DataFrame], budget: float = BUDGET, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """``cells`` with ``probability`` (at most 1) and ``weight`` (probability over the
     budget) such that the expected tokens meet the targets (value, share) of every
@@ -134,7 +142,7 @@ def balanced(cells: DataFrame, margins: Mapping[str, DataFrame], budget: float =
                 raised = F.least(F.col("n").cast("double"), F.col("w") * F.col(f"_g{k}") / F.col("_s"))
                 now = now.withColumn("w", F.when(F.col("_s") > 0, raised).otherwise(0.0)).drop("_s")
         now, done = saved(now), done + CUT
-        error = max(now.groupBy(m).agg(F.abs(F.sum("w") - F.first(f"_g{k}")).alias("d")).agg(F.sum("d")).first()[0] for k, m in enumerate(margins)) / wanted
+        error = margin_error(now, list(margins)) / wanted
     if wanted > 0 and error > tolerance:
         log.warning("mixing: margin error %.6f after %d rounds; the cells do not allow the targets at this budget", error, done)
     chance = F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(0.0)

@@ -166,6 +166,14 @@ def test_targets_beyond_the_tokens_are_reported(spark):
     assert error > 0.5 and all(0 <= r.probability <= 1 for r in rows.collect())
 
 
+def test_margin_errors_are_one_query(spark):
+    """Nulls are values of their own, a margin's differences are summed, and the largest sum counts."""
+    rows = [("a", None, 4.0, 5.0, 6.0), ("a", "y", 2.0, 5.0, 2.0), (None, "y", 1.0, 3.0, 2.0), (None, None, 2.0, 3.0, 6.0)]
+    cells = saved(spark.createDataFrame(rows, "s string, l string, w double, _g0 double, _g1 double"))
+    assert mixing.margin_error(cells, ["s", "l"]) == 1.0
+    assert mixing.margin_error(cells.withColumn("_g1", F.col("_g1") + 9), ["s", "l"]) == 17.0
+
+
 # ---- components and the pipeline ----
 
 @pytest.mark.parametrize("kind,hub", [("bigint", 1000), ("string", 1000), ("bigint", 3)])
@@ -189,6 +197,25 @@ def test_components_equal_brute_force(spark, monkeypatch, kind, hub):
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
 
 
+def test_component_search_plans_little_at_a_time(spark, monkeypatch):
+    """The driver's memory grows with the plans it makes: each step has a few exchanges, and stars take no round."""
+    plans = []
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return saved(df)
+
+    monkeypatch.setattr("foldwise.llm.components.saved", counted)
+    for hub in (1000, 3):
+        monkeypatch.setattr("foldwise.llm.components.HUB", hub)
+        chain = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(0, i) for i in range(1000, 1100)], "u bigint, v bigint")
+        assert {r.root for r in components(chain.repartition(7)).collect()} == {0}
+    assert max(plans) <= 6
+    plans.clear()
+    got = components(chain.coalesce(1)).collect()
+    assert len(got) == 501 and {r.root for r in got} == {0} and len(plans) == 1
+
+
 def test_pipeline_against_direct_stages(spark):
     docs = table(spark, SF001, "documents")
     from tests.llm.test_text_operators import brute_components, vocabulary_path
