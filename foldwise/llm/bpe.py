@@ -22,9 +22,9 @@ import json
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,15 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LEXICON_WORDS = 1 << 17
 #: Encoded pieces that a worker remembers; the longest word of the lexicon.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
-#: Bytes of decimal ids after which the memo starts anew.
-MEMO_TOTAL = 32 << 20
+#: Ids after which the memo starts anew.
+MEMO_IDS = 1 << 23
 #: Pieces whose parts are gathered at a time.
 GATHER = 100_000
 SPACE_RUN = re.compile(r" (?:\s|$)")
+#: Stands between pieces that are cut into words at a time: a code point that Unicode keeps free.
+BETWEEN = "\ufdd0"
+#: ``WORDS`` over pieces with ``BETWEEN`` between them: it is a word of its own and, for the rest, the end of the text.
+WORDS_BETWEEN = BETWEEN + "|" + WORDS.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{BETWEEN}]").replace(r"(?!\S)", rf"(?![^\s{BETWEEN}])")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,6 +61,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def parts_of(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``flat`` that begin there and have that size, end to end, and where each begins and ends."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 class Vocabulary:
     """Tokens, merges and added tokens of a byte-level BPE file."""
 
@@ -74,10 +84,26 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.words = regex.compile(WORDS)
+        self.words, self.words_between = regex.compile(WORDS), regex.compile(WORDS_BETWEEN)
         longest = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
+    def _by_id(self, shown: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of every id end to end, and by id where they begin and their size."""
+        parts = [shown.get(i, b"") for i in range(max(shown, default=-1) + 1)]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+    @cached_property
+    def raw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each id decodes to."""
+        return self._by_id(self.bytes_of)
+
+    @cached_property
+    def decimal(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each id as decimal text and a comma."""
+        return self._by_id({i: b"%d," % i for i in self.bytes_of})
+
     @cached_property
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mergeable pairs as ascending keys, the rank of each, and the new id by rank."""
@@ -88,30 +114,56 @@ class Vocabulary:
         order = np.argsort(keys)
         return keys[order], rank[order], made
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word: the pair of least rank, leftmost first, until none is
-        left.  Words of like length step together, long ones go through a heap."""
-        out: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        while order and len(words[order[-1]]) > 48:
-            at = order.pop()
-            out[at] = self._merge_long([self.id_of_byte[b] for b in words[at]])
-        for k in range(0, len(order), 4096):
-            part = order[k:k + 4096]
-            for at, ids in zip(part, self._merge_block([words[i] for i in part])):
-                out[at] = ids
-        return out
+    @cached_property
+    def _bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each byte, and the rank of each pair of bytes; 256 is no byte."""
+        none = len(self._pairs[2])
+        rank = np.full((257, 257), none, np.int64)
+        byte_of = {i: b for b, i in enumerate(self.id_of_byte)}
+        for (a, b), (r, _) in self.merges.items():
+            if a in byte_of and b in byte_of:
+                rank[byte_of[a], byte_of[b]] = r
+        return np.array([*self.id_of_byte, -1], np.int64), rank
 
-    def _merge_block(self, words: list[bytes]) -> list[list[int]]:
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word: the pair of least rank, leftmost first, until none is left."""
+        flat, begin, size = self.merged(words)
+        return [flat[i:i + n].tolist() for i, n in zip(begin.tolist(), size.tolist())]
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same as all ids end to end, and where each word's begin and their number.
+        Words of like length step together, long ones go through a heap."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(length, kind="stable")
+        short = int(np.searchsorted(length[order], 48, "right"))
+        flats, sizes = [], []
+        for k in range(0, short, 4096):
+            ids = self._merge_block([words[i] for i in order[k:min(k + 4096, short)].tolist()])
+            flats.append(ids[ids >= 0])
+            sizes.append((ids >= 0).sum(1))
+        for i in order[short:].tolist():
+            flats.append(np.array(self._merge_long([self.id_of_byte[b] for b in words[i]]), np.int64))
+            sizes.append([len(flats[-1])])
+        size = np.zeros(len(words), np.int64)
+        begin = size.copy()
+        if len(words):
+            size[order] = np.concatenate(sizes)
+            begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([np.zeros(0, np.int64), *flats]), begin, size
+
+    def _merge_block(self, words: list[bytes]) -> np.ndarray:
+        """One row of ids for each word, -1 after the last."""
         keys, ranks, made = self._pairs
         none = len(made)
         size = np.fromiter(map(len, words), np.int64, len(words))
         width = int(size.max(initial=0))
+        id_of, rank_of_bytes = self._bytes
+        cells = np.full((len(words), width + 1), 256, np.int64)
         if not width:
-            return [[] for _ in words]
-        ids = np.full((len(words), width + 1), -1, np.int64)
+            return id_of[cells]
         cols = np.arange(width + 1)
-        ids[cols < size[:, None]] = np.array(self.id_of_byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        cells[cols < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        ids = id_of[cells]
 
         def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             key = a << 20 | b
@@ -119,7 +171,7 @@ class Vocabulary:
             return np.where((keys[at] == key) & (a >= 0) & (b >= 0), ranks[at], none)
 
         rank = np.full(ids.shape, none, np.int64)
-        rank[:, :-1] = rank_of(ids[:, :-1], ids[:, 1:])
+        rank[:, :-1] = rank_of_bytes[cells[:, :-1], cells[:, 1:]]
         live = np.arange(len(words))
         while len(live):
             at = rank[live].argmin(1)
@@ -137,7 +189,7 @@ class Vocabulary:
             before = np.maximum(at - 1, 0)
             old[row, before] = np.where(at > 0, rank_of(new[row, before], new[row, at]), old[row, before])
             ids[live], rank[live] = new, old
-        return [row[:row.index(-1)] for row in ids.tolist()]
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list: n log n for words of any length."""
@@ -269,6 +321,11 @@ class Lexicon:
     def ids_at(self, rank: int) -> list[int]:
         return self.ids[self.start[rank]:self.start[rank + 1]].tolist()
 
+    def extents(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` those of each rank begin, and their number."""
+        begin = self.start[ranks].astype(np.int64)
+        return begin, self.start[ranks + 1] - begin
+
 
 def spans(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about ``most`` pieces each (one text at least)."""
@@ -291,29 +348,46 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """The memo: pieces' numbers and, end to end, their ids, the ids as decimal
-        text (a comma after each) and the bytes they decode to."""
+        """The memo: pieces' numbers and, end to end, their ids."""
         self.at: dict[str, int] = {}
-        self.ids_of, self.text_of, self.raw_of = array("i"), bytearray(), bytearray()
-        self.ends = array("q"), array("q"), array("q")
-
-    def _put(self, piece: str, ids: list[int]) -> None:
-        self.at[piece] = len(self.ends[0])
-        self.ids_of.extend(ids)
-        self.text_of += "".join(f"{i}," for i in ids).encode()
-        self.raw_of += self.decode_bytes(ids)
-        for ends, flat in zip(self.ends, (self.ids_of, self.text_of, self.raw_of)):
-            ends.append(len(flat))
+        self.ids_of, self.ends = array("i"), array("q")
+
+    def _put(self, pieces: list[str], ids: np.ndarray, upto: np.ndarray) -> None:
+        """Remembers new pieces with their ids, end to end up to ``upto``."""
+        self.at.update(zip(pieces, range(len(self.ends), len(self.ends) + len(pieces))))
+        self.ends.frombytes((upto + len(self.ids_of)).astype(np.int64).tobytes())
+        self.ids_of.frombytes(ids.astype(np.int32).tobytes())
+
+    def _cut(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words of all pieces, their numbers in order, and how many words each piece has."""
+        whole, between = BETWEEN.join(pieces), BETWEEN
+        if whole.count(BETWEEN) < len(pieces):
+            words = self.v.words_between.findall(whole)
+        else:                                           # a text holds it itself
+            between = None
+            words = [w for p in pieces for w in (None, *self.v.words.findall(p))][1:]
+        found = {w: i for i, w in enumerate(dict.fromkeys([between, *words]))}
+        ks = np.fromiter(map(found.__getitem__, words), np.int64, len(words))
+        held = np.diff(np.concatenate([[-1], np.flatnonzero(ks == 0), [len(ks)]])) - 1
+        return list(found)[1:], ks[ks > 0] - 1, held
 
     def _learn(self, pieces: list[str]) -> None:
-        found = {p: [w.encode() for w in self.v.words.findall(p)] for p in pieces if p not in self.at}
-        words = list({w for ws in found.values() for w in ws})
-        ranks = self.lexicon.ranks(words).tolist() if self.lexicon else [-1] * len(words)
-        ids = {w: self.lexicon.ids_at(r) for w, r in zip(words, ranks) if r >= 0}
-        rest = [w for w, r in zip(words, ranks) if r < 0]
-        ids.update(zip(rest, self.v.merge_all(rest)))
-        for p, ws in found.items():
-            self._put(p, [i for w in ws for i in ids[w]])
+        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
+        if not new:
+            return
+        words, ks, held = self._cut(new)
+        coded = [w.encode() for w in words]
+        ranks = self.lexicon.ranks(coded) if self.lexicon else np.full(len(coded), -1)
+        there = ranks >= 0
+        ids, begin, size = self.v.merged([coded[i] for i in np.flatnonzero(~there).tolist()])
+        starts, sizes = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64)
+        starts[~there], sizes[~there] = begin, size
+        if there.any():
+            starts[there], sizes[there] = self.lexicon.extents(ranks[there])
+            starts[~there] += len(self.lexicon.ids)
+            ids = np.concatenate([self.lexicon.ids, ids])
+        flat, upto = parts_of(ids, starts[ks], sizes[ks])
+        self._put(new, flat, upto[np.cumsum(held)])
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
@@ -322,18 +396,21 @@ class Encoder:
     def _odd(self, text: str) -> bool:
         return SPACE_RUN.search(text) is not None or any(a in text for a in self.v.added)
 
-    def _words(self, text: str) -> list[str]:
-        """Pieces of a text with runs of space or strings of added tokens."""
-        parts = self.v.cut.split(text) if self.v.cut else [text]
-        out = [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.v.words.findall(p))]
-        for w in set(out) & self.v.added.keys() - self.at.keys():
-            self._put(w, [self.v.added[w]])
-        self._learn(out)
-        return out
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """The memo's numbers of texts with runs of space or strings of added tokens."""
+        lists = []
+        for text in texts:
+            parts = self.v.cut.split(text) if self.v.cut else [text]
+            lists.append([w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.v.words.findall(p))])
+        found = dict.fromkeys(chain.from_iterable(lists))
+        for w in found.keys() & self.v.added.keys() - self.at.keys():
+            self._put([w], np.array([self.v.added[w]]), np.array([1]))
+        self._learn(list(found))
+        return [np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)) for ws in lists]
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The memo's numbers of all pieces in order, and where each text's begin and end."""
-        if len(self.at) > MEMO_PIECES or len(self.text_of) > MEMO_TOTAL:
+        if len(self.at) > MEMO_PIECES or len(self.ids_of) > MEMO_IDS:
             self._forget()
         odd = [self._odd(t) for t in texts]
         cut = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string()), " ")
@@ -347,24 +424,21 @@ class Encoder:
         ks[first[:-1]] = list(map(self.at.__getitem__, opening))
         if any(odd):
             lists = [ks[a:b] for a, b in zip(first, first[1:])]
-            for i, o in enumerate(odd):
-                if o:
-                    lists[i] = np.array([self.at[w] for w in self._words(texts[i])], np.int64)
+            at = np.flatnonzero(odd).tolist()
+            for i, own in zip(at, self._words([texts[i] for i in at])):
+                lists[i] = own
             ks, first = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
         return ks, first
 
-    def _gather(self, which: int, ks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces' parts end to end (0: ids, 1: decimal text, 2: bytes) and where each text's begin and end."""
-        flat = (self.ids_of, self.text_of, self.raw_of)[which]
-        ends = np.frombuffer(self.ends[which], np.int64)
-        size, begin = np.diff(ends, prepend=0)[ks], np.concatenate([[0], ends])[ks]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        where = np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])
-        return np.frombuffer(flat, np.int32 if which == 0 else np.uint8)[where], upto[first]
+    def _ids(self, ks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids end to end and where each text's begin and end."""
+        ends = np.frombuffer(self.ends, np.int64)
+        flat, upto = parts_of(np.frombuffer(self.ids_of, np.int32), np.concatenate([[0], ends])[ks], np.diff(ends, prepend=0)[ks])
+        return flat, upto[first]
 
     def flat_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's begin and end."""
-        return self._gather(0, *self.numbers(texts))
+        return self._ids(*self.numbers(texts))
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         flat, at = self.flat_ids(texts)
@@ -373,14 +447,22 @@ class Encoder:
     def digests(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[str]]:
         """Number of ids, digest of the ids and digest of the decoded text."""
         ks, first = self.numbers(texts)
-        ends = np.concatenate([[0], np.cumsum(np.diff(np.frombuffer(self.ends[0], np.int64), prepend=0)[ks])])
-        shown, raw = [], []
+        sizes, shown, raw = [np.zeros(0, np.int64)], [], []
         for i, j in spans(first, GATHER):               # few texts at a time: the gathered parts are large
-            flat, a = self._gather(1, ks[first[i]:first[j]], first[i:j + 1] - first[i])
-            shown += [hashlib.sha256(flat[x:max(x, y - 1)]).hexdigest() for x, y in zip(a, a[1:])]
-            flat, a = self._gather(2, ks[first[i]:first[j]], first[i:j + 1] - first[i])
-            raw += [hashlib.sha256(self.as_text(flat[x:y].tobytes()).encode()).hexdigest() for x, y in zip(a, a[1:])]
-        return np.diff(ends[first]), shown, raw
+            ids, at = self._ids(ks[first[i]:first[j]], first[i:j + 1] - first[i])
+            sizes.append(np.diff(at))
+            data, ends = self._shown(self.v.decimal, ids, at)
+            shown += [hashlib.sha256(data[x:max(x, y - 1)]).hexdigest() for x, y in zip(ends, ends[1:])]
+            data, ends = self._shown(self.v.raw, ids, at)
+            raw += [hashlib.sha256(self.as_text(data[x:y]).encode()).hexdigest() for x, y in zip(ends, ends[1:])]
+        return np.concatenate(sizes), shown, raw
+
+    @staticmethod
+    def _shown(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[bytes, list[int]]:
+        """The table's bytes of all ids end to end, and where each text's begin and end."""
+        flat, begin, size = table
+        data, upto = parts_of(flat, begin[ids], size[ids])
+        return data.tobytes(), upto[at].tolist()
 
     @staticmethod
     def as_text(data: bytes) -> str:
@@ -408,17 +490,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     what they read, Spark adds the partial counts (``word``, ``n``)."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
+    def added(counts: list[pa.Table]) -> pa.Table:
+        """One row for each word of all the counts."""
+        both = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return both.rename_columns(["word", "n"]).cast(schema)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = [schema.empty_table()]
         for b in small_batches(batches, "text"):
-            for t in b.column("text").to_pylist():
-                if t:
-                    seen.update(t.split())
-            if len(seen) > MEMO_PIECES:
-                yield rows_out(schema, list(seen), list(seen.values()))
-                seen.clear()
-        if seen:
-            yield rows_out(schema, list(seen), list(seen.values()))
+            words, n = pc.utf8_split_whitespace(b.column("text")).flatten().value_counts().flatten()
+            seen.append(pa.table([words.cast(pa.string()), n], schema=schema).filter(pc.not_equal(words, "")))
+            if sum(map(len, seen)) > 2 * MEMO_PIECES:
+                seen = [added(seen)]
+                if len(seen[0]) > MEMO_PIECES:
+                    yield from seen[0].to_batches()
+                    seen = [schema.empty_table()]
+        yield from added(seen).to_batches()
 
     partial = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))

@@ -106,6 +106,58 @@ def test_frequent_words(spark):
     assert bpe.frequent(counts.limit(0), 3) == []
 
 
+class Calls:
+    """A compiled pattern that keeps how often it searched."""
+
+    def __init__(self, pattern):
+        self.pattern, self.n = pattern, 0
+
+    def findall(self, text):
+        self.n += 1
+        return self.pattern.findall(text)
+
+
+def test_new_pieces_are_learned_at_a_time(library):
+    v = bpe.Vocabulary(vocabulary_path())
+    patterns = {k: Calls(p) for k, p in vars(v).items() if hasattr(p, "findall") and k != "cut"}
+    vars(v).update(patterns)
+    enc = bpe.Encoder(v, bpe.Lexicon.build({b" w1": v.merge_all([b" w1"])[0]}))
+    texts = [" ".join(f"w{i + k}, {k}é" for k in range(40)) for i in range(0, 4000, 20)]
+    shown = [hashlib.sha256(",".join(map(str, library.encode(t).ids)).encode()).hexdigest() for t in texts]
+    assert enc.digests(texts)[1] == shown
+    assert sum(p.n for p in patterns.values()) <= 4          # no search for each of 4,080 pieces
+
+
+def test_pieces_that_hold_the_mark_between_pieces(library):
+    mark = "\ufdd0"
+    texts = [mark, f"a{mark}b c", f"x {mark} {mark}{mark}!\n", "plain text's end\n", "tail \n\t next", "", "a\n b", f"{mark}'s it's\n\n{mark}", "<|endoftext|>"]
+    v = bpe.Vocabulary(vocabulary_path())
+    for part in (texts, [t for t in texts if mark not in t], [mark], [""], []):
+        enc = bpe.Encoder(v)
+        want = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert enc.ids(part) == want
+        n, shown, raw = bpe.Encoder(v).digests(part)
+        assert n.tolist() == list(map(len, want))
+        assert shown == [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for ids in want]
+        assert raw == [hashlib.sha256(t.encode()).hexdigest() for t in part]
+
+
+def test_merges_of_words_of_all_lengths(library):
+    v = bpe.Vocabulary(vocabulary_path())
+    words = ["", "a", "é", "the", "x" * 48, "y" * 49, "ab" * 300, "中文", "thing"]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert v.merge_all([w.encode() for w in words]) == want
+    assert v.merge_all([]) == [] and v.merge_all([b""]) == [[]] and v.merge_all([b"y" * 49]) == [want[5]]
+
+
+def test_word_counts(spark, odd):
+    want = {}
+    for _, t in ODD:
+        for w in (t or "").split():
+            want[w] = want.get(w, 0) + 1
+    assert {r.word: r.n for r in bpe.word_counts(odd).collect()} == want
+
+
 # ---- 5: n-gram join ----
 
 def brute_components(rows, n, percent):
