@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
@@ -42,6 +43,13 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_shuffles_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes the shuffle files of plans that nothing
+    refers to any more, such as those of tables that were ``saved``, only when it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of an Arrow batch where rows hold whole texts.
 WIDE_ROWS = 1000
 

@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import partitions, rows_out, saved, small_batches, worker_cache
+from foldwise.llm.common import let_shuffles_go, partitions, rows_out, saved, small_batches, worker_cache
 from foldwise.llm.components import components
 
 #: Similarity as percent, and words of a shingle, unless a caller says otherwise.
@@ -556,8 +556,11 @@ def _found(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> Dat
     plan = allocation(counted, percent)
     if plan:
         met = saved(candidates(docs, plan, common_shingles(counted), n, percent, id_col, text))
+        let_shuffles_go(spark)
         clusters = components(plausible(met, reps, percent))
+        let_shuffles_go(spark)
         edges, links = linked_sets(docs, reps, clusters, [p[0] for p in plan], n, percent, id_col, text)
+        let_shuffles_go(spark)
         roots = components(edges)
     else:
         roots = spark.createDataFrame([], "node string, root string")
@@ -591,6 +594,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kept = rows.join(ids, F.col(row_id) == F.col("_gone"), "left_anti")
     # ids of rows that go and of rows that stay: their rows are told apart by their sets
     mixed = saved(ids.where("not all").select("_gone"))
+    let_shuffles_go(docs.sparkSession)
     if mixed.isEmpty():
         return kept.toDF(*docs.columns)
     pairs = found.where("gone").join(mixed, F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("set").alias("_gone_set"))
